@@ -1,0 +1,67 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame.
+
+Every query reads the driver tables (or data Spark derives from them) whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.operators import wordcount as wc
+from webloom.sources.tables import documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+# ---------------------------------------------------------------- word counts
+
+@register("read_text")
+def q_read_text(spark, sf):
+    return wc.lines(documents(spark, sf).select("doc_id", "text"))
+
+
+@register("tokenize_space")
+def q_tokenize_space(spark, sf):
+    return wc.words(wc.lines(documents(spark, sf).select("doc_id", "text")))
+
+
+@register("filter_nonempty")
+def q_filter_nonempty(spark, sf):
+    return wc.nonempty(wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))))
+
+
+@register("lowercase")
+def q_lowercase(spark, sf):
+    return wc.lowercase(wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))))
+
+
+@register("word_count")
+def q_word_count(spark, sf):
+    return wc.word_count(wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))).select("word"))
+
+
+@register("top_k_words")
+def q_top_k_words(spark, sf):
+    return wc.top_words_of_lines(documents(spark, sf).select("doc_id", "text"), 100)
+
+
+@register("top_k_threshold")
+def q_top_k_threshold(spark, sf):
+    w = wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))).select("word")
+    return wc.top_k_threshold(w, threshold=5, k=100)
+
+
+@register("having_count_and_len")
+def q_having(spark, sf):
+    w = wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))).select(F.lower("word").alias("word"))
+    return wc.word_count(w.where(F.length("word") < 30)).where(F.col("cnt") > 5)

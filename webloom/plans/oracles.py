@@ -1,0 +1,41 @@
+"""DuckDB SQL oracles, one per registered query where SQL can express it.
+
+Written independently of the Spark code path (RE2 regexes, DuckDB list
+lambdas, window functions) over the same parquet tables.
+"""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
+
+# ---------------------------------------------------------------- word counts
+
+LINES = r"""
+  SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS line_no, unnest(arr) AS line
+  FROM (SELECT doc_id,
+               CASE WHEN text = '' THEN []::VARCHAR[]
+                    ELSE string_split_regex(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') END AS arr
+        FROM documents)
+"""
+
+WORDS = r"""
+  SELECT doc_id, line_no, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS word_no, unnest(ws) AS word
+  FROM (SELECT doc_id, line_no,
+               CASE WHEN line = '' THEN ['']
+                    WHEN regexp_replace(line, ' +$', '') = '' THEN []::VARCHAR[]
+                    ELSE string_split(regexp_replace(line, ' +$', ''), ' ') END AS ws
+        FROM (""" + LINES + """))
+"""
+
+ORACLES["read_text"] = LINES
+ORACLES["tokenize_space"] = WORDS
+ORACLES["filter_nonempty"] = f"SELECT * FROM ({WORDS}) WHERE word <> ''"
+ORACLES["lowercase"] = f"SELECT doc_id, line_no, word_no, lower(word) AS word FROM ({WORDS})"
+ORACLES["word_count"] = f"SELECT word, count(*) AS cnt FROM ({WORDS}) GROUP BY word"
+ORACLES["top_k_words"] = f"SELECT word, count(*) AS cnt FROM ({WORDS}) GROUP BY word ORDER BY cnt DESC, word LIMIT 100"
+ORACLES["top_k_threshold"] = f"""
+  SELECT lower(word) AS word, count(*) AS cnt FROM ({WORDS})
+  WHERE length(lower(word)) < 30 GROUP BY 1 HAVING count(*) > 5 ORDER BY cnt DESC, word LIMIT 100"""
+ORACLES["having_count_and_len"] = f"""
+  SELECT lower(word) AS word, count(*) AS cnt FROM ({WORDS})
+  WHERE length(lower(word)) < 30 GROUP BY 1 HAVING count(*) > 5"""

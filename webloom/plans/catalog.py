@@ -65,3 +65,36 @@ def q_top_k_threshold(spark, sf):
 def q_having(spark, sf):
     w = wc.words(wc.lines(documents(spark, sf).select("doc_id", "text"))).select(F.lower("word").alias("word"))
     return wc.word_count(w.where(F.length("word") < 30)).where(F.col("cnt") > 5)
+
+
+# ---------------------------------------------------------------- HTML -> blocks
+
+def _pages(spark, sf):
+    from webloom.sources.tables import pages
+    return pages(spark, sf)
+
+
+def _events(spark, sf):
+    from webloom.operators.html import html_events
+    return html_events(_pages(spark, sf))
+
+
+def _blocks(spark, sf):
+    from webloom.operators.html import text_blocks
+    return text_blocks(_events(spark, sf))
+
+
+@register("html_events")
+def q_html_events(spark, sf):
+    return _events(spark, sf)
+
+
+@register("text_blocks")
+def q_text_blocks(spark, sf):
+    return _blocks(spark, sf)
+
+
+@register("title")
+def q_title(spark, sf):
+    from webloom.operators.html import html_docs
+    return html_docs(_events(spark, sf))

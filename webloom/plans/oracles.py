@@ -39,3 +39,10 @@ ORACLES["top_k_threshold"] = f"""
 ORACLES["having_count_and_len"] = f"""
   SELECT lower(word) AS word, count(*) AS cnt FROM ({WORDS})
   WHERE length(lower(word)) < 30 GROUP BY 1 HAVING count(*) > 5"""
+
+# ---------------------------------------------------------------- HTML -> blocks
+from webloom.plans.oracle_html import BLOCKS, DOCS, EVENTS  # noqa: E402
+
+ORACLES["html_events"] = EVENTS
+ORACLES["text_blocks"] = BLOCKS
+ORACLES["title"] = DOCS

@@ -98,3 +98,96 @@ def q_text_blocks(spark, sf):
 def q_title(spark, sf):
     from webloom.operators.html import html_docs
     return html_docs(_events(spark, sf))
+
+
+# ---------------------------------------------------------------- block rules, fusion, extractors
+
+def _docs(spark, sf):
+    from webloom.operators.html import html_docs
+    return html_docs(_events(spark, sf))
+
+
+def _bd(spark, sf):
+    from webloom.operators.html import html_docs, text_blocks
+    ev = _events(spark, sf)
+    return text_blocks(ev), html_docs(ev)
+
+
+def _rules():
+    """name -> function(blocks, docs) -> blocks."""
+    from webloom.operators import classifiers as C
+    from webloom.operators import fusion as G
+    f1 = C.num_words_rules
+    f5f1 = lambda b: C.num_words_rules(C.end_markers(b))
+    return {
+        "num_words_rules": lambda b, d: f1(b),
+        "density_rules": lambda b, d: C.density_rules(b),
+        "canola_rules": lambda b, d: C.canola_rules(b),
+        "end_markers": lambda b, d: C.end_markers(b),
+        "ignore_after_end": lambda b, d: C.ignore_after_end(f5f1(b), 60),
+        "ignore_after_end_reverse": lambda b, d: C.ignore_after_end_reverse(f5f1(b)),
+        "keep_largest_fulltext": lambda b, d: C.keep_largest_fulltext(f1(b)),
+        "min_fulltext_words": lambda b, d: C.min_fulltext_words(f1(b), 30),
+        "min_words": lambda b, d: C.min_words(C.mark_all_content(b), 5),
+        "min_clause_words": lambda b, d: C.min_clause_words(C.mark_all_content(b), 5),
+        "label_to_content": lambda b, d: C.label_to_content(C.title_match(b, d), [C.TITLE]),
+        "label_to_boilerplate": lambda b, d: C.label_to_boilerplate(C.ignore_after_end_reverse(f5f1(b))),
+        "mark_all_content": lambda b, d: C.mark_all_content(b),
+        "mark_all_boilerplate": lambda b, d: C.mark_all_boilerplate(f1(b)),
+        "invert": lambda b, d: C.invert(f1(b)),
+        "drop_boilerplate": lambda b, d: C.drop_boilerplate(f1(C.title_match(b, d)), keep_title=True),
+        "surrounding_to_content": lambda b, d: C.surrounding_to_content(f1(b)),
+        "split_paragraphs": lambda b, d: C.split_paragraphs(G.proximity_fusion(f1(b))),
+        "title_match": lambda b, d: C.title_match(b, d),
+        "keep_largest_block": lambda b, d: C.keep_largest_block(f1(b), True, 150),
+        "expand_title": lambda b, d: C.expand_title(C.keep_largest_block(f1(C.title_match(b, d)), True, 150)),
+        "large_same_level": lambda b, d: C.large_same_level(C.keep_largest_block(f1(b), False, 0)),
+        "list_at_end": lambda b, d: C.list_at_end(C.keep_largest_block(f1(b), True, 0)),
+        "trailing_headline": lambda b, d: C.trailing_headline(f1(b)),
+        "article_metadata": lambda b, d: C.article_metadata(b),
+        "add_preceding_labels": lambda b, d: C.add_preceding_labels(b, "^"),
+        "proximity_fusion": lambda b, d: G.proximity_fusion(f1(b), 1, False, False),
+        "proximity_fusion_content_same_level": lambda b, d: G.proximity_fusion(f1(b), 1, True, True),
+        "density_fusion": lambda b, d: G.density_fusion(b),
+        "label_fusion": lambda b, d: G.label_fusion(b),
+        "content_fusion": lambda b, d: G.content_fusion(C.ignore_after_end_reverse(f5f1(b))),
+    }
+
+
+def _register_rules():
+    for name, fn in _rules().items():
+        def q(spark, sf, fn=fn):
+            b, d = _bd(spark, sf)
+            return fn(b, d)
+        QUERIES[name] = q
+
+
+_register_rules()
+
+
+@register("fulltext_words")
+def q_fulltext_words(spark, sf):
+    from webloom.operators.classifiers import fulltext_words
+    return _blocks(spark, sf).select("doc_id", "block_idx", fulltext_words().alias("fulltext_words"))
+
+
+def _register_extractors():
+    from webloom.plans import extractors as X
+    for name in ("article", "article_sentences", "default", "largest_content", "canola", "num_words",
+                 "keep_everything", "keep_everything_min_k"):
+        def q(spark, sf, name=name):
+            b, d = _bd(spark, sf)
+            return X.content_text(X.get_extractor(name)(b, d), d)
+        QUERIES["extract_" + name] = q
+
+
+_register_extractors()
+
+
+@register("page_top_words")
+def q_page_top_words(spark, sf):
+    """Flagship: article text of every page -> split(" ") -> counts -> top 100."""
+    from webloom.plans import extractors as X
+    texts = X.extract(_pages(spark, sf), "article")
+    words = texts.select(F.explode(F.split("text", " ")).alias("word"))
+    return wc.top_k(wc.word_count(words), 100)

@@ -46,3 +46,64 @@ from webloom.plans.oracle_html import BLOCKS, DOCS, EVENTS  # noqa: E402
 ORACLES["html_events"] = EVENTS
 ORACLES["text_blocks"] = BLOCKS
 ORACLES["title"] = DOCS
+
+# ---------------------------------------------------------------- block rules, fusion, extractors
+from webloom.plans import oracle_blocks as OB  # noqa: E402
+
+_F5F1 = [OB.f5, OB.f1]
+_RULE_STEPS = {
+    "num_words_rules": [OB.f1],
+    "density_rules": [OB.f2],
+    "canola_rules": [OB.f3],
+    "end_markers": [OB.f5],
+    "ignore_after_end": _F5F1 + [OB.f6],
+    "ignore_after_end_reverse": _F5F1 + [OB.f7],
+    "keep_largest_fulltext": [OB.f1, OB.f8],
+    "min_fulltext_words": [OB.f1, OB.f9],
+    "min_words": [OB.f14, OB.f10],
+    "min_clause_words": [OB.f14, OB.f11],
+    "label_to_content": [lambda s: OB.f20(s, DOCS), OB.f12],
+    "label_to_boilerplate": _F5F1 + [OB.f7, OB.f13],
+    "mark_all_content": [OB.f14],
+    "mark_all_boilerplate": [OB.f1, OB.f15],
+    "invert": [OB.f1, OB.f16],
+    "drop_boilerplate": [lambda s: OB.f20(s, DOCS), OB.f1, OB.f17],
+    "surrounding_to_content": [OB.f1, OB.f18],
+    "split_paragraphs": [OB.f1, OB.g1, OB.f19],
+    "title_match": [lambda s: OB.f20(s, DOCS)],
+    "keep_largest_block": [OB.f1, lambda s: OB.f21(s, True, 150)],
+    "expand_title": [lambda s: OB.f20(s, DOCS), OB.f1, lambda s: OB.f21(s, True, 150), OB.f22],
+    "large_same_level": [OB.f1, lambda s: OB.f21(s, False, 0), OB.f23],
+    "list_at_end": [OB.f1, lambda s: OB.f21(s, True, 0), OB.f24],
+    "trailing_headline": [OB.f1, OB.f25],
+    "article_metadata": [OB.f26],
+    "add_preceding_labels": [lambda s: OB.f27(s, "^")],
+    "proximity_fusion": [OB.f1, OB.g1],
+    "proximity_fusion_content_same_level": [OB.f1, lambda s: OB.g1(s, 1, True, True)],
+    "density_fusion": [OB.g2],
+    "label_fusion": [OB.g3],
+    "content_fusion": _F5F1 + [OB.f7, OB.g4],
+}
+for _n, _steps in _RULE_STEPS.items():
+    ORACLES[_n] = OB.chain(BLOCKS, *_steps)
+
+ORACLES["fulltext_words"] = (f"SELECT doc_id, block_idx, CASE WHEN text_density >= 9 THEN num_words ELSE 0 END "
+                             f"AS fulltext_words FROM ({BLOCKS})")
+
+_EXTRACTOR_STEPS = {
+    "article": OB.article_steps(DOCS),
+    "article_sentences": OB.article_steps(DOCS) + [OB.f19, OB.f11],
+    "default": [OB.g2, OB.g1, OB.f2],
+    "largest_content": [OB.f1, OB.g1, lambda s: OB.f21(s, False, 0)],
+    "canola": [OB.f3],
+    "num_words": [OB.f1],
+    "keep_everything": [OB.f14],
+    "keep_everything_min_k": [OB.g2, OB.f14, OB.f10],
+}
+for _n, _steps in _EXTRACTOR_STEPS.items():
+    ORACLES["extract_" + _n] = OB.content_text_sql(OB.chain(BLOCKS, *_steps), DOCS)
+
+ORACLES["page_top_words"] = f"""
+  SELECT word, count(*) AS cnt FROM (
+    SELECT unnest(string_split(text, ' ')) AS word FROM ({ORACLES['extract_article']}))
+  GROUP BY word ORDER BY cnt DESC, word LIMIT 100"""

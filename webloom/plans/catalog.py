@@ -191,3 +191,91 @@ def q_page_top_words(spark, sf):
     texts = X.extract(_pages(spark, sf), "article")
     words = texts.select(F.explode(F.split("text", " ")).alias("word"))
     return wc.top_k(wc.word_count(words), 100)
+
+
+# ---------------------------------------------------------------- text cleaning and vectors
+
+def _docs_text(spark, sf):
+    return documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def _text_query(fn):
+    def q(spark, sf):
+        return _docs_text(spark, sf).select("doc_id", fn(F.col("text")).alias("text"))
+    return q
+
+
+def _register_text():
+    from webloom.functions import cleaning as T
+    from webloom.functions.fold import ascii_fold
+    QUERIES["clean_text"] = _text_query(T.clean_text)
+    QUERIES["remove_urls"] = _text_query(T.remove_urls)
+    QUERIES["remove_numbers"] = _text_query(T.remove_numbers)
+    QUERIES["ascii_fold"] = _text_query(ascii_fold)
+    QUERIES["strip_symbols"] = _text_query(T.strip_symbols)
+    QUERIES["append_newline"] = _text_query(lambda c: T.append_newline(T.clean_text(c)))
+
+    def analyze(spark, sf):
+        return _docs_text(spark, sf).select("doc_id", T.analyze(F.col("text")).alias("tokens"))
+
+    def stop(spark, sf):
+        return _docs_text(spark, sf).select("doc_id", T.analyze(F.col("text"), stem=False).alias("tokens"))
+
+    def stem(spark, sf):
+        from webloom.functions.stem import stem as stem1
+        terms = _docs_text(spark, sf).select(F.explode(T.analyze(F.col("text"), stem=False)).alias("term")).distinct()
+        return terms.select("term", stem1(F.col("term")).alias("stem"))
+
+    QUERIES["analyze"] = analyze
+    QUERIES["stop_words"] = stop
+    QUERIES["stem"] = stem
+
+
+_register_text()
+
+
+@register("extract_and_clean")
+def q_extract_and_clean(spark, sf):
+    from webloom.functions.cleaning import clean_text
+    from webloom.plans import extractors as X
+    t = X.extract(_pages(spark, sf), "article")
+    return t.select(F.col("doc_id").cast("string").alias("doc_id"), clean_text(F.col("text")).alias("text"))
+
+
+def _counts(spark, sf):
+    from webloom.operators import vectorize as V
+    return V.term_counts(V.corpus_terms(V.cleaned_texts(documents(spark, sf))))
+
+
+@register("distinct_terms")
+def q_distinct_terms(spark, sf):
+    from webloom.operators import vectorize as V
+    return V.distinct_terms(_counts(spark, sf))
+
+
+@register("assign_ids")
+def q_assign_ids(spark, sf):
+    from webloom.operators import vectorize as V
+    return V.assign_ids(V.distinct_terms(_counts(spark, sf)))
+
+
+@register("term_freq")
+def q_term_freq(spark, sf):
+    from webloom.operators import vectorize as V
+    vocab, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    return dt
+
+
+@register("doc_vectors")
+def q_doc_vectors(spark, sf):
+    from webloom.operators import vectorize as V
+    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    return vec
+
+
+@register("join_vocab")
+def q_join_vocab(spark, sf):
+    from webloom.operators import vectorize as V
+    terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf)))
+    vocab = V.assign_ids(V.distinct_terms(terms))
+    return V.join_vocab(terms, vocab).select("doc_id", "term", "term_id")

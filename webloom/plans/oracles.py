@@ -107,3 +107,28 @@ ORACLES["page_top_words"] = f"""
   SELECT word, count(*) AS cnt FROM (
     SELECT unnest(string_split(text, ' ')) AS word FROM ({ORACLES['extract_article']}))
   GROUP BY word ORDER BY cnt DESC, word LIMIT 100"""
+
+# ---------------------------------------------------------------- text cleaning and vectors
+from webloom.plans import oracle_text as OT  # noqa: E402
+
+_D = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"
+ORACLES["clean_text"] = OT.CLEAN_DOCS
+ORACLES["remove_urls"] = f"SELECT doc_id, {OT.remove_urls_sql('text')} AS text FROM ({_D})"
+ORACLES["remove_numbers"] = f"SELECT doc_id, {OT.remove_numbers_sql('text')} AS text FROM ({_D})"
+ORACLES["ascii_fold"] = f"SELECT doc_id, {OT.fold_sql('text')} AS text FROM ({_D})"
+ORACLES["strip_symbols"] = f"SELECT doc_id, {OT.strip_symbols_sql('text')} AS text FROM ({_D})"
+ORACLES["append_newline"] = f"SELECT doc_id, {OT.clean_sql('text')} || chr(10) AS text FROM ({_D})"
+ORACLES["analyze"] = f"SELECT doc_id, {OT.analyze_sql('text')} AS tokens FROM ({_D})"
+ORACLES["stop_words"] = f"SELECT doc_id, {OT.analyze_sql('text', stem=False)} AS tokens FROM ({_D})"
+ORACLES["stem"] = f"""SELECT term, {OT.porter_sql('[term]')}[1] AS stem FROM (
+  SELECT DISTINCT unnest({OT.analyze_sql('text', stem=False)}) AS term FROM ({_D}))"""
+ORACLES["extract_and_clean"] = (f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {OT.clean_sql('text')} AS text "
+                                f"FROM ({ORACLES['extract_article']})")
+ORACLES["distinct_terms"] = f"SELECT DISTINCT term FROM ({OT.TERM_COUNTS})"
+ORACLES["assign_ids"] = OT.VOCAB
+ORACLES["term_freq"] = OT.DOC_TERMS
+ORACLES["doc_vectors"] = OT.DOC_VECTORS
+ORACLES["join_vocab"] = f"""
+  SELECT t.doc_id, t.term, v.term_id FROM (
+    SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\n$', ''), ' '), lambda t: t <> '')) AS term
+    FROM ({OT.CLEAN_DOCS})) t JOIN ({OT.VOCAB}) v USING (term)"""

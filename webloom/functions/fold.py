@@ -17,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MULTI_MARK = "\ue031"
+
+
 @functools.lru_cache(maxsize=1)
 def fold_tables() -> tuple[str, str, dict[str, str]]:
     src, dst, multi = [], [], {}
@@ -36,13 +39,20 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(src), "".join(dst), multi
 
 
-def ascii_fold(text: Column) -> Column:
+def ascii_fold(value: Column) -> Column:
     """Characters replaced by the ASCII part of their NFKD form; other
-    non-ASCII characters removed."""
+    non-ASCII characters removed. The input is evaluated once (bound as a
+    lambda variable), so an expensive input expression is not repeated."""
+    return F.element_at(F.transform(F.array(value), _fold), 1)
+
+
+def _fold(text: Column) -> Column:
     src, dst, multi = fold_tables()
-    cls = "[" + "".join(multi) + "]"
+    keys = "".join(multi)
+    # cheap test first: a translate (hash lookup per character) to a marker
+    has_multi = F.translate(text, keys, MULTI_MARK * len(keys)).contains(MULTI_MARK)
     mp = F.create_map(*[x for k, v in sorted(multi.items()) for x in (F.lit(k), F.lit(v))])
-    expanded = F.when(text.rlike(cls), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(mp[c], c)), "")
+    expanded = F.when(has_multi, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(mp[c], c)), "")
                       ).otherwise(text)
     folded = F.translate(expanded, src, dst)
     return F.regexp_replace(folded, r"[^\x00-\x7F]", "")

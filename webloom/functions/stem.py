@@ -3,9 +3,11 @@
 
 ``stem_tokens`` maps an ``array<string>`` column of lower-case tokens to
 their stems with a chain of ``transform`` passes: one pass per rule step,
-each step a ``CASE`` over suffixes. The consonant/vowel shape of a word is a
-``aggregate`` fold, so nothing leaves the JVM and a document's tokens are
-stemmed in place (no shuffle, no join against a stem table).
+each step a ``CASE`` over suffixes that only decides "keep n letters, append
+a fixed string". The consonant/vowel shape of a word is computed once with
+regexes and carried along (a suffix change updates it in place), so nothing
+leaves the JVM and a document's tokens are stemmed in place (no shuffle, no
+join against a stem table).
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
          "ate", "iti", "ous", "ive", "ize")
 
 
-def _shape(w: Column) -> Column:
-    """'c'/'v' per letter: a e i o u are vowels, y is a vowel after a consonant."""
+def _shape_fold(w: Column) -> Column:
+    """'c'/'v' per letter by a left fold (exact for any word)."""
     return F.aggregate(
         F.split(w, ""), F.lit(""),
         lambda acc, ch: F.concat(acc, F.when(ch.isin("a", "e", "i", "o", "u"), F.lit("v"))
@@ -34,6 +36,22 @@ def _shape(w: Column) -> Column:
                                  .otherwise(F.lit("c"))))
 
 
+def _shape(w: Column) -> Column:
+    """'c'/'v' per letter: a e i o u are vowels, y is a vowel after a consonant.
+
+    Regex passes; words with a run of y's (whose classes alternate) use the fold.
+    """
+    s = F.regexp_replace(w, "[^aeiouy]", "C")
+    s = F.regexp_replace(s, "[aeiou]", "V")
+    s = F.regexp_replace(s, "^y|(?<=V)y", "C")
+    s = F.translate(F.regexp_replace(s, "y", "V"), "CV", "cv")
+    return F.when(w.contains("yy"), _shape_fold(w)).otherwise(s)
+
+
+def _static_shape(rep: str) -> str:
+    return "".join("v" if ch in "aeiou" else "c" for ch in rep)
+
+
 def _m(shape: Column, n: Column) -> Column:
     """Measure of the first n letters: number of vowel->consonant transitions."""
     x = F.substring(shape, 1, n)
@@ -50,48 +68,52 @@ def _cvc(w: Column, shape: Column, i: Column) -> Column:
             & ~F.substring(w, i + 1, 1).isin("w", "x", "y"))
 
 
-def _double_c(w: Column, shape: Column) -> Column:
-    n = F.length(w)
-    return (n >= 2) & (F.substring(w, -1, 1) == F.substring(w, -2, 1)) & (F.substring(shape, -1, 1) == "c")
+def _double_c(w: Column, shape: Column, n: Column) -> Column:
+    """The first n letters end in a doubled consonant."""
+    return ((n >= 2) & (F.substring(w, n, 1) == F.substring(w, n - 1, 1)) & (F.substring(shape, n, 1) == "c"))
 
 
-def _cut(w: Column, k: int | Column) -> Column:
-    return F.substring(w, 1, F.length(w) - k)
+# A step decides how many letters to keep and which fixed string to append.
+def _d(keep: Column, add: str = "") -> Column:
+    return F.struct(keep.alias("n"), F.lit(add).alias("a"), F.lit(_static_shape(add)).alias("sa"))
 
 
-def _with_shape(arr: Column) -> Column:
-    return F.transform(arr, lambda t: F.struct(t.alias("w"), _shape(t).alias("s")))
+def _apply(x: Column, d: Column) -> Column:
+    return F.struct(F.concat(F.substring(x["w"], 1, d["n"]), d["a"]).alias("w"),
+                    F.concat(F.substring(x["s"], 1, d["n"]), d["sa"]).alias("s"))
 
 
-def _step1a(t: Column) -> Column:
-    return (F.when(t.endswith("sses"), _cut(t, 2))
-            .when(t.endswith("ies"), F.concat(_cut(t, 3), F.lit("i")))
-            .when(t.endswith("s") & ~t.endswith("ss"), _cut(t, 1))
-            .otherwise(t))
+def _step1a(x: Column) -> Column:
+    w = x["w"]
+    n = F.length(w)
+    return (F.when(w.endswith("sses"), _d(n - 2))
+            .when(w.endswith("ies"), _d(n - 3, "i"))
+            .when(w.endswith("s") & ~w.endswith("ss"), _d(n - 1))
+            .otherwise(_d(n)))
 
 
 def _step1b(x: Column) -> Column:
     w, s = x["w"], x["s"]
     n = F.length(w)
 
-    def after(stem: Column) -> Column:
-        ln = F.length(stem)
-        st = F.substring(s, 1, ln)
-        return (F.when(stem.endswith("at") | stem.endswith("bl") | stem.endswith("iz"), F.concat(stem, F.lit("e")))
-                .when(_double_c(stem, st), F.when(F.substring(stem, -1, 1).isin("l", "s", "z"), stem)
-                      .otherwise(_cut(stem, 1)))
-                .when((_m(st, ln) == 1) & _cvc(stem, st, ln - 1), F.concat(stem, F.lit("e")))
-                .otherwise(stem))
+    def after(k: int) -> Column:
+        ln = n - k
+        stem = F.substring(w, 1, ln)
+        return (F.when(stem.endswith("at") | stem.endswith("bl") | stem.endswith("iz"), _d(ln, "e"))
+                .when(_double_c(w, s, ln), F.when(F.substring(w, ln, 1).isin("l", "s", "z"), _d(ln)).otherwise(_d(ln - 1)))
+                .when((_m(s, ln) == 1) & _cvc(w, s, ln - 1), _d(ln, "e"))
+                .otherwise(_d(ln)))
 
-    return (F.when(w.endswith("eed"), F.when(_m(s, n - 3) > 0, _cut(w, 1)).otherwise(w))
-            .when(w.endswith("ed"), F.when(_has_vowel(s, n - 2), after(_cut(w, 2))).otherwise(w))
-            .when(w.endswith("ing"), F.when(_has_vowel(s, n - 3), after(_cut(w, 3))).otherwise(w))
-            .otherwise(w))
+    return (F.when(w.endswith("eed"), F.when(_m(s, n - 3) > 0, _d(n - 1)).otherwise(_d(n)))
+            .when(w.endswith("ed"), F.when(_has_vowel(s, n - 2), after(2)).otherwise(_d(n)))
+            .when(w.endswith("ing"), F.when(_has_vowel(s, n - 3), after(3)).otherwise(_d(n)))
+            .otherwise(_d(n)))
 
 
 def _step1c(x: Column) -> Column:
     w, s = x["w"], x["s"]
-    return F.when(w.endswith("y") & _has_vowel(s, F.length(w) - 1), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+    n = F.length(w)
+    return F.when(w.endswith("y") & _has_vowel(s, n - 1), _d(n - 1, "i")).otherwise(_d(n))
 
 
 def _replace_rules(x: Column, rules, min_m: int) -> Column:
@@ -100,9 +122,9 @@ def _replace_rules(x: Column, rules, min_m: int) -> Column:
     out = None
     for suf, rep in rules:
         k = len(suf)
-        hit = F.when(_m(s, n - k) > min_m, F.concat(_cut(w, k), F.lit(rep))).otherwise(w)
+        hit = F.when(_m(s, n - k) > min_m, _d(n - k, rep)).otherwise(_d(n))
         out = F.when(w.endswith(suf), hit) if out is None else out.when(w.endswith(suf), hit)
-    return out.otherwise(w)
+    return out.otherwise(_d(n))
 
 
 def _step4(x: Column) -> Column:
@@ -111,35 +133,41 @@ def _step4(x: Column) -> Column:
     out = None
     for suf in STEP4:
         k = len(suf)
-        cond = w.endswith(suf)
+        ok = _m(s, n - k) > 1
         if suf == "ion":
-            hit = F.when(F.substring(w, -4, 1).isin("s", "t") & (n >= 4) & (_m(s, n - k) > 1), _cut(w, k)).otherwise(w)
-        else:
-            hit = F.when(_m(s, n - k) > 1, _cut(w, k)).otherwise(w)
-        out = F.when(cond, hit) if out is None else out.when(cond, hit)
-    return out.otherwise(w)
+            ok = F.substring(w, -4, 1).isin("s", "t") & (n >= 4) & ok
+        hit = F.when(ok, _d(n - k)).otherwise(_d(n))
+        out = F.when(w.endswith(suf), hit) if out is None else out.when(w.endswith(suf), hit)
+    return out.otherwise(_d(n))
 
 
-def _step5(x: Column) -> Column:
+def _step5a(x: Column) -> Column:
     w, s = x["w"], x["s"]
     n = F.length(w)
     m = _m(s, n)
-    drop_e = w.endswith("e") & ((m > 1) | ((m == 1) & ~_cvc(w, s, n - 2)))
-    w2 = F.when(drop_e, _cut(w, 1)).otherwise(w)
-    s2 = F.when(drop_e, _cut(s, 1)).otherwise(s)
-    return F.when(w2.endswith("l") & _double_c(w2, s2) & (_m(s2, F.length(w2)) > 1), _cut(w2, 1)).otherwise(w2)
+    drop = w.endswith("e") & ((m > 1) | ((m == 1) & ~_cvc(w, s, n - 2)))
+    return F.when(drop, _d(n - 1)).otherwise(_d(n))
+
+
+def _step5b(x: Column) -> Column:
+    w, s = x["w"], x["s"]
+    n = F.length(w)
+    return F.when(w.endswith("l") & _double_c(w, s, n) & (_m(s, n) > 1), _d(n - 1)).otherwise(_d(n))
+
+
+STEPS = (_step1a, _step1b, _step1c, lambda x: _replace_rules(x, STEP2, 0), lambda x: _replace_rules(x, STEP3, 0),
+         _step4, _step5a, _step5b)
 
 
 def stem_tokens(tokens: Column) -> Column:
     """Porter stems of an array of lower-case tokens (words of 1-2 letters stay)."""
-    short = lambda t: F.length(t) <= 2
-    a = F.transform(tokens, lambda t: F.when(short(t), t).otherwise(_step1a(t)))
-    a = F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_step1b(x)))
-    a = F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_step1c(x)))
-    a = F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_replace_rules(x, STEP2, 0)))
-    a = F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_replace_rules(x, STEP3, 0)))
-    a = F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_step4(x)))
-    return F.transform(_with_shape(a), lambda x: F.when(short(x["w"]), x["w"]).otherwise(_step5(x)))
+    def run(step):
+        return lambda x: F.when(F.length(x["w"]) <= 2, x).otherwise(_apply(x, step(x)))
+
+    a = F.transform(tokens, lambda t: F.struct(t.alias("w"), _shape(t).alias("s")))
+    for step in STEPS:
+        a = F.transform(a, run(step))
+    return F.transform(a, lambda x: x["w"])
 
 
 def stem(term: Column) -> Column:

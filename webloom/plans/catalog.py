@@ -279,3 +279,70 @@ def q_join_vocab(spark, sf):
     terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf)))
     vocab = V.assign_ids(V.distinct_terms(terms))
     return V.join_vocab(terms, vocab).select("doc_id", "term", "term_id")
+
+
+# ---------------------------------------------------------------- topic models
+
+def _lda_corpus(spark, sf):
+    from webloom.operators import vectorize as V
+    vocab, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    return vocab, dt, vocab.count()
+
+
+@register("lda_fit")
+def q_lda_fit(spark, sf):
+    """L1 (MLlib): 10 topics, 20 iterations; the 10 heaviest terms per topic."""
+    from webloom.operators import topics as L
+    from webloom.operators import vectorize as V
+    terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf))).groupBy("doc_id").agg(
+        F.collect_list("term").alias("terms"))
+    model, vocabulary = L.fit_lda_mllib(terms, k=10, max_iter=20)
+    return L.describe_topics_mllib(model, vocabulary, 10)
+
+
+@register("lda_em")
+def q_lda_em(spark, sf):
+    """L1-L5 (DataFrame EM): 10 topics, 20 outer x 100 inner iterations."""
+    from webloom.operators import topics as L
+    vocab, dt, v = _lda_corpus(spark, sf)
+    lam, alpha, _ = L.fit_lda_em(dt, v, k=10)
+    return L.top_terms(lam, vocab, 10)
+
+
+@register("topic_stats")
+def q_topic_stats(spark, sf):
+    """One E-step from the seeded start, summed per (topic, term) and per topic."""
+    import numpy as np
+
+    from webloom.operators import topics as L
+    vocab, dt, v = _lda_corpus(spark, sf)
+    corpus = dt.select("doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("count").cast("double"))
+    lam = L.init_lambda(corpus.select("term_id").distinct(), 10, v)
+    stats = L.e_step(corpus, lam, np.full(10, L.ALPHA0), 10, v)
+    return stats.groupBy("k", "term_id").agg(F.sum("value").alias("value"))
+
+
+@register("normalize_topics")
+def q_normalize_topics(spark, sf):
+    """Topics after one EM iteration, long form, each topic summing to 1."""
+    from webloom.operators import topics as L
+    vocab, dt, v = _lda_corpus(spark, sf)
+    lam, _, _ = L.fit_lda_em(dt, v, k=10, outer=1)
+    return L.topics_table(lam)
+
+
+@register("alpha_newton")
+def q_alpha_newton(spark, sf):
+    """L4: the Dirichlet parameter after one EM iteration (K rows)."""
+    from webloom.operators import topics as L
+    vocab, dt, v = _lda_corpus(spark, sf)
+    _, alpha, _ = L.fit_lda_em(dt, v, k=10, outer=1)
+    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(alpha)], "k int, alpha double")
+
+
+@register("corpus_size")
+def q_corpus_size(spark, sf):
+    """A10: number of documents of the vectorized corpus."""
+    from webloom.operators import vectorize as V
+    _, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    return dt.agg(F.countDistinct("doc_id").alias("num_docs"))

@@ -132,3 +132,5 @@ ORACLES["join_vocab"] = f"""
   SELECT t.doc_id, t.term, v.term_id FROM (
     SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\n$', ''), ' '), lambda t: t <> '')) AS term
     FROM ({OT.CLEAN_DOCS})) t JOIN ({OT.VOCAB}) v USING (term)"""
+
+ORACLES["corpus_size"] = f"SELECT count(DISTINCT doc_id) AS num_docs FROM ({OT.DOC_TERMS})"

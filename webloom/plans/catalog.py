@@ -346,3 +346,59 @@ def q_corpus_size(spark, sf):
     from webloom.operators import vectorize as V
     _, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
     return dt.agg(F.countDistinct("doc_id").alias("num_docs"))
+
+
+# ---------------------------------------------------------------- crawl records, files
+
+def _records(spark, sf):
+    from webloom.sources.crawl import RECORD_SEPARATOR, format_warc_records
+    recs = format_warc_records(_pages(spark, sf))
+    # the same cut the WARC reader makes at the record separator
+    return recs.select(F.explode(F.split("value", RECORD_SEPARATOR.replace(".", r"\."))).alias("value"))
+
+
+@register("read_warc")
+def q_read_warc(spark, sf):
+    """Pages as WARC response records, cut at the separator and parsed."""
+    from webloom.sources.crawl import parse_warc_records, responses
+    crawl = responses(parse_warc_records(_records(spark, sf), path_col=None))
+    return crawl.select("trec_id", "url", "record_type", "html")
+
+
+@register("extract_header_lines")
+def q_extract_header_lines(spark, sf):
+    """Id and URI header lines of the records."""
+    from webloom.sources.crawl import extract_header_lines
+    lines = _records(spark, sf).select(F.explode(F.split("value", "\r\n")).alias("value"))
+    return extract_header_lines(lines)
+
+
+def _vector_lines(spark, sf):
+    from webloom.operators import vectorize as V
+    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    return vec
+
+
+@register("read_sparse_vectors")
+def q_read_sparse_vectors(spark, sf):
+    """Document vector lines parsed back into (label, term_id, count)."""
+    from webloom.operators.vectorize import vector_lines
+    from webloom.sources.files import parse_sparse_vectors
+    return parse_sparse_vectors(vector_lines(_vector_lines(spark, sf)))
+
+
+@register("distinct_topic_keys")
+def q_distinct_topic_keys(spark, sf):
+    """Distinct keys of the first ten 'key:value' entries of '{...}' lines."""
+    from webloom.sources.files import distinct_topic_keys
+    vec = _vector_lines(spark, sf)
+    lines = vec.select(F.concat(F.col("doc_id"), F.lit("\t{"), F.regexp_replace("vector", " ", ","), F.lit("}"))
+                       .alias("value"))
+    return distinct_topic_keys(lines)
+
+
+@register("doc_index")
+def q_doc_index(spark, sf):
+    """P10: dense 0-based index of the vectorized documents in id order."""
+    from webloom.operators.vectorize import doc_index
+    return doc_index(_vector_lines(spark, sf).select("doc_id"), "doc_id")

@@ -134,3 +134,19 @@ ORACLES["join_vocab"] = f"""
     FROM ({OT.CLEAN_DOCS})) t JOIN ({OT.VOCAB}) v USING (term)"""
 
 ORACLES["corpus_size"] = f"SELECT count(DISTINCT doc_id) AS num_docs FROM ({OT.DOC_TERMS})"
+
+# ---------------------------------------------------------------- crawl records, files
+ORACLES["read_warc"] = ("SELECT 'clueweb12-' || CAST(page_id AS VARCHAR) AS trec_id, url, 'response' AS record_type, "
+                        "regexp_replace(html, '(\\r\\n)+$', '') AS html FROM pages")
+ORACLES["extract_header_lines"] = """
+  SELECT CASE WHEN contains(line, 'WARC-TREC-ID') OR contains(line, 'WARC-Record-ID') THEN 'id' ELSE 'uri' END AS kind, line
+  FROM (SELECT trim(l) AS line FROM (
+    SELECT unnest(['WARC-TREC-ID: clueweb12-' || CAST(page_id AS VARCHAR), 'WARC-Target-URI: ' || url]) AS l FROM pages))"""
+ORACLES["read_sparse_vectors"] = f"""
+  SELECT doc_id AS label, CAST(split_part(p, ':', 1) AS INTEGER) AS term_id, CAST(split_part(p, ':', 2) AS DOUBLE) AS count
+  FROM (SELECT doc_id, unnest(string_split(vector, ' ')) AS p FROM ({OT.DOC_VECTORS}))"""
+ORACLES["distinct_topic_keys"] = f"""
+  SELECT DISTINCT CAST(trim(split_part(e, ':', 1)) AS DOUBLE) AS key
+  FROM (SELECT unnest(list_slice(string_split(vector, ' '), 1, 10)) AS e FROM ({OT.DOC_VECTORS}))"""
+ORACLES["doc_index"] = f"""
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_index FROM ({OT.DOC_VECTORS})"""

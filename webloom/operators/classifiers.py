@@ -79,8 +79,13 @@ def add_label(label: str, cond: Column | None = None) -> Column:
     return added if cond is None else F.when(cond, added).otherwise(F.col("labels"))
 
 
+# Optional columns carried through every rule: members = original block ids
+# contained in a (fused) block.
+EXTRA_COLUMNS = ("members",)
+
+
 def _out(df: DataFrame) -> DataFrame:
-    return df.select(*BLOCK_COLUMNS)
+    return df.select(*BLOCK_COLUMNS, *[c for c in EXTRA_COLUMNS if c in df.columns])
 
 
 def fulltext_words() -> Column:

@@ -22,7 +22,10 @@ def fuse(blocks: DataFrame, new_group: Column) -> DataFrame:
     min/max, tag level min, labels united, content OR-ed, densities recomputed."""
     g = blocks.withColumn("_ng", new_group).withColumn(
         "_g", F.sum(F.when(F.col("_ng"), 1).otherwise(0)).over(w_upto()))
+    has_members = "members" in blocks.columns
+    extra = [F.array_sort(F.flatten(F.collect_list("members"))).alias("members")] if has_members else []
     m = g.groupBy("doc_id", "_g").agg(
+        *extra,
         F.min("block_idx").alias("block_idx"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]),
                      "\n").alias("text"),
@@ -43,7 +46,7 @@ def fuse(blocks: DataFrame, new_group: Column) -> DataFrame:
         (F.col("num_words_wrapped") / F.col("num_wrapped_lines")).cast("double").alias("text_density"),
         F.when(F.col("num_words") == 0, F.lit(0.0)).otherwise(F.col("num_anchor_words") / F.col("num_words"))
         .cast("double").alias("link_density"))
-    return m.select(*BLOCK_COLUMNS)
+    return m.select(*BLOCK_COLUMNS, *(["members"] if has_members else []))
 
 
 def proximity_fusion(blocks: DataFrame, max_distance: int = 1, content_only: bool = False,
@@ -90,4 +93,5 @@ def content_fusion(blocks: DataFrame) -> DataFrame:
     d = d.select("*", F.lag("_lc").over(w).alias("_plc"), F.lag("_lh").over(w).alias("_plh"))
     join = F.col("_ok") & ~F.col("_first") & F.col("_plc").isNotNull() & (F.col("_plc") >= F.col("_plh"))
     d = d.withColumn("_join", F.coalesce(join, F.lit(False)))
-    return fuse(d.select(*BLOCK_COLUMNS, "_join"), ~F.col("_join"))
+    keep = [c for c in ("members",) if c in blocks.columns]
+    return fuse(d.select(*BLOCK_COLUMNS, *keep, "_join"), ~F.col("_join"))

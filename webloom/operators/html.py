@@ -190,8 +190,12 @@ def _label_array(actions: TagActions) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*parts))))
 
 
-def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS) -> DataFrame:
-    """Blocks of a page (D5 schema), in document order, ``is_content`` false."""
+def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS, keep_owner: bool = False) -> DataFrame:
+    """Blocks of a page (D5 schema), in document order, ``is_content`` false.
+
+    ``keep_owner`` adds ``owner``: the block-boundary count of the events that
+    form the block (to map events to blocks) and ``members`` = [block_idx].
+    """
     st = _running_state(events, actions)
     tag, kind = F.col("tag"), F.col("kind")
     level = F.col("lvl_sum") + sum((F.col(f"open_{t}").cast("int") for t in IMPLIED_END
@@ -248,14 +252,15 @@ def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS) ->
         F.col("c.num_words").alias("num_words"), F.col("c.num_anchor_words").alias("num_anchor_words"),
         F.col("c.num_words_wrapped").alias("num_words_wrapped"),
         F.col("c.num_wrapped_lines").alias("num_wrapped_lines"),
-        "level0", "doc_level", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+        "level0", "doc_level", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "owner")
+    extra = [F.col("owner"), F.array(F.col("block_idx")).alias("members")] if keep_owner else []
     return blocks.select(
         "doc_id", "block_idx", "text", "num_words", "num_anchor_words", "num_words_wrapped", "num_wrapped_lines",
         densities_text(F.col("num_words_wrapped"), F.col("num_wrapped_lines")).alias("text_density"),
         densities_link(F.col("num_anchor_words"), F.col("num_words")).alias("link_density"),
         F.col("block_idx").alias("offset_start"), F.col("block_idx").alias("offset_end"),
         F.when(F.col("block_idx") == 0, F.col("doc_level")).otherwise(F.col("level0")).cast("int").alias("tag_level"),
-        "labels", F.lit(False).alias("is_content"))
+        "labels", F.lit(False).alias("is_content"), *extra)
 
 
 def densities_text(words_wrapped: Column, lines: Column) -> Column:

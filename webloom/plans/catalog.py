@@ -402,3 +402,78 @@ def q_doc_index(spark, sf):
     """P10: dense 0-based index of the vectorized documents in id order."""
     from webloom.operators.vectorize import doc_index
     return doc_index(_vector_lines(spark, sf).select("doc_id"), "doc_id")
+
+
+# ---------------------------------------------------------------- anchors, images, highlight, stats
+
+def _owned(spark, sf):
+    from webloom.operators.html import html_docs, html_events, text_blocks
+    ev = html_events(_pages(spark, sf))
+    return ev, text_blocks(ev, keep_owner=True), html_docs(ev)
+
+
+@register("anchors")
+def q_anchors(spark, sf):
+    """Anchor text and href of every <a> element."""
+    from webloom.operators.html_extras import anchors
+    return anchors(_events(spark, sf))
+
+
+@register("anchors_in_block")
+def q_anchors_in_block(spark, sf):
+    """Anchors with the block holding their last text run."""
+    from webloom.operators.html_extras import anchors_in_blocks
+    ev, bo, _ = _owned(spark, sf)
+    return anchors_in_blocks(ev, bo)
+
+
+@register("content_images")
+def q_content_images(spark, sf):
+    """Images inside the article content, ranked by area."""
+    from webloom.operators.html_extras import content_images, rank_images
+    from webloom.plans.extractors import article
+    ev, bo, docs = _owned(spark, sf)
+    final = article(bo.drop("owner"), docs)
+    return rank_images(content_images(ev, final, bo))
+
+
+@register("highlight")
+def q_highlight(spark, sf):
+    """Pages rebuilt with the article content marked."""
+    from webloom.operators.html_extras import highlight
+    from webloom.plans.extractors import article
+    ev, bo, docs = _owned(spark, sf)
+    return highlight(ev, article(bo.drop("owner"), docs), bo)
+
+
+@register("highlight_content_only")
+def q_highlight_content_only(spark, sf):
+    """Only the marked content text."""
+    from webloom.operators.html_extras import highlight
+    from webloom.plans.extractors import article
+    ev, bo, docs = _owned(spark, sf)
+    return highlight(ev, article(bo.drop("owner"), docs), bo, only_content=True)
+
+
+@register("conditional_label")
+def q_conditional_label(spark, sf):
+    """Label blocks meeting a predicate (here: no links and more than 10 words)."""
+    from webloom.operators.html_extras import conditional_label
+    b = _blocks(spark, sf)
+    return conditional_label(b, (F.col("link_density") == 0) & (F.col("num_words") > 10), "LONG_TEXT")
+
+
+@register("doc_stats")
+def q_doc_stats(spark, sf):
+    """Words, blocks and average words per block of every page."""
+    from webloom.operators.stats import doc_stats
+    return doc_stats(_blocks(spark, sf))
+
+
+@register("low_quality")
+def q_low_quality(spark, sf):
+    """Low-quality estimate from the statistics before and after article extraction."""
+    from webloom.operators.stats import doc_stats, low_quality
+    from webloom.plans.extractors import article
+    b, d = _bd(spark, sf)
+    return low_quality(doc_stats(b), doc_stats(article(b, d), content_only=True))

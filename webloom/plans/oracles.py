@@ -150,3 +150,44 @@ ORACLES["distinct_topic_keys"] = f"""
   FROM (SELECT unnest(list_slice(string_split(vector, ' '), 1, 10)) AS e FROM ({OT.DOC_VECTORS}))"""
 ORACLES["doc_index"] = f"""
   SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_index FROM ({OT.DOC_VECTORS})"""
+
+# ---------------------------------------------------------------- anchors, stats
+ORACLES["anchors"] = f"""
+WITH st AS (
+  SELECT *,
+    sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_idx,
+    sum(CASE WHEN tag = 'A' AND kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor_no,
+    coalesce(last_value(CASE WHEN tag = 'A' AND kind = 'start' THEN true WHEN tag = 'A' AND kind = 'end' THEN false END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_a
+  FROM ({EVENTS})
+), s AS (
+  SELECT doc_id, anchor_no,
+    CASE WHEN regexp_matches(attrs, '(?i)(?:^|\\s)href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))')
+         THEN regexp_extract(attrs, '(?i)(?:^|\\s)href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1)
+           || regexp_extract(attrs, '(?i)(?:^|\\s)href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 2)
+           || regexp_extract(attrs, '(?i)(?:^|\\s)href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 3) END AS href
+  FROM st WHERE tag = 'A' AND kind = 'start'
+), t AS (
+  SELECT doc_id, anchor_no,
+    string_agg(trim(regexp_replace(text, {OB.q(__import__('webloom.functions.tokens', fromlist=['x']).JAVA_WHITESPACE)}, ' ', 'g')), '' ORDER BY pos) AS anchor_text,
+    max(run_idx) AS run_idx
+  FROM st WHERE kind = 'text' AND in_a GROUP BY doc_id, anchor_no
+)
+SELECT s.doc_id, s.anchor_no, t.run_idx, coalesce(t.anchor_text, '') AS anchor_text, s.href
+FROM s LEFT JOIN t USING (doc_id, anchor_no)"""
+
+ORACLES["doc_stats"] = f"""
+  SELECT doc_id, CAST(sum(num_words) AS BIGINT) AS num_words, count(*) AS num_blocks,
+         CAST(sum(num_words) AS DOUBLE) / count(*) AS avg_words
+  FROM ({BLOCKS}) GROUP BY doc_id"""
+
+ORACLES["low_quality"] = f"""
+  WITH b AS (SELECT doc_id, sum(num_words) AS wb FROM ({BLOCKS}) GROUP BY doc_id),
+       a AS (SELECT doc_id, sum(num_words) AS wa, CAST(sum(num_words) AS DOUBLE) / count(*) AS aa
+             FROM ({OB.chain(BLOCKS, *OB.article_steps(DOCS))}) WHERE is_content GROUP BY doc_id)
+  SELECT b.doc_id, (b.wb < 90 OR coalesce(a.wa, 0) < 70 OR coalesce(a.aa, 'NaN'::DOUBLE) < 25) AS low_quality
+  FROM b LEFT JOIN a USING (doc_id)"""
+ORACLES["conditional_label"] = f"""
+  SELECT * REPLACE (CASE WHEN link_density = 0 AND num_words > 10
+                         THEN list_sort(list_distinct(list_append(labels, 'LONG_TEXT'))) ELSE labels END AS labels)
+  FROM ({BLOCKS})"""

@@ -93,7 +93,10 @@ def format_warc_records(pages: DataFrame, id_prefix: str = "clueweb12-", id_col:
 
 def write_warc(pages: DataFrame, out: str, mode: str = "overwrite", **kw) -> None:
     """Write pages as WARC files (one per task)."""
-    format_warc_records(pages, **kw).write.mode(mode).option("lineSep", "").text(out)
+    recs = format_warc_records(pages, **kw)
+    # each record ends with CRLF CRLF; the writer adds the last CRLF itself
+    recs.select(F.expr("substring(value, 1, length(value) - 2)").alias("value")) \
+        .write.mode(mode).option("lineSep", "\r\n").text(out)
 
 
 def record_fields(raw: DataFrame, value_col: str = "value") -> DataFrame:

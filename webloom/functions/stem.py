@@ -157,16 +157,31 @@ def _step5b(x: Column) -> Column:
 
 STEPS = (_step1a, _step1b, _step1c, lambda x: _replace_rules(x, STEP2, 0), lambda x: _replace_rules(x, STEP3, 0),
          _step4, _step5a, _step5b)
+# Endings a step can act on: words without one skip the step untouched.
+STEP_ENDINGS = (("s",), ("ed", "ing"), ("y",), tuple(s for s, _ in STEP2), tuple(s for s, _ in STEP3), STEP4,
+                ("e",), ("ll",))
+
+
+def _ends_any(w: Column, endings) -> Column:
+    return _or([w.endswith(e) for e in endings])
+
+
+def _or(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
 
 
 def stem_tokens(tokens: Column) -> Column:
     """Porter stems of an array of lower-case tokens (words of 1-2 letters stay)."""
-    def run(step):
-        return lambda x: F.when(F.length(x["w"]) <= 2, x).otherwise(_apply(x, step(x)))
+    def run(step, endings):
+        return lambda x: F.when((F.length(x["w"]) <= 2) | ~_ends_any(x["w"], endings), x).otherwise(
+            _apply(x, step(x)))
 
     a = F.transform(tokens, lambda t: F.struct(t.alias("w"), _shape(t).alias("s")))
-    for step in STEPS:
-        a = F.transform(a, run(step))
+    for step, endings in zip(STEPS, STEP_ENDINGS):
+        a = F.transform(a, run(step, endings))
     return F.transform(a, lambda x: x["w"])
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.cleaning import clean_text, strip_stored_newline
+from webloom.functions.cleaning import clean_documents, strip_stored_newline
 from webloom.functions.stem import stem_tokens
 
 BROADCAST_VOCAB_MAX_ROWS = 2_000_000
@@ -22,7 +22,7 @@ BROADCAST_VOCAB_MAX_ROWS = 2_000_000
 
 def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """texts(doc_id STRING, text STRING): the cleaner's output per document."""
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    return clean_documents(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")))
 
 
 def corpus_terms(texts: DataFrame, stem: bool = False) -> DataFrame:
@@ -99,11 +99,13 @@ def vectorize(texts: DataFrame, stem: bool = False, max_broadcast_rows: int = BR
     gives the exact row count that decides the join strategy.
     """
     counts = term_counts(corpus_terms(texts, stem))
-    vocab = assign_ids(distinct_terms(counts))
     n = None
     if materialize:
         from webloom.session import checkpoint_dir
         checkpoint_dir(texts.sparkSession)
+        counts = counts.checkpoint(eager=True)  # read by the vocabulary and the join
+    vocab = assign_ids(distinct_terms(counts))
+    if materialize:
         vocab = vocab.checkpoint(eager=True)
         n = vocab.count()
     dt = doc_terms(counts, vocab, max_broadcast_rows=max_broadcast_rows, vocab_rows=n)

@@ -208,12 +208,13 @@ def _text_query(fn):
 def _register_text():
     from webloom.functions import cleaning as T
     from webloom.functions.fold import ascii_fold
-    QUERIES["clean_text"] = _text_query(T.clean_text)
+    QUERIES["clean_text"] = lambda spark, sf: T.clean_documents(_docs_text(spark, sf))
     QUERIES["remove_urls"] = _text_query(T.remove_urls)
     QUERIES["remove_numbers"] = _text_query(T.remove_numbers)
     QUERIES["ascii_fold"] = _text_query(ascii_fold)
     QUERIES["strip_symbols"] = _text_query(T.strip_symbols)
-    QUERIES["append_newline"] = _text_query(lambda c: T.append_newline(T.clean_text(c)))
+    QUERIES["append_newline"] = lambda spark, sf: T.clean_documents(_docs_text(spark, sf)).select(
+        "doc_id", T.append_newline(F.col("text")).alias("text"))
 
     def analyze(spark, sf):
         return _docs_text(spark, sf).select("doc_id", T.analyze(F.col("text")).alias("tokens"))
@@ -236,10 +237,10 @@ _register_text()
 
 @register("extract_and_clean")
 def q_extract_and_clean(spark, sf):
-    from webloom.functions.cleaning import clean_text
+    from webloom.functions.cleaning import clean_documents
     from webloom.plans import extractors as X
     t = X.extract(_pages(spark, sf), "article")
-    return t.select(F.col("doc_id").cast("string").alias("doc_id"), clean_text(F.col("text")).alias("text"))
+    return clean_documents(t.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
 
 
 def _counts(spark, sf):
@@ -294,8 +295,10 @@ def q_lda_fit(spark, sf):
     """L1 (MLlib): 10 topics, 20 iterations; the 10 heaviest terms per topic."""
     from webloom.operators import topics as L
     from webloom.operators import vectorize as V
+    from webloom.session import checkpoint_dir
+    checkpoint_dir(spark)
     terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf))).groupBy("doc_id").agg(
-        F.collect_list("term").alias("terms"))
+        F.collect_list("term").alias("terms")).checkpoint(eager=True)
     model, vocabulary = L.fit_lda_mllib(terms, k=10, max_iter=20)
     return L.describe_topics_mllib(model, vocabulary, 10)
 

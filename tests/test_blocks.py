@@ -1,0 +1,130 @@
+"""HTML -> events -> blocks on hand-made pages; block rules and fusion."""
+
+from pyspark.sql import functions as F
+
+PAGE = ("<html><head><title>My Title - Site</title><style>p{}</style>"
+        "<script>var s=\"</p><div>\";</script></head><body>"
+        "<nav><ul><li><a href='/x'>Home</a></li><li><a href=\"/y\">News</a></li></ul></nav>"
+        "<!-- comment <p>hidden</p> -->"
+        "<div><h1>My Title</h1><p>First paragraph has <b>bold</b> text &amp; an entity.<p>Second "
+        "paragraph, with a <a href=/z>link here</a> and more words.</p></div>"
+        "<footer>&copy; 2024 Foo</footer>")
+
+
+def _blocks(spark, html):
+    from webloom.operators.html import html_docs, html_events, text_blocks
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    ev = html_events(pages)
+    return ev, text_blocks(ev), html_docs(ev)
+
+
+def test_blocks_of_handmade_page(spark):
+    ev, b, d = _blocks(spark, PAGE)
+    rows = b.orderBy("block_idx").collect()
+    texts = [r.text for r in rows]
+    assert texts == ["Home", "News", "My Title", "First paragraph has bold text & an entity.",
+                     "Second paragraph, with a link here and more words.", "© 2024 Foo"]
+    assert "hidden" not in " ".join(texts) and "var s" not in " ".join(texts)
+    second = rows[4]
+    assert second.num_words == 9 and second.num_anchor_words == 2
+    assert abs(second.link_density - 2 / 9) < 1e-12
+    assert rows[0].labels == ["LI"] and rows[2].labels == ["H1", "HEADING"]
+    assert [r.block_idx for r in rows] == list(range(6))
+    assert d.first().title == "My Title - Site"
+
+
+def test_wrapped_lines_counts(spark):
+    words = " ".join(["word"] * 40)  # 40 words of 4 letters: 16 per 80-char line
+    _, b, _ = _blocks(spark, f"<html><body><p>{words}</p></body></html>")
+    r = b.first()
+    assert r.num_words == 40 and r.num_wrapped_lines == 2 and r.num_words_wrapped == 32
+    assert r.text_density == 16.0
+
+
+def test_empty_page_has_no_blocks(spark):
+    _, b, d = _blocks(spark, "<html><head><title>T</title></head><body>  </body></html>")
+    assert b.count() == 0 and d.first().title == "T"
+
+
+def _mk(spark, rows):
+    """rows: (num_words, link_density[, tag_level[, content]])"""
+    data = []
+    for i, r in enumerate(rows):
+        w, ld = r[0], r[1]
+        lvl = r[2] if len(r) > 2 else 3
+        c = r[3] if len(r) > 3 else False
+        data.append((1, i, f"b{i}", w, int(round(ld * w)), w, 1, float(w), float(ld), i, i, lvl, [], c))
+    schema = ("doc_id long, block_idx int, text string, num_words int, num_anchor_words int, num_words_wrapped int, "
+              "num_wrapped_lines int, text_density double, link_density double, offset_start int, offset_end int, "
+              "tag_level int, labels array<string>, is_content boolean")
+    return spark.createDataFrame(data, schema)
+
+
+def _content(df):
+    return [r.is_content for r in df.orderBy("block_idx").collect()]
+
+
+def test_num_words_rules_boundaries(spark):
+    from webloom.operators.classifiers import num_words_rules
+    assert _content(num_words_rules(_mk(spark, []))) == []
+    assert _content(num_words_rules(_mk(spark, [(16, 0.0)]))) == [False]       # prev 0 words, next 0
+    assert _content(num_words_rules(_mk(spark, [(17, 0.0)]))) == [True]
+    assert _content(num_words_rules(_mk(spark, [(5, 0.0), (10, 0.0)]))) == [False, True]   # prev 5 > 4
+    assert _content(num_words_rules(_mk(spark, [(4, 0.0), (10, 0.0), (16, 0.0)]))) == [False, True, True]
+    assert _content(num_words_rules(_mk(spark, [(10, 0.0), (4, 0.0), (16, 0.0)]))) == [False, True, False]
+    # 1/3 lies above the 0.333333 threshold (boilerplate); 5/9 lies below 0.555556
+    assert _content(num_words_rules(_mk(spark, [(9, 1 / 3), (40, 0.0)]))) == [False, True]
+    assert _content(num_words_rules(_mk(spark, [(9, 5 / 9), (16, 0.0), (3, 0.0)]))) == [False, True, True]
+    # previous link density above 0.555556: needs > 40 words or a next block > 17 words
+    assert _content(num_words_rules(_mk(spark, [(10, 0.6), (40, 0.0), (17, 0.0)]))) == [False, False, True]
+    assert _content(num_words_rules(_mk(spark, [(10, 0.6), (40, 0.0), (18, 0.0)]))) == [False, True, True]
+
+
+def test_fusion_keeps_words_and_invert_twice(spark):
+    from webloom.operators.classifiers import invert, num_words_rules
+    from webloom.operators.fusion import content_fusion, density_fusion, proximity_fusion
+    b = num_words_rules(_mk(spark, [(20, 0.0), (3, 0.6), (30, 0.0), (2, 0.0), (50, 0.1), (7, 0.0)]))
+    total = b.agg(F.sum("num_words")).first()[0]
+    for f in (proximity_fusion, density_fusion, content_fusion):
+        assert f(b).agg(F.sum("num_words")).first()[0] == total
+    assert _content(invert(invert(b))) == _content(b)
+    merged = proximity_fusion(b)
+    assert merged.count() < b.count()
+
+
+def test_keep_largest_block_expands_same_level(spark):
+    from webloom.operators.classifiers import keep_largest_block
+    b = _mk(spark, [(200, 0.0, 3, True), (10, 0.0, 2, True), (160, 0.0, 3, False), (300, 0.0, 3, True),
+                    (151, 0.0, 4, False), (170, 0.0, 3, False)])
+    out = keep_largest_block(b, True, 150).orderBy("block_idx").collect()
+    assert [r.is_content for r in out] == [False, False, True, True, False, True]
+    assert "VERY_LIKELY_CONTENT" in out[3].labels and "MIGHT_BE_CONTENT" in out[0].labels
+
+
+def test_article_extraction_on_driver_pages(spark):
+    from webloom.plans.extractors import extract
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = extract(pages, "article").collect()
+    assert len(rows) == 50
+    assert sum(1 for r in rows if r.text) >= 40
+    assert all("track(" not in r.text for r in rows)
+
+
+def test_anchors_images_highlight(spark):
+    from webloom.operators.html import html_docs, html_events, text_blocks
+    from webloom.operators.html_extras import anchors, content_images, highlight, rank_images
+    from webloom.operators.classifiers import mark_all_content
+    html = ("<html><body><p>" + " ".join(["alpha"] * 30) + "</p><img src='big.png' width='20' height='10'>"
+            "<img src='small.png' width='x'><p>" + " ".join(["beta"] * 30) + " <a href='/q'>the link</a></p>"
+            "</body></html>")
+    pages = spark.createDataFrame([(7, "u", html)], "page_id long, url string, html string")
+    ev = html_events(pages)
+    bo = text_blocks(ev, keep_owner=True)
+    a = anchors(ev).collect()
+    assert [(r.anchor_text, r.href) for r in a] == [("the link", "/q")]
+    final = mark_all_content(bo.drop("owner"))
+    imgs = rank_images(content_images(ev, final, bo)).orderBy("rank").collect()
+    assert [(r.src, r.area) for r in imgs] == [("big.png", 200), ("small.png", -1)]
+    h = highlight(ev, final, bo, pre="[", post="]").first().html
+    assert "[alpha" in h and "<img src='big.png'" in h
+    assert html_docs(ev).first().title is None

@@ -21,7 +21,7 @@ def read_text(spark: SparkSession, path: str, recursive: bool = False, glob_all:
 
 def read_whole_files(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """One row per file (path, content)."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return df.repartition(min_partitions) if min_partitions else df
 

@@ -124,16 +124,31 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]*>", "")
 
 
-def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                num_partitions: int | None = None) -> DataFrame:
-    """H1: events(doc_id, pos, kind, tag, attrs, text); kind in start/end/text.
-
-    Text is entity-decoded; tag names are upper case; comments, doctype and
-    processing instructions produce no event.
-    """
-    pre = pages.select(F.col(id_col).cast("long").alias("doc_id"), clean_html(F.col(html_col)).alias("h"))
+def head_title(h: Column) -> Column:
+    """H4 on cleaned HTML: the first text run of the first TITLE element before
+    BODY, entity-decoded, whitespace to spaces, trimmed; null when empty."""
+    head = F.regexp_replace(h, r"(?is)<body\b.*", "")
+    raw = F.regexp_extract(head, r"(?is)<title(?:\s[^>]*)?>([^<]*)", 1)
+    t = java_trim(F.regexp_replace(decode_entities(raw), JAVA_WHITESPACE, " "))
+    return F.when(t != "", t)
+
+
+def partition_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                    num_partitions: int | None = None) -> DataFrame:
+    """(doc_id, h, title) hash-partitioned by doc_id: the single exchange of a
+    page job. Events and titles are both derived from it, so the shuffle is
+    shared (exchange reuse) and later doc_id joins need no re-shuffle."""
+    # an explicit id filter keeps every branch's plan below the exchange
+    # identical (joins infer the same filter), so the shuffle is reused
+    pre = pages.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), clean_html(F.col(html_col)).alias("h"))
     pre = pre.repartition(num_partitions, "doc_id") if num_partitions else pre.repartition("doc_id")
-    tok = pre.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
+    return pre.select("doc_id", "h", head_title(F.col("h")).alias("title"))
+
+
+def events_of(parted: DataFrame) -> DataFrame:
+    """H1 from partitioned pages."""
+    tok = parted.select("doc_id", F.posexplode(F.regexp_extract_all("h", F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     kind = (F.when(F.col("tok").rlike("^</[A-Za-z]"), "end")
             .when(F.col("tok").rlike("^<[A-Za-z]"), "start")
             .when(F.col("tok").rlike("^<[!?]"), None)
@@ -146,6 +161,21 @@ def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).alias("text"))
 
 
+def docs_of(parted: DataFrame) -> DataFrame:
+    """docs(doc_id, title) from partitioned pages (no window, no extra exchange)."""
+    return parted.select("doc_id", "title")
+
+
+def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                num_partitions: int | None = None) -> DataFrame:
+    """H1: events(doc_id, pos, kind, tag, attrs, text); kind in start/end/text.
+
+    Text is entity-decoded; tag names are upper case; comments, doctype and
+    processing instructions produce no event.
+    """
+    return events_of(partition_pages(pages, id_col, html_col, num_partitions))
+
+
 def _running_state(ev: DataFrame, actions: TagActions) -> DataFrame:
     """Parser counters as window aggregates; all "before this event"."""
     tag, kind = F.col("tag"), F.col("kind")

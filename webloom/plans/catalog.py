@@ -96,8 +96,8 @@ def q_text_blocks(spark, sf):
 
 @register("title")
 def q_title(spark, sf):
-    from webloom.operators.html import html_docs
-    return html_docs(_events(spark, sf))
+    from webloom.operators.html import docs_of, partition_pages
+    return docs_of(partition_pages(_pages(spark, sf)))
 
 
 # ---------------------------------------------------------------- block rules, fusion, extractors
@@ -108,9 +108,9 @@ def _docs(spark, sf):
 
 
 def _bd(spark, sf):
-    from webloom.operators.html import html_docs, text_blocks
-    ev = _events(spark, sf)
-    return text_blocks(ev), html_docs(ev)
+    from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
+    parted = partition_pages(_pages(spark, sf))
+    return text_blocks(events_of(parted)), docs_of(parted)
 
 
 def _rules():
@@ -410,9 +410,10 @@ def q_doc_index(spark, sf):
 # ---------------------------------------------------------------- anchors, images, highlight, stats
 
 def _owned(spark, sf):
-    from webloom.operators.html import html_docs, html_events, text_blocks
-    ev = html_events(_pages(spark, sf))
-    return ev, text_blocks(ev, keep_owner=True), html_docs(ev)
+    from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
+    parted = partition_pages(_pages(spark, sf))
+    ev = events_of(parted)
+    return ev, text_blocks(ev, keep_owner=True), docs_of(parted)
 
 
 @register("anchors")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import classifiers as C
 from webloom.operators import fusion as G
-from webloom.operators.html import html_docs, html_events, text_blocks
+from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
 
 
 def article(blocks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -102,10 +102,9 @@ def extract(pages: DataFrame, extractor: str | Callable[..., DataFrame] = "artic
             id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """pages -> (doc_id, title, text) with the given extractor."""
     fn = get_extractor(extractor) if isinstance(extractor, str) else extractor
-    events = html_events(pages, id_col, html_col)
-    blocks = text_blocks(events)
-    docs = html_docs(events)
-    return content_text(fn(blocks, docs), docs)
+    parted = partition_pages(pages, id_col, html_col)
+    docs = docs_of(parted)
+    return content_text(fn(text_blocks(events_of(parted)), docs), docs)
 
 
 def renumber(blocks: DataFrame) -> DataFrame:

@@ -216,6 +216,9 @@ def top_terms(lam: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
     """(k, rank, term, weight): the n heaviest terms per topic."""
     t = topics_table(lam)
     w = Window.partitionBy("k").orderBy(F.col("value").desc(), F.col("term_id"))
-    top = t.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
-    return top.join(vocab, "term_id").select("k", "rank", "term", F.col("value").alias("weight"))
+    # filtering row_number() itself lets Spark keep only n rows per topic in
+    # each task before the shuffle (WindowGroupLimit)
+    top = t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return top.join(vocab, "term_id").select("k", (F.col("_rn") - 1).alias("rank"), "term",
+                                             F.col("value").alias("weight"))
 

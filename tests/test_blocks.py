@@ -128,3 +128,21 @@ def test_anchors_images_highlight(spark):
     h = highlight(ev, final, bo, pre="[", post="]").first().html
     assert "[alpha" in h and "<img src='big.png'" in h
     assert html_docs(ev).first().title is None
+
+
+def test_markup_and_font_labels(spark):
+    from webloom.operators.html import html_events, text_blocks
+    from webloom.operators.markup import font_size_labels, markup_labels
+    html = ("<html><body><div id='main12' class='content x3'><p>First para text here.</p>"
+            "<div class='inner'><font size='5'>Big</font> and <font size='+1'>more</font></div></div>"
+            "<p><font size='-1'>outside</font></p></body></html>")
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    ev = html_events(pages)
+    bo = text_blocks(ev, keep_owner=True)
+    mk = {r.text: r.labels for r in markup_labels(ev, bo).collect()}
+    first = mk["First para text here."]
+    assert {"<DIV", "<#main#", "<.content.x#", "<.content", "<.x#", "<P", "<DIV <P", "<#main# <P"} <= set(first)
+    assert "<.inner" in mk["Big and more"] and "<DIV <.inner" in mk["Big and more"]
+    assert mk["outside"] == ["<P"]
+    fl = {r.text: r.labels for r in font_size_labels(ev, bo).collect()}
+    assert fl["Big and more"] == ["font-5"] and fl["outside"] == ["font-2"] and fl["First para text here."] == []

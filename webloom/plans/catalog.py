@@ -481,3 +481,19 @@ def q_low_quality(spark, sf):
     from webloom.plans.extractors import article
     b, d = _bd(spark, sf)
     return low_quality(doc_stats(b), doc_stats(article(b, d), content_only=True))
+
+
+@register("markup_labels")
+def q_markup_labels(spark, sf):
+    """H12 (opt-in): blocks with markup labels of their enclosing elements."""
+    from webloom.operators.markup import markup_labels
+    ev, bo, _ = _owned(spark, sf)
+    return markup_labels(ev, bo).drop("owner", "members")
+
+
+@register("font_size_labels")
+def q_font_size_labels(spark, sf):
+    """H13 (opt-in): blocks with font-size labels."""
+    from webloom.operators.markup import font_size_labels
+    ev, bo, _ = _owned(spark, sf)
+    return font_size_labels(ev, bo).drop("owner", "members")

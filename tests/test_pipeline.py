@@ -133,3 +133,22 @@ def test_oracles_at_sf0001(spark):
         rel = con.sql(sql[n])
         assert sorted(df.columns) == sorted(rel.columns), n
         assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(rel.columns, rel.fetchall())[0], n
+
+
+def test_count_words_equals_block_words(spark):
+    from webloom.functions.tokens import count_words
+    from webloom.operators.html import html_events, text_blocks
+    b = text_blocks(html_events(spark.read.parquet(f"{SF001}/pages.parquet")))
+    assert b.where(count_words(F.col("text")) != F.col("num_words")).count() == 0
+
+
+def test_seqfile_and_text_per_doc(spark):
+    from webloom.sources.files import read_seqfile, write_text_per_doc
+    d = tempfile.mkdtemp(prefix="webloom-seq-")
+    spark.sparkContext.parallelize([("d1", "hello world\n"), ("d2", "second text\n")]).saveAsSequenceFile(f"{d}/seq")
+    got = sorted((r.doc_id, r.text) for r in read_seqfile(spark, f"{d}/seq").collect())
+    assert got == [("d1", "hello world\n"), ("d2", "second text\n")]
+    docs = spark.createDataFrame([(i, f"text {i}\nline") for i in range(20)], "doc_id long, text string")
+    write_text_per_doc(docs, f"{d}/per_doc", buckets=4)
+    back = spark.read.text(f"{d}/per_doc")
+    assert back.count() == 20 and back.select("bucket").distinct().count() <= 4

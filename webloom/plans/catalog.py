@@ -497,3 +497,35 @@ def q_font_size_labels(spark, sf):
     from webloom.operators.markup import font_size_labels
     ev, bo, _ = _owned(spark, sf)
     return font_size_labels(ev, bo).drop("owner", "members")
+
+
+# ---------------------------------------------------------------- single-step helpers as queries
+
+@register("strip_tags")
+def q_strip_tags(spark, sf):
+    """Page text with everything between '<' and '>' removed."""
+    from webloom.operators.html import strip_tags
+    return _pages(spark, sf).select(F.col("page_id").alias("doc_id"), strip_tags(F.col("html")).alias("text"))
+
+
+@register("pair_with_one")
+def q_pair_with_one(spark, sf):
+    """(word, 1) pairs of the space-split lines."""
+    w = wc.words(wc.lines(documents(spark, sf).select("doc_id", "text")))
+    return w.select("word", F.lit(1).alias("one"))
+
+
+@register("join_content_text")
+def q_join_content_text(spark, sf):
+    """Text of all blocks (content and non-content) per page, newline after each."""
+    from webloom.operators.classifiers import num_words_rules
+    from webloom.plans.extractors import content_text
+    b, d = _bd(spark, sf)
+    return content_text(num_words_rules(b), d, include_content=True, include_non_content=True)
+
+
+@register("count_words")
+def q_count_words(spark, sf):
+    """Word tokens of each block's text (equals the block's num_words)."""
+    from webloom.functions.tokens import count_words
+    return _blocks(spark, sf).select("doc_id", "block_idx", count_words(F.col("text")).alias("words"))

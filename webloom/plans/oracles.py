@@ -191,3 +191,16 @@ ORACLES["conditional_label"] = f"""
   SELECT * REPLACE (CASE WHEN link_density = 0 AND num_words > 10
                          THEN list_sort(list_distinct(list_append(labels, 'LONG_TEXT'))) ELSE labels END AS labels)
   FROM ({BLOCKS})"""
+
+# ---------------------------------------------------------------- single-step helpers
+from webloom.plans.oracle_html import tokens_sql  # noqa: E402
+
+ORACLES["strip_tags"] = "SELECT page_id AS doc_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages"
+ORACLES["pair_with_one"] = f"SELECT word, 1 AS one FROM ({WORDS})"
+ORACLES["join_content_text"] = f"""
+  SELECT d.doc_id, d.title, coalesce(t.text, '') AS text FROM ({DOCS}) d LEFT JOIN (
+    SELECT doc_id, string_agg(text || chr(10), '' ORDER BY block_idx) AS text FROM ({BLOCKS}) GROUP BY doc_id) t
+  USING (doc_id)"""
+ORACLES["count_words"] = f"""
+  SELECT doc_id, block_idx, CAST(len(list_filter({tokens_sql('text')}, lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))) AS INTEGER) AS words
+  FROM ({BLOCKS})"""

@@ -181,8 +181,10 @@ def fit_lda_em(corpus: DataFrame, v: int, k: int = 10, outer: int = OUTER_ITERAT
 
     ``corpus`` is doc_terms(doc_id, term_id, count); ``v`` the vocabulary size.
     """
+    # partitioned by document once: with a broadcast lambda every E-step's
+    # join and groupBy(doc_id) then run without an exchange
     corpus = corpus.select("doc_id", F.col("term_id").cast("long").alias("term_id"),
-                           F.col("count").cast("double").alias("count")).persist()
+                           F.col("count").cast("double").alias("count")).repartition("doc_id").persist()
     d = corpus.select("doc_id").distinct().count()
     lam = init_lambda(corpus.select("term_id").distinct(), k, v, seed)
     if checkpoint:

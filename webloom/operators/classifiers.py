@@ -62,10 +62,6 @@ def w_upto():
     return w_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def w_after_excl():
-    return w_doc().rowsBetween(1, Window.unboundedFollowing)
-
-
 def w_all():
     return Window.partitionBy("doc_id")
 
@@ -241,8 +237,9 @@ def ignore_after_end(blocks: DataFrame, min_words: int = 60) -> DataFrame:
 def ignore_after_end_reverse(blocks: DataFrame, max_words: int = 200) -> DataFrame:
     """scanning from the end, end-marked blocks are strictly not content
     until more than ``max_words`` content words were passed."""
-    after = F.coalesce(F.sum(F.when(F.col("is_content") & ~has(INDICATES_END_OF_TEXT), F.col("num_words")))
-                       .over(w_after_excl()), F.lit(0))
+    words = F.when(F.col("is_content") & ~has(INDICATES_END_OF_TEXT), F.col("num_words")).otherwise(0)
+    # words of the following blocks = document total - running total (linear, no forward frame)
+    after = F.sum(words).over(w_all()) - F.sum(words).over(w_upto())
     hit = has(INDICATES_END_OF_TEXT) & (after <= max_words)
     labels = F.array_sort(F.array_remove(F.array_union("labels", F.array(F.lit(STRICTLY_NOT_CONTENT))),
                                          MIGHT_BE_CONTENT))

@@ -103,8 +103,12 @@ def _w_upto():
     return _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _w_after():
-    return _w().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _w_rev_upto():
+    """Running frame in reverse document order: "first at or after" as an
+    incremental running aggregate (a forward unbounded frame would be
+    re-evaluated for every row)."""
+    return Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding,
+                                                                                 Window.currentRow)
 
 
 def _w_all():
@@ -257,7 +261,7 @@ def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS, ke
         F.when(is_text & (F.col("title_sum") > 0) & (F.col("body_sum") <= 0), F.col("text")).alias("title_text"))
     ev = ev.select(
         "*",
-        F.first("exec_labels", ignorenulls=True).over(_w_after()).alias("labels_at"),
+        F.last("exec_labels", ignorenulls=True).over(_w_rev_upto()).alias("labels_at"),
         F.first("core_level", ignorenulls=True).over(_w_all()).alias("doc_level"))
     piece = F.col("tp").isNotNull()
     grouped = ev.groupBy("doc_id", "owner").agg(

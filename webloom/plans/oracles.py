@@ -173,7 +173,8 @@ WITH st AS (
     max(run_idx) AS run_idx
   FROM st WHERE kind = 'text' AND in_a GROUP BY doc_id, anchor_no
 )
-SELECT s.doc_id, s.anchor_no, t.run_idx, coalesce(t.anchor_text, '') AS anchor_text, s.href
+SELECT s.doc_id, CAST(s.anchor_no AS BIGINT) AS anchor_no, CAST(t.run_idx AS BIGINT) AS run_idx,
+       coalesce(t.anchor_text, '') AS anchor_text, s.href
 FROM s LEFT JOIN t USING (doc_id, anchor_no)"""
 
 ORACLES["doc_stats"] = f"""

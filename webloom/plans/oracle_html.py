@@ -91,7 +91,7 @@ def counts_sql(tokens: str, a0: str) -> str:
     return f"list_reduce({tokens}, {step}, {init})"
 
 
-def blocks_sql(events: str) -> str:
+def blocks_sql(events: str, with_owner: bool = False) -> str:
     A = DEFAULT_TAG_ACTIONS
     no_boundary = A.no_boundary()
     no_level = A.no_level_change()
@@ -178,7 +178,7 @@ WITH st AS (
     CAST(CASE WHEN (CASE WHEN c.wl = 0 THEN c.w ELSE c.w - c.cw END) = 0 THEN c.w
               ELSE (CASE WHEN c.wl = 0 THEN c.w ELSE c.w - c.cw END) END AS INTEGER) AS num_words_wrapped,
     CAST(CASE WHEN c.wl = 0 OR c.w - c.cw = 0 THEN 1 ELSE c.wl END AS INTEGER) AS num_wrapped_lines,
-    level0, doc_level, coalesce(labels, []::VARCHAR[]) AS labels
+    level0, doc_level, coalesce(labels, []::VARCHAR[]) AS labels, owner
   FROM c WHERE c.n > 0
 )
 SELECT doc_id, block_idx, text, num_words, num_anchor_words, num_words_wrapped, num_wrapped_lines,
@@ -186,7 +186,7 @@ SELECT doc_id, block_idx, text, num_words, num_anchor_words, num_words_wrapped,
   CASE WHEN num_words = 0 THEN 0.0 ELSE CAST(num_anchor_words AS DOUBLE) / num_words END AS link_density,
   block_idx AS offset_start, block_idx AS offset_end,
   CAST(CASE WHEN block_idx = 0 THEN doc_level ELSE level0 END AS INTEGER) AS tag_level,
-  labels, false AS is_content
+  labels, false AS is_content{", owner" if with_owner else ""}
 FROM b"""
 
 
@@ -208,5 +208,24 @@ FROM (SELECT DISTINCT doc_id FROM ({events})) d LEFT JOIN t USING (doc_id)"""
 
 
 EVENTS = events_sql()
+
+
+def anchors_in_block_sql(events: str, anchors: str) -> str:
+    """Anchors joined to the block holding their last text run."""
+    no_boundary = DEFAULT_TAG_ACTIONS.no_boundary()
+    return f"""
+WITH st AS (
+  SELECT doc_id, pos, kind,
+    sum(CASE WHEN kind <> 'text' AND tag NOT IN {inlist(no_boundary)} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner,
+    CAST(sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_idx
+  FROM ({events})
+), eb AS (
+  SELECT st.doc_id, st.run_idx, b.block_idx FROM st JOIN ({blocks_sql(events, with_owner=True)}) b
+    ON st.doc_id = b.doc_id AND st.owner = b.owner WHERE st.kind = 'text'
+)
+SELECT a.doc_id, eb.block_idx, a.anchor_no, a.run_idx, a.anchor_text, a.href
+FROM ({anchors}) a JOIN eb ON a.doc_id = eb.doc_id AND a.run_idx = eb.run_idx"""
 BLOCKS = blocks_sql(EVENTS)
 DOCS = docs_sql(EVENTS)

@@ -205,3 +205,6 @@ ORACLES["join_content_text"] = f"""
 ORACLES["count_words"] = f"""
   SELECT doc_id, block_idx, CAST(len(list_filter({tokens_sql('text')}, lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))) AS INTEGER) AS words
   FROM ({BLOCKS})"""
+from webloom.plans.oracle_html import anchors_in_block_sql  # noqa: E402
+
+ORACLES["anchors_in_block"] = anchors_in_block_sql(EVENTS, ORACLES["anchors"])

@@ -26,11 +26,12 @@ def has(label: str) -> str:
     return f"list_contains(labels, {q(label)})"
 
 
-def chain(base: str, *steps) -> str:
+def chain(base: str, *steps, extra: tuple = ()) -> str:
     ctes = [f"s0 AS ({base})"]
     for i, st in enumerate(steps, 1):
         ctes.append(f"s{i} AS ({st(f's{i - 1}')})")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT {COLS} FROM s{len(steps)}"
+    cols = ", ".join((COLS,) + tuple(extra))
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT {cols} FROM s{len(steps)}"
 
 
 NB = ("coalesce(lag(link_density) OVER w, 0) AS p_ld, coalesce(lag(num_words) OVER w, 0) AS p_w, "
@@ -161,7 +162,7 @@ def f19(src):
         CASE WHEN sp THEN 1 ELSE num_wrapped_lines END AS num_wrapped_lines,
         CASE WHEN sp THEN 0.0 ELSE text_density END AS text_density, CASE WHEN sp THEN 0.0 ELSE link_density END AS link_density,
         CASE WHEN sp THEN 0 ELSE offset_start END AS offset_start, CASE WHEN sp THEN 0 ELSE offset_end END AS offset_end,
-        CASE WHEN sp THEN 0 ELSE tag_level END AS tag_level, labels, is_content
+        CASE WHEN sp THEN 0 ELSE tag_level END AS tag_level, labels, is_content, members
     FROM (SELECT *, unnest(parts) AS t, generate_subscripts(parts, 1) AS p FROM (
       SELECT *, len(string_split_regex(text, '[\\n\\r]+')) >= 2 AS sp,
         CASE WHEN len(string_split_regex(text, '[\\n\\r]+')) >= 2 THEN string_split_regex(text, '[\\n\\r]+') ELSE [text] END AS parts
@@ -282,8 +283,9 @@ def fuse(src, join_expr_sql):
         CASE WHEN ww = 0 THEN 1 ELSE wl END AS num_wrapped_lines,
         CAST(CASE WHEN ww = 0 THEN num_words ELSE ww END AS DOUBLE) / (CASE WHEN ww = 0 THEN 1 ELSE wl END) AS text_density,
         CASE WHEN num_words = 0 THEN 0.0 ELSE CAST(num_anchor_words AS DOUBLE) / num_words END AS link_density,
-        offset_start, offset_end, tag_level, labels, is_content
+        offset_start, offset_end, tag_level, labels, is_content, members
     FROM (SELECT doc_id, g, min(block_idx) AS block_idx, string_agg(text, chr(10) ORDER BY block_idx) AS text,
+        list_sort(flatten(list(members))) AS members,
         CAST(sum(num_words) AS INTEGER) AS num_words, CAST(sum(num_anchor_words) AS INTEGER) AS num_anchor_words,
         CAST(sum(num_words_wrapped) AS INTEGER) AS ww, CAST(sum(num_wrapped_lines) AS INTEGER) AS wl,
         min(offset_start) AS offset_start, max(offset_end) AS offset_end, min(tag_level) AS tag_level,

@@ -186,7 +186,7 @@ SELECT doc_id, block_idx, text, num_words, num_anchor_words, num_words_wrapped,
   CASE WHEN num_words = 0 THEN 0.0 ELSE CAST(num_anchor_words AS DOUBLE) / num_words END AS link_density,
   block_idx AS offset_start, block_idx AS offset_end,
   CAST(CASE WHEN block_idx = 0 THEN doc_level ELSE level0 END AS INTEGER) AS tag_level,
-  labels, false AS is_content{", owner" if with_owner else ""}
+  labels, false AS is_content, [block_idx] AS members{", owner" if with_owner else ""}
 FROM b"""
 
 

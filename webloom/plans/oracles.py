@@ -44,7 +44,7 @@ ORACLES["having_count_and_len"] = f"""
 from webloom.plans.oracle_html import BLOCKS, DOCS, EVENTS  # noqa: E402
 
 ORACLES["html_events"] = EVENTS
-ORACLES["text_blocks"] = BLOCKS
+ORACLES["text_blocks"] = f"SELECT {', '.join(__import__('webloom.operators.classifiers', fromlist=['x']).BLOCK_COLUMNS)} FROM ({BLOCKS})"
 ORACLES["title"] = DOCS
 
 # ---------------------------------------------------------------- block rules, fusion, extractors
@@ -189,9 +189,9 @@ ORACLES["low_quality"] = f"""
   SELECT b.doc_id, (b.wb < 90 OR coalesce(a.wa, 0) < 70 OR coalesce(a.aa, 'NaN'::DOUBLE) < 25) AS low_quality
   FROM b LEFT JOIN a USING (doc_id)"""
 ORACLES["conditional_label"] = f"""
-  SELECT * REPLACE (CASE WHEN link_density = 0 AND num_words > 10
+  SELECT {OB.COLS} FROM (SELECT * REPLACE (CASE WHEN link_density = 0 AND num_words > 10
                          THEN list_sort(list_distinct(list_append(labels, 'LONG_TEXT'))) ELSE labels END AS labels)
-  FROM ({BLOCKS})"""
+  FROM ({BLOCKS}))"""
 
 # ---------------------------------------------------------------- single-step helpers
 from webloom.plans.oracle_html import tokens_sql  # noqa: E402
@@ -208,3 +208,38 @@ ORACLES["count_words"] = f"""
 from webloom.plans.oracle_html import anchors_in_block_sql  # noqa: E402
 
 ORACLES["anchors_in_block"] = anchors_in_block_sql(EVENTS, ORACLES["anchors"])
+
+
+# ---------------------------------------------------------------- highlight
+from webloom.plans.oracle_html import blocks_sql, inlist  # noqa: E402
+from webloom.operators.html import DEFAULT_TAG_ACTIONS as _TA  # noqa: E402
+
+
+def _highlight_sql(only_content: bool, pre: str = '<span class="x-content">', post: str = "</span>") -> str:
+    owned = blocks_sql(EVENTS, with_owner=True)
+    final = OB.chain(owned, *OB.article_steps(DOCS), extra=("members",))
+    esc = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    marked = f"CASE WHEN content THEN {OB.q(pre)} || {esc} || {OB.q(post)} ELSE {esc} END"
+    if only_content:
+        piece = f"CASE WHEN kind = 'text' AND content THEN {marked} END"
+    else:
+        piece = (f"CASE WHEN kind = 'start' THEN '<' || lower(tag) || CASE WHEN attrs <> '' THEN ' ' || attrs ELSE '' END || '>' "
+                 f"WHEN kind = 'end' THEN '</' || lower(tag) || '>' ELSE {marked} END")
+    return f"""
+WITH st AS (
+  SELECT *, sum(CASE WHEN kind <> 'text' AND tag NOT IN {inlist(_TA.no_boundary())} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner
+  FROM ({EVENTS})
+), bo AS ({owned}),
+cm AS (SELECT DISTINCT doc_id, unnest(members) AS block_idx FROM ({final}) WHERE is_content),
+eb AS (
+  SELECT st.doc_id, st.pos, cm.block_idx IS NOT NULL AS content
+  FROM st JOIN bo ON st.doc_id = bo.doc_id AND st.owner = bo.owner
+  LEFT JOIN cm ON bo.doc_id = cm.doc_id AND bo.block_idx = cm.block_idx
+  WHERE st.kind = 'text'
+), ev AS (SELECT st.*, eb.content FROM st LEFT JOIN eb USING (doc_id, pos))
+SELECT doc_id, coalesce(string_agg({piece}, '' ORDER BY pos), '') AS html FROM ev GROUP BY doc_id"""
+
+
+ORACLES["highlight"] = _highlight_sql(False)
+ORACLES["highlight_content_only"] = _highlight_sql(True)

@@ -243,3 +243,56 @@ SELECT doc_id, coalesce(string_agg({piece}, '' ORDER BY pos), '') AS html FROM e
 
 ORACLES["highlight"] = _highlight_sql(False)
 ORACLES["highlight_content_only"] = _highlight_sql(True)
+
+
+# ---------------------------------------------------------------- content images
+from webloom.operators.html import IMPLIED_END as _IE  # noqa: E402
+from webloom.operators.html_extras import IMAGE_IGNORED as _IMG_IGN  # noqa: E402
+
+
+def _attr_sql(name: str) -> str:
+    pat = OB.q(r"(?i)(?:^|\s)" + name + r"\s*=\s*(?:" + '"' + r"([^" + '"' + r"]*)" + '"' + r"|'([^']*)'|([^\s" + '"' + r"'>]+))")
+    return (f"CASE WHEN regexp_matches(attrs, {pat}) THEN regexp_extract(attrs, {pat}, 1) || "
+            f"regexp_extract(attrs, {pat}, 2) || regexp_extract(attrs, {pat}, 3) END")
+
+
+def _images_sql() -> str:
+    owned = blocks_sql(EVENTS, with_owner=True)
+    final = OB.chain(owned, *OB.article_steps(DOCS), extra=("members",))
+    from webloom.functions.tokens import JAVA_WHITESPACE
+    ign_start = f"tag IN {inlist(_IMG_IGN)} AND kind = 'start' AND tag NOT IN {inlist(tuple(_IE))}"
+    num = "'^\\s*[0-9]{1,9}\\s*$'"
+    return f"""
+WITH st AS (
+  SELECT *, sum(CASE WHEN kind <> 'text' AND tag NOT IN {inlist(_TA.no_boundary())} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner,
+    coalesce(sum(CASE WHEN {ign_start} THEN 1 WHEN tag IN {inlist(_IMG_IGN)} AND kind = 'end' THEN -1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS ignored
+  FROM ({EVENTS})
+), bo AS ({owned}),
+cm AS (SELECT DISTINCT doc_id, unnest(members) AS block_idx FROM ({final}) WHERE is_content),
+core AS (
+  SELECT st.doc_id, st.pos, cm.block_idx IS NOT NULL AS c, NULL::VARCHAR AS src, NULL::VARCHAR AS width,
+         NULL::VARCHAR AS height, NULL::VARCHAR AS alt, false AS ignored
+  FROM st JOIN bo ON st.doc_id = bo.doc_id AND st.owner = bo.owner
+  LEFT JOIN cm ON bo.doc_id = cm.doc_id AND bo.block_idx = cm.block_idx
+  WHERE st.kind = 'text' AND regexp_replace(st.text, {OB.q(JAVA_WHITESPACE)}, '', 'g') <> ''
+), imgs AS (
+  SELECT doc_id, pos, NULL::BOOLEAN AS c, {_attr_sql('src')} AS src, {_attr_sql('width')} AS width,
+         {_attr_sql('height')} AS height, {_attr_sql('alt')} AS alt, ignored
+  FROM st WHERE kind = 'start' AND tag = 'IMG'
+), m AS (
+  SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_c,
+         max(CASE WHEN c THEN pos END) OVER (PARTITION BY doc_id) AS last_c
+  FROM (SELECT * FROM core UNION ALL SELECT * FROM imgs)
+), picked AS (
+  SELECT doc_id, pos, src, width, height, alt,
+    coalesce(CASE WHEN regexp_matches(width, {num}) THEN CAST(trim(width) AS BIGINT) END
+             * CASE WHEN regexp_matches(height, {num}) THEN CAST(trim(height) AS BIGINT) END, -1) AS area
+  FROM m WHERE c IS NULL AND coalesce(prev_c, false) AND last_c > pos AND src <> '' AND NOT ignored
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, src) - 1 AS INTEGER) AS rank FROM picked"""
+
+
+ORACLES["content_images"] = _images_sql()

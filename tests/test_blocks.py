@@ -146,3 +146,14 @@ def test_markup_and_font_labels(spark):
     assert mk["outside"] == ["<P"]
     fl = {r.text: r.labels for r in font_size_labels(ev, bo).collect()}
     assert fl["Big and more"] == ["font-5"] and fl["outside"] == ["font-2"] and fl["First para text here."] == []
+
+
+def test_font_label_ignores_closed_sibling(spark):
+    from webloom.operators.html import html_events, text_blocks
+    from webloom.operators.markup import font_size_labels
+    html = ("<html><body><p><font size='5'>sized</font></p><p><font>unsized sibling</font></p>"
+            "<p><font size='-2'>relative</font></p></body></html>")
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    ev = html_events(pages)
+    fl = {r.text: r.labels for r in font_size_labels(ev, text_blocks(ev, keep_owner=True)).collect()}
+    assert fl == {"sized": ["font-5"], "unsized sibling": [], "relative": ["font-1"]}

@@ -36,12 +36,15 @@ def open_elements(elements: DataFrame, probes: DataFrame, value_col: str) -> Dat
     (doc_id, pos, depth, value)."""
     ks = F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1)).otherwise(F.array().cast("array<int>"))
     p = probes.select("doc_id", "probe_id", "pos", F.explode(ks).alias("k"))
-    rows = (p.select("doc_id", "pos", "k", "probe_id", F.lit(None).cast(elements.schema[value_col].dataType)
-                     .alias("v"))
+    # element values are wrapped in a struct so that only probe rows are null:
+    # an element whose own value is null still closes off earlier siblings
+    vtype = "struct<x:" + elements.schema[value_col].dataType.simpleString() + ">"
+    rows = (p.select("doc_id", "pos", "k", "probe_id", F.lit(None).cast(vtype).alias("v"))
             .unionByName(elements.select("doc_id", "pos", F.col("depth").alias("k"),
-                                         F.lit(None).cast("long").alias("probe_id"), F.col(value_col).alias("v"))))
+                                         F.lit(None).cast("long").alias("probe_id"),
+                                         F.struct(F.col(value_col).alias("x")).alias("v"))))
     w = Window.partitionBy("doc_id", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    got = rows.select("doc_id", "probe_id", "k", F.last("v", ignorenulls=True).over(w).alias("value"))
+    got = rows.select("doc_id", "probe_id", "k", F.last("v", ignorenulls=True).over(w).getField("x").alias("value"))
     return got.where(F.col("probe_id").isNotNull() & F.col("value").isNotNull())
 
 
@@ -111,8 +114,8 @@ def font_size_labels(events: DataFrame, blocks_with_owner: DataFrame) -> DataFra
         "doc_id", "pos", "depth", F.when(m_val != "", F.struct(m_rel.alias("rel"), m_val.cast("int").alias("val")))
         .alias("spec"))
     # innermost enclosing absolute size for relative specs
-    enclosing = open_elements(fonts.where(F.col("spec.rel") == "").select("doc_id", "pos", "depth",
-                                                                          F.col("spec.val").alias("abs")),
+    absolute = F.when(F.col("spec.rel") == "", F.col("spec.val"))
+    enclosing = open_elements(fonts.select("doc_id", "pos", "depth", absolute.alias("abs")),
                               fonts.select("doc_id", F.col("pos").alias("probe_id"), "pos", "depth"), "abs")
     w = Window.partitionBy("doc_id", "probe_id").orderBy(F.col("k").desc())
     inner = enclosing.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
@@ -124,7 +127,7 @@ def font_size_labels(events: DataFrame, blocks_with_owner: DataFrame) -> DataFra
         .when(F.col("spec.rel") == "+", F.coalesce("base", F.lit(DEFAULT_FONT_SIZE)) + F.col("spec.val"))
         .otherwise(F.coalesce("base", F.lit(DEFAULT_FONT_SIZE)) - F.col("spec.val")).alias("size"))
     probes = _block_probes(events, blocks_with_owner, d)
-    got = open_elements(eff.where(F.col("size").isNotNull()), probes, "size")
+    got = open_elements(eff, probes, "size")
     w2 = Window.partitionBy("doc_id", "probe_id").orderBy(F.col("k").desc())
     innermost = got.withColumn("_r", F.row_number().over(w2)).where("_r = 1").select(
         "doc_id", F.col("probe_id").alias("block_idx"), F.concat(F.lit("font-"), F.col("value")).alias("fl"))

@@ -296,3 +296,119 @@ SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, src) -
 
 
 ORACLES["content_images"] = _images_sql()
+
+
+# ---------------------------------------------------------------- markup and font-size labels (DuckDB ASOF JOIN)
+from webloom.operators.markup import DEFAULT_FONT_SIZE as _FS  # noqa: E402
+
+
+def _markup_tags():
+    skip = set(_TA.no_boundary()) | set(_TA.ignorable) | {"HTML", "BODY", "HEAD"}
+    return [t for t in ("DIV", "P", "UL", "OL", "LI", "TABLE", "TR", "TD", "TH", "SECTION", "ARTICLE", "NAV",
+                        "HEADER", "FOOTER", "ASIDE", "MAIN", "H1", "H2", "H3", "H4", "H5", "H6", "BLOCKQUOTE",
+                        "PRE", "FORM", "DL", "DT", "DD", "FIGURE", "SPAN") if t not in skip]
+
+
+def _depth_cte(tags) -> str:
+    from webloom.operators.html import VOID_TAGS
+    sel = f"(tag IN {inlist(tuple(tags))} AND tag NOT IN {inlist(VOID_TAGS)})"
+    return f"""
+  SELECT *, coalesce({sel}, false) AS sel,
+    greatest(coalesce(sum(CASE WHEN {sel} AND kind = 'start' THEN 1 WHEN {sel} AND kind = 'end' THEN -1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS depth,
+    sum(CASE WHEN kind <> 'text' AND tag NOT IN {inlist(_TA.no_boundary())} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner
+  FROM ({EVENTS})"""
+
+
+def _block_probe_ctes(owned: str) -> str:
+    from webloom.functions.tokens import JAVA_WHITESPACE
+    return f"""
+bo AS ({owned}),
+bp AS (
+  SELECT d.doc_id, bo.block_idx, min(d.pos) AS pos FROM d JOIN bo ON d.doc_id = bo.doc_id AND d.owner = bo.owner
+  WHERE d.kind = 'text' AND regexp_replace(d.text, {OB.q(JAVA_WHITESPACE)}, '', 'g') <> ''
+  GROUP BY d.doc_id, bo.block_idx
+),
+bpd AS (SELECT bp.doc_id, bp.block_idx, bp.pos, d.depth FROM bp JOIN d USING (doc_id, pos)),
+bk AS (SELECT doc_id, block_idx, pos, unnest(range(depth)) AS k FROM bpd)"""
+
+
+def _markup_sql() -> str:
+    owned = blocks_sql(EVENTS, with_owner=True)
+    cls = f"trim(regexp_replace(coalesce({_attr_sql('class')}, ''), '[0-9]+', '#', 'g'))"
+    ident = f"regexp_replace(coalesce({_attr_sql('id')}, ''), '[0-9]+', '#', 'g')"
+    return f"""
+WITH d AS ({_depth_cte(_markup_tags())}),
+el0 AS (SELECT doc_id, pos, depth, tag, {cls} AS cls, {ident} AS ident FROM d WHERE sel AND kind = 'start'),
+el AS (
+  SELECT doc_id, pos, depth,
+    list_concat(['<' || tag],
+                CASE WHEN cls <> '' THEN ['<.' || replace(cls, ' ', '.')] ELSE []::VARCHAR[] END,
+                CASE WHEN cls <> '' AND len(string_split_regex(cls, '[ ]+')) > 1
+                     THEN list_transform(string_split_regex(cls, '[ ]+'), lambda s: '<.' || s) ELSE []::VARCHAR[] END,
+                CASE WHEN ident <> '' THEN ['<#' || ident] ELSE []::VARCHAR[] END) AS own
+  FROM el0
+),
+ek AS (SELECT doc_id, pos, unnest(range(depth)) AS k FROM el),
+ea AS (
+  SELECT ek.doc_id, ek.pos, list_distinct(flatten(list(a.own))) AS anc
+  FROM ek ASOF JOIN el a ON ek.doc_id = a.doc_id AND ek.k = a.depth AND ek.pos > a.pos
+  GROUP BY ek.doc_id, ek.pos
+),
+lwa AS (
+  SELECT el.doc_id, el.pos, el.depth,
+    list_distinct(list_concat(flatten(list_transform(coalesce(ea.anc, []::VARCHAR[]), lambda an:
+        flatten(list_transform(el.own, lambda l: [an, an || ' ' || l])))), el.own)) AS lwa
+  FROM el LEFT JOIN ea USING (doc_id, pos)
+),
+{_block_probe_ctes(owned)},
+mk AS (
+  SELECT bk.doc_id, bk.block_idx, list_distinct(flatten(list(l.lwa))) AS mk
+  FROM bk ASOF JOIN lwa l ON bk.doc_id = l.doc_id AND bk.k = l.depth AND bk.pos > l.pos
+  GROUP BY bk.doc_id, bk.block_idx
+)
+SELECT {OB.COLS} FROM (
+  SELECT bo.* REPLACE (list_sort(list_distinct(list_concat(bo.labels, coalesce(mk.mk, []::VARCHAR[])))) AS labels)
+  FROM bo LEFT JOIN mk USING (doc_id, block_idx))"""
+
+
+def _font_sql() -> str:
+    owned = blocks_sql(EVENTS, with_owner=True)
+    sz = _attr_sql("size")
+    return f"""
+WITH d AS ({_depth_cte(("FONT",))}),
+f0 AS (
+  SELECT doc_id, pos, depth,
+    CASE WHEN regexp_matches({sz}, '^([+-]?)([0-9])$') THEN regexp_extract({sz}, '^([+-]?)([0-9])$', 1) END AS rel,
+    CASE WHEN regexp_matches({sz}, '^([+-]?)([0-9])$') THEN CAST(regexp_extract({sz}, '^([+-]?)([0-9])$', 2) AS INTEGER) END AS val
+  FROM d WHERE sel AND kind = 'start'
+),
+fa AS (SELECT doc_id, pos, depth, CASE WHEN rel = '' THEN val END AS abs FROM f0),
+fk AS (SELECT doc_id, pos, unnest(range(depth)) AS k FROM f0),
+fb AS (
+  SELECT doc_id, pos, arg_max(abs, k) FILTER (WHERE abs IS NOT NULL) AS base FROM (
+    SELECT fk.doc_id, fk.pos, fk.k, a.abs FROM fk ASOF JOIN fa a ON fk.doc_id = a.doc_id AND fk.k = a.depth AND fk.pos > a.pos)
+  GROUP BY doc_id, pos
+),
+fe AS (
+  SELECT f0.doc_id, f0.pos, f0.depth,
+    CASE WHEN f0.val IS NULL THEN NULL WHEN f0.rel = '' THEN f0.val
+         WHEN f0.rel = '+' THEN coalesce(fb.base, {_FS}) + f0.val ELSE coalesce(fb.base, {_FS}) - f0.val END AS size
+  FROM f0 LEFT JOIN fb USING (doc_id, pos)
+),
+{_block_probe_ctes(owned)},
+fl AS (
+  SELECT doc_id, block_idx, 'font-' || CAST(arg_max(size, k) FILTER (WHERE size IS NOT NULL) AS VARCHAR) AS fl FROM (
+    SELECT bk.doc_id, bk.block_idx, bk.k, e.size FROM bk ASOF JOIN fe e
+      ON bk.doc_id = e.doc_id AND bk.k = e.depth AND bk.pos > e.pos)
+  GROUP BY doc_id, block_idx
+)
+SELECT {OB.COLS} FROM (
+  SELECT bo.* REPLACE (CASE WHEN fl.fl IS NOT NULL THEN list_sort(list_distinct(list_append(bo.labels, fl.fl)))
+                            ELSE bo.labels END AS labels)
+  FROM bo LEFT JOIN fl USING (doc_id, block_idx))"""
+
+
+ORACLES["markup_labels"] = _markup_sql()
+ORACLES["font_size_labels"] = _font_sql()

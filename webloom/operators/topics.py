@@ -80,6 +80,7 @@ def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20,
     cv = CountVectorizer(inputCol=terms_col, outputCol="features", vocabSize=vocab_size).fit(doc_terms_arrays)
     feats = cv.transform(doc_terms_arrays).select("doc_id", "features").persist()
     model = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, seed=seed).fit(feats)
+    feats.unpersist()
     return model, cv.vocabulary
 
 

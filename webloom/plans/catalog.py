@@ -102,11 +102,6 @@ def q_title(spark, sf):
 
 # ---------------------------------------------------------------- block rules, fusion, extractors
 
-def _docs(spark, sf):
-    from webloom.operators.html import html_docs
-    return html_docs(_events(spark, sf))
-
-
 def _bd(spark, sf):
     from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
     parted = partition_pages(_pages(spark, sf))

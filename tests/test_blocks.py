@@ -157,3 +157,13 @@ def test_font_label_ignores_closed_sibling(spark):
     ev = html_events(pages)
     fl = {r.text: r.labels for r in font_size_labels(ev, text_blocks(ev, keep_owner=True)).collect()}
     assert fl == {"sized": ["font-5"], "unsized sibling": [], "relative": ["font-1"]}
+
+
+def test_nested_list_levels_and_labels(spark):
+    html = ("<html><body><nav><ul><li><a href='/a'>A</a><ul><li>B</li><li>B2<ol><li>deep</li></ol></li></ul>C</li>"
+            "<li>D<li>E</ul></nav><p>F <b>bold</b></p><ul><li>x<li>y</ul><div>G</div></body></html>")
+    _, b, _ = _blocks(spark, html)
+    got = [(r.text, r.tag_level, r.labels) for r in b.orderBy("block_idx").collect()]
+    assert got == [("A", 6, ["LI"]), ("B", 7, ["LI"]), ("B2", 7, ["LI"]), ("deep", 9, ["LI"]), ("C", 5, ["LI"]),
+                   ("D", 5, ["LI"]), ("E", 5, ["LI"]), ("F bold", 3, []), ("x", 4, ["LI"]), ("y", 4, ["LI"]),
+                   ("G", 3, [])]

@@ -180,8 +180,37 @@ def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return events_of(partition_pages(pages, id_col, html_col, num_partitions))
 
 
+LIST_TAGS = ("UL", "OL", "MENU")
+
+
+def _li_counts(ev: DataFrame) -> DataFrame:
+    """Number of open list items before each event, exact for nested lists.
+
+    Each list depth keeps its own item state (one window over
+    (doc_id, list depth)); a new item or the end of its list closes the
+    previous open item at that depth. The closes become -1 deltas, so the
+    count of open items is a running sum over the document.
+    """
+    tag, kind = F.col("tag"), F.col("kind")
+    is_list = tag.isin(*LIST_TAGS)
+    start, end = kind == "start", kind == "end"
+    depth = F.coalesce(F.sum(F.when(is_list & start, 1).when(is_list & end, -1)).over(_w_before()), F.lit(0))
+    e1 = ev.select("*", depth.alias("_ld0"))
+    key = (F.when(F.col("tag") == "LI", F.col("_ld0")).when(is_list & start, F.col("_ld0") + 1)
+           .when(is_list & end, F.col("_ld0")))
+    mark = F.when((tag == "LI") & start, F.lit(True)).when(((tag == "LI") & end) | is_list, F.lit(False))
+    e2 = e1.select("*", key.alias("_lk"), mark.alias("_lm"))
+    wk = Window.partitionBy("doc_id", "_lk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = F.coalesce(F.last("_lm", ignorenulls=True).over(wk), F.lit(False)).cast("int")
+    delta = (F.when((tag == "LI") & start, 1 - open_before)
+             .when(((tag == "LI") & end) | (is_list & end), -open_before).otherwise(0))
+    e3 = e2.select("*", delta.alias("_dl"))
+    return e3.select(*ev.columns, F.coalesce(F.sum("_dl").over(_w_before()), F.lit(0)).alias("li_count"))
+
+
 def _running_state(ev: DataFrame, actions: TagActions) -> DataFrame:
     """Parser counters as window aggregates; all "before this event"."""
+    ev = _li_counts(ev)
     tag, kind = F.col("tag"), F.col("kind")
     is_start, is_end = kind == "start", kind == "end"
     void = tag.isin(*VOID_TAGS)
@@ -196,6 +225,7 @@ def _running_state(ev: DataFrame, actions: TagActions) -> DataFrame:
         mark = (F.when(is_start & (tag == t), F.lit(True))
                 .when((is_start & tag.isin(*start_closers)) | (is_end & tag.isin(*end_closers)), F.lit(False)))
         cols[f"open_{t}"] = F.coalesce(F.last(mark, ignorenulls=True).over(_w_before()), F.lit(False))
+    cols["open_LI"] = F.col("li_count") > 0  # list items: exact nesting count
 
     level_changing = ~tag.isin(*actions.no_level_change())
     cols["lvl_sum"] = F.coalesce(F.sum(delta(level_changing)).over(_w_before()), F.lit(0))
@@ -232,7 +262,7 @@ def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS, ke
     """
     st = _running_state(events, actions)
     tag, kind = F.col("tag"), F.col("kind")
-    level = F.col("lvl_sum") + sum((F.col(f"open_{t}").cast("int") for t in IMPLIED_END
+    level = F.col("lvl_sum") + sum((F.col("li_count") if t == "LI" else F.col(f"open_{t}").cast("int") for t in IMPLIED_END
                                    if t not in actions.no_level_change()), F.lit(0))
     ignorable = (F.col("ign_sum") > 0) | (F.col("open_OPTION") if "OPTION" in actions.ignorable else F.lit(False))
     is_text = kind == "text"

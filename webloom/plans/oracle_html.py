@@ -10,7 +10,8 @@ from __future__ import annotations
 from html.entities import name2codepoint
 
 from webloom.functions.tokens import JAVA_WHITESPACE, JOINING_PUNCT, MAX_LINE_LENGTH
-from webloom.operators.html import (ATTRS_RE, DEFAULT_TAG_ACTIONS, IMPLIED_END, TAG_NAME_RE, TOKEN_RE, VOID_TAGS)
+from webloom.operators.html import (ATTRS_RE, DEFAULT_TAG_ACTIONS, IMPLIED_END, LIST_TAGS, TAG_NAME_RE, TOKEN_RE,
+                                    VOID_TAGS)
 
 
 def q(s: str) -> str:
@@ -102,8 +103,10 @@ def blocks_sql(events: str, with_owner: bool = False) -> str:
         return (f"CASE WHEN {cond} AND {balanced} AND kind = 'start' THEN 1 "
                 f"WHEN {cond} AND {balanced} AND kind = 'end' THEN -1 ELSE 0 END")
 
-    opens = []
+    opens = ["li_count > 0 AS open_LI"]
     for t, (sc, ec) in IMPLIED_END.items():
+        if t == "LI":
+            continue
         opens.append(
             f"coalesce(last_value(CASE WHEN kind = 'start' AND tag = {q(t)} THEN true "
             f"WHEN (kind = 'start' AND tag IN {inlist(sc)}) OR (kind = 'end' AND tag IN {inlist(ec)}) THEN false END "
@@ -111,7 +114,31 @@ def blocks_sql(events: str, with_owner: bool = False) -> str:
     ign_bal = [t for t in A.ignorable if t not in IMPLIED_END]
     lab_tags = [t for t in A.labels if t not in IMPLIED_END]
     labs = [f"coalesce(sum({delta(f'tag = {q(t)}')}) OVER wb, 0) AS lab_{t}" for t in lab_tags]
-    level = "lvl_sum + " + " + ".join(f"CAST(open_{t} AS INTEGER)" for t in opt if t not in no_level)
+    level = "lvl_sum + " + " + ".join("li_count" if t == "LI" else f"CAST(open_{t} AS INTEGER)"
+                                      for t in opt if t not in no_level)
+    lists = inlist(LIST_TAGS)
+    wbp = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    li_ctes = f"""
+l0 AS (
+  SELECT *, coalesce(sum(CASE WHEN tag IN {lists} AND kind = 'start' THEN 1 WHEN tag IN {lists} AND kind = 'end' THEN -1 END)
+    OVER (PARTITION BY doc_id ORDER BY pos {wbp}), 0) AS ld0
+  FROM ({events})
+), l1 AS (
+  SELECT *, CASE WHEN tag = 'LI' THEN ld0 WHEN tag IN {lists} AND kind = 'start' THEN ld0 + 1
+                 WHEN tag IN {lists} AND kind = 'end' THEN ld0 END AS lk,
+            CASE WHEN tag = 'LI' AND kind = 'start' THEN true
+                 WHEN (tag = 'LI' AND kind = 'end') OR tag IN {lists} THEN false END AS lm
+  FROM l0
+), l2 AS (
+  SELECT *, CAST(coalesce(last_value(lm IGNORE NULLS) OVER (PARTITION BY doc_id, lk ORDER BY pos {wbp}), false) AS INTEGER) AS ob
+  FROM l1
+), l3 AS (
+  SELECT * EXCLUDE (ld0, lk, lm, ob),
+    coalesce(sum(CASE WHEN tag = 'LI' AND kind = 'start' THEN 1 - ob
+                      WHEN (tag = 'LI' AND kind = 'end') OR (tag IN {lists} AND kind = 'end') THEN -ob ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos {wbp}), 0) AS li_count
+  FROM l2
+),"""
     label_parts = []
     for t, ls in sorted(A.labels.items()):
         cond = f"open_{t}" if t in IMPLIED_END else f"lab_{t} > 0"
@@ -122,7 +149,8 @@ def blocks_sql(events: str, with_owner: bool = False) -> str:
     tnorm = f"regexp_replace(text, {q(JAVA_WHITESPACE)}, ' ', 'g')"
     core = f"regexp_replace({tnorm}, '^ +| +$', '', 'g')"
     return f"""
-WITH st AS (
+WITH {li_ctes}
+st AS (
   SELECT *,
     {', '.join(opens)},
     coalesce(sum({delta(f'tag NOT IN {inlist(no_level)}')}) OVER wb, 0) AS lvl_sum,
@@ -132,7 +160,7 @@ WITH st AS (
                         IGNORE NULLS) OVER wb, false) AS in_a,
     {', '.join(labs)},
     sum(CASE WHEN is_trigger THEN 1 ELSE 0 END) OVER wu AS grp
-  FROM (SELECT *, coalesce(kind <> 'text' AND tag NOT IN {inlist(no_boundary)}, false) AS is_trigger FROM ({events}))
+  FROM (SELECT *, coalesce(kind <> 'text' AND tag NOT IN {inlist(no_boundary)}, false) AS is_trigger FROM l3)
   WINDOW wb AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          wu AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), ev0 AS (

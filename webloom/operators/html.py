@@ -144,8 +144,10 @@ def partition_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     shared (exchange reuse) and later doc_id joins need no re-shuffle."""
     # an explicit id filter keeps every branch's plan below the exchange
     # identical (joins infer the same filter), so the shuffle is reused
+    # ids keep their own type (numeric page ids, or string record ids such as
+    # TREC ids: no hashing, so no collisions)
     pre = pages.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), clean_html(F.col(html_col)).alias("h"))
+        F.col(id_col).alias("doc_id"), clean_html(F.col(html_col)).alias("h"))
     pre = pre.repartition(num_partitions, "doc_id") if num_partitions else pre.repartition("doc_id")
     return pre.select("doc_id", "h", head_title(F.col("h")).alias("title"))
 

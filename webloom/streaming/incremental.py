@@ -24,14 +24,11 @@ from webloom.session import scratch_path
 def convert_batch(records: DataFrame, extractor: str = "article", root_marker: str = "cw-data/",
                   clean: bool = True) -> DataFrame:
     """Batch step: raw record texts (value, path) -> (doc_id, text, rel)."""
-    crawl = responses(parse_warc_records(records))
-    pages = crawl.select(F.col("trec_id").alias("page_id"), "url", "html",
-                         relative_path(F.col("path"), root_marker).alias("rel"))
-    # keep the page -> file mapping; page ids are strings here
-    texts = extract(pages.select(F.xxhash64("page_id").alias("page_key"), "url", "html"),
-                    extractor, id_col="page_key")
-    keyed = pages.select(F.xxhash64("page_id").alias("doc_id"), F.col("page_id").alias("trec_id"), "rel")
-    out = texts.join(keyed, "doc_id").select(F.col("trec_id").alias("doc_id"), "text", "rel")
+    crawl = responses(parse_warc_records(records)).where(F.col("trec_id").isNotNull())
+    pages = crawl.select(F.col("trec_id").alias("page_id"), "url", "html")
+    rels = crawl.select(F.col("trec_id").alias("doc_id"), relative_path(F.col("path"), root_marker).alias("rel"))
+    texts = extract(pages, extractor).select("doc_id", "text")
+    out = texts.join(rels, "doc_id")
     return out.withColumn("text", clean_text(F.col("text"))) if clean else out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, decontam, knn, pii, simhash
+from webloom.llm import chat, decontam, knn, pii, simhash, warc
+from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
 #: The conversation that the chat query adds: control strings inside both texts.
@@ -16,6 +19,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"archives-{uuid.uuid4().hex}")
+    warc.write_archives(load_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_records(spark, path))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(load_table(spark, sf_dir, "documents"),
                                                   load_table(spark, sf_dir, "benchmark")))
@@ -40,6 +49,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op6_top_k": op6_top_k,
     "op7_pii": op7_pii,
@@ -144,7 +154,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY digest)
+SELECT page_id, size::bigint AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_top_k": OP6_SQL,
     "op7_pii": _pii_sql(),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, decontam, knn, pii, simhash, warc
+from webloom.llm import chat, decontam, knn, linededup, pii, simhash, warc
 from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
@@ -39,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(load_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_top_k": op6_top_k,
     "op7_pii": op7_pii,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
 }
 

@@ -90,31 +90,35 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _scan(docs: DataFrame, id_type: str, table: Broadcast, block: int) -> DataFrame:
+def _scan(docs: DataFrame, table: Broadcast, block: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs(text, ...)`` with ``n_words``, ``n_hit``, ``items`` and the hit mask, if any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = search_tables(table.value, block)
         for batch in slices(batches):
             n_words, masks, n_hit, items = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 own = words(text or b"")
                 hit, found = bytearray(len(own)), set()
                 for t in tables:
                     t.search(own, hit, found)
                 n_words.append(len(own))
                 n_hit.append(hit.count(1))
-                masks.append(bytes(hit) if found or n_hit[-1] else None)
+                masks.append(bytes(hit) if n_hit[-1] else None)
                 items.append(sorted(found))
-            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                                   pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())],
-                                  names=["doc_id", "n_words", "n_hit", "items", "mask"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                 pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())],
+                names=[*keep, "n_words", "n_hit", "items", "mask"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(
-        run, f"doc_id {id_type}, n_words long, {RESULT}, mask binary")
+    rows = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    return rows.mapInArrow(run, ", ".join([*kept, "n_words long", RESULT, "mask binary"]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK,
-                  table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items)`` of every row of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.
+                  table_bytes: int = TABLE_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of ``docs(text, ...)`` with ``n_words``, ``n_hit`` and ``items``, for every
+    row, against ``benchmark(item_id, text)``.
 
     ``n_hit`` counts the words inside any occurrence of any window of
     ``window`` consecutive item words (a shorter item is one window); ``items``
@@ -130,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     empty table gives no rows or no hits. Other columns are not read.
     """
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items")]
     grams = written(windows_of(benchmark, window), "windows")
     weight = F.sum(F.length(F.concat_ws(" ", "words")) + F.length(F.concat_ws(" ", "items")) + F.lit(64))
     total = grams.agg(weight).first()[0] or 0
@@ -141,30 +145,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return spark.sparkContext.broadcast([(r.words, r.items) for r in grams.filter(part == k).toLocalIterator()])
 
     if n == 1:
-        return _scan(docs, id_type, table(0), block).drop("mask")
+        return _scan(docs, table(0), block, keep).drop("mask")
     # more tables than one: a document's hit masks meet by its text
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    keyed = docs.select(key.alias("doc_id"), "text")
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
     hits = None
     for k in range(n):
         own = table(k)
-        found = written(_scan(keyed, "string", own, block).filter("mask is not null").distinct(), "hits")
+        found = written(_scan(keyed, own, block, ["__key"]).filter("mask is not null").distinct(), "hits")
         own.unpersist()
         hits = found if hits is None else hits.unionByName(found)
 
     def meet(group: pa.Table) -> pa.Table:
-        mask, items = None, set()
+        mask, items = 0, set()
         for m, i in zip(group.column("mask").to_pylist(), group.column("items").to_pylist(), strict=True):
-            mask = int.from_bytes(m, "big") | (mask or 0)
+            mask |= int.from_bytes(m, "big")
             items.update(i)
-        return pa.table({"key": group.column("doc_id")[:1], "n_hit": pa.array([mask.bit_count()], pa.int64()),
+        return pa.table({"__key": group.column("__key")[:1], "n_hit": pa.array([mask.bit_count()], pa.int64()),
                          "items": pa.array([sorted(items)], pa.list_(pa.string()))})
 
-    met = hits.groupBy("doc_id").applyInArrow(meet, f"key string, {RESULT}")
-    counted = _scan(docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text"),
-                    f"struct<doc_id:{id_type},key:string>", spark.sparkContext.broadcast([]), block)
-    return counted.select("doc_id.doc_id", "doc_id.key", "n_words").join(met, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    met = hits.groupBy("__key").applyInArrow(meet, f"__key string, {RESULT}")
+    counted = _scan(keyed, spark.sparkContext.broadcast([]), block, [*keep, "__key"])
+    return counted.select(*keep, "__key", "n_words").join(met, "__key", "left").select(
+        *keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, decontam, knn, linededup, pii, simhash, warc
+from webloom.llm import chat, decontam, knn, licenses, linededup, mixing, pii, simhash, toxicity, warc
 from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
@@ -19,6 +19,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, load_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"archives-{uuid.uuid4().hex}")
     warc.write_archives(load_table(spark, sf_dir, "pages"), path)
@@ -27,7 +32,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(load_table(spark, sf_dir, "documents"),
-                                                  load_table(spark, sf_dir, "benchmark")))
+                                                  load_table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a folder per source, language and 64 ids; ids divisible by 64, 1024 and 8192 are
+    the licence files of their folder, their language and their source."""
+    docs = load_table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.lit("corpus"), "source", "lang", (F.col("doc_id") / 64).cast("long"))
+    name = F.when(F.col("doc_id") % 8192 == 0, F.concat_ws("/", F.lit("corpus"), "source", F.lit("LICENSE"))).when(
+        F.col("doc_id") % 1024 == 0, F.concat_ws("/", F.lit("corpus"), "source", "lang", F.lit("LICENSE"))).when(
+        F.col("doc_id") % 64 == 0, F.concat(folder, F.lit("/LICENSE")))
+    path = F.coalesce(name, F.concat(folder, F.lit("/"), F.col("doc_id"), F.lit(".txt")))
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text")).drop("text")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +56,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(load_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, load_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,10 +75,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licenses": op5_licenses,
     "op6_top_k": op6_top_k,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
 }

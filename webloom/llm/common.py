@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from webloom.session import scratch_path
 
 #: Rows of an Arrow batch that a task works on at once; bounds a task's memory where texts are long.
 SLICE_ROWS = 512
+#: Bits of an id filter: at most 128 Ki words of 64, so that broadcasting one is bounded.
+FILTER_BITS = 1 << 23
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,3 +44,22 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if np.array_equal(new, root):
             return root
         root = new
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """``(word, bits)``: a bit filter of fixed size over a column of ids."""
+    h = F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return written(ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")), "id-filter")
+
+
+def possibly_in(df: DataFrame, table: DataFrame, column: Column) -> DataFrame:
+    """``df`` with ``__in``: false only where ``column`` is surely not among the ids of an ``id_filter``.
+
+    It saves work where few ids matter; what it lets through is decided by a join.
+    """
+    at = df.withColumn("__h", F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1)))
+    bits = table.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    hit = F.expr("shiftright(__bits, cast(__h & 63 as int)) & 1 = 1")
+    return at.join(F.broadcast(bits), F.shiftright("__h", 6) == F.col("__word"), "left").withColumn(
+        "__in", F.coalesce(hit, F.lit(False))).drop("__h", "__word", "__bits")

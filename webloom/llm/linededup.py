@@ -11,9 +11,8 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from webloom.llm.common import written
+from webloom.llm.common import FILTER_BITS, id_filter, possibly_in, written
 
 SIMILARITY = Fraction(4, 5)
 #: Counters of the rarity order; words that share one are held equally rare. Fixes the size of what is broadcast.
@@ -22,8 +21,6 @@ COUNTERS = 1 << 18
 BLOCK_ROWS = 100_000
 #: Candidates that a line is given of each prefix word before the first check; lines with more are asked again.
 FIRST_ASK = 4
-#: Bits of the filter that tells which lines' words the check needs. It only saves work.
-FILTER_BITS = 1 << 23
 #: Text that a task parses at once.
 PARSE_BYTES = 4 << 20
 
@@ -48,6 +45,26 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(vocabulary: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, eight bytes of all of them at a time."""
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset:vocabulary.offset + len(vocabulary) + 1]
+    data = np.concatenate([np.frombuffer(vocabulary.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, left = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+    h = _mixed(left.astype(np.uint64) + _MIX[1], 0)
+    todo = np.arange(len(left))
+    while len(todo):
+        size = np.minimum(left[todo], 8)
+        part = eight[at[todo]]
+        cut = (np.uint64(8) - size.astype(np.uint64)) * np.uint64(8)
+        part = np.where(size > 0, part << (cut & np.uint64(63)) >> (cut & np.uint64(63)), 0)
+        h[todo] = _mixed(_mixed(h[todo] ^ part, 0), 1)
+        at[todo] += 8
+        left[todo] -= 8
+        todo = todo[left[todo] > 0]
+    return h
+
+
 class Parsed:
     """The lines of some texts, their words as codes into a list of distinct word hashes.
 
@@ -66,20 +83,25 @@ class Parsed:
         coded = words.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         line = np.repeat(np.arange(len(per_line)), per_line)
-        vocabulary = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.hash = np.fromiter(map(xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
-        real = np.array([len(w) > 0 for w in vocabulary], bool)
-        keep = real[code] if len(code) else np.empty(0, bool)
-        self.code, self.line = code[keep], line[keep]
+        self.hash = word_hashes(coded.dictionary)
+        empty = np.nonzero(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)[0]
+        if len(empty):
+            keep = code != empty[0]
+            code, line = code[keep], line[keep]
+        self.code, self.line = code, line
 
     def sets(self, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, start, hash): lines that have words, where each one's distinct words begin, and those, rarest first."""
         u = max(1, len(self.hash))
         rare = counts[self.hash & np.uint64(COUNTERS - 1)] if counts is not None else np.zeros(len(self.hash))
-        order = np.lexsort((self.hash, rare))
+        both = (rare.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (self.hash >> np.uint64(32))
+        order = np.argsort(both)
+        if (both[order][1:] == both[order][:-1]).any():
+            order = np.lexsort((self.hash, both))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        key = np.unique(self.line.astype(np.int64) * u + rank[self.code])
+        key = np.sort(self.line.astype(np.int64) * u + rank[self.code])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         line = key // u
         start = np.nonzero(np.diff(line, prepend=-1))[0]
         return line[start], start, self.hash[order[key % u]]
@@ -266,7 +288,8 @@ def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     for r in bits.toLocalIterator():
         table[r.word] = np.uint64(r.bits % 2 ** 64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    places = docs.select("doc_id", "text")
+    places = possibly_in(docs.select("doc_id", "text"), id_filter(needed, "doc"), _id())
+    places = places.filter("__in").select("doc_id", "text")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, 1):
@@ -354,9 +377,11 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     are passed on.
     """
     lines = F.split("text", "\n", -1)
-    joined = docs.withColumn("__doc", _id()).join(
-        later_lines(docs.select("doc_id", "text"), t, first_ask).select(
-            F.col("doc").alias("__doc"), F.col("lines").alias("__later")), "__doc", "left")
+    later = written(later_lines(docs.select("doc_id", "text"), t, first_ask).select(
+        F.col("doc").alias("__doc"), F.col("lines").alias("__later")), "later-lines")
+    marked = possibly_in(docs, id_filter(later, "__doc"), _id())
+    joined = marked.filter("__in").withColumn("__doc", _id()).join(later, "__doc", "left").unionByName(
+        marked.filter("not __in"), allowMissingColumns=True)
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__later")))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     return joined.select(

@@ -19,8 +19,10 @@ SIMILARITY = Fraction(4, 5)
 COUNTERS = 1 << 18
 #: Occurrences of a word from which its lines are spread over more tasks, in pairs of blocks of about this size.
 BLOCK_ROWS = 100_000
-#: Candidates that a line is given of each prefix word before the first check; lines with more are asked again.
-FIRST_ASK = 4
+#: Candidates that a line is given of each prefix word in the first round; lines that have more are asked again.
+FIRST_ASK = 1
+#: By how much each further round raises that.
+RAISE = 16
 #: Text that a task parses at once.
 PARSE_BYTES = 4 << 20
 
@@ -237,8 +239,12 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     return np.concatenate(ys), np.concatenate(xs), more
 
 
-def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK) -> DataFrame:
-    """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``."""
+def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK, first: bool = True) -> DataFrame:
+    """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``.
+
+    In the first round each y gets only the x that it shares most groups with:
+    one earlier match is enough. ``more`` tells that others may exist.
+    """
     names = ["g", "side", "doc", "line", "n", "sig", "at", "ask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +273,18 @@ def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_
         if held is not None:
             yield from pairs(held)
 
-    rows = _postings(sets).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig").select(*names)
-    found = rows.mapInArrow(run, PAIR)
-    return found.groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(F.max("more").alias("more"))
+    rows = _postings(sets)
+    if not first:  # only groups of lines that are asked again
+        rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
+    rows = rows.select(*names).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig")
+    found = rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
+        F.max("more").alias("more"), F.count(F.lit(1)).alias("groups"))
+    if not first:
+        return found.drop("groups")
+    best = found.groupBy(*(f"y_{c}" for c in ID)).agg(
+        F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
+        (F.max("more") | (F.count(F.lit(1)) > 1)).alias("more"))
+    return best.select(*(f"y_{c}" for c in ID), *(f"best.x_{c}" for c in ID), "more")
 
 
 def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -320,7 +335,7 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, first_ask: int) -> D
     a, b = t.numerator, t.denominator
     out, ask, asked = None, first_ask, sets.withColumn("ask", F.lit(True))
     while True:
-        pairs = written(candidate_pairs(asked, t, ask), "pairs")
+        pairs = written(candidate_pairs(asked, t, ask, out is None), "pairs")
         ends = [pairs.select(*(F.col(f"{s}_{c}").alias(c) for c in ID)) for s in "yx"]
         words = written(words_of(docs, ends[0].unionByName(ends[1]).distinct()), "words")
         words = words.groupBy(*ID).agg(F.min("words").alias("words"))
@@ -337,7 +352,7 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, first_ask: int) -> D
         unsure = told.filter("not ok and more").select(*ID)
         if unsure.limit(1).count() == 0:
             return out
-        ask *= 16
+        ask *= RAISE
         asked = sets.join(unsure.withColumn("asks", F.lit(True)), list(ID), "left").withColumn(
             "ask", F.coalesce("asks", F.lit(False))).drop("asks")
 

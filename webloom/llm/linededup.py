@@ -119,7 +119,21 @@ def _id(column: str = "doc_id") -> Column:
 
 
 def _signature(start: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(hashes, 0) >> np.uint64(58)), start)
+    """Sixteen counters of four bits: how many words of each set fall to each, 15 at most."""
+    n = np.diff(np.append(start, len(hashes)))
+    cell = np.repeat(np.arange(len(start)), n) * 16 + (_mixed(hashes, 0) >> np.uint64(60)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=16 * len(start)), 15).astype(np.uint8).reshape(-1, 16)
+    return (counts[:, ::2] | (counts[:, 1::2] << 4)).view(np.uint64).ravel()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that are in one of two sets only, at least, by their signatures."""
+    low = np.uint64(0x0F0F0F0F0F0F0F0F)
+    total = np.zeros(len(a), np.int64)
+    for shift in (np.uint64(0), np.uint64(4)):
+        x, y = ((s.view(np.uint64) >> shift) & low for s in (a, b))
+        total += np.abs(x.view(np.int8) - y.view(np.int8)).reshape(-1, 8).sum(1, dtype=np.int64)
+    return total
 
 
 def _bucket(doc: np.ndarray, line: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -146,8 +160,8 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -> DataFrame:
-    """Every line that has words: a hash of its word set, its place, its size, a signature, and its prefix.
+def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY, prefixes: bool = True) -> DataFrame:
+    """Every line that has words: a hash of its word set, its place and, if ``prefixes``, its size, signature and prefix.
 
     The prefix holds the hashes of as many of the rarest words as two sets of
     the similarity must share one of, each below the number of blocks that its
@@ -161,6 +175,12 @@ def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -
             line, start, h = p.sets(counts.value)
             if not len(line):
                 continue
+            place = [pa.array(np.add.reduceat(_mixed(h, 0), start).view(np.int64)),
+                     pa.array(np.add.reduceat(_mixed(h, 1), start).view(np.int64)),
+                     pa.array(_ids(piece.column(0))[p.doc[line]]), pa.array(p.no[line], pa.int32())]
+            if not prefixes:
+                yield pa.record_batch(place, names=["h1", "h2", "doc", "line"])
+                continue
             n = np.diff(np.append(start, len(h)))
             at = np.arange(len(h)) - np.repeat(start, n)
             size = n - (a * n + b - 1) // b + 1
@@ -169,14 +189,11 @@ def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -
             prefix = (blocks.astype(np.int64) << 32) | (h[keep] >> np.uint64(32)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(size)])
             yield pa.record_batch([
-                pa.array(np.add.reduceat(_mixed(h, 0), start).view(np.int64)),
-                pa.array(np.add.reduceat(_mixed(h, 1), start).view(np.int64)),
-                pa.array(_ids(piece.column(0))[p.doc[line]]), pa.array(p.no[line], pa.int32()), pa.array(n, pa.int32()),
-                pa.array(_signature(start, h).view(np.int64)),
+                *place, pa.array(n, pa.int32()), pa.array(_signature(start, h).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix))],
                 names=["h1", "h2", "doc", "line", "n", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, LINE)
+    return docs.select("doc_id", "text").mapInArrow(run, LINE if prefixes else LINE.partition(", n")[0])
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -221,11 +238,11 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
             break
         x = active - step
         both = n[active] + n[x]
-        apart = np.maximum(np.bitwise_count((sig[active] ^ sig[x]).view(np.uint64)), np.abs(n[active] - n[x]))
-        shared = 1 + np.minimum(n[active] - at[active], n[x] - at[x]) - 1
-        ok = (apart * (a + b) <= both * (b - a)) & (shared * (a + b) >= a * both) & (
-            (side[active] == 0) | (side[active] != side[x])) & (
-            (doc[active] != doc[x]) | (line[active] != line[x]))
+        shared = np.minimum(n[active] - at[active], n[x] - at[x])
+        ok = (np.abs(n[active] - n[x]) * (a + b) <= both * (b - a)) & (shared * (a + b) >= a * both) & (
+            (side[active] == 0) | (side[active] != side[x])) & ((doc[active] != doc[x]) | (line[active] != line[x]))
+        near = np.nonzero(ok)[0]
+        ok[near] = _apart(sig[active[near]], sig[x[near]]) * (a + b) <= both[near] * (b - a)
         if ok.any():
             y = active[ok]
             ys.append(y)
@@ -242,8 +259,9 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
 def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK, first: bool = True) -> DataFrame:
     """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``.
 
-    In the first round each y gets only the x that it shares most groups with:
-    one earlier match is enough. ``more`` tells that others may exist.
+    Each y gets at most ``ask`` of every group; ``more`` tells that there may be
+    others. ``groups`` counts the groups that a pair shares. After the ``first``
+    round only groups with a set that is asked again are looked at.
     """
     names = ["g", "side", "doc", "line", "n", "sig", "at", "ask"]
 
@@ -277,14 +295,8 @@ def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_
     if not first:  # only groups of lines that are asked again
         rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
     rows = rows.select(*names).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig")
-    found = rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
+    return rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
         F.max("more").alias("more"), F.count(F.lit(1)).alias("groups"))
-    if not first:
-        return found.drop("groups")
-    best = found.groupBy(*(f"y_{c}" for c in ID)).agg(
-        F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
-        (F.max("more") | (F.count(F.lit(1)) > 1)).alias("more"))
-    return best.select(*(f"y_{c}" for c in ID), *(f"best.x_{c}" for c in ID), "more")
 
 
 def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -330,31 +342,48 @@ def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return places.mapInArrow(lines, "doc long, line int, n int, sig long, words array<long>")
 
 
-def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, first_ask: int) -> DataFrame:
-    """``ID`` of the line sets that reach the similarity with an earlier one."""
+def _checked(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """``ID`` of the y of ``pairs`` that reach the similarity with their x."""
     a, b = t.numerator, t.denominator
-    out, ask, asked = None, first_ask, sets.withColumn("ask", F.lit(True))
+    ends = [pairs.select(*(F.col(f"{s}_{c}").alias(c) for c in ID)) for s in "yx"]
+    words = words_of(docs, ends[0].unionByName(ends[1]).distinct())
+    words = written(words.groupBy(*ID).agg(F.min("words").alias("words")), "words")
+    checked = pairs.select(*(f"{s}_{c}" for s in "yx" for c in ID))
+    for s in "yx":
+        own = words.select(*(F.col(c).alias(f"{s}_{c}") for c in ID), F.col("words").alias(f"{s}_words"))
+        checked = checked.join(own, [f"{s}_{c}" for c in ID])
+    shared = F.size(F.array_intersect("y_words", "x_words"))
+    hits = checked.filter(shared * (a + b) >= a * (F.col("y_n") + F.col("x_n")))
+    return written(hits.select(*(F.col(f"y_{c}").alias(c) for c in ID)).distinct(), "hits")
+
+
+def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFrame:
+    """``ID`` of the line sets that reach the similarity with an earlier one.
+
+    One earlier match is enough. First each set is checked with the candidate
+    that it shares most groups with, then sets without a match with all their
+    other candidates, and then those that had to leave out candidates ask again.
+    """
+    y = [f"y_{c}" for c in ID]
+
+    def unmatched(rows: DataFrame, hits: DataFrame) -> DataFrame:
+        return rows.join(hits.select(*(F.col(c).alias(f"y_{c}") for c in ID)), y, "left_anti")
+
+    pairs = written(candidate_pairs(sets.withColumn("ask", F.lit(True)), t, ask), "pairs")
+    best = pairs.groupBy(*y).agg(F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
+                                 F.count(F.lit(1)).alias("n"))
+    out = _checked(docs, best.select(*y, *(f"best.x_{c}" for c in ID)), t)
+    others = unmatched(pairs.join(best.filter("n > 1").select(*y), y, "left_semi"), out)
+    out = out.unionByName(_checked(docs, written(others, "pairs"), t))
     while True:
-        pairs = written(candidate_pairs(asked, t, ask, out is None), "pairs")
-        ends = [pairs.select(*(F.col(f"{s}_{c}").alias(c) for c in ID)) for s in "yx"]
-        words = written(words_of(docs, ends[0].unionByName(ends[1]).distinct()), "words")
-        words = words.groupBy(*ID).agg(F.min("words").alias("words"))
-        checked = pairs
-        for s in "yx":
-            own = words.select(*(F.col(c).alias(f"{s}_{c}") for c in ID), F.col("words").alias(f"{s}_words"))
-            checked = checked.join(own, [f"{s}_{c}" for c in ID])
-        shared = F.size(F.array_intersect("y_words", "x_words"))
-        checked = checked.select(*(F.col(f"y_{c}").alias(c) for c in ID), "more",
-                                 (shared * (a + b) >= a * (F.col("y_n") + F.col("x_n"))).alias("ok"))
-        told = written(checked.groupBy(*ID).agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "checked")
-        hits = told.filter("ok").select(*ID)
-        out = hits if out is None else out.unionByName(hits)
-        unsure = told.filter("not ok and more").select(*ID)
+        unsure = written(unmatched(pairs.filter("more").select(*y).distinct(), out), "unsure")
         if unsure.limit(1).count() == 0:
             return out
         ask *= RAISE
-        asked = sets.join(unsure.withColumn("asks", F.lit(True)), list(ID), "left").withColumn(
-            "ask", F.coalesce("asks", F.lit(False))).drop("asks")
+        asked = unsure.select(*(F.col(f"y_{c}").alias(c) for c in ID), F.lit(True).alias("asks"))
+        asked = sets.join(asked, list(ID), "left").withColumn("ask", F.coalesce("asks", F.lit(False))).drop("asks")
+        pairs = written(candidate_pairs(asked, t, ask, first=False), "pairs")
+        out = out.unionByName(_checked(docs, pairs, t))
 
 
 def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRST_ASK) -> DataFrame:
@@ -369,13 +398,13 @@ def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     """
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(docs))
-    lines = written(parsed_lines(docs, counts, t), "lines")
+    lines = parsed_lines(docs, counts, t)
     sets = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "n", "sig", "prefix")).alias("first"))
                    .select("h1", "h2", "first.*"), "line-sets")
     gone = _matches(docs, sets.drop("h1", "h2"), t, first_ask).withColumn("gone", F.lit(True))
     firsts = sets.drop("prefix").join(gone, list(ID), "left").select(
         "h1", "h2", F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    later = lines.select("h1", "h2", "doc", "line").join(firsts, ["h1", "h2"]).filter(
+    later = parsed_lines(docs, counts, t, prefixes=False).join(firsts, ["h1", "h2"]).filter(
         "gone or doc <> doc0 or line <> line0")
     return later.groupBy("doc").agg(F.collect_set("line").alias("lines"))
 

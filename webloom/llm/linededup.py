@@ -18,9 +18,9 @@ SIMILARITY = Fraction(4, 5)
 #: Counters of the rarity order; words that share one are held equally rare. Fixes the size of what is broadcast.
 COUNTERS = 1 << 18
 #: Occurrences of a word from which its lines are spread over more tasks, in pairs of blocks of about this size.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 2_000_000
 #: Candidates that a line is given of each prefix word in the first round; lines that have more are asked again.
-FIRST_ASK = 1
+FIRST_ASK = 8
 #: By how much each further round raises that.
 RAISE = 16
 #: Text that a task parses at once.

@@ -81,3 +81,20 @@ def test_entities_and_fold(spark):
                                                  ascii_fold(F.col("f")).alias("f")).first()
     assert r.e == "a & b <p> é € © &bogus;"
     assert r.f == "r fine 12 cafe"
+
+
+def test_long_words_pass_the_analyzer(spark):
+    from webloom.functions.cleaning import analyze, analyzer_tokens, clean_text
+    word = "ab" * 500_000
+    df = spark.createDataFrame([(word + " can't 3.14 a.b. x:y 1:2",)], "text string")
+    got = df.select(F.size(analyze(F.col("text"))).alias("n"), F.length(clean_text(F.col("text"))).alias("m"),
+                    F.slice(analyzer_tokens(F.col("text")), 2, 9).alias("rest")).first()
+    assert got.n >= 1 and got.m >= 1_000_000
+    assert got.rest == ["can't", "3.14", "a.b", "x:y", "1", "2"]
+
+
+def test_cleaning_a_corpus_is_one_scan_without_exchange(spark):
+    from conftest import SF001
+    from webloom.functions.cleaning import clean_documents
+    plan = clean_documents(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1

@@ -20,15 +20,15 @@ from webloom.functions.stem import stem_tokens
 URL_RE = r"(?i)\b(https?|ftp|file)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]"
 NUMBER_RE = r"[^a-zA-Z][0-9]+[^a-zA-Z]"
 SYMBOL_RE = r"[^a-zA-Z0-9 ]+"
-MAX_TOKEN_LENGTH = 255
 
 # Word-break rules: letters, marks, digits and underscore join; ' . : ’ ‘ ·
 # join two letters; . , ; ' ’ ‘ join two digits; Han and Hiragana characters
-# are tokens of their own.
+# are tokens of their own. Punctuation that joins nothing is blanked first, so
+# that a token is one run of a character class, whatever its length.
 _IDEO = r"\p{IsHan}\p{IsHiragana}"
-ANALYZER_TOKEN_RE = (r"[" + _IDEO + r"]|(?:[\p{L}\p{M}\p{Nd}_&&[^" + _IDEO + r"]]"
-                     r"|(?<=[\p{L}\p{M}])['.:’‘·](?=[\p{L}])"
-                     r"|(?<=[\p{Nd}])[.,;'’‘](?=[\p{Nd}]))+")
+_JOINS = "'.:’‘·,;"
+LOOSE_PUNCTUATION_RE = (r"(?!(?<=[\p{L}\p{M}])['.:’‘·]\p{L}|(?<=\p{Nd})[.,;'’‘]\p{Nd})[" + _JOINS + "]")
+ANALYZER_TOKEN_RE = r"[" + _IDEO + r"]|[\p{L}\p{M}\p{Nd}_" + _JOINS + r"&&[^" + _IDEO + r"]]++"
 POSSESSIVE_RE = r"['’＇][sS]$"
 
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources")
@@ -58,8 +58,8 @@ def remove_numbers(text: Column) -> Column:
 
 def analyzer_tokens(text: Column) -> Column:
     """Word tokens (T3 first stage)."""
-    toks = F.regexp_extract_all(text, F.lit(ANALYZER_TOKEN_RE), 0)
-    return F.filter(toks, lambda t: (F.length(t) <= MAX_TOKEN_LENGTH) & t.rlike(r"[\p{L}\p{Nd}]"))
+    toks = F.regexp_extract_all(F.regexp_replace(text, LOOSE_PUNCTUATION_RE, " "), F.lit(ANALYZER_TOKEN_RE), 0)
+    return F.filter(toks, lambda t: t.rlike(r"[\p{L}\p{Nd}]"))
 
 
 def drop_stop_words(tokens: Column, words: tuple[str, ...] | None = None) -> Column:
@@ -86,11 +86,6 @@ def clean_text(text: Column) -> Column:
     return strip_symbols(ascii_fold(F.array_join(analyze(pre), " ")))
 
 
-def clean_text_tokens(text: Column) -> Column:
-    """The cleaned text as an array of terms (split on single spaces, no empties)."""
-    return F.filter(F.split(clean_text(text), " "), lambda t: t != "")
-
-
 def append_newline(text: Column) -> Column:
     """Stored form of a cleaned text."""
     return F.concat(text, F.lit("\n"))
@@ -103,38 +98,6 @@ def strip_stored_newline(text: Column) -> Column:
 
 # ------------------------------------------------------------------ corpus-scale cleaning (DataFrame job)
 
-STEM_DICT_BROADCAST_MAX_ROWS = 5_000_000
-
-
-def stem_dictionary(terms: DataFrame, col: str = "term") -> DataFrame:
-    """(term, stem) for the distinct terms: each distinct term is stemmed once."""
-    d = terms.select(col).distinct()
-    return d.select(col, stem_tokens(F.array(F.col(col))).getItem(0).alias("stem"))
-
-
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    max_broadcast_rows: int = STEM_DICT_BROADCAST_MAX_ROWS, materialize: bool = True) -> DataFrame:
-    """T8 for a corpus: (doc_id, text) with the same result as ``clean_text``.
-
-    Documents are hash-partitioned by id once; tokens are exploded next to
-    their document, mapped to stems through the distinct-term dictionary
-    (broadcast when its counted size is below ``max_broadcast_rows``, else a
-    shuffle join), and reassembled per document without another exchange.
-    """
-    parted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    toks = parted.select("doc_id", F.posexplode(analyze(remove_numbers(remove_urls(F.col("text"))), stem=False))
-                         .alias("pos", "term"))
-    sdict = stem_dictionary(toks)
-    n = None
-    if materialize:
-        from webloom.session import checkpoint_dir
-        checkpoint_dir(docs.sparkSession)
-        sdict = sdict.checkpoint(eager=True)
-        n = sdict.count()
-    side = F.broadcast(sdict) if n is not None and n <= max_broadcast_rows else sdict
-    stems = toks.join(side, "term").groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]), " ")
-        .alias("joined"))
-    cleaned = parted.select("doc_id").join(stems, "doc_id", "left").select(
-        "doc_id", strip_symbols(ascii_fold(F.coalesce(F.col("joined"), F.lit("")))).alias("text"))
-    return cleaned
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """T8 for a corpus: (doc_id, text), in one pass without an exchange. A null text cleans to an empty one."""
+    return docs.select(F.col(id_col).alias("doc_id"), clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))

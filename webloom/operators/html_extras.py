@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from webloom.functions.tokens import JAVA_WHITESPACE
 from webloom.operators.html import IMPLIED_END
 
-# Elements whose content the image scan ignores.
-IMAGE_IGNORED = ("HEAD", "STYLE", "SCRIPT", "OPTION", "NOSCRIPT", "OBJECT", "EMBED", "APPLET", "LINK")
+# Elements whose content the image scan ignores. Void elements
+# (LINK, EMBED) have none and never close, so they do not count.
+IMAGE_IGNORED = ("HEAD", "STYLE", "SCRIPT", "NOSCRIPT", "APPLET")
 
 
 def _w():

@@ -72,14 +72,17 @@ def trigamma(x):
 
 # ------------------------------------------------------------------ MLlib path
 
-def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20, vocab_size: int = 1 << 18,
-                  seed: int = 7, terms_col: str = "terms"):
-    """L1 main path: CountVectorizer features + online LDA (alpha learned)."""
+def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20, seed: int = 7,
+                  terms_col: str = "terms"):
+    """L1 by MLlib: term counts over the whole vocabulary + online LDA (alpha
+    learned) that reads every document in every iteration. The vocabulary and
+    the K x V matrix are held by the driver; ``fit_lda_em`` has no such bound."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=terms_col, outputCol="features", vocabSize=vocab_size).fit(doc_terms_arrays)
+    terms = doc_terms_arrays.select(F.explode(terms_col).alias("term")).agg(F.count_distinct("term")).first()[0]
+    cv = CountVectorizer(inputCol=terms_col, outputCol="features", vocabSize=max(1, terms)).fit(doc_terms_arrays)
     feats = cv.transform(doc_terms_arrays).select("doc_id", "features").persist()
-    model = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, seed=seed).fit(feats)
+    model = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, subsamplingRate=1.0, seed=seed).fit(feats)
     feats.unpersist()
     return model, cv.vocabulary
 
@@ -87,7 +90,6 @@ def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20,
 def describe_topics_mllib(model, vocabulary, n: int = 10) -> DataFrame:
     """(k, rank, term, weight) for the n heaviest terms of each topic."""
     spark = model.describeTopics(n).sparkSession
-    # the fitted vocabulary is bounded by vocab_size
     vocab = spark.createDataFrame([(i, t) for i, t in enumerate(vocabulary)], "term_id int, term string")
     t = model.describeTopics(n).select(
         F.col("topic").alias("k"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import checkpoint_dir
 from webloom.functions.cleaning import clean_documents, strip_stored_newline
 from webloom.functions.stem import stem_tokens
 
@@ -49,12 +50,14 @@ def assign_ids(terms: DataFrame, col: str = "term", num_partitions: int | None =
 
     Range-partition and sort by term; the position inside a partition comes
     from ``monotonically_increasing_id`` (partition id in the high bits), the
-    partition's offset from a table with one row per partition.
+    partition's offset from a table with one row per partition. The ranked
+    rows are checkpointed, so that both sides see the same partitions.
     """
     parted = (terms.select(col).repartitionByRange(num_partitions, col) if num_partitions
               else terms.select(col).repartitionByRange(col))
+    checkpoint_dir(terms.sparkSession)
     ranked = parted.sortWithinPartitions(col).select(
-        col, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+        col, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")).checkpoint(eager=True)
     sizes = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

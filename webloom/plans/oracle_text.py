@@ -27,8 +27,8 @@ def analyzer_tokens_sql(x: str) -> str:
         s = f"regexp_replace({s}, '(\\p{{Nd}})([.,;''’‘])(\\p{{Nd}})', '\\1{MARK}\\2\\3', 'g')"
     tok = (f"'[\\p{{Han}}\\p{{Hiragana}}]|(?:[^\\P{{L}}\\p{{Han}}\\p{{Hiragana}}]|[\\p{{M}}\\p{{Nd}}_]|{MARK}.)+'")
     raw = f"list_transform(regexp_extract_all({s}, {tok}), lambda t: replace(t, '{MARK}', ''))"
-    return (f"list_filter({raw}, lambda t: length(t) <= {T.MAX_TOKEN_LENGTH} "
-            f"AND regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))")
+    return (f"list_filter({raw}, lambda t: "
+            f"regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))")
 
 
 def _shape(t: str) -> str:

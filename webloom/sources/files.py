@@ -8,6 +8,7 @@ processed input paths written after the batch.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,10 @@ def incremental_inputs(spark: SparkSession, input_root: str, out: str, suffix: s
         "path", relative_path(F.col("path"), root_marker).alias("rel"))
     try:
         done = spark.read.parquet(done_table_path(out)).select("rel")
-    except Exception:  # noqa: BLE001 - no marker table yet: everything is pending
-        return inputs
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return inputs  # no marker table yet: everything is pending
     return inputs.join(done, "rel", "left_anti")
 
 
@@ -102,13 +105,15 @@ def save_text(lines: DataFrame, out: str, single_file: bool = False) -> None:
 
 def parse_sparse_vectors(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Lines 'label idx:count idx:count ...' -> (line_id, term_id, count);
-    the first token (document id or pair count) is dropped."""
+    the first token (document id or pair count) is dropped, and so are pairs
+    that are no numbers."""
     toks = F.split(F.trim(F.col(value_col)), " +")
     base = lines.select(F.col(value_col), F.element_at(toks, 1).alias("label"),
                         F.slice(toks, 2, 1 << 30).alias("pairs"))
     ex = base.select("label", F.explode("pairs").alias("p"))
     kv = F.split("p", ":")
-    return ex.select("label", kv.getItem(0).cast("int").alias("term_id"), kv.getItem(1).cast("double").alias("count"))
+    return ex.select("label", kv.getItem(0).try_cast("long").alias("term_id"),
+                     F.get(kv, F.lit(1)).try_cast("double").alias("count")).dropna()
 
 
 def distinct_topic_keys(lines: DataFrame, value_col: str = "value", first: int = 10) -> DataFrame:
@@ -116,7 +121,7 @@ def distinct_topic_keys(lines: DataFrame, value_col: str = "value", first: int =
     '{...}' part of each line."""
     body = F.regexp_extract(F.col(value_col), r"\{(.*)\}", 1)
     entries = F.slice(F.split(body, ","), 1, first)
-    keys = F.transform(entries, lambda e: F.trim(F.split(e, ":").getItem(0)).cast("double"))
+    keys = F.transform(entries, lambda e: F.trim(F.split(e, ":").getItem(0)).try_cast("double"))
     return lines.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull()).distinct()
 
 

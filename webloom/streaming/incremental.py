@@ -6,7 +6,9 @@ tasks); each micro-batch runs the batch pipeline (events -> blocks ->
 extractor -> cleaning) through ``foreachBatch`` and appends parquet
 partitioned by the input file. The stream's checkpoint remembers which
 files were processed, so a rerun with ``trigger(availableNow=True)``
-converts only new files and a failed batch is redone, not duplicated.
+converts only new files, also in another process: the checkpoint lies under
+the output folder. Each batch overwrites a folder of its own number, so a
+batch that failed half-way is redone, not duplicated.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 from webloom.functions.cleaning import clean_text
 from webloom.plans.extractors import extract
 from webloom.sources.crawl import RECORD_SEPARATOR, parse_warc_records, responses
-from webloom.sources.files import relative_path
-from webloom.session import scratch_path
+from webloom.sources.files import done_table_path, relative_path
 
 
 def convert_batch(records: DataFrame, extractor: str = "article", root_marker: str = "cw-data/",
@@ -34,8 +35,9 @@ def convert_batch(records: DataFrame, extractor: str = "article", root_marker: s
 
 def start_conversion(spark: SparkSession, input_dir: str, out_dir: str, checkpoint: str | None = None,
                      extractor: str = "article", glob: str = "*.warc", max_files_per_trigger: int | None = None,
-                     available_now: bool = True):
+                     available_now: bool = True, root_marker: str = "cw-data/"):
     """Start (and with ``available_now`` run to completion) the conversion stream."""
+    root = out_dir.rstrip("/")
     reader = (spark.readStream.format("text").option("lineSep", RECORD_SEPARATOR)
               .option("pathGlobFilter", glob).option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
@@ -43,13 +45,13 @@ def start_conversion(spark: SparkSession, input_dir: str, out_dir: str, checkpoi
     raw = reader.load(input_dir).select("value", F.col("_metadata.file_path").alias("path"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        converted = convert_batch(batch, extractor)
-        converted.write.mode("append").partitionBy("rel").parquet(out_dir)
+        converted = convert_batch(batch, extractor, root_marker)
+        converted.write.mode("overwrite").partitionBy("rel").parquet(f"{root}/batch={batch_id}")
         # Done markers, written after the texts of the batch
-        batch.select(relative_path(F.col("path"), "cw-data/").alias("rel")).distinct() \
-            .write.mode("append").parquet(out_dir.rstrip("/") + "/_done")
+        batch.select(relative_path(F.col("path"), root_marker).alias("rel")).distinct() \
+            .write.mode("overwrite").parquet(f"{done_table_path(root)}/batch={batch_id}")
 
-    ckpt = checkpoint or scratch_path(spark, "stream-" + str(abs(hash((input_dir, out_dir)))))
+    ckpt = checkpoint or f"{root}/_checkpoint"
     writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     q = writer.start()

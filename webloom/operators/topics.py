@@ -73,16 +73,17 @@ def trigamma(x):
 # ------------------------------------------------------------------ MLlib path
 
 def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20, seed: int = 7,
-                  terms_col: str = "terms"):
+                  terms_col: str = "terms", subsampling_rate: float = 0.05):
     """L1 by MLlib: term counts over the whole vocabulary + online LDA (alpha
-    learned) that reads every document in every iteration. The vocabulary and
-    the K x V matrix are held by the driver; ``fit_lda_em`` has no such bound."""
+    learned), which by its method reads a fresh share of the documents in every
+    iteration (1.0: all of them). The vocabulary and the K x V matrix are held
+    by the driver; ``fit_lda_em`` reads all documents and has no such bound."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     terms = doc_terms_arrays.select(F.explode(terms_col).alias("term")).agg(F.count_distinct("term")).first()[0]
     cv = CountVectorizer(inputCol=terms_col, outputCol="features", vocabSize=max(1, terms)).fit(doc_terms_arrays)
     feats = cv.transform(doc_terms_arrays).select("doc_id", "features").persist()
-    model = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, subsamplingRate=1.0, seed=seed).fit(feats)
+    model = LDA(k=k, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, subsamplingRate=subsampling_rate, seed=seed).fit(feats)
     feats.unpersist()
     return model, cv.vocabulary
 

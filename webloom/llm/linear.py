@@ -25,6 +25,8 @@ MIN_LOG_ODDS = 1.0
 #: Word beginnings that are features, and how often they must occur in a text.
 PREFIX_BYTES = 5
 PREFIX_ONE_IN = 100
+#: Standard deviations at which surface measures are cut.
+SPREAD = 4.0
 STEPS = 150
 PENALTY = 1.0
 
@@ -90,7 +92,7 @@ class Linear:
 
     def probability(self, some: set[bytes], dense: list[float]) -> float:
         z = self.bias + sum(map(self.weights.__getitem__, some & self.known)) + float(
-            ((np.asarray(dense) - self.center) / self.scale) @ self.dense)
+            np.clip((np.asarray(dense) - self.center) / self.scale, -SPREAD, SPREAD) @ self.dense)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -123,7 +125,7 @@ def fit(sample: list[tuple[set[bytes], list[float]]], y: np.ndarray, steps: int
         row += [i] * len(own)
         col += own
     row, col = np.array(row, int), np.array(col, int)
-    d = (dense - center) / scale
+    d = np.clip((dense - center) / scale, -SPREAD, SPREAD)
     cost = np.where(y > 0, n / (2 * ones), n / (2 * (n - ones)))
     w, v, b = np.zeros(len(r)), np.zeros(width), 0.0
     grads = [np.zeros(len(r)), np.zeros(width), 0.0]

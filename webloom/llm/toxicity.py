@@ -25,7 +25,9 @@ class Chain:
     models: list[linear.Linear]
 
     def probabilities(self, text: bytes) -> list[float]:
-        some, dense, _ = linear.features(text)
+        some, dense, n = linear.features(text)
+        if not n:
+            return [0.0] * len(self.models)
         out: list[float] = []
         for model in self.models:
             out.append(model.probability(some, [*dense, *out]))
@@ -69,7 +71,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     The chain is fitted on at most ``max_rows`` labelled documents and applied
     to the whole text of every row, in one pass without a shuffle. Null texts
-    are empty. Without labelled documents nothing is rejected. Repeated rows
+    are empty; a text without words has probability 0 in every category. Without labelled documents nothing is rejected. Repeated rows
     each give a row; an empty table gives none.
     """
     sample = linear.labelled_sample(docs, with_categories(labels), list(CATEGORIES), max_rows)

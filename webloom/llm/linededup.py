@@ -17,7 +17,7 @@ from webloom.llm.common import FILTER_BITS, id_filter, possibly_in, written
 SIMILARITY = Fraction(4, 5)
 #: Counters of the rarity order; words that share one are held equally rare. Fixes the size of what is broadcast.
 COUNTERS = 1 << 18
-#: Occurrences of a word from which its lines are spread over more tasks, in pairs of blocks of about this size.
+#: Line sets that hold a word in their prefix from which they are spread over more tasks, in pairs of blocks of about this size.
 BLOCK_ROWS = 2_000_000
 #: Candidates that a line is given of each prefix word in the first round; lines that have more are asked again.
 FIRST_ASK = 8
@@ -160,12 +160,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY, prefixes: bool = True) -> DataFrame:
-    """Every line that has words: a hash of its word set, its place and, if ``prefixes``, its size, signature and prefix.
+def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -> DataFrame:
+    """Every line that has words: a hash of its word set, its place, size, signature and prefix.
 
-    The prefix holds the hashes of as many of the rarest words as two sets of
-    the similarity must share one of, each below the number of blocks that its
-    lines are spread over.
+    The prefix holds half the hashes of as many of the rarest words as two sets
+    of the similarity must share one of.
     """
     a, b = t.numerator, t.denominator
 
@@ -178,30 +177,38 @@ def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY, p
             place = [pa.array(np.add.reduceat(_mixed(h, 0), start).view(np.int64)),
                      pa.array(np.add.reduceat(_mixed(h, 1), start).view(np.int64)),
                      pa.array(_ids(piece.column(0))[p.doc[line]]), pa.array(p.no[line], pa.int32())]
-            if not prefixes:
-                yield pa.record_batch(place, names=["h1", "h2", "doc", "line"])
-                continue
             n = np.diff(np.append(start, len(h)))
             at = np.arange(len(h)) - np.repeat(start, n)
             size = n - (a * n + b - 1) // b + 1
             keep = at < np.repeat(size, n)
-            blocks = 1 + counts.value[h[keep] & np.uint64(COUNTERS - 1)] // BLOCK_ROWS
-            prefix = (blocks.astype(np.int64) << 32) | (h[keep] >> np.uint64(32)).astype(np.int64)
+            prefix = (h[keep] >> np.uint64(32)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(size)])
             yield pa.record_batch([
                 *place, pa.array(n, pa.int32()), pa.array(_signature(start, h).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix))],
                 names=["h1", "h2", "doc", "line", "n", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, LINE if prefixes else LINE.partition(", n")[0])
+    return docs.select("doc_id", "text").mapInArrow(run, LINE)
+
+
+def hot_counters(sets: DataFrame) -> DataFrame:
+    """``(counter, k)``: counters of prefix words that more than ``BLOCK_ROWS`` line sets share, with their number of blocks.
+
+    At most ``COUNTERS`` rows at any size of input.
+    """
+    counter = F.col("word").bitwiseAND(F.lit(COUNTERS - 1))
+    counted = sets.select(F.explode("prefix").alias("word")).groupBy(counter.alias("counter")).count()
+    return written(counted.filter(F.col("count") >= BLOCK_ROWS).select(
+        "counter", (F.lit(1) + F.floor(F.col("count") / BLOCK_ROWS)).cast("long").alias("k")), "hot-words")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
+def _postings(sets: DataFrame, hot: DataFrame) -> DataFrame:
     """A row for each prefix word of each line set, and for each pair of blocks that its word's lines are compared in."""
     rows = sets.select("doc", "line", "n", "sig", "ask", F.posexplode("prefix").alias("at", "word"))
-    k = F.shiftright("word", 32)
+    rows = rows.join(F.broadcast(hot), F.col("word").bitwiseAND(F.lit(COUNTERS - 1)) == F.col("counter"), "left")
+    k = F.coalesce("k", F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64("doc", "line", "sig"), k)
-    rows = rows.select("*", k.alias("k"), own.alias("own"))
+    rows = rows.select("doc", "line", "n", "sig", "ask", "at", "word", k.alias("k"), own.alias("own"))
     other = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     rows = rows.select("*", F.explode(other).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -256,7 +263,8 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     return np.concatenate(ys), np.concatenate(xs), more
 
 
-def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK, first: bool = True) -> DataFrame:
+def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK,
+                    first: bool = True) -> DataFrame:
     """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``.
 
     Each y gets at most ``ask`` of every group; ``more`` tells that there may be
@@ -291,7 +299,7 @@ def candidate_pairs(sets: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_
         if held is not None:
             yield from pairs(held)
 
-    rows = _postings(sets)
+    rows = _postings(sets, hot)
     if not first:  # only groups of lines that are asked again
         rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
     rows = rows.select(*names).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig")
@@ -369,7 +377,8 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFra
     def unmatched(rows: DataFrame, hits: DataFrame) -> DataFrame:
         return rows.join(hits.select(*(F.col(c).alias(f"y_{c}") for c in ID)), y, "left_anti")
 
-    pairs = written(candidate_pairs(sets.withColumn("ask", F.lit(True)), t, ask), "pairs")
+    hot = hot_counters(sets)
+    pairs = written(candidate_pairs(sets.withColumn("ask", F.lit(True)), hot, t, ask), "pairs")
     best = pairs.groupBy(*y).agg(F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
                                  F.count(F.lit(1)).alias("n"))
     out = _checked(docs, best.select(*y, *(f"best.x_{c}" for c in ID)), t)
@@ -382,7 +391,7 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFra
         ask *= RAISE
         asked = unsure.select(*(F.col(f"y_{c}").alias(c) for c in ID), F.lit(True).alias("asks"))
         asked = sets.join(asked, list(ID), "left").withColumn("ask", F.coalesce("asks", F.lit(False))).drop("asks")
-        pairs = written(candidate_pairs(asked, t, ask, first=False), "pairs")
+        pairs = written(candidate_pairs(asked, hot, t, ask, first=False), "pairs")
         out = out.unionByName(_checked(docs, pairs, t))
 
 
@@ -404,7 +413,7 @@ def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     gone = _matches(docs, sets.drop("h1", "h2"), t, first_ask).withColumn("gone", F.lit(True))
     firsts = sets.drop("prefix").join(gone, list(ID), "left").select(
         "h1", "h2", F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    later = parsed_lines(docs, counts, t, prefixes=False).join(firsts, ["h1", "h2"]).filter(
+    later = parsed_lines(docs, counts, t).select("h1", "h2", "doc", "line").join(firsts, ["h1", "h2"]).filter(
         "gone or doc <> doc0 or line <> line0")
     return later.groupBy("doc").agg(F.collect_set("line").alias("lines"))
 

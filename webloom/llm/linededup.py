@@ -429,13 +429,14 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     size and signature, one stands for both). An empty table gives no rows. Other columns
     are passed on.
     """
-    lines = F.split("text", "\n", -1)
     later = written(later_lines(docs.select("doc_id", "text"), t, first_ask).select(
         F.col("doc").alias("__doc"), F.col("lines").alias("__later")), "later-lines")
     marked = possibly_in(docs, id_filter(later, "__doc"), _id())
     joined = marked.filter("__in").withColumn("__doc", _id()).join(later, "__doc", "left").unionByName(
         marked.filter("not __in"), allowMissingColumns=True)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__later")))
+    joined = joined.withColumn("__lines", F.split("text", "\n", -1))  # once a row, not once a line
+    lines = F.col("__lines")
+    kept = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__later")))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         *(F.when(F.col("__later").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)

@@ -167,3 +167,46 @@ def test_nested_list_levels_and_labels(spark):
     assert got == [("A", 6, ["LI"]), ("B", 7, ["LI"]), ("B2", 7, ["LI"]), ("deep", 9, ["LI"]), ("C", 5, ["LI"]),
                    ("D", 5, ["LI"]), ("E", 5, ["LI"]), ("F bold", 3, []), ("x", 4, ["LI"]), ("y", 4, ["LI"]),
                    ("G", 3, [])]
+
+
+def _texts(spark, html):
+    return [(r.text, r.tag_level, r.labels) for r in _blocks(spark, html)[1].orderBy("block_idx").collect()]
+
+
+def test_page_without_body_tag_gets_one(spark):
+    with_body = _texts(spark, "<html><head><title>T</title></head><body><p>one two</p></body></html>")
+    assert with_body == [("one two", 3, [])]  # HTML, BODY, P
+    assert _texts(spark, "<html><head><title>T</title></head><p>one two</p></html>") == with_body
+    assert [t for t, _, _ in _texts(spark, "plain <b>text</b>")] == ["plain text"]
+
+
+def test_stray_end_tags_change_nothing(spark):
+    want = _texts(spark, "<html><body><div><h2>head</h2><p>one two</p></div></body></html>")
+    assert want == [("head", 4, ["H2", "HEADING"]), ("one two", 4, [])]
+    assert _texts(spark, "<html><body></h2><div><h2>head</h2></noscript></section><p>one two</p></div></body></html>") == want
+    hidden = _texts(spark, "<html><body></noscript><noscript>hidden</noscript><p>one two</p></body></html>")
+    assert [t for t, _, _ in hidden] == ["one two"]
+
+
+def test_quoted_angle_bracket_does_not_end_a_tag(spark):
+    from webloom.operators.html import html_events
+    html = "<body><a title=\"a > b\" rel='x > y' href=\"x\">link text</a> <p class=\"open>rest" + "<i " + "k=\"v\" " * 20000 + ">t</i>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    first = html_events(pages).filter("tag = 'A' and kind = 'start'").first()
+    assert first.attrs == "title=\"a > b\" rel='x > y' href=\"x\""
+    assert "link text" in _texts(spark, html)[0][0]
+
+
+def test_records_of_one_page_id_are_not_spliced(spark):
+    from webloom.operators.html import html_events, text_blocks
+    pages = spark.createDataFrame([(1, "u", "<body><p>alpha</p></body>"), (1, "u", "<body><p>one two</p></body>"),
+                                   (1, "u", None), (2, "u", "<body>x</body>")], "page_id long, url string, html string")
+    assert [(r.doc_id, r.text) for r in text_blocks(html_events(pages)).orderBy("doc_id").collect()] == [
+        (1, "one two"), (2, "x")]
+
+
+def test_reverse_end_scan_and_paragraph_split_keep_members(spark):
+    from webloom.operators.classifiers import ignore_after_end_reverse, split_paragraphs
+    b = _mk(spark, [(20, 0.0, 3, True), (5, 0.0, 3, True)]).withColumn("members", F.array("block_idx"))
+    for rule in (ignore_after_end_reverse, split_paragraphs):
+        assert [r.members for r in rule(b).orderBy("block_idx").collect()] == [[0], [1]]

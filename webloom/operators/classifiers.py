@@ -243,10 +243,9 @@ def ignore_after_end_reverse(blocks: DataFrame, max_words: int = 200) -> DataFra
     hit = has(INDICATES_END_OF_TEXT) & (after <= max_words)
     labels = F.array_sort(F.array_remove(F.array_union("labels", F.array(F.lit(STRICTLY_NOT_CONTENT))),
                                          MIGHT_BE_CONTENT))
-    return _out(blocks.select(
-        *[c for c in BLOCK_COLUMNS if c not in ("labels", "is_content")],
-        F.when(hit, labels).otherwise(F.col("labels")).alias("labels"),
-        (F.col("is_content") & ~hit).alias("is_content")))
+    d = blocks.withColumn("_hit", hit)
+    return _out(d.withColumn("is_content", F.col("is_content") & ~F.col("_hit"))
+                .withColumn("labels", F.when(F.col("_hit"), labels).otherwise(F.col("labels"))))
 
 
 def keep_largest_fulltext(blocks: DataFrame) -> DataFrame:
@@ -289,7 +288,7 @@ def split_paragraphs(blocks: DataFrame) -> DataFrame:
         F.when(F.col("_split"), F.lit(0.0)).otherwise(F.col("text_density")).alias("text_density"),
         F.when(F.col("_split"), F.lit(0.0)).otherwise(F.col("link_density")).alias("link_density"),
         *[F.when(F.col("_split"), z).otherwise(F.col(c)).alias(c) for c in ("offset_start", "offset_end", "tag_level")],
-        "labels", "is_content")
+        "labels", "is_content", *[c for c in EXTRA_COLUMNS if c in blocks.columns])
     w = Window.partitionBy("doc_id").orderBy("block_idx", "_p")
     return _out(d.withColumn("block_idx", (F.row_number().over(w) - 1).cast("int")))
 

@@ -23,9 +23,11 @@ from webloom.functions.entities import decode_entities
 from webloom.functions.tokens import (ANCHOR_END, ANCHOR_START, JAVA_WHITESPACE, SOFT_SPACE, block_counts,
                                       block_tokens, java_trim)
 
-TOKEN_RE = r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>|[^<]+|<"
+# a tag ends at the first ">" outside quoted attribute values (possessive: no recursion on long tags)
+TOKEN_RE = (r"</?[A-Za-z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>|</?[A-Za-z][^>]*>"
+            r"|<![^>]*>|<\?[^>]*>|[^<]+|<")
 TAG_NAME_RE = r"^</?([A-Za-z][A-Za-z0-9:_-]*)"
-ATTRS_RE = r"^</?[A-Za-z][A-Za-z0-9:_-]*\s*(.*?)\s*/?>$"
+ATTRS_RE = r"(?s)^</?[A-Za-z][A-Za-z0-9:_-]*\s*(.*?)\s*/?>$"
 
 
 # --------------------------------------------------------------------------
@@ -141,7 +143,11 @@ def partition_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                     num_partitions: int | None = None) -> DataFrame:
     """(doc_id, h, title) hash-partitioned by doc_id: the single exchange of a
     page job. Events and titles are both derived from it, so the shuffle is
-    shared (exchange reuse) and later doc_id joins need no re-shuffle."""
+    shared (exchange reuse) and later doc_id joins need no re-shuffle.
+
+    Of records that share an id (a page crawled again) the one with the
+    greatest cleaned HTML is taken, so that pages are never spliced; records
+    without id are left out, as no result could name them."""
     # an explicit id filter keeps every branch's plan below the exchange
     # identical (joins infer the same filter), so the shuffle is reused
     # ids keep their own type (numeric page ids, or string record ids such as
@@ -149,6 +155,7 @@ def partition_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     pre = pages.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), clean_html(F.col(html_col)).alias("h"))
     pre = pre.repartition(num_partitions, "doc_id") if num_partitions else pre.repartition("doc_id")
+    pre = pre.groupBy("doc_id").agg(F.max("h").alias("h"))  # on the same partitioning: no exchange
     return pre.select("doc_id", "h", head_title(F.col("h")).alias("title"))
 
 
@@ -183,6 +190,9 @@ def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 LIST_TAGS = ("UL", "OL", "MENU")
+# Elements that may stand before the body; any other one opens it where a page has no BODY tag.
+HEAD_TAGS = ("HTML", "HEAD", "TITLE", "META", "LINK", "BASE", "BASEFONT", "ISINDEX", "STYLE", "SCRIPT", "NOSCRIPT",
+             "FRAMESET", "FRAME", "NOFRAMES")
 
 
 def _li_counts(ev: DataFrame) -> DataFrame:
@@ -210,9 +220,20 @@ def _li_counts(ev: DataFrame) -> DataFrame:
     return e3.select(*ev.columns, F.coalesce(F.sum("_dl").over(_w_before()), F.lit(0)).alias("li_count"))
 
 
+def _stray_ends(ev: DataFrame) -> DataFrame:
+    """Marks end tags of which no element is open (``stray``): the running
+    start-minus-end count of the tag falls below all it had before."""
+    w = Window.partitionBy("doc_id", "tag").orderBy("pos")
+    step = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1)
+    counted = ev.select("*", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run"))
+    low = F.least(F.lit(0), F.min("_run").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return counted.select(*ev.columns, ((F.col("kind") == "end") & (F.col("_run") < low)).alias("stray"))
+
+
 def _running_state(ev: DataFrame, actions: TagActions) -> DataFrame:
-    """Parser counters as window aggregates; all "before this event"."""
-    ev = _li_counts(ev)
+    """Parser counters as window aggregates; all "before this event". Stray
+    end tags change none of them."""
+    ev = _stray_ends(_li_counts(ev))
     tag, kind = F.col("tag"), F.col("kind")
     is_start, is_end = kind == "start", kind == "end"
     void = tag.isin(*VOID_TAGS)
@@ -220,7 +241,8 @@ def _running_state(ev: DataFrame, actions: TagActions) -> DataFrame:
     balanced = ~void & ~optional
 
     def delta(cond: Column) -> Column:
-        return F.when(cond & balanced & is_start, 1).when(cond & balanced & is_end, -1).otherwise(0)
+        return (F.when(cond & balanced & is_start, 1)
+                .when(cond & balanced & is_end & ~F.col("stray"), -1).otherwise(0))
 
     cols = {}
     for t, (start_closers, end_closers) in IMPLIED_END.items():
@@ -270,6 +292,12 @@ def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS, ke
     is_text = kind == "text"
     t_norm = F.regexp_replace(F.col("text"), JAVA_WHITESPACE, " ")
     core = F.regexp_replace(t_norm, "^ +| +$", "")
+    # a page without a BODY tag: the first body element or text opens the body
+    opens = (((kind == "start") & ~tag.isin(*HEAD_TAGS, *actions.body))
+             | (is_text & ~ignorable & (F.col("title_sum") == 0) & (core != "")))
+    has_body = F.max((kind == "start") & tag.isin(*actions.body)).over(_w_all())
+    st = st.select("*", (~has_body & F.max(opens).over(_w_upto())).alias("implied_body"))
+    level = level + F.col("implied_body").cast("int")
     soft = F.lit(SOFT_SPACE)
     text_piece = (F.when(~is_text | ignorable, F.lit(None))
                   .when(core == "", soft)
@@ -286,7 +314,7 @@ def text_blocks(events: DataFrame, actions: TagActions = DEFAULT_TAG_ACTIONS, ke
     ev = st.select(
         "doc_id", "pos", "grp", "is_trigger", "in_a",
         F.when(F.col("is_trigger"), F.col("grp") - 1).otherwise(F.col("grp")).alias("owner"),
-        (F.col("body_sum") > 0).alias("in_body"),
+        ((F.col("body_sum") > 0) | F.col("implied_body")).alias("in_body"),
         text_piece.alias("tp"), token_piece.alias("kp"),
         F.when(is_core, level).alias("core_level"),
         F.when(is_exec, _label_array(actions)).alias("exec_labels"),

@@ -10,8 +10,10 @@ from __future__ import annotations
 from html.entities import name2codepoint
 
 from webloom.functions.tokens import JAVA_WHITESPACE, JOINING_PUNCT, MAX_LINE_LENGTH
-from webloom.operators.html import (ATTRS_RE, DEFAULT_TAG_ACTIONS, IMPLIED_END, LIST_TAGS, TAG_NAME_RE, TOKEN_RE,
-                                    VOID_TAGS)
+from webloom.operators.html import (ATTRS_RE, DEFAULT_TAG_ACTIONS, HEAD_TAGS, IMPLIED_END, LIST_TAGS, TAG_NAME_RE, VOID_TAGS)
+
+TOKEN_RE = (r"</?[A-Za-z](?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*>|</?[A-Za-z][^>]*>"
+            r"|<![^>]*>|<\?[^>]*>|[^<]+|<")
 
 
 def q(s: str) -> str:
@@ -55,13 +57,13 @@ FROM (
     SELECT doc_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, unnest(toks) AS tok
     FROM (
       SELECT CAST(page_id AS BIGINT) AS doc_id,
-             regexp_extract_all(
+             regexp_extract_all(max(
                regexp_replace(regexp_replace(regexp_replace(html,
                  '(?s)<!--.*?(-->|\\z)', '', 'g'),
                  '(?is)(<script\\b[^>]*>).*?(</script\\s*>|\\z)', '\\1</script>', 'g'),
-                 '(?is)(<style\\b[^>]*>).*?(</style\\s*>|\\z)', '\\1</style>', 'g'),
+                 '(?is)(<style\\b[^>]*>).*?(</style\\s*>|\\z)', '\\1</style>', 'g')),
                {q(TOKEN_RE)}) AS toks
-      FROM {pages})))
+      FROM {pages} WHERE page_id IS NOT NULL GROUP BY page_id)))
 WHERE kind IS NOT NULL"""
 
 
@@ -101,7 +103,7 @@ def blocks_sql(events: str, with_owner: bool = False) -> str:
 
     def delta(cond):
         return (f"CASE WHEN {cond} AND {balanced} AND kind = 'start' THEN 1 "
-                f"WHEN {cond} AND {balanced} AND kind = 'end' THEN -1 ELSE 0 END")
+                f"WHEN {cond} AND {balanced} AND kind = 'end' AND NOT stray THEN -1 ELSE 0 END")
 
     opens = ["li_count > 0 AS open_LI"]
     for t, (sc, ec) in IMPLIED_END.items():
@@ -138,6 +140,14 @@ l0 AS (
                       WHEN (tag = 'LI' AND kind = 'end') OR (tag IN {lists} AND kind = 'end') THEN -ob ELSE 0 END)
       OVER (PARTITION BY doc_id ORDER BY pos {wbp}), 0) AS li_count
   FROM l2
+), l4 AS (
+  SELECT *, sum(CASE kind WHEN 'start' THEN 1 WHEN 'end' THEN -1 END)
+    OVER (PARTITION BY doc_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM l3
+), l5 AS (
+  SELECT * EXCLUDE (run), coalesce(kind = 'end' AND run < least(0, coalesce(min(run)
+    OVER (PARTITION BY doc_id, tag ORDER BY pos {wbp}), 0)), false) AS stray
+  FROM l4
 ),"""
     label_parts = []
     for t, ls in sorted(A.labels.items()):
@@ -156,17 +166,27 @@ st AS (
     coalesce(sum({delta(f'tag NOT IN {inlist(no_level)}')}) OVER wb, 0) AS lvl_sum,
     coalesce(sum({delta(f'tag IN {inlist(ign_bal)}')}) OVER wb, 0) AS ign_sum,
     coalesce(sum({delta("tag = 'BODY'")}) OVER wb, 0) AS body_sum,
+    coalesce(sum({delta("tag = 'TITLE'")}) OVER wb, 0) AS title_sum,
     coalesce(last_value(CASE WHEN tag = 'A' AND kind = 'start' THEN true WHEN tag = 'A' AND kind = 'end' THEN false END
                         IGNORE NULLS) OVER wb, false) AS in_a,
     {', '.join(labs)},
     sum(CASE WHEN is_trigger THEN 1 ELSE 0 END) OVER wu AS grp
-  FROM (SELECT *, coalesce(kind <> 'text' AND tag NOT IN {inlist(no_boundary)}, false) AS is_trigger FROM l3)
+  FROM (SELECT *, coalesce(kind <> 'text' AND tag NOT IN {inlist(no_boundary)}, false) AS is_trigger FROM l5)
   WINDOW wb AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          wu AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), opening AS (
+  SELECT *, coalesce((kind = 'start' AND tag NOT IN {inlist(HEAD_TAGS + A.body)})
+                     OR (kind = 'text' AND NOT {ignorable} AND title_sum = 0 AND {core} <> ''), false) AS opens,
+    bool_or(kind = 'start' AND tag = 'BODY') OVER (PARTITION BY doc_id) AS has_body
+  FROM st
+), bodied AS (
+  SELECT *, NOT has_body AND bool_or(opens) OVER (PARTITION BY doc_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS implied_body
+  FROM opening
 ), ev0 AS (
   SELECT doc_id, pos, grp, is_trigger, in_a,
     CASE WHEN is_trigger THEN grp - 1 ELSE grp END AS owner,
-    body_sum > 0 AS in_body,
+    body_sum > 0 OR implied_body AS in_body,
     CASE WHEN kind IN ('start', 'end') AND tag = 'A' AND NOT {ignorable} THEN {soft}
          WHEN kind IN ('start', 'end') AND tag IN ('ABBR', 'ACRONYM') THEN {soft}
          WHEN kind <> 'text' OR {ignorable} THEN NULL
@@ -175,9 +195,9 @@ st AS (
               || CASE WHEN suffix({tnorm}, ' ') THEN {soft} ELSE '' END END AS tp,
     CASE WHEN kind = 'start' AND tag = 'A' AND NOT {ignorable} THEN {soft} || '\ue00a' || {soft}
          WHEN kind = 'end' AND tag = 'A' AND NOT {ignorable} THEN {soft} || '\ue00b' || {soft} END AS marker,
-    CASE WHEN kind = 'text' AND NOT {ignorable} AND {core} <> '' THEN {level} END AS core_level,
+    CASE WHEN kind = 'text' AND NOT {ignorable} AND {core} <> '' THEN {level} + CAST(implied_body AS INTEGER) END AS core_level,
     CASE WHEN kind = 'text' OR kind = 'end' OR (kind = 'start' AND tag = 'BODY') THEN {label_arr} END AS exec_labels
-  FROM st
+  FROM bodied
 ), ev AS (
   SELECT *, coalesce(marker, tp) AS kp,
     first_value(exec_labels IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos

@@ -152,3 +152,15 @@ def test_seqfile_and_text_per_doc(spark):
     write_text_per_doc(docs, f"{d}/per_doc", buckets=4)
     back = spark.read.text(f"{d}/per_doc")
     assert back.count() == 20 and back.select("bucket").distinct().count() <= 4
+
+
+def test_records_with_other_first_headers_dates_and_case(spark):
+    from pyspark.sql import functions as F
+
+    from webloom.sources.crawl import parse_warc_records, warc_rejects
+    head = "Content-Type: application/http\r\nWARC-Type: response\r\nwarc-trec-id: a-1\r\nWARC-Date: {}\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody"
+    raw = spark.createDataFrame([(head.format("2012-02-12T09:08:06.25Z"), "p"), (head.format("soon"), "p"),
+                                 ("no header here", "p"), ("", "p")], "value string, path string")
+    rows = parse_warc_records(raw).select("trec_id", "html", F.col("warc_date").cast("string").alias("d")).collect()
+    assert sorted(map(tuple, rows), key=str) == [("a-1", "body", "2012-02-12 09:08:06.25"), ("a-1", "body", None)]
+    assert [r.value for r in warc_rejects(raw).collect()] == ["no header here"]

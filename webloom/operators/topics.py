@@ -73,10 +73,10 @@ def trigamma(x):
 # ------------------------------------------------------------------ MLlib path
 
 def fit_lda_mllib(doc_terms_arrays: DataFrame, k: int = 10, max_iter: int = 20, seed: int = 7,
-                  terms_col: str = "terms", subsampling_rate: float = 0.05):
+                  terms_col: str = "terms", subsampling_rate: float = 1.0):
     """L1 by MLlib: term counts over the whole vocabulary + online LDA (alpha
-    learned), which by its method reads a fresh share of the documents in every
-    iteration (1.0: all of them). The vocabulary and the K x V matrix are held
+    learned). Every iteration reads all documents; a lower ``subsampling_rate``
+    is the caller's choice. The vocabulary and the K x V matrix are held
     by the driver; ``fit_lda_em`` reads all documents and has no such bound."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 # Fixed values of the WARC format.
 RECORD_SEPARATOR = "WARC/1.0\r\n"
 HEADER_END = "\r\n\r\n"
+#: A record starts with a header line, whichever its name.
+HEADER_LINE = r"^[A-Za-z][A-Za-z0-9-]*[ \t]*:"
 
 
 def _header(block: Column, name: str) -> Column:
-    v = F.regexp_extract(block, r"(?m)^" + name + r":[ \t]*([^\r\n]*)", 1)
+    v = F.regexp_extract(block, r"(?im)^" + name + r":[ \t]*([^\r\n]*)", 1)
     return F.when(v != "", v)
 
 
@@ -30,10 +32,11 @@ def read_warc_raw(spark: SparkSession, path: str, recursive: bool = True) -> Dat
 
 
 def parse_warc_records(raw: DataFrame, value_col: str = "value", path_col: str | None = "path") -> DataFrame:
-    """Parse record texts; pieces that do not start with a WARC header line
-    (e.g. the empty piece before the first separator) are dropped."""
+    """Parse record texts; pieces that do not start with a header line
+    (e.g. the empty piece before the first separator) are left to
+    ``warc_rejects``. A date that is none is null."""
     v = F.col(value_col)
-    ok = raw.where(v.startswith("WARC-"))
+    ok = raw.where(v.rlike(HEADER_LINE))
     parts = F.split(v, HEADER_END, 3)
     warc_h = parts.getItem(0)
     rec_type = _header(warc_h, "WARC-Type")
@@ -46,7 +49,7 @@ def parse_warc_records(raw: DataFrame, value_col: str = "value", path_col: str |
         _header(warc_h, "WARC-TREC-ID").alias("trec_id"),
         rec_type.alias("record_type"),
         _header(warc_h, "WARC-Target-URI").alias("url"),
-        F.to_timestamp(_header(warc_h, "WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("warc_date"),
+        F.try_to_timestamp(_header(warc_h, "WARC-Date")).alias("warc_date"),
         http_h.alias("http_headers"),
         body.alias("html"),
     ]
@@ -56,7 +59,7 @@ def parse_warc_records(raw: DataFrame, value_col: str = "value", path_col: str |
 def warc_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Pieces that are not WARC records (kept for inspection, not parsed)."""
     v = F.col(value_col)
-    return raw.where(~v.startswith("WARC-") & (F.length(F.trim(v)) > 0))
+    return raw.where(~v.rlike(HEADER_LINE) & (F.length(F.trim(v)) > 0))
 
 
 def read_warc(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

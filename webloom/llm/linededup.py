@@ -148,8 +148,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for piece in _pieces(batches, 0):
-            p = Parsed(piece.column(0))
-            np.add.at(total, (p.hash & np.uint64(COUNTERS - 1)).astype(np.int64), np.bincount(p.code, minlength=len(p.hash)))
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(piece.column(0), ""))).flatten().value_counts()
+            n = words.field(1).to_numpy(zero_copy_only=False)
+            np.add.at(total, (word_hashes(words.field(0)) & np.uint64(COUNTERS - 1)).astype(np.int64), n)
         some = np.nonzero(total)[0]
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], names=["counter", "n"])
 

@@ -23,6 +23,8 @@ BLOCK_ROWS = 2_000_000
 FIRST_ASK = 8
 #: By how much each further round raises that.
 RAISE = 16
+#: Prefix words beyond the first that a pair must share, where its sizes force that many.
+FURTHER = 1
 #: Text that a task parses at once.
 PARSE_BYTES = 4 << 20
 
@@ -227,8 +229,9 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     """Of rows sorted by group and place: (later, earlier, more) of pairs of a group that pass the filters.
 
     Length, position and signature bound the words that two lines can share or
-    differ in. Each later row gets the ``ask`` nearest earlier ones; ``more``
-    marks rows that may have others.
+    differ in; the position allows for ``FURTHER`` shared words before this one.
+    Each later row gets the ``ask`` nearest earlier ones; ``more`` marks rows
+    that may have others.
     """
     a, b = t.numerator, t.denominator
     g, n, at, sig, side = rows["g"], rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["sig"], rows["side"]
@@ -247,7 +250,7 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
         x = active - step
         both = n[active] + n[x]
         shared = np.minimum(n[active] - at[active], n[x] - at[x])
-        ok = (np.abs(n[active] - n[x]) * (a + b) <= both * (b - a)) & (shared * (a + b) >= a * both) & (
+        ok = (np.abs(n[active] - n[x]) * (a + b) <= both * (b - a)) & ((shared + FURTHER) * (a + b) >= a * both) & (
             (side[active] == 0) | (side[active] != side[x])) & ((doc[active] != doc[x]) | (line[active] != line[x]))
         near = np.nonzero(ok)[0]
         ok[near] = _apart(sig[active[near]], sig[x[near]]) * (a + b) <= both[near] * (b - a)
@@ -264,13 +267,33 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     return np.concatenate(ys), np.concatenate(xs), more
 
 
+def _enough_groups(t: Fraction) -> Column:
+    """Whether a pair shares as many prefix words as its sizes force.
+
+    Two sets of the similarity share at least ``o`` words, so at most ``n - o``
+    of each are not shared, and all but that many places of each prefix hold
+    shared words, the first ones in both.
+    """
+    a, b = t.numerator, t.denominator
+    y, x = F.col("y_n").cast("long"), F.col("x_n").cast("long")
+    o = F.expr(f"(cast(y_n as long) + x_n) * {a} div {a + b}") + F.when((y + x) * a % (a + b) == 0, 0).otherwise(1)
+
+    def forced(n: Column, name: str) -> Column:
+        prefix = n - F.expr(f"(cast({name} as long) * {a} + {b - 1}) div {b}") + 1
+        return prefix - (n - o)
+
+    return F.col("groups") >= F.least(F.lit(1 + FURTHER), forced(y, "y_n"), forced(x, "x_n"))
+
+
 def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK,
                     first: bool = True) -> DataFrame:
     """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``.
 
     Each y gets at most ``ask`` of every group; ``more`` tells that there may be
-    others. ``groups`` counts the groups that a pair shares. After the ``first``
-    round only groups with a set that is asked again are looked at.
+    others. ``groups`` counts the groups that a pair shares, and ``enough``
+    tells whether they are as many as a match must share (a match that a full
+    group left out has too few; its y has ``more`` and asks again). After the
+    ``first`` round only groups with a set that is asked again are looked at.
     """
     names = ["g", "side", "doc", "line", "n", "sig", "at", "ask"]
 
@@ -305,7 +328,8 @@ def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, a
         rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
     rows = rows.select(*names).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig")
     return rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
-        F.max("more").alias("more"), F.count(F.lit(1)).alias("groups"))
+        F.max("more").alias("more"), F.count(F.lit(1)).alias("groups")).withColumn(
+        "enough", _enough_groups(t)).filter("enough or more")
 
 
 def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -380,10 +404,11 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFra
 
     hot = hot_counters(sets)
     pairs = written(candidate_pairs(sets.withColumn("ask", F.lit(True)), hot, t, ask), "pairs")
-    best = pairs.groupBy(*y).agg(F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
+    fit = pairs.filter("enough")
+    best = fit.groupBy(*y).agg(F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
                                  F.count(F.lit(1)).alias("n"))
     out = _checked(docs, best.select(*y, *(f"best.x_{c}" for c in ID)), t)
-    others = unmatched(pairs.join(best.filter("n > 1").select(*y), y, "left_semi"), out)
+    others = unmatched(fit.join(best.filter("n > 1").select(*y), y, "left_semi"), out)
     out = out.unionByName(_checked(docs, written(others, "pairs"), t))
     while True:
         unsure = written(unmatched(pairs.filter("more").select(*y).distinct(), out), "unsure")
@@ -393,7 +418,7 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFra
         asked = unsure.select(*(F.col(f"y_{c}").alias(c) for c in ID), F.lit(True).alias("asks"))
         asked = sets.join(asked, list(ID), "left").withColumn("ask", F.coalesce("asks", F.lit(False))).drop("asks")
         pairs = written(candidate_pairs(asked, hot, t, ask, first=False), "pairs")
-        out = out.unionByName(_checked(docs, pairs, t))
+        out = out.unionByName(_checked(docs, pairs.filter("enough"), t))
 
 
 def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRST_ASK) -> DataFrame:

@@ -5,8 +5,8 @@ Plan shape:
   counts per document (the only pass over all tokens); the vocabulary is the
   distinct terms of that table; ids are dense ranks in term order, assigned
   per range partition plus a per-partition offset (no single-task window);
-  the vocabulary join is broadcast only when the counted vocabulary is below
-  a row bound, otherwise a shuffle join (AQE splits skewed terms).
+  the vocabulary join has no hint: Spark broadcasts a vocabulary whose size is
+  below its own byte bound, and AQE splits skewed terms of a shuffle join.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from webloom.session import checkpoint_dir
 from webloom.functions.cleaning import clean_documents, strip_stored_newline
 from webloom.functions.stem import stem_tokens
 
-BROADCAST_VOCAB_MAX_ROWS = 2_000_000
-
 
 def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """texts(doc_id STRING, text STRING): the cleaner's output per document."""
@@ -66,18 +64,14 @@ def assign_ids(terms: DataFrame, col: str = "term", num_partitions: int | None =
         col, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).alias("term_id"))
 
 
-def join_vocab(rows: DataFrame, vocab: DataFrame, max_broadcast_rows: int = BROADCAST_VOCAB_MAX_ROWS,
-               vocab_rows: int | None = None) -> DataFrame:
-    """Attach term_id. Broadcast the vocabulary only when its counted
-    size is below ``max_broadcast_rows``; otherwise a shuffle join."""
-    if vocab_rows is not None and vocab_rows <= max_broadcast_rows:
-        vocab = F.broadcast(vocab)
+def join_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Attach term_id."""
     return rows.join(vocab, "term")
 
 
-def doc_terms(counts: DataFrame, vocab: DataFrame, **kw) -> DataFrame:
+def doc_terms(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """doc_terms(doc_id, term_id, count)."""
-    return join_vocab(counts, vocab, **kw).select("doc_id", "term_id", "count")
+    return join_vocab(counts, vocab).select("doc_id", "term_id", "count")
 
 
 def doc_vectors(dterms: DataFrame) -> DataFrame:
@@ -93,25 +87,25 @@ def vector_lines(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.concat_ws(" ", "doc_id", "vector").alias("value"))
 
 
-def vectorize(texts: DataFrame, stem: bool = False, max_broadcast_rows: int = BROADCAST_VOCAB_MAX_ROWS,
-              materialize: bool = True):
+def corpus_size(texts: DataFrame) -> DataFrame:
+    """A10: number of documents that have a term."""
+    return corpus_terms(texts).agg(F.count_distinct("doc_id").alias("num_docs"))
+
+
+def vectorize(texts: DataFrame, stem: bool = False, materialize: bool = True):
     """Full job: returns (vocab, doc_terms, vectors).
 
-    With ``materialize`` the vocabulary is checkpointed to the session's
-    shared checkpoint folder (it is an output and is read twice), which also
-    gives the exact row count that decides the join strategy.
+    With ``materialize`` the counts and the vocabulary are checkpointed to the
+    session's shared checkpoint folder (both are read twice).
     """
     counts = term_counts(corpus_terms(texts, stem))
-    n = None
     if materialize:
-        from webloom.session import checkpoint_dir
         checkpoint_dir(texts.sparkSession)
         counts = counts.checkpoint(eager=True)  # read by the vocabulary and the join
     vocab = assign_ids(distinct_terms(counts))
     if materialize:
         vocab = vocab.checkpoint(eager=True)
-        n = vocab.count()
-    dt = doc_terms(counts, vocab, max_broadcast_rows=max_broadcast_rows, vocab_rows=n)
+    dt = doc_terms(counts, vocab)
     return vocab, dt, doc_vectors(dt)
 
 

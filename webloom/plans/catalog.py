@@ -269,6 +269,13 @@ def q_doc_vectors(spark, sf):
     return vec
 
 
+@register("doc_vectors_stemmed")
+def q_doc_vectors_stemmed(spark, sf):
+    from webloom.operators import vectorize as V
+    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)), stem=True)
+    return vec
+
+
 @register("join_vocab")
 def q_join_vocab(spark, sf):
     from webloom.operators import vectorize as V
@@ -342,8 +349,7 @@ def q_alpha_newton(spark, sf):
 def q_corpus_size(spark, sf):
     """A10: number of documents of the vectorized corpus."""
     from webloom.operators import vectorize as V
-    _, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
-    return dt.agg(F.countDistinct("doc_id").alias("num_docs"))
+    return V.corpus_size(V.cleaned_texts(documents(spark, sf)))
 
 
 # ---------------------------------------------------------------- crawl records, files

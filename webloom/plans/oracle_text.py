@@ -138,17 +138,32 @@ def clean_sql(x: str) -> str:
 
 CLEAN_DOCS = f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {clean_sql('text')} AS text FROM documents"
 
-TERM_COUNTS = f"""
+
+def term_counts_sql(stem: bool = False) -> str:
+    toks = "string_split(regexp_replace(text, '\\n$', ''), ' ')"
+    return f"""
   SELECT doc_id, term, count(*) AS count FROM (
-    SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\n$', ''), ' '), lambda t: t <> '')) AS term
+    SELECT doc_id, unnest(list_filter({porter_sql(toks) if stem else toks}, lambda t: t <> '')) AS term
     FROM ({CLEAN_DOCS})) GROUP BY doc_id, term"""
 
-VOCAB = f"""
+
+def vocab_sql(counts: str) -> str:
+    return f"""
   SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id
-  FROM (SELECT DISTINCT term FROM ({TERM_COUNTS}))"""
+  FROM (SELECT DISTINCT term FROM ({counts}))"""
+
 
-DOC_TERMS = f"SELECT c.doc_id, v.term_id, c.count FROM ({TERM_COUNTS}) c JOIN ({VOCAB}) v USING (term)"
+def doc_terms_sql(counts: str) -> str:
+    return f"SELECT c.doc_id, v.term_id, c.count FROM ({counts}) c JOIN ({vocab_sql(counts)}) v USING (term)"
 
-DOC_VECTORS = f"""
+
+def doc_vectors_sql(counts: str) -> str:
+    return f"""
   SELECT doc_id, string_agg(CAST(term_id AS VARCHAR) || ':' || CAST(count AS VARCHAR), ' ' ORDER BY term_id) AS vector
-  FROM ({DOC_TERMS}) GROUP BY doc_id"""
+  FROM ({doc_terms_sql(counts)}) GROUP BY doc_id"""
+
+
+TERM_COUNTS = term_counts_sql()
+VOCAB = vocab_sql(TERM_COUNTS)
+DOC_TERMS = doc_terms_sql(TERM_COUNTS)
+DOC_VECTORS = doc_vectors_sql(TERM_COUNTS)

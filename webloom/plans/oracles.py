@@ -128,6 +128,7 @@ ORACLES["distinct_terms"] = f"SELECT DISTINCT term FROM ({OT.TERM_COUNTS})"
 ORACLES["assign_ids"] = OT.VOCAB
 ORACLES["term_freq"] = OT.DOC_TERMS
 ORACLES["doc_vectors"] = OT.DOC_VECTORS
+ORACLES["doc_vectors_stemmed"] = OT.doc_vectors_sql(OT.term_counts_sql(stem=True))
 ORACLES["join_vocab"] = f"""
   SELECT t.doc_id, t.term, v.term_id FROM (
     SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\n$', ''), ' '), lambda t: t <> '')) AS term

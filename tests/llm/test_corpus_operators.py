@@ -60,6 +60,28 @@ def _later(rows):
     return gone
 
 
+def test_similar_lines_share_the_forced_prefix_words(spark):
+    """Pairs at or just above the similarity: the count filter keeps all, and only prefix words near enough to the start count."""
+    from webloom.llm import linededup
+    rng = random.Random(3)
+    rows = []
+    while len(rows) < 3000:
+        x = set(rng.sample(range(400), rng.randint(1, 60)))
+        y = set(x)
+        for _ in range(rng.randint(0, 1 + len(x) // 5)):
+            y.discard(rng.choice(sorted(x))) if rng.random() < 0.5 else y.add(rng.randrange(400))
+        if not y or 5 * len(x & y) < 4 * len(x | y):
+            continue
+        place = [{w: k for k, w in enumerate(sorted(s)[:len(s) - -(-4 * len(s) // 5) + 1])} for s in (y, x)]
+        near = [w for w in place[0].keys() & place[1].keys() if 9 * (
+            min(len(y) - place[0][w], len(x) - place[1][w]) + linededup.FURTHER) >= 4 * (len(x) + len(y))]
+        rows.append((len(y), len(x), len(near)))
+    pairs = spark.createDataFrame(rows, "y_n int, x_n int, groups long")
+    assert pairs.filter(~linededup._enough_groups(linededup.SIMILARITY)).count() == 0
+    long = spark.createDataFrame([(50, 50, 1), (50, 40, 1), (5, 4, 1)], "y_n int, x_n int, groups long")
+    assert [r.ok for r in long.select(linededup._enough_groups(linededup.SIMILARITY).alias("ok")).collect()] == [False, True, True]
+
+
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     from webloom.llm import linededup
     monkeypatch.setattr(linededup, "BLOCK_ROWS", 40)

@@ -16,6 +16,10 @@ from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
 
+#: Targets of the domains that the first stage leaves.
+MIX_TARGETS = {domain: share for domain, share in mixing.TARGETS.items() if domain != "toxic"}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
     scored = toxicity.toxicity(docs, load_table(spark, sf_dir, "labels"))
@@ -46,8 +50,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the rates at which their domains' tokens meet the targets."""
-    return mixing.mix(docs, load_table(spark, sf_dir, "labels"))
+    """All documents, with the rates at which their domains' tokens meet the targets.
+
+    The first stage rejects toxic documents, so the toxic domain has no target
+    here and the others' keep their proportion. Posteriors are fitted on the
+    labelled documents of the whole table, those that stages removed included.
+    """
+    labels = load_table(spark, sf_dir, "labels").filter("toxic = 0")
+    return mixing.mix(docs, labels, MIX_TARGETS, fitted_on=load_table(spark, sf_dir, "documents"))
 
 
 STAGES = [

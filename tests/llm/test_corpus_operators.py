@@ -205,3 +205,37 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) in (["1", "None"], ["1", "3", "None"])
     lines = {r.doc_id: r.text for r in P.drop_later_lines(spark, docs, "").collect()}
     assert lines[1] == base and lines[3] == "own" and 2 not in lines
+
+
+def test_pipeline_mixes_what_is_left_to_its_targets(spark, tmp_path):
+    import corpus_pipeline as P
+    from webloom.llm.mixing import fit_rates, mix
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(300):
+        kind = ("good", "good", "bad", "vile")[i % 4]
+        own = rng.choices("the of and to was with for this they that".split(), k=30) + [f"u{i}x{j}" for j in range(10)]
+        own[3] = {"good": "fine", "bad": "spam", "vile": "scum"}[kind]
+        docs.append((i, " ".join(own), "en", "s", 100))
+        labels.append((i, int(kind != "bad"), int(kind == "vile")))
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(300) if i % 4 < 3}
+    total = sum(r.n_tokens for r in rows)
+    for domain, share in (("high_quality", 0.8 / 0.95), ("low_quality", 0.15 / 0.95)):
+        assert sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in rows) == pytest.approx(share * total, rel=1e-6)
+    assert np.mean([r.p_low_quality > 0.5 for r in rows if r.doc_id % 4 == 2]) > 0.9 and min(r.rate for r in rows) >= 0
+    # targets that no rates meet are told, not missed in silence; hard ones are met in as many steps as they need
+    left = spark.createDataFrame([d for d in docs if d[0] % 4 < 3], DOCS)
+    with pytest.raises(ValueError, match="toxic"):
+        mix(left, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    p = rng.choices([(0.9, 0.1), (0.5, 0.5), (0.1, 0.9)], k=400)
+    scored = spark.createDataFrame([(10, *x) for x in p], "n_tokens long, p_a double, p_b double")
+    for share in (0.3, 0.89):
+        path = fit_rates(scored, {"a": share, "b": 1 - share})
+        rate = np.ones(400)
+        for step in path:
+            rate = np.maximum(0, rate - np.array(p) @ step)
+        assert (rate * np.array(p)[:, 0]).sum() == pytest.approx(share * 400, rel=1e-6)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from webloom.llm.common import slices, written
 
 #: Domains of the labelled table and the share of all tokens that each should have.
 TARGETS = {"high_quality": 0.8, "low_quality": 0.15, "toxic": 0.05}
-MAX_STEPS = 60
+MAX_STEPS = 1000
+#: Largest gap of a domain's tokens to its target, as a share of all tokens, at which targets count as met.
 TOLERANCE = 1e-9
 
 
@@ -25,14 +27,15 @@ def with_domains(labels: DataFrame) -> DataFrame:
                          (~toxic & (F.col("quality") == 0)).cast("int").alias("low_quality"), toxic.cast("int").alias("toxic"))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows: int = linear.MAX_ROWS) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows: int = linear.MAX_ROWS,
+               fitted_on: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``p_<domain>``, summing to 1, for every row.
 
     ``labels`` has a 0/1 column for each domain. One linear model per domain is
-    fitted on at most ``max_rows`` labelled documents; their probabilities are
-    scaled to a sum of 1.
+    fitted on at most ``max_rows`` labelled documents of ``fitted_on`` (of
+    ``docs`` if not given); their probabilities are scaled to a sum of 1.
     """
-    sample = linear.labelled_sample(docs, labels, domains, max_rows)
+    sample = linear.labelled_sample(docs if fitted_on is None else fitted_on, labels, domains, max_rows)
     rows = [(some, dense) for _, some, dense, _ in sample]
     models = [linear.fit(rows, np.array([y[k] for y, *_ in sample], float)) for k in range(len(domains))]
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -72,15 +75,17 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     their tokens; in these measures the step length is 1, and a document's step
     depends on its posterior only. So the state of the fit is one vector per
     step: every iteration is a job that replays the steps for each document and
-    adds up its domain tokens. It ends when the targets are met, the residual
-    no longer falls, or after ``max_steps``.
+    adds up its domain tokens. It ends when every target is met to ``tolerance``
+    of all tokens. If one can't be met, as no document has so high a posterior,
+    or is not after ``max_steps`` or when the residual no longer falls, a
+    ``ValueError`` tells the gap.
     """
     names = [f"p_{d}" for d in targets]
     k = len(names)
 
     def sums(path: list[np.ndarray], second: bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k)
+            total, top = np.zeros(k + k * k), np.zeros(k)
             for b in batches:
                 n = b.column(0).to_numpy(zero_copy_only=False).astype(float)
                 p = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
@@ -88,10 +93,13 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
                 total[:k] += a.T @ _rates(p, path)
                 if second:
                     total[k:] += (a.T @ p).ravel()
-            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
+                    top = np.maximum(top, np.where(n[:, None] > 0, p, 0.0).max(0, initial=0.0))
+            both = np.concatenate([total, top])
+            yield pa.record_batch([pa.array(np.arange(len(both)), pa.int32()), pa.array(both)], names=["i", "x"])
 
-        found = scored.select("n_tokens", *names).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
-        out = np.zeros(k + k * k)
+        x = F.when(F.col("i") < k + k * k, F.sum("x")).otherwise(F.max("x"))
+        found = scored.select("n_tokens", *names).mapInArrow(run, "i int, x double").groupBy("i").agg(x.alias("x"))
+        out = np.zeros(k + k * k + k)
         for r in found.collect():
             out[r.i] = r.x
         return out
@@ -100,36 +108,47 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     total = first[:k].sum()
     if total == 0:
         return []
-    want = np.array(list(targets.values())) / sum(targets.values()) * total
-    inverse = np.linalg.pinv(first[k:].reshape(k, k), rcond=1e-12)
+    share = np.array(list(targets.values())) / sum(targets.values())
+    want = share * total
+    top = first[k + k * k:]
+    over = [f"{d}: {w:.6g} of all tokens, posteriors up to {p:.6g}"
+            for d, w, p in zip(targets, share, top, strict=True) if w > p + tolerance]
+    if over:
+        raise ValueError(f"targets that no rates meet ({'; '.join(over)})")
+    inverse = np.linalg.pinv(first[k:k + k * k].reshape(k, k), rcond=1e-12)
     path: list[np.ndarray] = []
     have, best = first[:k], np.inf
-    for _ in range(max_steps):
+    while True:
         short = have - want
+        gap = float(np.abs(short).max()) / total
+        if gap <= tolerance:
+            return path
         left = float(short @ inverse @ short)
-        if np.abs(short).max() <= tolerance * total or left >= best * (1 - 1e-9):
-            break
+        if len(path) >= max_steps or left >= best * (1 - 1e-9):
+            raise ValueError(f"targets are missed by {gap:.3g} of all tokens after {len(path)} steps (tolerance {tolerance:g})")
         best = left
         path.append(inverse @ short)
         have = sums(path, False)[:k]
-    return path
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rows: int = linear.MAX_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rows: int = linear.MAX_ROWS,
+        fitted_on: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``p_<domain>`` and ``rate``: how often each document should be drawn.
 
     No row is dropped: rates are expected counts, 1 for a document that is to
     be read once. ``labels`` is the table ``labels(doc_id, quality, toxic)``.
     Null and empty texts have no tokens and get the rate of their posterior.
-    Targets of a domain without any expected tokens can't be met; the others'
-    totals are as near as least squares brings them. Repeated rows each give a
-    row; an empty table gives none.
+    Targets are met to ``TOLERANCE`` of all tokens, or a ``ValueError`` is
+    raised. The posteriors are fitted on the labelled documents of
+    ``fitted_on``, for a table that has lost some of them. Repeated rows each
+    give a row; an empty table gives none.
     """
-    scored = written(posteriors(docs, with_domains(labels), list(targets), max_rows), "posteriors")
+    scored = written(posteriors(docs, with_domains(labels), list(targets), max_rows, fitted_on), "posteriors")
     path = fit_rates(scored, targets)
     names = [f"p_{d}" for d in targets]
-    rate = F.lit(1.0)
-    for step in path:
-        move = sum((F.col(n) * float(s) for n, s in zip(names, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return scored.withColumn("rate", rate)
+
+    @F.pandas_udf("double")
+    def rate(*p: pd.Series) -> pd.Series:
+        return pd.Series(_rates(np.column_stack(p), path))
+
+    return scored.withColumn("rate", rate(*names) if path else F.lit(1.0))

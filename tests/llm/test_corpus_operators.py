@@ -98,6 +98,25 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Each distinct (doc_id, text) loses its own later lines, and only those."""
+    from webloom.llm import linededup
+    copy = "alpha beta gamma delta epsilon"
+    rows = [(None, "one two three\n" + copy), (None, "four five six\nseven eight nine"), (None, "ten eleven\n" + copy),
+            (None, copy), (-2 ** 63, copy + "\nlowest id"), (1, copy + " zeta\nkept by one"), (2, "first of two\n" + copy),
+            (2, "another text\nunder the same id"), (2, "first of two\nthird text of two"), (3, "same\nsame row"), (3, "same\nsame row")]
+    rows += [(4, f"a{i} b{i}\n{copy if i % 2 else f'c{i} d{i}'}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", "text", linededup.text_key().alias("k")).distinct().collect()
+    keyed.sort(key=lambda r: (-2 ** 63 if r.doc_id is None else r.doc_id, r.k))
+    gone = _later([(i, r.text) for i, r in enumerate(keyed)])
+    left = {(r.doc_id, r.text): "\n".join(x for j, x in enumerate(r.text.split("\n")) if j not in gone.get(i, ()))
+            for i, r in enumerate(keyed)}
+    got = sorted(str((r.doc_id, r.text)) for r in linededup.dedup_lines(docs, first_ask=1).collect())
+    assert got == sorted(str((d, left[d, t])) for d, t in rows)
+    assert left[None, rows[1][1]] == rows[1][1]
+
+
 def test_decontamination_in_one_table_and_in_many(spark):
     from webloom.llm.decontam import contamination, digest
     item = " ".join(f"q{i}" for i in range(20))

@@ -29,7 +29,7 @@ FURTHER = 1
 PARSE_BYTES = 4 << 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-LINE = "h1 long, h2 long, doc long, line int, n int, sig long, prefix array<long>"
+LINE = "h1 long, h2 long, doc long, part long, line int, n int, sig long, prefix array<long>"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -120,6 +120,30 @@ def _id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-2 ** 63))
 
 
+def text_key() -> Column:
+    """What tells apart the texts of rows without doc_id, or of one doc_id: a hash of the text, in which ids count by their presence."""
+    return F.xxhash64("text", F.col("doc_id").isNull())
+
+
+def with_part(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with ``__part``, which with the id names each distinct (doc_id, text): 0, or the text's key where ids are null or repeat.
+
+    ``repeated`` is ``repeated_ids``; an id that its filter lets through for
+    another's bits has the text's key too, in all its rows.
+    """
+    marked = possibly_in(docs, repeated, _id())
+    part = F.when(F.col("doc_id").isNull() | F.col("__in"), text_key()).otherwise(F.lit(0).cast("long"))
+    return marked.withColumn("__part", part).drop("__in")
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """Bit filter of the ids under which different texts stand; -2^63, which stands for no id, is always in it."""
+    seen = docs.filter("doc_id is not null").select(_id().alias("id"), text_key().alias("h")).groupBy("id").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"))
+    none = docs.sparkSession.range(1).select(F.lit(-2 ** 63).cast("long").alias("id"))
+    return id_filter(seen.filter("low <> high").select("id").unionByName(none), "id")
+
+
 def _signature(start: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Sixteen counters of four bits: how many words of each set fall to each, 15 at most."""
     n = np.diff(np.append(start, len(hashes)))
@@ -179,7 +203,8 @@ def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -
                 continue
             place = [pa.array(np.add.reduceat(_mixed(h, 0), start).view(np.int64)),
                      pa.array(np.add.reduceat(_mixed(h, 1), start).view(np.int64)),
-                     pa.array(_ids(piece.column(0))[p.doc[line]]), pa.array(p.no[line], pa.int32())]
+                     pa.array(_ids(piece.column(0))[p.doc[line]]),
+                     pa.array(piece.column(2).to_numpy(zero_copy_only=False)[p.doc[line]]), pa.array(p.no[line], pa.int32())]
             n = np.diff(np.append(start, len(h)))
             at = np.arange(len(h)) - np.repeat(start, n)
             size = n - (a * n + b - 1) // b + 1
@@ -189,9 +214,9 @@ def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -
             yield pa.record_batch([
                 *place, pa.array(n, pa.int32()), pa.array(_signature(start, h).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix))],
-                names=["h1", "h2", "doc", "line", "n", "sig", "prefix"])
+                names=["h1", "h2", "doc", "part", "line", "n", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, LINE)
+    return docs.select("doc_id", "text", "__part").mapInArrow(run, LINE)
 
 
 def hot_counters(sets: DataFrame) -> DataFrame:
@@ -207,22 +232,22 @@ def hot_counters(sets: DataFrame) -> DataFrame:
 
 def _postings(sets: DataFrame, hot: DataFrame) -> DataFrame:
     """A row for each prefix word of each line set, and for each pair of blocks that its word's lines are compared in."""
-    rows = sets.select("doc", "line", "n", "sig", "ask", F.posexplode("prefix").alias("at", "word"))
+    rows = sets.select(*ID, "ask", F.posexplode("prefix").alias("at", "word"))
     rows = rows.join(F.broadcast(hot), F.col("word").bitwiseAND(F.lit(COUNTERS - 1)) == F.col("counter"), "left")
     k = F.coalesce("k", F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("doc", "line", "sig"), k)
-    rows = rows.select("doc", "line", "n", "sig", "ask", "at", "word", k.alias("k"), own.alias("own"))
+    own = F.pmod(F.xxhash64("doc", "part", "line", "sig"), k)
+    rows = rows.select(*ID, "ask", "at", "word", k.alias("k"), own.alias("own"))
     other = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     rows = rows.select("*", F.explode(other).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
     group = F.when(F.col("k") == 1, F.col("word")).otherwise(F.xxhash64("word", low, high))
-    return rows.select(group.alias("g"), side.cast("byte").alias("side"), "doc", "line", "n", "sig",
+    return rows.select(group.alias("g"), side.cast("byte").alias("side"), *ID,
                        F.col("at").cast("int").alias("at"), "ask")
 
 
-ID = ("doc", "line", "n", "sig")
-PAIR = ", ".join(f"{s}_{c} {t}" for s in "yx" for c, t in zip(ID, ("long", "int", "int", "long"), strict=True)) + ", more boolean"
+ID = ("doc", "part", "line", "n", "sig")
+PAIR = ", ".join(f"{s}_{c} {t}" for s in "yx" for c, t in zip(ID, ("long", "long", "int", "int", "long"), strict=True)) + ", more boolean"
 
 
 def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +260,7 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     """
     a, b = t.numerator, t.denominator
     g, n, at, sig, side = rows["g"], rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["sig"], rows["side"]
-    doc, line = rows["doc"], rows["line"]
+    doc, part, line = rows["doc"], rows["part"], rows["line"]
     first = np.maximum.accumulate(np.where(np.diff(g, prepend=g[:1] - 1) != 0, np.arange(len(g)), 0))
     given = np.zeros(len(g), np.int32)
     more = np.zeros(len(g), bool)
@@ -251,7 +276,8 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
         both = n[active] + n[x]
         shared = np.minimum(n[active] - at[active], n[x] - at[x])
         ok = (np.abs(n[active] - n[x]) * (a + b) <= both * (b - a)) & ((shared + FURTHER) * (a + b) >= a * both) & (
-            (side[active] == 0) | (side[active] != side[x])) & ((doc[active] != doc[x]) | (line[active] != line[x]))
+            (side[active] == 0) | (side[active] != side[x])) & (
+            (doc[active] != doc[x]) | (part[active] != part[x]) | (line[active] != line[x]))
         near = np.nonzero(ok)[0]
         ok[near] = _apart(sig[active[near]], sig[x[near]]) * (a + b) <= both[near] * (b - a)
         if ok.any():
@@ -295,7 +321,7 @@ def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, a
     group left out has too few; its y has ``more`` and asks again). After the
     ``first`` round only groups with a set that is asked again are looked at.
     """
-    names = ["g", "side", "doc", "line", "n", "sig", "at", "ask"]
+    names = ["g", "side", *ID, "at", "ask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -326,14 +352,14 @@ def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, a
     rows = _postings(sets, hot)
     if not first:  # only groups of lines that are asked again
         rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
-    rows = rows.select(*names).repartition("g").sortWithinPartitions("g", "doc", "line", "n", "sig")
+    rows = rows.select(*names).repartition("g").sortWithinPartitions("g", *ID)
     return rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
         F.max("more").alias("more"), F.count(F.lit(1)).alias("groups")).withColumn(
         "enough", _enough_groups(t)).filter("enough or more")
 
 
 def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(doc, line, n, sig, words)`` of the lines of ``needed(doc, line, n, sig)``, and of some others.
+    """``(doc, part, line, n, sig, words)`` of the lines of ``needed(doc, part, line, n, sig)``, and of some others.
 
     The documents are parsed again rather than kept; a bit filter of fixed size
     over the needed places lets few other lines through.
@@ -348,8 +374,8 @@ def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     for r in bits.toLocalIterator():
         table[r.word] = np.uint64(r.bits % 2 ** 64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    places = possibly_in(docs.select("doc_id", "text"), id_filter(needed, "doc"), _id())
-    places = places.filter("__in").select("doc_id", "text")
+    places = possibly_in(docs.select("doc_id", "text", "__part"), id_filter(needed, "doc"), _id())
+    places = places.filter("__in").select("doc_id", "text", "__part")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, 1):
@@ -364,15 +390,16 @@ def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
             wanted = (shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
             if not wanted.any():
                 continue
+            part = piece.column(2).to_numpy(zero_copy_only=False)[p.doc[line]]
             flat = h[np.repeat(wanted, n)].view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(n[wanted])])
             yield pa.record_batch([
-                pa.array(doc[wanted]), pa.array(no[wanted], pa.int32()), pa.array(n[wanted], pa.int32()),
+                pa.array(doc[wanted]), pa.array(part[wanted]), pa.array(no[wanted], pa.int32()), pa.array(n[wanted], pa.int32()),
                 pa.array(sig.view(np.int64)[wanted]),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
                 names=[*ID, "words"])
 
-    return places.mapInArrow(lines, "doc long, line int, n int, sig long, words array<long>")
+    return places.mapInArrow(lines, "doc long, part long, line int, n int, sig long, words array<long>")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
@@ -422,10 +449,11 @@ def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFra
 
 
 def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRST_ASK) -> DataFrame:
-    """``(doc, lines)``: the line numbers, from 0, that match an earlier line, for each document that has any.
+    """``(doc, part, lines)``: the line numbers, from 0, that match an earlier line, for each document that has any.
 
     Lines match if the Jaccard similarity of their word sets is at least ``t``;
-    lines are ordered by doc_id, then number. Lines of equal word sets are one
+    lines are ordered by doc_id, then ``__part`` (see ``with_part``), then
+    number. Lines of equal word sets are one
     set, at its first place, so that copies are never paired. Sets that share
     one of their rarest words meet in that word's group; candidates that pass
     the length, position and signature filters are checked word by word (by
@@ -434,14 +462,14 @@ def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(word_counts(docs))
     lines = written(parsed_lines(docs, counts, t), "lines")
-    sets = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "n", "sig", "prefix")).alias("first"))
+    sets = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(*ID, "prefix")).alias("first"))
                    .select("h1", "h2", "first.*"), "line-sets")
     gone = _matches(docs, sets.drop("h1", "h2"), t, first_ask).withColumn("gone", F.lit(True))
     firsts = sets.drop("prefix").join(gone, list(ID), "left").select(
-        "h1", "h2", F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    later = lines.select("h1", "h2", "doc", "line").join(firsts, ["h1", "h2"]).filter(
-        "gone or doc <> doc0 or line <> line0")
-    return later.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+        "h1", "h2", F.col("doc").alias("doc0"), F.col("part").alias("part0"), F.col("line").alias("line0"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    later = lines.select("h1", "h2", "doc", "part", "line").join(firsts, ["h1", "h2"]).filter(
+        "gone or doc <> doc0 or part <> part0 or line <> line0")
+    return later.groupBy("doc", "part").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRST_ASK) -> DataFrame:
@@ -449,16 +477,17 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
 
     One row for each row. A null text stays null and has no lines; an empty
     text has one line. Lines without words always stay. Rows without doc_id
-    stand before all others; rows that share a doc_id stand at the same places,
-    and lines at the same place are not later than one another, so repeated
-    rows keep the same lines (of two different lines at one place that agree in
-    size and signature, one stands for both). An empty table gives no rows. Other columns
-    are passed on.
+    stand before all others; they, and different texts under one doc_id, stand
+    in the order of a hash of the text. Each distinct (doc_id, text) has places
+    of its own and loses its own lines only; rows repeated with the same doc_id
+    (or none) and text share their places and keep the same lines. An empty
+    table gives no rows. Other columns are passed on.
     """
-    later = written(later_lines(docs.select("doc_id", "text"), t, first_ask).select(
-        F.col("doc").alias("__doc"), F.col("lines").alias("__later")), "later-lines")
-    marked = possibly_in(docs, id_filter(later, "__doc"), _id())
-    joined = marked.filter("__in").withColumn("__doc", _id()).join(later, "__doc", "left").unionByName(
+    repeated = repeated_ids(docs.select("doc_id", "text"))
+    later = written(later_lines(with_part(docs.select("doc_id", "text"), repeated), t, first_ask).select(
+        F.col("doc").alias("__doc"), F.col("part").alias("__part"), F.col("lines").alias("__later")), "later-lines")
+    marked = possibly_in(with_part(docs, repeated), id_filter(later, "__doc"), _id())
+    joined = marked.filter("__in").withColumn("__doc", _id()).join(later, ["__doc", "__part"], "left").unionByName(
         marked.filter("not __in"), allowMissingColumns=True)
     joined = joined.withColumn("__lines", F.split("text", "\n", -1))  # once a row, not once a line
     lines = F.col("__lines")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontam, linededup, mixing, simhash, toxicity
+from webloom.llm.common import written
 from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
@@ -35,12 +36,14 @@ def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every SimHash group, once. Documents without doc_id stay, as none names them."""
-    groups = simhash.near_duplicates(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__once", F.row_number().over(once)).filter("__once = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of every SimHash group: that of smallest doc_id, nulls last, then of smallest text hash.
+
+    Rows get a key of their own, written with them, so that rows without doc_id
+    or with the same one are told apart.
+    """
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed-documents")
+    first = written(simhash.group_firsts(keyed, "__key"), "group-firsts")
+    return keyed.join(first, "__key", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

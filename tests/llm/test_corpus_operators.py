@@ -226,6 +226,31 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert lines[1] == base and lines[3] == "own" and 2 not in lines
 
 
+def test_pipeline_keeps_one_row_of_every_simhash_group(spark):
+    """Groups by brute force over rows, of which many have no doc_id or share one."""
+    import corpus_pipeline as P
+    from webloom.llm.simhash import fingerprint
+    rng = random.Random(6)
+    text = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=50)) for _ in range(12)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[2]), (3, text[2]), (None, text[2]), (None, text[3]),
+            (None, text[3]), (None, text[4]), (5, text[5]), (5, text[5]), (5, text[6]), (None, None), (None, ""), (7, text[4])]
+    rows += [(None, text[8])] * 30 + [(9, text[i]) for i in (7, 9, 10, 11, 7)]
+    rng.shuffle(rows)
+    prints = [fingerprint((t or "").encode()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(prints):
+            root[i] = min(root[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 3)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want[root[i]] = min(want.get(root[i], (2, 0)), (int(d is None), d or 0))
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    kept = P.drop_near_duplicates(spark, docs, "").collect()
+    group = {fingerprint((t or "").encode()): root[i] for i, (_, t) in enumerate(rows)}
+    found = {group[fingerprint((r.text or "").encode())]: (int(r.doc_id is None), r.doc_id or 0) for r in kept}
+    assert len(kept) == len(want) and found == want
+
+
 def test_pipeline_mixes_what_is_left_to_its_targets(spark, tmp_path):
     import corpus_pipeline as P
     from webloom.llm.mixing import fit_rates, mix

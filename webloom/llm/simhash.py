@@ -42,15 +42,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """``(doc_id, f)`` per row: the fingerprint as a signed 64-bit number. A null text has no words."""
+                 text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, f)`` and the columns ``keep`` per row: the fingerprint as a signed 64-bit number. A null text has no words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             f = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "f"])
+            yield pa.record_batch([b.column(0), pa.array(f.view(np.int64)), *b.columns[2:]], names=["doc_id", "f", *keep])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(
-        run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, f long")
+    passed = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"), *keep).mapInArrow(
+        run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, f long{passed}")
 
 
 def trie_join(g: np.ndarray, depth: int, p: int, q: int, half_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +160,29 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, node_limit: int = NODE_LI
     return rows.groupBy("o", "d", "p", "q").applyInArrow(solve, "a long, b long")
 
 
+def _rooted(prints: DataFrame, max_bits: int, node_limit: int) -> DataFrame:
+    """``prints(f, low)``, one row per fingerprint, with the ``root`` of its component."""
+    first = written(prints, "distinct-fingerprints")
+    roots = components(links(first.select("f"), max_bits, node_limit))
+    return first.join(roots.withColumnRenamed("node", "f"), "f", "left").select(
+        "f", "low", F.coalesce("root", "f").alias("root"))
+
+
+def group_firsts(docs: DataFrame, key: str, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                 node_limit: int = NODE_LIMIT) -> DataFrame:
+    """``(key)`` of the first row of every component of ``docs(doc_id, text, key)``.
+
+    Components are those of ``near_duplicates``; rows stand by doc_id, nulls
+    last, then by a hash of the text, then by ``key``, which is unique. Minima
+    are taken per fingerprint, then per component, combined on the map side.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.col(key).alias("key"))
+    rows = fingerprints(hashed, shingle, keep=("h", "key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "key")
+    rooted = _rooted(rows.groupBy("f").agg(F.min(place).alias("low")), max_bits, node_limit)
+    return rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(key))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     node_limit: int = NODE_LIMIT) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
@@ -170,10 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     doc_id is reachable). An empty table gives no rows. Other columns are not read.
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    first = written(rows.groupBy("f").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = components(links(first.select("f"), max_bits, node_limit))
-    rooted = first.join(roots.withColumnRenamed("node", "f"), "f", "left").select(
-        "f", "low", F.coalesce("root", "f").alias("root"))
+    rooted = _rooted(rows.groupBy("f").agg(F.min("doc_id").alias("low")), max_bits, node_limit)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of = rooted.join(lowest, "root").select("f", "component_id")
     return rows.join(of, "f", "left").select(

@@ -187,6 +187,32 @@ def test_licences_are_declared_and_inherited(spark):
     assert got["s/q"][1] == got[None][1] == "none"
 
 
+def test_licence_words_weigh_by_their_real_rarity(spark):
+    """Cosines by brute force over all words: a common extra word hardly lowers one, a unique word does."""
+    import math
+    from collections import Counter
+    from webloom.llm.licenses import TEMPLATES, scan_licenses
+    from webloom.llm.decontam import words
+    rng = random.Random(8)
+    files = [(f"d/{i}", " ".join(["the code is"] + rng.choices([f"w{j}" for j in range(300)], k=8))) for i in range(600)]
+    files += [("r/a", "The code is released under the MIT License."), ("r/b", "qqq www eee rrr released under the MIT License."),
+              ("r/c", "x\nReleased under the MIT License, code"), ("r/d", "mit"), ("r/e", None)]
+    bags = [[Counter(words(x.encode())) for x in ((t or "").split("\n") + [t or ""])] for _, t in files]
+    df = Counter(w for b in bags for w in b[-1])
+    idf = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1
+    norm = lambda c: math.sqrt(sum((x * idf(w)) ** 2 for w, x in c.items()))
+    told = [(n, c, norm(c)) for n, c in ((n, Counter(words(t.encode()))) for n, t in TEMPLATES)]
+    got = {r.path: (r.license, r.cosine) for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    for (path, _), own in zip(files, bags, strict=True):
+        best = min(((-round(sum(x * c[w] * idf(w) ** 2 for w, x in b.items()) / norm(b) / size, 9), n)
+                    for b in own if b for n, c, size in told), default=(0, None))
+        if -best[0] >= 0.85:
+            assert got[path] == (best[1], pytest.approx(-best[0], abs=1e-8))
+        else:
+            assert got[path] == (None, None)
+    assert got["r/a"][0] == "MIT" and got["r/b"][0] is None and got["r/c"][0] == "MIT"
+
+
 def _labelled(spark, n=240):
     rng = random.Random(2)
     docs, labels = [], []

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from webloom.llm.common import slices, written
 from webloom.llm.decontam import words
 
 #: Notices by which texts declare a licence, by SPDX identifier.
-TEMPLATES = (
+NOTICES = (
     ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -35,7 +36,12 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+TEMPLATES = NOTICES
 THRESHOLD = 0.85
+#: Distinct words whose document counts a task gathers before it passes them on.
+GATHER_WORDS = 1 << 18
+
+
 #: Names of files that license their folder and all below it.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 
@@ -43,93 +49,171 @@ LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 class Matcher:
     """Cosines of word-count vectors to the templates; words weigh by their rarity among all documents.
 
-    ``seen`` counts the documents of each template word; words of no template
-    weigh as much as one that a single document has.
+    ``seen`` counts the documents of each template word. Where the counts of
+    other words are not at hand they weigh 1, the least that a word can, which
+    bounds the cosine from above.
     """
 
-    def __init__(self, seen: dict[bytes, int], n_docs: int, templates: tuple = TEMPLATES):
+    def __init__(self, seen: dict[bytes, int], n_docs: int, templates: tuple = TEMPLATES, least: float = THRESHOLD):
         own = [(name, Counter(words(text.encode()))) for name, text in templates]
-        self.weight = {w: math.log((1 + n_docs) / (1 + min(n_docs, seen.get(w, 0)))) + 1 for _, c in own for w in c}
-        self.other = math.log((1 + n_docs) / (1 + min(n_docs, 1))) + 1
-        self.known = frozenset(self.weight)
+        self.index = {w: i for i, w in enumerate(sorted({w for _, c in own for w in c}))}
+        self.known = frozenset(self.index)
+        self.weight = np.array([math.log((1 + n_docs) / (1 + min(n_docs, seen.get(w, 0)))) + 1 for w in self.index])
         self.names = [name for name, _ in own]
-        self.holders: dict[bytes, list[tuple[int, float]]] = {}
+        self.ranks = [1 for _ in templates]
+        self.least = least
+        unit = np.zeros((len(self.index), len(own)))
         for k, (_, c) in enumerate(own):
-            norm = math.sqrt(sum((x * self.weight[w]) ** 2 for w, x in c.items()))
             for w, x in c.items():
-                self.holders.setdefault(w, []).append((k, x * self.weight[w] ** 2 / norm))
+                unit[self.index[w], k] = x * self.weight[self.index[w]]
+        unit /= np.sqrt((unit ** 2).sum(0))
+        self.parts = unit * self.weight[:, None]
+        # a text's cosine is at most the norm of the template's part in its words: it needs a word of those that hold most
+        self.needed: dict[bytes, int] = {}
+        listed = list(self.index)
+        for mass in (unit ** 2).T:
+            order = np.argsort(-mass, kind="stable")
+            total = np.cumsum(mass[order])
+            enough = least ** 2 * (1 - 1e-9)
+            fewest = int(np.searchsorted(total, enough)) + 1
+            for i in order[:int(np.searchsorted(total, 1 - enough, "right")) + 1]:
+                w = listed[i]
+                self.needed[w] = min(self.needed.get(w, fewest), fewest)
+        self.keys = frozenset(self.needed)
 
-    def best(self, own: list[bytes], least: float) -> tuple[float, str] | None:
-        """The best template of cosine ``least`` or more, of equals the first by name."""
-        some = self.known & set(own)
-        if not some:
-            return None
-        counts = Counter(w for w in own if w in some)
-        inside = sum((x * self.weight[w]) ** 2 for w, x in counts.items())
-        dots = [0.0] * len(self.names)
-        for w, x in counts.items():
-            for k, part in self.holders[w]:
-                dots[k] += x * part
-        outside = len(own) - sum(counts.values())  # words apart count the least if all differ
-        if max(dots) < least * math.sqrt(inside + outside * self.other ** 2) * (1 - 1e-12):
+    def _dots(self, counts: dict[bytes, int]) -> tuple[np.ndarray, float]:
+        """Products with the templates, and the square of the norm of the template words."""
+        at = np.array([self.index[w] for w in counts], int)
+        x = np.array(list(counts.values()), float)
+        return x @ self.parts[at], float(((x * self.weight[at]) ** 2).sum())
+
+    def possible(self, own: list[bytes], some: set[bytes]) -> bool:
+        """Whether words ``own`` (``some`` are the distinct ones) may reach the least cosine, whatever other words weigh."""
+        hits = self.keys & some
+        if not hits:
+            return False
+        inside = self.known & some
+        if len(inside) < min(self.needed[w] for w in hits):
+            return False
+        counts = Counter(own)
+        dots, norm = self._dots({w: counts[w] for w in inside})
+        outside = sum(x * x for w, x in counts.items() if w not in inside)
+        return float(dots.max()) >= self.least * math.sqrt(norm + outside) * (1 - 1e-9)
+
+    def best(self, own: list[bytes], norm: float) -> tuple[float, str, int] | None:
+        """The best template of the least cosine or more, of equals the first by name, for words whose vector has the norm.
+
+        The third value is 0 for a full licence text, 2 for a mere reservation of rights, and 1 for others.
+        """
+        counts = Counter(w for w in own if w in self.known)
+        if not counts:
             return None
-        rest = Counter(w for w in own if w not in some)
-        norm = math.sqrt(inside + sum((x * self.other) ** 2 for x in rest.values()))
-        cosine, name = min((-min(1.0, round(d / norm, 9)), n) for d, n in zip(dots, self.names, strict=True))
-        return (-cosine, name) if -cosine >= least else None
+        dots, _ = self._dots(counts)
+        cosine, name, rank = min((-min(1.0, round(float(d) / norm, 9)), n, r)
+                                 for d, n, r in zip(dots, self.names, self.ranks, strict=True))
+        return (-cosine, name, rank) if -cosine >= self.least else None
 
 
 def template_words(templates: tuple = TEMPLATES) -> set[bytes]:
     return {w for _, text in templates for w in words(text.encode())}
 
 
-def document_counts(files: DataFrame, templates: tuple = TEMPLATES) -> tuple[dict[bytes, int], int]:
-    """In how many of all files each template word stands, and the number of files."""
-    known = sorted(template_words(templates))
-
+def document_counts(files: DataFrame) -> DataFrame:
+    """``(word, n)``: in how many of all files each word stands; the empty word counts the files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, n = set(known), 0
+        def told() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
+                                   names=["word", "n"])
+
         seen: Counter = Counter()
         for b in slices(batches):
-            n += b.num_rows
+            seen[b""] += b.num_rows
             for t in b.column(0).to_pylist():
-                seen.update(some.intersection(words(t or b"")))
-        yield pa.record_batch([pa.array([b"", *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64())],
-                              names=["word", "n"])
+                seen.update(set(words(t or b"")))
+                if len(seen) >= GATHER_WORDS:
+                    yield told()
+                    seen.clear()
+        yield told()
 
-    rows = files.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(
-        F.sum("n").alias("n")).collect()
-    counts = {bytes(r.word): r.n for r in rows}
-    return counts, counts.pop(b"", 0)
+    return written(files.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(
+        F.sum("n").alias("n")), "document-counts")
 
 
-def declared(files: DataFrame, matcher: Matcher, least: float = THRESHOLD) -> DataFrame:
-    """``files`` with ``own`` (licence that the text declares, or null) and ``cosine``.
+def segments(text: bytes) -> Iterator[tuple[list[bytes], set[bytes]]]:
+    """Words, and distinct words, of what may declare a licence: every line, and the whole text."""
+    raw = text.split(b"\n")
+    lines = [words(x) for x in raw]
+    some = [set(x) for x in lines]
+    for x, y in zip(lines, some, strict=True):
+        if x:
+            yield x, y
+    if len(lines) == 1:
+        return
+    yield [w for x in lines for w in x], set().union(*some)
 
-    Every line of the whole text is a header that may declare a licence, and so
-    is the text as a whole; the best cosine counts, of equals the first by name.
-    """
+
+def _candidates(files: DataFrame, matcher: Matcher) -> DataFrame:
+    """``files`` with ``__bags``: the sorted words of each distinct segment that may reach the least cosine."""
     shared = files.sparkSession.sparkContext.broadcast(matcher)
-    kept = files.select(*(F.col(c) for c in files.columns if c not in ("own", "cosine")))
-    at = kept.columns.index("text")
+    at = files.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in slices(batches):
+            bags = [sorted({b" ".join(sorted(own)) for own, some in segments(t or b"") if m.possible(own, some)})
+                    for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bags, pa.list_(pa.binary()))],
+                                             names=[*b.schema.names, "__bags"])
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema]
+    return files.mapInArrow(run, ", ".join([*schema, "__bags array<binary>"]))
+
+
+def _scores(bags: DataFrame, counts: DataFrame, n_docs: int, matcher: Matcher) -> DataFrame:
+    """``(id, own, cosine, rank)`` of the ``bags(id, bag)`` that reach the least cosine, with the real weight of every word."""
+    split = bags.select("id", F.explode(F.split(F.col("bag").cast("string"), " ")).alias("word"))
+    used = split.groupBy("id", F.col("word").cast("binary").alias("word")).agg(F.count(F.lit(1)).alias("x"))
+    weight = F.log(F.lit(1.0 + n_docs) / (1 + F.col("n"))) + 1
+    norms = used.join(counts, "word").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("x") * weight, 2))).alias("norm"))
+    shared = bags.sparkSession.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches):
-            own, cosine = [], []
-            for t in b.column(at).cast(pa.binary()).to_pylist():
-                lines = [words(x) for x in (t or b"").split(b"\n")]
-                if len(lines) > 1:
-                    lines.append([w for x in lines for w in x])
-                found = [f for x in lines if x and (f := m.best(x, least))]
-                best = min(((-c, n) for c, n in found), default=None)
-                own.append(best and best[1])
-                cosine.append(best and -best[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.string()), pa.array(cosine, pa.float64())],
-                                             names=[*b.schema.names, "own", "cosine"])
-
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return kept.mapInArrow(run, ", ".join([*schema, "own string", "cosine double"]))
+            found = [m.best(bag.split(), norm) for bag, norm in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array([f and f[1] for f in found], pa.string()),
+                                   pa.array([f and f[0] for f in found], pa.float64()),
+                                   pa.array([f and f[2] for f in found], pa.int32())], names=["id", "own", "cosine", "rank"])
+
+    scored = bags.join(norms, "id").select("id", "bag", "norm")
+    return written(scored.mapInArrow(run, "id string, own string, cosine double, rank int").filter("own is not null"), "scores")
+
+
+def declared(files: DataFrame, least: float = THRESHOLD, templates: tuple = TEMPLATES) -> DataFrame:
+    """``files`` with ``own`` (licence that the text declares, or null) and ``cosine``.
+
+    Every line, header (see ``segments``) and whole text may declare a licence;
+    the best cosine counts, of equals the first by name. A full licence text
+    goes before the headers that it quotes, and any licence before a mere
+    reservation of rights. Word weights follow
+    the files that hold the word, of all words: their table is joined to the
+    words of the segments that could match, each distinct one once. Only the
+    counts of the template words are collected.
+    """
+    counts = document_counts(files)
+    known = files.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(template_words(templates) | {b""})], "word binary")
+    seen = {bytes(r.word): r.n for r in counts.join(F.broadcast(known), "word").collect()}
+    n_docs = seen.pop(b"", 0)
+    matcher = Matcher(seen, n_docs, templates, least)
+    kept = files.select(*(F.col(c) for c in files.columns if c not in ("own", "cosine")))
+    rows = written(_candidates(kept, matcher).withColumn("__row", F.monotonically_increasing_id()), "license-candidates")
+    bag = F.explode("__bags").alias("bag")
+    bags = written(rows.select(bag).distinct().select(F.sha2("bag", 256).alias("id"), "bag"), "license-bags")
+    scores = _scores(bags, counts, n_docs, matcher)
+    best = rows.select("__row", bag).select("__row", F.sha2("bag", 256).alias("id")).join(scores, "id").groupBy("__row").agg(
+        F.min(F.struct("rank", (-F.col("cosine")).alias("c"), "own")).alias("best"))
+    best = best.select("__row", F.col("best.own").alias("own"), (-F.col("best.c")).alias("cosine"))
+    return rows.drop("__bags").join(best, "__row", "left").drop("__row")
 
 
 def _folder(path: Column) -> Column:
@@ -157,11 +241,9 @@ def scan_licenses(files: DataFrame, least: float = THRESHOLD, templates: tuple =
     A null text is empty and declares nothing; a null path has no folder and
     inherits nothing. Repeated rows each give a row. An empty table gives none.
     """
-    seen, n = document_counts(files, templates)
     taken = ("own", "cosine", "license", "origin", "license_folder")
     kept = [c for c in files.columns if c not in taken]
-    found = written(declared(files.select(*kept), Matcher(seen, n, templates), least), "declared").withColumn(
-        "__folder", _folder(F.col("path")))
+    found = declared(files.select(*kept), least, templates).withColumn("__folder", _folder(F.col("path")))
     licensed = found.filter(F.col("path").rlike(LICENSE_FILE) & F.col("own").isNotNull()).groupBy("__folder").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "own")).alias("best")).select(
         F.col("__folder").alias("above"), F.col("best.own").alias("license"))

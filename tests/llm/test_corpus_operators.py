@@ -213,6 +213,32 @@ def test_licence_words_weigh_by_their_real_rarity(spark):
     assert got["r/a"][0] == "MIT" and got["r/b"][0] is None and got["r/c"][0] == "MIT"
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    from webloom.llm.licenses import license_texts, scan_licenses
+    texts = dict(license_texts())
+    mit = texts["MIT"].replace("MIT License\n", "The MIT License (MIT)\n\nCopyright (c) 2015 Jane Q. Holder\n")
+    bsd = "Copyright (c) 2016-2021 some holder.\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].split("\n", 2)[2]
+    apache = ["Copyright 2019 Example Authors", "Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file "
+              "except in compliance", "with the License. You may obtain a copy of the License at", "",
+              "    http://www.apache.org/licenses/LICENSE-2.0", "", "Unless required by applicable law or agreed to in writing, software",
+              "distributed under the License is distributed on an \"AS IS\" BASIS,", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either "
+              "express or implied.", "See the License for the specific language governing permissions and", "limitations under the License."]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as",
+           "published by the Free Software Foundation, either version 3 of the", "License, or (at your option) any later version."]
+    code = "\nimport os\n\ndef f(x):\n    return os.path.join(x, 'y')\n"
+    files = [("m/LICENSE", mit), ("b/LICENSE", bsd), ("m/x.py", "print(1)"), ("h/a.py", "\n".join("# " + x for x in apache) + code),
+             ("h/b.c", "/*\n" + "\n".join(apache) + "\n*/" + code), ("h/c.py", "\n".join("# " + x for x in gpl) + code),
+             ("h/d.py", code), ("g/COPYING", texts["GPL-3.0-only"].replace("http:", "https:").replace("Preamble", ""))]
+    files += [(f"{n}/LICENSE", "\n".join("   " + x for x in t.split("\n"))) for n, t in texts.items()]
+    files += [(f"z/{i}", f"some plain words {i} of the file and the rest of it is to be read by you") for i in range(200)]
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == ("MIT", "declared") and got["m/x.py"] == ("MIT", "inherited")
+    assert got["b/LICENSE"][0] == "BSD-3-Clause" and got["g/COPYING"][0] == "GPL-3.0-only"
+    assert [got[f"h/{x}"][0] for x in ("a.py", "b.c", "c.py", "d.py")] == ["Apache-2.0", "Apache-2.0", "GPL-3.0-or-later", None]
+    assert {n: got[f"{n}/LICENSE"][0] for n in texts} == {n: n for n in texts}
+    assert all(got[f"z/{i}"][0] is None for i in range(200))
+
+
 def _labelled(spark, n=240):
     rng = random.Random(2)
     docs, labels = [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,12 +37,54 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-TEMPLATES = NOTICES
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the "
+        "Free Software Foundation, either version {1} of the License, or (at your option) any later version.")
+_GNU_REST = (" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+             "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should "
+             "have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>.")
+_APACHE_TAIL = ("you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+                "http://www.apache.org/licenses/LICENSE-2.0")
+#: Headers of several lines that licences ask for in source files: their first paragraph and the whole.
+HEADERS = (
+    ("Apache-2.0", f"Licensed under the Apache License, Version 2.0 (the \"License\"); {_APACHE_TAIL}"),
+    ("Apache-2.0", f"Licensed under the Apache License, Version 2.0 (the \"License\"); {_APACHE_TAIL} Unless required by applicable "
+                   "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                   "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+                   "language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((spdx, _GNU.format(title, version) + rest)
+      for spdx, title, version in (
+          ("AGPL-3.0-or-later", "Affero General Public License", "3"), ("GPL-2.0-or-later", "General Public License", "2"),
+          ("GPL-3.0-or-later", "General Public License", "3"), ("LGPL-2.1-or-later", "Lesser General Public License", "2.1"),
+          ("LGPL-3.0-or-later", "Lesser General Public License", "3"))
+      for rest in ("", _GNU_REST.format(title))),
+)
+TEXTS = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "licenses")
+
+
+def license_texts(folder: str = TEXTS) -> tuple[tuple[str, str], ...]:
+    """(SPDX identifier, full text) of the licences in ``folder``; that of the AGPL is the GPL's under its name."""
+    out = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out.append((name.removesuffix(".txt"), f.read()))
+    gpl = " ".join(dict(out).get("GPL-3.0-only", "").split())
+    affero = gpl.replace("GNU General Public License", "GNU Affero General Public License").replace(
+        "GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU GPL", "GNU AGPL")
+    return (*out, ("AGPL-3.0-only", affero))
+
+
+FULL = license_texts()
+TEMPLATES = NOTICES + HEADERS + FULL
+#: Reserves rights, often beside a licence that grants some; counts only where nothing else is declared.
+RESERVED = "LicenseRef-All-Rights-Reserved"
 THRESHOLD = 0.85
 #: Distinct words whose document counts a task gathers before it passes them on.
 GATHER_WORDS = 1 << 18
-
-
+#: How comment lines begin.
+COMMENT = (b"#", b"//", b"*", b"/*", b"--", b";", b"%", b"<!--")
+COPYRIGHT = (b"copyright", b"\xc2\xa9", b"(c)")
 #: Names of files that license their folder and all below it.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 
@@ -60,7 +103,8 @@ class Matcher:
         self.known = frozenset(self.index)
         self.weight = np.array([math.log((1 + n_docs) / (1 + min(n_docs, seen.get(w, 0)))) + 1 for w in self.index])
         self.names = [name for name, _ in own]
-        self.ranks = [1 for _ in templates]
+        full = set(FULL)
+        self.ranks = [0 if t in full else 2 if t[0] == RESERVED else 1 for t in templates]
         self.least = least
         unit = np.zeros((len(self.index), len(own)))
         for k, (_, c) in enumerate(own):
@@ -140,7 +184,11 @@ def document_counts(files: DataFrame) -> DataFrame:
 
 
 def segments(text: bytes) -> Iterator[tuple[list[bytes], set[bytes]]]:
-    """Words, and distinct words, of what may declare a licence: every line, and the whole text."""
+    """Words, and distinct words, of what may declare a licence: every line, lines joined to headers, the whole text.
+
+    Headers are paragraphs (runs of lines with words) and blocks of comment
+    lines, each whole and without lines that begin with a copyright.
+    """
     raw = text.split(b"\n")
     lines = [words(x) for x in raw]
     some = [set(x) for x in lines]
@@ -149,7 +197,39 @@ def segments(text: bytes) -> Iterator[tuple[list[bytes], set[bytes]]]:
             yield x, y
     if len(lines) == 1:
         return
-    yield [w for x in lines for w in x], set().union(*some)
+    seen = set()
+    for start, end in (*_runs([bool(x) for x in lines]), *_runs(_comments(raw)), (0, len(lines))):
+        at = [i for i in range(start, end) if lines[i]]
+        bare = [i for i in at if not raw[i].lstrip(b" \t#/*;%-<!").lower().startswith(COPYRIGHT)]
+        for part in (at, bare):
+            if len(part) > 1 and (key := (part[0], part[-1], len(part))) not in seen:
+                seen.add(key)
+                yield [w for i in part for w in lines[i]], set().union(*(some[i] for i in part))
+
+
+def _runs(flags: list[bool]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of true flags."""
+    out, start = [], None
+    for i, f in enumerate([*flags, False]):
+        if f and start is None:
+            start = i
+        elif not f and start is not None:
+            out.append((start, i))
+            start = None
+    return out
+
+
+def _comments(raw: list[bytes]) -> list[bool]:
+    """Which lines are comments, by how they begin or as they stand between ``/*`` or ``<!--`` and its end."""
+    out, end = [], b""
+    for x in raw:
+        bare = x.strip()
+        out.append(bool(end) or bare.startswith(COMMENT))
+        if not end and bare.startswith((b"/*", b"<!--")):
+            end = b"*/" if bare.startswith(b"/*") else b"-->"
+        if end and end in bare:
+            end = b""
+    return out
 
 
 def _candidates(files: DataFrame, matcher: Matcher) -> DataFrame:

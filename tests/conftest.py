@@ -16,6 +16,3 @@ def spark():
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="webloom-test-ckpt-")})
     yield s
     s.stop()
-
-
-SF001 = "/root/testdata/sf0.001"

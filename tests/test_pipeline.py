@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 
 
 def _texts(spark):

@@ -94,7 +94,7 @@ def test_long_words_pass_the_analyzer(spark):
 
 
 def test_cleaning_a_corpus_is_one_scan_without_exchange(spark):
-    from conftest import SF001
+    from paths import SF001
     from webloom.functions.cleaning import clean_documents
     plan = clean_documents(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("FileScan") == 1

@@ -18,10 +18,10 @@ SLICE_ROWS = 512
 FILTER_BITS = 1 << 23
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared scratch folder: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

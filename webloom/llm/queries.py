@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, decontam, knn, licenses, linededup, mixing, pii, simhash, toxicity, warc
+from webloom.llm import chat, decontam, knn, licenses, linededup, mixing, packing, pii, repair, simhash, toxicity, warc, whitening
 from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
@@ -73,6 +73,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(more)))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(load_table(spark, sf_dir, "documents")))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load_table(spark, sf_dir, "conversations")
+    return repair.digest(*repair.repair(repair.damaged(conversations), conversations))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -84,6 +97,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
+    "op11_packing": op11_packing,
+    "op12_repair": op12_repair,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -75,9 +75,9 @@ def test_fast_ids_are_those_of_the_tokenizer(spark):
     from webloom.llm.packing import Encoder
     encode = Encoder()
     for r in spark.read.parquet(f"{SF001}/documents.parquet").select("text").collect():
-        assert encode(r.text) == encode.slow.encode(r.text, add_special_tokens=False).ids
+        assert encode(r.text).tolist()[:-1] == encode.slow.encode(r.text, add_special_tokens=False).ids
     for text in ("", " ", "\n\n  x", "it's <|endoftext|>", "ɐ", "²½ªº´¨", "don't  DON'T\t\r\n"):
-        assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids
+        assert encode(text).tolist()[:-1] == encode.slow.encode(text, add_special_tokens=False).ids
 
 
 def test_neighbours_are_the_unused_documents_of_highest_bm25():

@@ -16,6 +16,7 @@ falling powers of two, so nothing is padded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ K1, B = 1.2, 0.75
 SHARD_ENTRIES = 200_000
 #: Text with characters from here on, or with a special token's string, is encoded by ``tokenizers`` itself; the rank form
 #: of the same vocabulary, four times faster, gives the same ids for the rest.
-PLAIN_BELOW = "ɐ"
+PLAIN_BELOW = 0x250
 
 TOKENS = "key long, doc_id long, n_tokens long, ids binary, first_sequence long, frequencies binary, n_docs long"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -50,6 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.slow = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.size = self.slow.get_vocab_size()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if path is None or ranks is not None:
@@ -60,34 +62,53 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def __call__(self, text: str) -> list[int]:
-        if self.fast and (text.isascii() or max(text) < PLAIN_BELOW) and not any(s in text for s in self.special):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+    def __call__(self, text: str) -> np.ndarray:
+        """The ids of a text and the closing one."""
+        if self.fast and self._plain(text):
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        else:
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+        return np.append(np.asarray(ids, self.kind), self.kind(CLOSING))
+
+    def _plain(self, text: str) -> bool:
+        if not text.isascii() and np.frombuffer(text.encode("utf-32-le"), np.uint32).max() >= PLAIN_BELOW:
+            return False
+        return not any(s in text for s in self.special)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None, ranks: str | None) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path, ranks)
 
 
 def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(document, token, count)`` of the distinct tokens of documents, without the closing ids."""
+    """``(document, token, count)`` of the distinct tokens of documents, without the closing ids, in this order."""
     sizes = np.array([len(i) - 1 for i in ids], np.int64)
-    every = np.concatenate([np.zeros(0, np.int64), *(i[:-1] for i in ids)]).astype(np.int64)
-    both, count = np.unique(np.repeat(np.arange(len(ids)) << 32, sizes) | every, return_counts=True)
-    return both >> 32, both & 0xFFFFFFFF, count
+    every = np.concatenate([np.zeros(0, np.uint16), *(i[:-1] for i in ids)])
+    bits = int(every.max(initial=0)).bit_length()
+    kind = np.int32 if bits + len(ids).bit_length() < 32 else np.int64  # the narrower sorts faster
+    both = np.repeat(np.arange(len(ids), dtype=kind) << kind(bits), sizes) | every.astype(kind)
+    both.sort()
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])[:len(both)])
+    doc, token = both[at] >> kind(bits), both[at] & kind((1 << bits) - 1)
+    return doc.astype(np.int64), token.astype(np.int64), np.diff(at, append=len(both))
 
 
 def tokenized(docs: DataFrame, path: str | None = None, ranks: str | None = None, window: int = WINDOW) -> DataFrame:
-    """A written table of each row's ids (little-endian, 32 bits), and a row of document frequencies per task.
+    """A written table of each row's ids (little-endian, 16 bits if the vocabulary fits), and a row of document frequencies per task.
 
     ``key`` tells rows apart whatever their doc_id; ``first_sequence`` numbers the
     whole windows of a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Encoder(path, ranks), TaskContext.get().partitionId() << 40
+        encode, task = encoder(path, ranks), TaskContext.get().partitionId() << 40
         seen, n, windows, tokens = np.zeros(encode.size, np.int64), 0, 0, 0
         schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
                             ("first_sequence", pa.int64()), ("frequencies", pa.binary()), ("n_docs", pa.int64())])
         for b in slices(batches, 128):
-            ids = [np.array([*encode(t or ""), CLOSING], np.uint32) for t in b.column(1).to_pylist()]
+            ids = [encode(t or "") for t in b.column(1).to_pylist()]
             full = np.array([len(i) // window for i in ids])
             seen += np.bincount(_terms(ids)[1], minlength=len(seen))
             starts = windows + np.cumsum(full) - full
@@ -135,17 +156,24 @@ def _corpus(tokens: DataFrame) -> Weights | None:
     return Weights(f, n_docs, max(1.0, (size - n_docs) / n_docs))
 
 
-def _weighed(batch: pa.RecordBatch, weights: Weights):
-    """Ids, terms, weights and top token (-1 without tokens) of a slice of the token table."""
-    ids = [np.frombuffer(x, np.uint32) for x in batch.column("ids").to_pylist()]
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32)
+            for x, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)]
+
+
+def _weighed(ids: list[np.ndarray], weights: Weights):
+    """Terms and weights of documents, where each document's begin, and its top token (-1 without tokens)."""
     doc, token, count = _terms(ids)
-    length = np.array([len(i) - 1 for i in ids])
-    w = weights(token, count, length[doc])
-    order = np.lexsort((token, -w, doc))
-    first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    w = weights(token, count, np.array([len(i) - 1 for i in ids])[doc])
+    starts = np.searchsorted(doc, np.arange(len(ids) + 1))
     top = np.full(len(ids), -1)
-    top[doc[first]] = token[first]
-    return ids, doc, token, w, top
+    some = np.flatnonzero(np.diff(starts))
+    if len(some):
+        most = np.zeros(len(ids), np.float32)
+        most[some] = np.maximum.reduceat(w, starts[some])
+        at = np.flatnonzero(w == most[doc])[::-1]
+        top[doc[at]] = token[at]  # of equal weights the smallest token, which is written last
+    return token, w, starts, top
 
 
 def _shards(tokens: DataFrame, weights: Weights, entries: int) -> dict[int, tuple[int, int]]:
@@ -154,12 +182,12 @@ def _shards(tokens: DataFrame, weights: Weights, entries: int) -> dict[int, tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(weights.idf) + 1, np.int64)
         for b in slices(batches):
-            _, doc, _, _, top = _weighed(b, weights)
-            held += np.bincount(top + 1, np.bincount(doc, minlength=len(top)) + 1, len(held)).astype(np.int64)
+            _, _, starts, top = _weighed(_ids(b), weights)
+            held += np.bincount(top + 1, np.diff(starts) + 1, len(held)).astype(np.int64)
         at = np.flatnonzero(held)
         yield pa.record_batch([pa.array(at - 1), pa.array(held[at])], names=["top", "n"])
 
-    rows = tokens.filter("ids IS NOT NULL").select("ids").mapInArrow(run, "top long, n long")
+    rows = tokens.filter("ids IS NOT NULL").select("ids", "n_tokens").mapInArrow(run, "top long, n long")
     out, shard, room = {}, -1, 0
     for r in rows.groupBy("top").agg(F.sum("n").alias("n")).orderBy("top").collect():  # at most the vocabulary and one
         if r.n > room:
@@ -180,21 +208,21 @@ def _tails(tokens: DataFrame, weights: Weights, shards: dict[int, tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, doc, token, w, top = _weighed(b, weights)
+            ids = _ids(b)
+            token, w, cut, top = _weighed(ids, weights)
             key = b.column("key").to_numpy()
             mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            cut = np.searchsorted(doc, np.arange(len(ids) + 1))
             token = token.astype(np.uint32)
             keep = [i for i, x in enumerate(ids) if len(x) % window]
             yield pa.record_batch([
                 pa.array((first[top + 1] + mixed.astype(np.int64) % many[top + 1])[keep]), pa.array(key[keep]),
                 b.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([len(ids[i]) for i in keep], pa.int64()),
-                pa.array([ids[i][len(ids[i]) // window * window:].tobytes() for i in keep], pa.binary()),
+                pa.array([ids[i][len(ids[i]) // window * window:].astype(np.uint32).tobytes() for i in keep], pa.binary()),
                 pa.array([token[cut[i]:cut[i + 1]].tobytes() for i in keep], pa.binary()),
                 pa.array([w[cut[i]:cut[i + 1]].tobytes() for i in keep], pa.binary())],
                 names=["shard", "key", "doc_id", "n_tokens", "tail", "tokens", "weights"])
 
-    rows = tokens.filter("ids IS NOT NULL").select("key", "doc_id", "ids")
+    rows = tokens.filter("ids IS NOT NULL").select("key", "doc_id", "ids", "n_tokens")
     return rows.mapInArrow(run, "shard long, key long, doc_id long, n_tokens long, tail binary, tokens binary, weights binary")
 
 
@@ -207,7 +235,7 @@ class Index:
         token = np.concatenate([np.zeros(0, np.uint32), *(tokens[i] for i in live)])
         order = np.argsort(token, kind="stable")
         self.doc = np.repeat(np.arange(len(live)), sizes)[order]
-        self.weight = np.concatenate([np.zeros(0, np.float32), *(weights[i] for i in live)])[order]
+        self.weight = np.concatenate([np.zeros(0), *(weights[i] for i in live)])[order]
         self.known, self.at = np.unique(token[order], return_index=True)
         self.to = np.append(self.at[1:], len(token))
 
@@ -286,12 +314,11 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, win
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 16):
-            for doc_id, n, ids, first in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "first_sequence")),
-                                             strict=True):
-                k = n // window
-                yield _batch([doc_id] * k, [i * window for i in range(k)], [window] * k,
-                             [ids[4 * i * window:4 * (i + 1) * window] for i in range(k)], [n] * k,
-                             [first + 2 * i for i in range(k)], [0] * k)
+            for doc_id, ids, first in zip(b.column("doc_id").to_pylist(), _ids(b), b.column("first_sequence").to_pylist(), strict=True):
+                k = len(ids) // window
+                parts = ids[:k * window].astype(np.uint32).reshape(k, window)
+                yield _batch([doc_id] * k, range(0, k * window, window), [window] * k, [p.tobytes() for p in parts],
+                             [len(ids)] * k, range(first, first + 2 * k, 2), [0] * k)
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")

@@ -33,6 +33,8 @@ CLOSING = 0
 K1, B = 1.2, 0.75
 #: Index entries (a document and one of its distinct tokens) that a shard holds, about.
 SHARD_ENTRIES = 200_000
+#: Share of a shard's documents, one in so many, from which a token has a row of weights.
+COMMON = 16
 #: Text with characters from here on, or with a special token's string, is encoded by ``tokenizers`` itself; the rank form
 #: of the same vocabulary, four times faster, gives the same ids for the rest.
 PLAIN_BELOW = 0x250
@@ -227,7 +229,11 @@ def _tails(tokens: DataFrame, weights: Weights, shards: dict[int, tuple[int, int
 
 
 class Index:
-    """Inverted index of a shard: for each token, the documents that hold it and their BM25 weights."""
+    """Inverted index of a shard: for each token, the documents that hold it and their BM25 weights.
+
+    A token that at least one document in ``COMMON`` holds has a row of weights, rarer ones
+    have lists, so the index takes at most ``COMMON`` numbers per entry.
+    """
 
     def __init__(self, tokens: list[np.ndarray], weights: list[np.ndarray], live: np.ndarray):
         self.live = live
@@ -235,17 +241,26 @@ class Index:
         token = np.concatenate([np.zeros(0, np.uint32), *(tokens[i] for i in live)])
         order = np.argsort(token, kind="stable")
         self.doc = np.repeat(np.arange(len(live)), sizes)[order]
-        self.weight = np.concatenate([np.zeros(0), *(weights[i] for i in live)])[order]
-        self.known, self.at = np.unique(token[order], return_index=True)
-        self.to = np.append(self.at[1:], len(token))
+        self.weight = np.concatenate([np.zeros(0, np.float32), *(weights[i] for i in live)])[order]
+        self.known, self.at, self.size = np.unique(token[order], return_index=True, return_counts=True)
+        common = self.size * COMMON >= len(live)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), len(live)), np.float32)
+        dense = np.repeat(self.row, self.size)
+        some = dense >= 0
+        self.rows[dense[some], self.doc[some]] = self.weight[some]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 score of every indexed document (of ``live``) for the distinct tokens of a query."""
         k = np.searchsorted(self.known, query)
-        k = k[(k < len(self.known)) & (self.known[np.minimum(k, len(self.known) - 1)] == query)] if len(self.known) else k[:0]
-        size = self.to[k] - self.at[k]
+        query, k = query[k < len(self.known)], k[k < len(self.known)]
+        k = k[self.known[k] == query]
+        row = self.row[k]
+        out = self.rows[row[row >= 0]].sum(0, dtype=np.float32)
+        k = k[row < 0]
+        size = self.size[k]
         at = np.repeat(self.at[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], len(self.live))
+        return out + np.bincount(self.doc[at], self.weight[at], len(self.live))
 
 
 def fill_windows(sizes: np.ndarray, tokens: list[np.ndarray], weights: list[np.ndarray], window: int = WINDOW):

@@ -55,6 +55,19 @@ def test_porter_on_corpus_words(spark):
     assert [r.w for r in rows if r.s != ref_stem(r.w)] == []
 
 
+def test_stems_in_arrow_batches_are_those_of_the_expression(spark):
+    from webloom.functions.stem import porter, stem_expression, stem_tokens
+    rows = [(0, WORDS), (1, []), (2, None), (3, ["running", None, "running"]), (4, [""])]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        (F.col("doc_id") + 10).alias("i"), F.split(F.lower("text"), "[^a-zé]+").alias("t"))
+    df = spark.createDataFrame(rows, "i int, t array<string>").unionByName(docs).repartition(3)
+    bad = df.select("t", stem_tokens("t").alias("a"), stem_expression(F.col("t")).alias("b")).filter("NOT (a <=> b) AND i <> 3")
+    assert bad.count() == 0
+    got = {r.i: r.a for r in df.filter("i < 10").select("i", stem_tokens("t").alias("a")).collect()}
+    assert got[1] == [] and got[2] is None and got[3] == ["run", None, "run"] and got[4] == [""]
+    assert [w for w in WORDS if porter(w) != ref_stem(w)] == []
+
+
 @pytest.mark.parametrize("line,want", [
     ("a b  c", ["a", "b", "", "c"]), ("a b  ", ["a", "b"]), ("   ", []), ("", [""]), (" a", ["", "a"])])
 def test_space_tokens_java_split(spark, line, want):

@@ -1,19 +1,29 @@
 """Porter stemming (classic algorithm, with the two well-known departures
 ``bli -> ble`` and ``logi -> log``) as built-in array expressions.
 
-``stem_tokens`` maps an ``array<string>`` column of lower-case tokens to
+``stem_expression`` maps an ``array<string>`` column of lower-case tokens to
 their stems with a chain of ``transform`` passes: one pass per rule step,
 each step a ``CASE`` over suffixes that only decides "keep n letters, append
 a fixed string". The consonant/vowel shape of a word is computed once with
 regexes and carried along (a suffix change updates it in place), so nothing
-leaves the JVM and a document's tokens are stemmed in place (no shuffle, no
-join against a stem table).
+leaves the JVM. It suits a table of distinct terms (``stem``).
+
+A corpus repeats its terms, so ``stem_tokens`` sends arrays of tokens to Python
+in Arrow batches: a batch's distinct terms are stemmed once each (``porter``, which a worker
+remembers for its frequent terms) and put back by index. A document's tokens stay
+in place, without a shuffle or a join against a stem table.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The suffix rules, in the order they are tried.
 STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
@@ -173,7 +183,7 @@ def _or(conds):
     return out
 
 
-def stem_tokens(tokens: Column) -> Column:
+def stem_expression(tokens: Column) -> Column:
     """Porter stems of an array of lower-case tokens (words of 1-2 letters stay)."""
     def run(step, endings):
         return lambda x: F.when((F.length(x["w"]) <= 2) | ~_ends_any(x["w"], endings), x).otherwise(
@@ -187,4 +197,100 @@ def stem_tokens(tokens: Column) -> Column:
 
 def stem(term: Column) -> Column:
     """Porter stem of one lower-case term."""
-    return F.element_at(stem_tokens(F.array(term)), 1)
+    return F.element_at(stem_expression(F.array(term)), 1)
+
+
+# ------------------------------------------------------------------ the same rules for distinct terms in Arrow batches
+
+def _classes(w: str) -> str:
+    """'c'/'v' per letter."""
+    out = ""
+    for ch in w:
+        out += "v" if ch in "aeiou" or (ch == "y" and out[-1:] == "c") else "c"
+    return out
+
+
+def _measure(w: str) -> int:
+    return _classes(w).count("vc")
+
+
+def _short_end(w: str) -> bool:
+    return _classes(w)[-3:] == "cvc" and w[-1] not in "wxy"
+
+
+def _doubled(w: str) -> bool:
+    return len(w) > 1 and w[-1] == w[-2] and _classes(w)[-1] == "c"
+
+
+def _plural(w: str) -> str:
+    if w.endswith(("sses", "ies")):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+
+
+def _past(w: str) -> str:
+    if w.endswith("eed"):
+        return w[:-1] if _measure(w[:-3]) else w
+    for end in ("ed", "ing"):
+        if w.endswith(end):
+            base = w[:-len(end)]
+            if "v" not in _classes(base):
+                return w
+            if base.endswith(("at", "bl", "iz")) or (_measure(base) == 1 and _short_end(base) and not _doubled(base)):
+                return base + "e"
+            return base[:-1] if _doubled(base) and base[-1] not in "lsz" else base
+    return w
+
+
+def _final_y(w: str) -> str:
+    return w[:-1] + "i" if w.endswith("y") and "v" in _classes(w[:-1]) else w
+
+
+def _replaced(w: str, rules) -> str:
+    for end, new in rules:
+        if w.endswith(end):
+            return w[:-len(end)] + new if _measure(w[:-len(end)]) else w
+    return w
+
+
+def _removed(w: str) -> str:
+    for end in STEP4:
+        if w.endswith(end):
+            base = w[:-len(end)]
+            return base if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))) else w
+    return w
+
+
+def _final_e(w: str) -> str:
+    if not w.endswith("e"):
+        return w
+    m = _measure(w)
+    return w[:-1] if m > 1 or (m == 1 and not _short_end(w[:-1])) else w
+
+
+def _final_l(w: str) -> str:
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+_WORD_STEPS = (_plural, _past, _final_y, lambda w: _replaced(w, STEP2), lambda w: _replaced(w, STEP3), _removed, _final_e, _final_l)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def porter(word: str) -> str:
+    """Porter stem of one lower-case word."""
+    for step in _WORD_STEPS:
+        if len(word) > 2:
+            word = step(word)
+    return word
+
+
+def _stem_arrays(tokens: pa.Array) -> pa.Array:
+    index = tokens.flatten().dictionary_encode()
+    stems = pa.array([w if w is None else porter(w) for w in index.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), stems.take(index.indices), mask=pc.is_null(tokens))
+
+
+def stem_tokens(tokens: Column) -> Column:
+    """Porter stems of an array of lower-case tokens (words of 1-2 letters stay)."""
+    return F.arrow_udf(_stem_arrays, ArrayType(StringType()))(tokens)

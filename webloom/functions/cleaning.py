@@ -82,8 +82,12 @@ def strip_symbols(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """T1, T2, T3, T6, T7 in that order."""
-    pre = remove_numbers(remove_urls(text))
-    return strip_symbols(ascii_fold(F.array_join(analyze(pre), " ")))
+    return stem_and_fold(analyze(remove_numbers(remove_urls(text)), stem=False))
+
+
+def stem_and_fold(tokens: Column) -> Column:
+    """The rest of T8 for analyzer tokens without stems: stems, ASCII folding, symbols out."""
+    return strip_symbols(ascii_fold(F.array_join(stem_tokens(tokens), " ")))
 
 
 def append_newline(text: Column) -> Column:

@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.session import checkpoint_dir
-from webloom.functions.cleaning import clean_documents, strip_stored_newline
+from webloom.functions.cleaning import (analyze, clean_documents, remove_numbers, remove_urls, stem_and_fold,
+                                        strip_stored_newline)
 from webloom.functions.stem import stem_tokens
+from webloom.session import checkpoint_dir
+from webloom.sources.tables import materialized
 
 
 def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,6 +66,50 @@ def assign_ids(terms: DataFrame, col: str = "term", num_partitions: int | None =
         col, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).alias("term_id"))
 
 
+def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw, count): analyzer terms of each document before stems, counted; written once, read by the dictionary and the join."""
+    text = remove_numbers(remove_urls(F.coalesce(F.col(text_col), F.lit(""))))
+    terms = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.explode(analyze(text, stem=False)).alias("raw"))
+    return materialized(terms.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("count")), "raw-counts")
+
+
+def term_dictionary(counts: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Written tables (raw, term_id) and the vocabulary (term, term_id) of ``raw_counts``.
+
+    Every distinct raw term is stemmed, folded and stripped once. Folding may leave no term of
+    it, or several; ``stem`` stems them again, as a job that stems cleaned texts does.
+    """
+    words = F.split(stem_and_fold(F.array("raw")), " ")
+    words = F.filter(stem_tokens(words) if stem else words, lambda t: t != "")
+    pairs = materialized(counts.select("raw").distinct().select("raw", F.explode(words).alias("term")), "term-dictionary")
+    vocab = materialized(assign_ids(pairs.select("term").distinct()), "vocabulary")
+    return materialized(pairs.join(vocab, "term").select("raw", "term_id"), "term-ids"), vocab
+
+
+def dictionary_doc_terms(counts: DataFrame, ids: DataFrame) -> DataFrame:
+    """A6 from the dictionary: doc_terms(doc_id, term_id, count). Raw terms of one stem add up.
+
+    The join shuffles a row per document and distinct term, by term unless the ids are
+    small enough to broadcast; what follows stays partitioned by document.
+    """
+    joined = counts.join(ids, "raw").select("doc_id", "term_id", "count").repartition("doc_id")
+    return joined.groupBy("doc_id", "term_id").agg(F.sum("count").alias("count"))
+
+
+def vectorize_documents(docs: DataFrame, stem: bool = False):
+    """(vocab, doc_terms, vectors) straight from documents, by a written term dictionary, without cleaned texts."""
+    counts = raw_counts(docs)
+    ids, vocab = term_dictionary(counts, stem)
+    dt = dictionary_doc_terms(counts, ids)
+    return vocab, dt, doc_vectors(dt)
+
+
+def occurrences(dterms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """J1 by occurrence: (doc_id, term, term_id), from counts, so that a frequent term is one row per document until the end."""
+    rows = dterms.join(vocab, "term_id")
+    return rows.select("doc_id", "term", "term_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("_n")).drop("_n")
+
+
 def join_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Attach term_id."""
     return rows.join(vocab, "term")

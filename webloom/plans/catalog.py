@@ -258,37 +258,36 @@ def q_assign_ids(spark, sf):
 @register("term_freq")
 def q_term_freq(spark, sf):
     from webloom.operators import vectorize as V
-    vocab, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    vocab, dt, _ = V.vectorize_documents(documents(spark, sf))
     return dt
 
 
 @register("doc_vectors")
 def q_doc_vectors(spark, sf):
     from webloom.operators import vectorize as V
-    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    _, _, vec = V.vectorize_documents(documents(spark, sf))
     return vec
 
 
 @register("doc_vectors_stemmed")
 def q_doc_vectors_stemmed(spark, sf):
     from webloom.operators import vectorize as V
-    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)), stem=True)
+    _, _, vec = V.vectorize_documents(documents(spark, sf), stem=True)
     return vec
 
 
 @register("join_vocab")
 def q_join_vocab(spark, sf):
     from webloom.operators import vectorize as V
-    terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf)))
-    vocab = V.assign_ids(V.distinct_terms(terms))
-    return V.join_vocab(terms, vocab).select("doc_id", "term", "term_id")
+    vocab, dt, _ = V.vectorize_documents(documents(spark, sf))
+    return V.occurrences(dt, vocab)
 
 
 # ---------------------------------------------------------------- topic models
 
 def _lda_corpus(spark, sf):
     from webloom.operators import vectorize as V
-    vocab, dt, _ = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    vocab, dt, _ = V.vectorize_documents(documents(spark, sf))
     return vocab, dt, vocab.count()
 
 
@@ -379,7 +378,7 @@ def q_extract_header_lines(spark, sf):
 
 def _vector_lines(spark, sf):
     from webloom.operators import vectorize as V
-    _, _, vec = V.vectorize(V.cleaned_texts(documents(spark, sf)))
+    _, _, vec = V.vectorize_documents(documents(spark, sf))
     return vec
 
 

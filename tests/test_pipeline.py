@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paths import SF001
@@ -58,6 +59,50 @@ def test_lda_em_two_topics(spark):
     assert len(timings) == 5 and np.all(alpha > 0)
 
 
+def _em_by_hand(rows, v, k, outer, inner, phi_weight):
+    """The reference job's loops over documents, terms and topics, from the same start values."""
+    from webloom.operators.topics import ALPHA0, ETA, digamma, start_values, update_alpha
+    lam, alpha = start_values(np.arange(v), k, v), np.full(k, ALPHA0)
+    docs = {}
+    for d, w, c in rows:
+        docs.setdefault(d, []).append((w, c))
+    for _ in range(outer):
+        new, seen, suff = np.zeros((v, k)), set(), np.zeros(k)
+        for own in docs.values():
+            gamma = np.full(k, ALPHA0 + v // k)
+            for _ in range(inner):
+                weight = gamma if phi_weight == "gamma" else np.exp(digamma(gamma))
+                phi = [lam[w] * weight / (lam[w] * weight).sum() for w, _ in own]
+                gamma = alpha + sum(c * p for p, (_, c) in zip(phi, own, strict=True))
+            for p, (w, c) in zip(phi, own, strict=True):
+                new[w] += c * p
+                seen.add(w)
+            suff += digamma(gamma) - digamma(gamma.sum())
+        lam = np.array([ETA + new[w] if w in seen else lam[w] for w in range(v)])
+        lam /= lam.sum(0)
+        alpha = update_alpha(alpha, suff, len(docs))
+    return lam, alpha
+
+
+@pytest.mark.parametrize("phi_weight", ["digamma", "gamma"])
+def test_em_on_blocks_equals_the_loops_of_the_job(spark, monkeypatch, phi_weight):
+    """Documents and terms in several blocks, long and short documents, a term that no document has."""
+    from webloom.operators import topics as L
+    monkeypatch.setattr(L, "DOC_BLOCK_NUMBERS", 100)
+    monkeypatch.setattr(L, "TERM_BLOCK_NUMBERS", 21)
+    rng = np.random.default_rng(5)
+    rows = [(f"d{d}", int(w), int(rng.integers(1, 6))) for d in range(25)
+            for w in rng.choice(59, rng.integers(1, 4) if d % 2 else 45, replace=False)]
+    want, want_alpha = _em_by_hand(rows, 60, 3, 3, 20, phi_weight)
+    corpus = spark.createDataFrame(rows, "doc_id string, term_id long, count long")
+    lam, alpha, _ = L.fit_lda_em(corpus, 60, k=3, outer=3, inner=20, phi_weight=phi_weight)
+    got = {r.term_id: r.lam for r in lam.collect()}
+    assert sorted(got) == list(range(60))
+    assert np.allclose(np.array([got[w] for w in range(60)]), want, rtol=1e-9) and np.allclose(alpha, want_alpha, rtol=1e-8)
+    empty, alpha, _ = L.fit_lda_em(corpus.limit(0), 60, k=3, outer=1)
+    assert empty.count() == 60 and np.isfinite(alpha).all()
+
+
 def test_update_alpha_keeps_positive():
     from webloom.operators.topics import update_alpha
     a = update_alpha(np.full(3, 0.1), np.array([-50.0, -60.0, -70.0]), 20)

@@ -36,15 +36,14 @@ def test_rules_and_fusion_add_no_exchange(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
 
 
-def test_estep_without_exchange_when_lambda_broadcast(spark):
-    from webloom.operators.topics import e_step, init_lambda
+def test_topic_rows_travel_per_document_block(spark):
+    """One join of the needs with lambda by term block, one cogroup by document block; no entry is joined with lambda."""
+    from webloom.operators.topics import block_needs, doc_blocks, e_step, term_blocks
     rows = [(str(d), w, 2.0) for d in range(50) for w in range(d % 5, d % 5 + 10)]
-    corpus = spark.createDataFrame(rows, "doc_id string, term_id long, count double").repartition("doc_id").persist()
-    lam = init_lambda(corpus.select("term_id").distinct(), 3, 20).checkpoint(eager=True)
-    plan = _plan(e_step(corpus, lam, np.full(3, 0.1), 3, 20))
-    top = plan.split("InMemoryRelation")[0]
-    assert "BroadcastHashJoin" in top and "Exchange hashpartitioning" not in top
-    corpus.unpersist()
+    corpus = spark.createDataFrame(rows, "doc_id string, term_id long, count double")
+    blocks = doc_blocks(corpus, 3)
+    plan = _plan(e_step(blocks, block_needs(blocks, 3), term_blocks(spark, 3, 20), np.ones(3), np.full(3, 0.1), 3, 20))
+    assert plan.count("Join") == 1 and plan.count("FlatMapCoGroupsInArrow") == 1 and "Generate" not in plan
 
 
 def test_vocabulary_ids_do_not_depend_on_exchange_reuse(spark):

@@ -1,31 +1,36 @@
-"""Topic models.
-
-Main path: MLlib ``CountVectorizer`` + online ``LDA`` (``fit_lda_mllib``).
-
-DataFrame EM path (``fit_lda_em``), the variational EM of the reference job:
-  * the corpus ``doc_terms(doc_id, term_id, count)`` is persisted once;
-  * topics ``lambda`` are a table ``(term_id, lam ARRAY<DOUBLE>[K])``;
-  * E-step: ``doc_terms JOIN lambda`` (broadcast only when V*K is below a
-    byte bound, else a shuffle join), then ``groupBy(doc_id).applyInPandas``:
-    numpy fixed-point iterations over *one document's rows*; it emits
-    count*phi per (term, topic) and the document's sufficient statistics;
-  * M-step: ``groupBy(term_id, k).sum`` (partial aggregation), unseen pairs
-    keep their old value, each topic normalised by its total (a K-row table);
-  * alpha: Newton steps on K numbers on the driver, between jobs;
-  * lambda is checkpointed every iteration to cut the lineage.
+"""Topic models (L1-L7): the variational EM of the reference job on blocks.
+
+  * Documents are packed once into blocks of a bounded number of (document,
+    term) entries, one row each: ``doc_blocks``. Topics ``lambda`` are a written table of
+    term blocks of bounded size: ``term_blocks``. ``block_needs`` lists the terms of
+    each term block that each document block has.
+  * An iteration joins the needs with lambda by term block, cuts out the
+    needed rows, and brings them to their document block: a topic row travels once per
+    document block, not once per document.
+  * E-step: numpy fixed-point iterations over a document block. It emits the block's
+    sums of count * phi per term block, and the sufficient statistics.
+  * M-step: sums per term block, added up in a stream of batches, so that a task holds one
+    term block whatever the number of documents. Terms that no document has keep their value.
+  * alpha: Newton steps on K numbers on the driver, between jobs; the only other thing that
+    the driver sees are the K totals that normalise the topics.
+
+MLlib's ``LDA`` is an option (``fit_lda_mllib``); it keeps vocabulary and topics on the driver.
 """
 
 from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-try:  # ship this module's per-document code with the task (no package install on executors)
+from webloom.sources.tables import materialized
+
+try:  # ship this module's per-block code with the task (no package install on executors)
     from pyspark import cloudpickle as _cp
     _cp.register_pickle_by_value(sys.modules[__name__])
 except Exception:  # pragma: no cover
@@ -40,34 +45,31 @@ ALPHA_MAX_ITERATIONS = 1000
 ALPHA_TOLERANCE = 1e-6
 ALPHA_DECAY = 0.8
 ALPHA_MAX_DECAY = 11
+#: Term block and term id of the sufficient statistics.
 SUFF_STAT_ID = -1
-BROADCAST_LAMBDA_MAX_BYTES = 256 * 1024 * 1024
+#: Numbers (entries times topics) that a document block's arrays hold, and a term block's.
+DOC_BLOCK_NUMBERS, TERM_BLOCK_NUMBERS = 1 << 18, 1 << 16
+#: Mean entries of a block's documents from which each is worked on alone.
+LONG_DOCUMENT = 32
 
 
 # ------------------------------------------------------------------ special functions (numpy)
 
 def digamma(x):
-    x = np.asarray(x, dtype=float).copy()
-    out = np.zeros_like(x)
-    small = x < 6
-    while np.any(small):
-        out[small] -= 1.0 / x[small]
-        x[small] += 1
-        small = x < 6
-    f = 1.0 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+    """Six steps of the recurrence, then the asymptotic series."""
+    x = np.asarray(x, dtype=float)
+    y = x + 6
+    f = 1.0 / (y * y)
+    series = f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
+    return np.log(y) - 0.5 / y - series - sum(1.0 / (x + i) for i in range(6))
 
 
 def trigamma(x):
-    x = np.asarray(x, dtype=float).copy()
-    out = np.zeros_like(x)
-    small = x < 6
-    while np.any(small):
-        out[small] += 1.0 / (x[small] * x[small])
-        x[small] += 1
-        small = x < 6
-    f = 1.0 / (x * x)
-    return out + 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
+    x = np.asarray(x, dtype=float)
+    y = x + 6
+    f = 1.0 / (y * y)
+    series = f / y * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f * (1 / 30))))
+    return 1 / y + f / 2 + series + sum(1.0 / (x + i) ** 2 for i in range(6))
 
 
 # ------------------------------------------------------------------ MLlib path
@@ -99,68 +101,222 @@ def describe_topics_mllib(model, vocabulary, n: int = 10) -> DataFrame:
     return t.join(vocab, "term_id").select("k", "rank", "term", "weight")
 
 
-# ------------------------------------------------------------------ DataFrame EM path
-
-def init_lambda(term_ids: DataFrame, k: int, v: int, seed: int = 0) -> DataFrame:
-    """Random start u1 / (u2 + V) per (term, topic), seeded by a hash of (term_id, k)."""
-    def unif(salt, j):
-        h = F.xxhash64(F.col("term_id"), F.lit(j), F.lit(seed), F.lit(salt))
-        return (F.abs(h) % (1 << 52)) / float(1 << 52)
-    lam = F.array(*[unif(1, j) / (unif(2, j) + v) for j in range(k)])
-    return term_ids.select(F.col("term_id").cast("long").alias("term_id"), lam.alias("lam"))
-
-
-def _estep_fn(k: int, v: int, alpha: np.ndarray, inner: int, phi_weight: str):
-    gamma0 = ALPHA0 + (v // k)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = pdf["count"].to_numpy(dtype=float)
-        lam = np.stack(pdf["lam"].to_numpy())
-        gamma = np.full(k, float(gamma0))
-        phi = lam
-        for _ in range(inner):
-            weight = gamma if phi_weight == "gamma" else np.exp(digamma(gamma))
-            phi = lam * weight
-            phi = phi / phi.sum(axis=1, keepdims=True)
-            gamma = alpha + counts @ phi
-        contrib = counts[:, None] * phi
-        ss = digamma(gamma) - digamma(gamma.sum())
-        terms = pdf["term_id"].to_numpy()
-        out = pd.DataFrame({
-            "term_id": np.concatenate([np.repeat(terms, k), np.full(k, SUFF_STAT_ID)]).astype("int64"),
-            "k": np.concatenate([np.tile(np.arange(k), len(terms)), np.arange(k)]).astype("int32"),
-            "value": np.concatenate([contrib.reshape(-1), ss]),
-        })
-        return out
-
-    return fn
-
-
-def e_step(corpus: DataFrame, lam: DataFrame, alpha: np.ndarray, k: int, v: int, inner: int = INNER_ITERATIONS,
-           phi_weight: str = "digamma", max_broadcast_bytes: int = BROADCAST_LAMBDA_MAX_BYTES) -> DataFrame:
-    """L2 + L3: per-document statistics; (term_id, k, value), term_id -1 = sufficient statistic."""
-    side = F.broadcast(lam) if v * k * 8 <= max_broadcast_bytes else lam
-    joined = corpus.join(side, "term_id").select("doc_id", "term_id", "count", "lam")
-    return joined.groupBy("doc_id").applyInPandas(
-        _estep_fn(k, v, np.asarray(alpha, float), inner, phi_weight), "term_id long, k int, value double")
-
-
-def m_step(stats: DataFrame, lam: DataFrame, k: int) -> DataFrame:
-    """lambda = eta + summed phi where seen, old value elsewhere, each topic normalised."""
-    sums = stats.where(F.col("term_id") != SUFF_STAT_ID).groupBy("term_id", "k").agg(F.sum("value").alias("s"))
-    old = lam.select("term_id", F.posexplode("lam").alias("k", "old"))
-    new = old.join(sums, ["term_id", "k"], "left").select(
-        "term_id", "k", F.when(F.col("s").isNotNull(), F.lit(ETA) + F.col("s")).otherwise(F.col("old")).alias("value"))
-    totals = new.groupBy("k").agg(F.sum("value").alias("total"))  # K rows
-    normed = new.join(F.broadcast(totals), "k").select("term_id", "k", (F.col("value") / F.col("total")).alias("value"))
-    return normed.groupBy("term_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("lam"))
+# ------------------------------------------------------------------ EM on blocks
+
+def start_values(term_ids: np.ndarray, k: int, v: int, seed: int = 0) -> np.ndarray:
+    """Random start u1 / (u2 + V) per (term, topic): u are 32-bit integer hashes of seed, term, topic and 0 or 1."""
+    x = (np.asarray(term_ids, np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)) * np.uint64(2)
+
+    def unif(salt):
+        h = ((x + np.uint64(salt + 2654435769)) ^ np.uint64(seed)) & np.uint64(0xFFFFFFFF)
+        for _ in range(2):
+            h = ((h ^ (h >> np.uint64(16))) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
+        return ((h ^ (h >> np.uint64(16))).astype(float) + 1) / 2.0 ** 32
+
+    return unif(0) / (unif(1) + v)
+
+
+def doc_blocks(corpus: DataFrame, k: int) -> DataFrame:
+    """Written table (block, terms, starts, index, counts): documents packed by a hash of their id.
+
+    ``terms`` are the block's distinct term ids, ``index`` and ``counts`` its entries by
+    document, ``starts`` where each document begins.
+    """
+    entries = max(1, DOC_BLOCK_NUMBERS // k)
+    rows = corpus.select("doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("count").cast("double").alias("count"))
+    n = max(1, -(-rows.count() // entries))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("term_id", "ascending")])
+        doc = table.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        terms, index = np.unique(table.column("term_id").to_numpy(), return_inverse=True)
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        row = [table.column("block")[0].as_py(), terms.astype(np.int64).tobytes(), starts.astype(np.int64).tobytes(),
+               index.astype(np.int64).tobytes(), table.column("count").to_numpy().tobytes()]
+        return pa.table([[x] for x in row], names=["block", "terms", "starts", "index", "counts"])
+
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).groupBy("block").applyInArrow(
+        pack, "block long, terms binary, starts binary, index binary, counts binary")
+    return materialized(packed, "lda-documents")
+
+
+def block_needs(blocks: DataFrame, k: int) -> DataFrame:
+    """Written table (term_block, block, at, offsets): the rows of each term block that a document block has, and where they begin in its terms."""
+    size = _term_block_size(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                terms = np.frombuffer(terms, np.int64)
+                at = np.flatnonzero(np.diff(terms // size, prepend=-1))
+                yield pa.record_batch([pa.array(terms[at] // size), pa.array(np.full(len(at), block)), pa.array(at),
+                                       pa.array([(p % size).tobytes() for p in np.split(terms, at[1:])], pa.binary())],
+                                      names=["term_block", "block", "at", "offsets"])
+
+    return materialized(blocks.select("block", "terms").mapInArrow(run, "term_block long, block long, at long, offsets binary"),
+                        "lda-needs")
+
+
+def _term_block_size(k: int) -> int:
+    return max(1, TERM_BLOCK_NUMBERS // k)
+
+
+def term_blocks(spark: SparkSession, k: int, v: int, seed: int = 0) -> DataFrame:
+    """Written table (term_block, lam, totals) of the random start; ``totals`` are the block's sums per topic."""
+    size = _term_block_size(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                yield _lambda_row(block, start_values(np.arange(block * size, min(v, (block + 1) * size)), k, v, seed))
+
+    return materialized(spark.range(-(-v // size)).mapInArrow(run, _LAMBDA), "lda-topics")
+
+
+_LAMBDA = "term_block long, lam binary, totals array<double>"
+_SUMS = "term_block long, offsets binary, sums binary"
+
+
+def _lambda_row(block: int, lam: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block], pa.int64()), pa.array([lam.tobytes()], pa.binary()),
+                            pa.array([lam.sum(0)], pa.list_(pa.float64()))], names=["term_block", "lam", "totals"])
+
+
+def fixed_point(lam: np.ndarray, starts: np.ndarray, counts: np.ndarray, alpha: np.ndarray, gamma0: float, inner: int,
+                phi_weight: str = "digamma") -> tuple[np.ndarray, np.ndarray]:
+    """count * phi per entry and the documents' final gamma, for topic rows ``lam`` of each entry (L2, L3).
+
+    Long documents are two matrix products each, short ones are worked on together.
+    """
+    sizes = np.diff(starts, append=len(counts))
+    long = len(counts) >= LONG_DOCUMENT * len(starts)
+    parts = [(lam[a:a + n], counts[a:a + n]) for a, n in zip(starts, sizes, strict=True)] if long else []
+    gamma = np.full((len(starts), lam.shape[1]), gamma0)
+    weight, rate = np.ones_like(gamma), counts
+    for _ in range(inner):
+        if phi_weight == "gamma":
+            weight = gamma
+        else:  # a factor per document cancels
+            psi = digamma(gamma)
+            weight = np.exp(psi - psi.max(1, keepdims=True))
+        if long:
+            sums = np.stack([(c / (own @ w)) @ own for (own, c), w in zip(parts, weight, strict=True)])
+        else:
+            rate = counts / np.einsum("nk,nk->n", lam, np.repeat(weight, sizes, axis=0))
+            sums = np.add.reduceat(lam * rate[:, None], starts, axis=0)
+        gamma = alpha + weight * sums
+    if long:
+        rate = np.concatenate([c / (own @ w) for (own, c), w in zip(parts, weight, strict=True)])
+    return lam * np.repeat(weight, sizes, axis=0) * rate[:, None], gamma
+
+
+def e_step(blocks: DataFrame, needs: DataFrame, lam: DataFrame, totals: np.ndarray, alpha: np.ndarray, k: int, v: int,
+           inner: int = INNER_ITERATIONS, phi_weight: str = "digamma") -> DataFrame:
+    """L2 + L3: (term_block, offsets, sums) of every document block; term block -1 holds its sufficient statistics.
+
+    ``totals`` normalise the topics as they are cut.
+    """
+    alpha, totals = np.asarray(alpha, float), np.asarray(totals, float)
+    gamma0 = ALPHA0 + v // k
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [(np.frombuffer(lam).reshape(-1, k)[np.frombuffer(o, np.int64)] / totals).tobytes()
+                     for o, lam in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.record_batch([*b.columns[:4], pa.array(parts, pa.binary())], names=["term_block", "block", "at", "offsets", "part"])
+
+    def fit(docs: pa.Table, parts: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary())], names=["term_block", "offsets", "sums"])
+        row = docs.to_pylist()[0]
+        parts = parts.sort_by("at")
+        topics = np.frombuffer(b"".join(parts.column("part").to_pylist())).reshape(-1, k)
+        starts, index = (np.frombuffer(row[c], np.int64) for c in ("starts", "index"))
+        contrib, gamma = fixed_point(topics[index], starts, np.frombuffer(row["counts"]), alpha, gamma0, inner, phi_weight)
+        order = np.argsort(index, kind="stable")
+        sums = np.add.reduceat(contrib[order], np.flatnonzero(np.diff(index[order], prepend=-1)), axis=0)
+        at = parts.column("at").to_pylist()
+        suff = (digamma(gamma) - digamma(gamma.sum(1))[:, None]).sum(0)
+        return pa.table([pa.array([*parts.column("term_block").to_pylist(), SUFF_STAT_ID], pa.int64()),
+                         pa.array([*parts.column("offsets").to_pylist(), np.zeros(1, np.int64).tobytes()], pa.binary()),
+                         pa.array([p.tobytes() for p in [*np.split(sums, at[1:]), suff]], pa.binary())],
+                        names=["term_block", "offsets", "sums"])
+
+    parts = needs.join(lam.select("term_block", "lam"), "term_block").select("term_block", "block", "at", "offsets", "lam").mapInArrow(
+        cut, "term_block long, block long, at long, offsets binary, part binary")
+    return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(fit, _SUMS)
+
+
+def m_step(sums: DataFrame, lam: DataFrame, totals: np.ndarray, k: int) -> DataFrame:
+    """Written (term_block, lam, totals): eta + summed phi where a document has the term, the old value elsewhere.
+
+    Term block -1 holds the sums of the sufficient statistics in ``totals``.
+    """
+    totals = np.asarray(totals, float)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = key[0].as_py()
+        new, seen, old = np.zeros((0, k)), np.zeros(0, bool), np.zeros((0, k))
+        for b in batches:
+            for offsets, values in zip(b.column("offsets").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                values = np.frombuffer(values).reshape(-1, k)
+                if offsets is None:
+                    old = values / totals
+                    continue
+                at = np.frombuffer(offsets, np.int64)
+                if len(new) <= at[-1]:  # offsets rise
+                    new, seen = (np.concatenate([x, np.zeros((at[-1] + 1 - len(x), *x.shape[1:]), x.dtype)]) for x in (new, seen))
+                new[at] += values
+                seen[at] = True
+        out = old.copy() if block != SUFF_STAT_ID else new
+        if block != SUFF_STAT_ID:
+            out[:len(new)][seen] = ETA + new[seen]
+        yield _lambda_row(block, out)
+
+    rows = sums.unionByName(lam.filter(F.col("term_block") != SUFF_STAT_ID).select(
+        "term_block", F.lit(None).cast("binary").alias("offsets"), F.col("lam").alias("sums")))
+    return materialized(rows.groupBy("term_block").applyInArrow(add, _LAMBDA), "lda-topics")
+
+
+def topic_totals(lam: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The K totals over all terms and the K sufficient statistics of an ``m_step``."""
+    own = F.col("term_block") != SUFF_STAT_ID
+    r = lam.agg(*(F.sum(F.when(c, F.col("totals")[j])).alias(f"c{i}_{j}") for i, c in enumerate((own, ~own)) for j in range(k))).first()
+    return np.array(r[:k], float), np.array([0.0 if x is None else x for x in r[k:]], float)
+
+
+def lambda_rows(lam: DataFrame, totals: np.ndarray, k: int) -> DataFrame:
+    """(term_id, lam): the topic rows of term blocks, divided by ``totals``."""
+    size, totals = _term_block_size(k), np.asarray(totals, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                values = np.frombuffer(values).reshape(-1, k) / totals
+                yield pa.record_batch([pa.array(block * size + np.arange(len(values))), pa.array(list(values), pa.list_(pa.float64()))],
+                                      names=["term_id", "lam"])
+
+    return lam.filter(F.col("term_block") != SUFF_STAT_ID).select("term_block", "lam").mapInArrow(run, "term_id long, lam array<double>")
+
+
+def sum_rows(sums: DataFrame, k: int) -> DataFrame:
+    """(k, term_id, value): the block sums of an E-step per topic and term (A8); term -1 holds the sufficient statistics."""
+    size = _term_block_size(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, offsets, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                terms = np.frombuffer(offsets, np.int64) + block * size if block != SUFF_STAT_ID else np.array([SUFF_STAT_ID])
+                yield pa.record_batch([pa.array(np.tile(np.arange(k, dtype=np.int32), len(terms))), pa.array(np.repeat(terms, k)),
+                                       pa.array(np.frombuffer(values))], names=["k", "term_id", "value"])
+
+    return sums.mapInArrow(run, "k int, term_id long, value double").groupBy("k", "term_id").agg(F.sum("value").alias("value"))
 
 
 def update_alpha(alpha: np.ndarray, suff: np.ndarray, d: int) -> np.ndarray:
-    """L4: damped Newton steps for the Dirichlet parameter (K numbers)."""
+    """L4: damped Newton steps for the Dirichlet parameter (K numbers); it stays without documents."""
     alpha = np.asarray(alpha, float)
-    for _ in range(ALPHA_MAX_ITERATIONS + 1):
+    for _ in range(ALPHA_MAX_ITERATIONS + 1 if d else 0):
         g = d * (digamma(alpha.sum()) - digamma(alpha)) + suff
         q = -1.0 / (d * trigamma(alpha))
         z = 1.0 / (d * trigamma(alpha.sum()))
@@ -180,37 +336,23 @@ def update_alpha(alpha: np.ndarray, suff: np.ndarray, d: int) -> np.ndarray:
 
 
 def fit_lda_em(corpus: DataFrame, v: int, k: int = 10, outer: int = OUTER_ITERATIONS, inner: int = INNER_ITERATIONS,
-               phi_weight: str = "digamma", seed: int = 0, checkpoint: bool = True):
-    """L1 (EM path): returns (lambda (term_id, lam), alpha, per-iteration seconds).
+               phi_weight: str = "digamma", seed: int = 0):
+    """L1: returns (lambda (term_id, lam), alpha, per-iteration seconds).
 
-    ``corpus`` is doc_terms(doc_id, term_id, count); ``v`` the vocabulary size.
+    ``corpus`` is doc_terms(doc_id, term_id, count) with term ids below ``v``, the vocabulary size.
     """
-    # partitioned by document once: with a broadcast lambda every E-step's
-    # join and groupBy(doc_id) then run without an exchange
-    corpus = corpus.select("doc_id", F.col("term_id").cast("long").alias("term_id"),
-                           F.col("count").cast("double").alias("count")).repartition("doc_id").persist()
+    blocks = doc_blocks(corpus, k)
+    needs = block_needs(blocks, k)
+    lam, totals = term_blocks(corpus.sparkSession, k, v, seed), np.ones(k)
     d = corpus.select("doc_id").distinct().count()
-    lam = init_lambda(corpus.select("term_id").distinct(), k, v, seed)
-    if checkpoint:
-        from webloom.session import checkpoint_dir
-        checkpoint_dir(corpus.sparkSession)
-        lam = lam.checkpoint(eager=True)
-    alpha = np.full(k, ALPHA0)
-    timings = []
+    alpha, timings = np.full(k, ALPHA0), []
     for _ in range(outer):
         t0 = time.perf_counter()
-        stats = e_step(corpus, lam, alpha, k, v, inner, phi_weight).persist()
-        suff = np.zeros(k)
-        for r in stats.where(F.col("term_id") == SUFF_STAT_ID).groupBy("k").agg(F.sum("value").alias("s")).collect():
-            suff[r["k"]] = r["s"]
-        new_lam = m_step(stats, lam, k)
-        new_lam = new_lam.checkpoint(eager=True) if checkpoint else new_lam.persist()
-        stats.unpersist()
-        lam = new_lam
+        lam = m_step(e_step(blocks, needs, lam, totals, alpha, k, v, inner, phi_weight), lam, totals, k)
+        totals, suff = topic_totals(lam, k)
         alpha = update_alpha(alpha, suff, d)
         timings.append(time.perf_counter() - t0)
-    corpus.unpersist()
-    return lam, alpha, timings
+    return lambda_rows(lam, totals, k), alpha, timings
 
 
 def topics_table(lam: DataFrame) -> DataFrame:

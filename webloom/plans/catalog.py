@@ -287,30 +287,27 @@ def q_join_vocab(spark, sf):
 
 def _lda_corpus(spark, sf):
     from webloom.operators import vectorize as V
+    from webloom.sources.tables import materialized
     vocab, dt, _ = V.vectorize_documents(documents(spark, sf))
-    return vocab, dt, vocab.count()
+    return vocab, materialized(dt, "lda-corpus"), vocab.count()
 
 
 @register("lda_fit")
 def q_lda_fit(spark, sf):
-    """L1 (MLlib): 10 topics, 20 iterations; the 10 heaviest terms per topic."""
+    """L1: 10 topics, 20 outer x 100 inner iterations; the 10 heaviest terms per topic."""
     from webloom.operators import topics as L
-    from webloom.operators import vectorize as V
-    from webloom.session import checkpoint_dir
-    checkpoint_dir(spark)
-    terms = V.corpus_terms(V.cleaned_texts(documents(spark, sf))).groupBy("doc_id").agg(
-        F.collect_list("term").alias("terms")).checkpoint(eager=True)
-    model, vocabulary = L.fit_lda_mllib(terms, k=10, max_iter=20)
-    return L.describe_topics_mllib(model, vocabulary, 10)
+    vocab, dt, v = _lda_corpus(spark, sf)
+    lam, _, _ = L.fit_lda_em(dt, v, k=10)
+    return L.top_terms(lam, vocab, 10)
 
 
 @register("lda_em")
 def q_lda_em(spark, sf):
-    """L1-L5 (DataFrame EM): 10 topics, 20 outer x 100 inner iterations."""
+    """The heaviest terms of 10 topics after two EM iterations with the updated Dirichlet parameter between."""
     from webloom.operators import topics as L
     vocab, dt, v = _lda_corpus(spark, sf)
-    lam, alpha, _ = L.fit_lda_em(dt, v, k=10)
-    return L.top_terms(lam, vocab, 10)
+    lam, _, _ = L.fit_lda_em(dt, v, k=10, outer=2)
+    return L.top_terms(lam, vocab, 10).withColumn("weight", F.round("weight", 9))
 
 
 @register("topic_stats")
@@ -319,29 +316,28 @@ def q_topic_stats(spark, sf):
     import numpy as np
 
     from webloom.operators import topics as L
-    vocab, dt, v = _lda_corpus(spark, sf)
-    corpus = dt.select("doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("count").cast("double"))
-    lam = L.init_lambda(corpus.select("term_id").distinct(), 10, v)
-    stats = L.e_step(corpus, lam, np.full(10, L.ALPHA0), 10, v)
-    return stats.groupBy("k", "term_id").agg(F.sum("value").alias("value"))
+    _, dt, v = _lda_corpus(spark, sf)
+    blocks = L.doc_blocks(dt, 10)
+    sums = L.e_step(blocks, L.block_needs(blocks, 10), L.term_blocks(spark, 10, v), np.ones(10), np.full(10, L.ALPHA0), 10, v)
+    return L.sum_rows(sums, 10).withColumn("value", F.round("value", 6))
 
 
 @register("normalize_topics")
 def q_normalize_topics(spark, sf):
     """Topics after one EM iteration, long form, each topic summing to 1."""
     from webloom.operators import topics as L
-    vocab, dt, v = _lda_corpus(spark, sf)
+    _, dt, v = _lda_corpus(spark, sf)
     lam, _, _ = L.fit_lda_em(dt, v, k=10, outer=1)
-    return L.topics_table(lam)
+    return L.topics_table(lam).withColumn("value", F.round("value", 9))
 
 
 @register("alpha_newton")
 def q_alpha_newton(spark, sf):
     """L4: the Dirichlet parameter after one EM iteration (K rows)."""
     from webloom.operators import topics as L
-    vocab, dt, v = _lda_corpus(spark, sf)
+    _, dt, v = _lda_corpus(spark, sf)
     _, alpha, _ = L.fit_lda_em(dt, v, k=10, outer=1)
-    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(alpha)], "k int, alpha double")
+    return spark.createDataFrame([(i, round(float(a), 9)) for i, a in enumerate(alpha)], "k int, alpha double")
 
 
 @register("corpus_size")

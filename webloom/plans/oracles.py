@@ -110,6 +110,7 @@ ORACLES["page_top_words"] = f"""
 
 # ---------------------------------------------------------------- text cleaning and vectors
 from webloom.plans import oracle_text as OT  # noqa: E402
+from webloom.plans import oracle_topics as TOPICS  # noqa: E402
 
 _D = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"
 ORACLES["clean_text"] = OT.CLEAN_DOCS
@@ -134,6 +135,10 @@ ORACLES["join_vocab"] = f"""
     SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\n$', ''), ' '), lambda t: t <> '')) AS term
     FROM ({OT.CLEAN_DOCS})) t JOIN ({OT.VOCAB}) v USING (term)"""
 
+ORACLES["topic_stats"] = TOPICS.TOPIC_STATS
+ORACLES["normalize_topics"] = TOPICS.NORMALIZE_TOPICS
+ORACLES["alpha_newton"] = TOPICS.ALPHA_NEWTON
+ORACLES["lda_em"] = TOPICS.LDA_EM
 ORACLES["corpus_size"] = f"SELECT count(DISTINCT doc_id) AS num_docs FROM ({OT.DOC_TERMS})"
 
 # ---------------------------------------------------------------- crawl records, files

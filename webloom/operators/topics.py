@@ -49,6 +49,8 @@ ALPHA_MAX_DECAY = 11
 SUFF_STAT_ID = -1
 #: Numbers (entries times topics) that a document block's arrays hold, and a term block's.
 DOC_BLOCK_NUMBERS, TERM_BLOCK_NUMBERS = 1 << 18, 1 << 16
+#: Document blocks that share a copy of a term block.
+MEMBERS = 64
 #: Mean entries of a block's documents from which each is worked on alone.
 LONG_DOCUMENT = 32
 
@@ -141,7 +143,11 @@ def doc_blocks(corpus: DataFrame, k: int) -> DataFrame:
 
 
 def block_needs(blocks: DataFrame, k: int) -> DataFrame:
-    """Written table (term_block, block, at, offsets): the rows of each term block that a document block has, and where they begin in its terms."""
+    """Written table (term_block, members): the rows of each term block that document blocks have.
+
+    Each of the ``members`` is a document block, the ``offsets`` of its rows in the term block and where they
+    begin in its terms; at most ``MEMBERS`` of them share a row, and so a copy of the term block.
+    """
     size = _term_block_size(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +159,10 @@ def block_needs(blocks: DataFrame, k: int) -> DataFrame:
                                        pa.array([(p % size).tobytes() for p in np.split(terms, at[1:])], pa.binary())],
                                       names=["term_block", "block", "at", "offsets"])
 
-    return materialized(blocks.select("block", "terms").mapInArrow(run, "term_block long, block long, at long, offsets binary"),
-                        "lda-needs")
+    rows = blocks.select("block", "terms").mapInArrow(run, "term_block long, block long, at long, offsets binary")
+    rows = rows.groupBy("term_block", F.floor(F.col("block") / MEMBERS).alias("part")).agg(
+        F.collect_list(F.struct("block", "at", "offsets")).alias("members"))
+    return materialized(rows.select("term_block", "members"), "lda-needs")
 
 
 def _term_block_size(k: int) -> int:
@@ -221,9 +229,14 @@ def e_step(blocks: DataFrame, needs: DataFrame, lam: DataFrame, totals: np.ndarr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [(np.frombuffer(lam).reshape(-1, k)[np.frombuffer(o, np.int64)] / totals).tobytes()
-                     for o, lam in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.record_batch([*b.columns[:4], pa.array(parts, pa.binary())], names=["term_block", "block", "at", "offsets", "part"])
+            for i in range(b.num_rows):
+                topics = np.frombuffer(b.column(2)[i].as_py()).reshape(-1, k) / totals
+                own = b.column(1)[i].as_py()
+                parts = [topics[np.frombuffer(m["offsets"], np.int64)].tobytes() for m in own]
+                yield pa.record_batch([
+                    pa.array([b.column(0)[i].as_py()] * len(own), pa.int64()), *(pa.array([m[c] for m in own], pa.int64()) for c in ("block", "at")),
+                    pa.array([m["offsets"] for m in own], pa.binary()), pa.array(parts, pa.binary())],
+                    names=["term_block", "block", "at", "offsets", "part"])
 
     def fit(docs: pa.Table, parts: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -242,7 +255,7 @@ def e_step(blocks: DataFrame, needs: DataFrame, lam: DataFrame, totals: np.ndarr
                          pa.array([p.tobytes() for p in [*np.split(sums, at[1:]), suff]], pa.binary())],
                         names=["term_block", "offsets", "sums"])
 
-    parts = needs.join(lam.select("term_block", "lam"), "term_block").select("term_block", "block", "at", "offsets", "lam").mapInArrow(
+    parts = needs.join(lam.select("term_block", "lam"), "term_block").select("term_block", "members", "lam").mapInArrow(
         cut, "term_block long, block long, at long, offsets binary, part binary")
     return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(fit, _SUMS)
 

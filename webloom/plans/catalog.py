@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import wordcount as wc
-from webloom.sources.tables import documents
+from webloom.sources.tables import documents, load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -356,12 +356,75 @@ def _records(spark, sf):
     return recs.select(F.explode(F.split("value", RECORD_SEPARATOR.replace(".", r"\."))).alias("value"))
 
 
+def _crawl_files(spark, pages, charset=None, change=lambda records: records):
+    """Pages written as crawl files; their folder."""
+    import uuid
+
+    from webloom.session import scratch_path
+    from webloom.sources.warc_frames import format_records, write_records
+    path = scratch_path(spark, f"crawl-{uuid.uuid4().hex}")
+    write_records(change(format_records(pages, charset)), path)
+    return path
+
+
 @register("read_warc")
 def q_read_warc(spark, sf):
-    """Pages as WARC response records, cut at the separator and parsed."""
-    from webloom.sources.crawl import parse_warc_records, responses
-    crawl = responses(parse_warc_records(_records(spark, sf), path_col=None))
-    return crawl.select("trec_id", "url", "record_type", "html")
+    """Pages written as crawl files and read by length."""
+    from webloom.sources.crawl import responses
+    from webloom.sources.warc_frames import read_warc_files
+    crawl, _, _ = read_warc_files(spark, _crawl_files(spark, load_table(spark, sf, "pages")))
+    return responses(crawl).select("trec_id", "url", "record_type", "html")
+
+
+@register("read_warc_payload_like_records")
+def q_read_warc_nested(spark, sf):
+    """Pages that hold a record header, or end in blank lines, come back whole."""
+    from webloom.sources.warc_frames import read_warc_files
+    fake = "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(fake), "html")).when(
+        F.col("page_id") % 3 == 1, F.concat("html", F.lit("\r\n\r\n\r\n"))).otherwise(F.col("html"))
+    pages = load_table(spark, sf, "pages").withColumn("html", html)
+    crawl, _, _ = read_warc_files(spark, _crawl_files(spark, pages), range_bytes=1 << 16)
+    return crawl.select("trec_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "html")
+
+
+#: Pages whose characters ISO-8859-1 has, as the web reads it.
+_LATIN = r"^[\x00-\x7F\xA0-\xFF]*$"
+
+
+@register("read_warc_charsets")
+def q_read_warc_charsets(spark, sf):
+    """Pages in ISO-8859-1 and UTF-16 read like their UTF-8 twins, down to their text blocks."""
+    from webloom.operators.html import html_events, text_blocks
+    from webloom.sources.warc_frames import read_warc_files
+    kind = F.when((F.col("page_id") % 3 == 0) & F.col("html").rlike(_LATIN), "ISO-8859-1").when(
+        F.col("page_id") % 3 == 1, "UTF-16").otherwise("UTF-8")
+    crawl, _, _ = read_warc_files(spark, _crawl_files(spark, load_table(spark, sf, "pages").withColumn("kind", kind), "kind"))
+    page = crawl.select(F.regexp_extract("trec_id", r"(\d+)$", 1).cast("long").alias("page_id"), "charset", "html")
+    size = text_blocks(html_events(page)).groupBy("doc_id").agg(F.sum("num_words").cast("long").alias("num_words"))
+    return page.join(size, page.page_id == size.doc_id, "left").select(
+        "page_id", "charset", F.md5("html").alias("html_md5"), F.coalesce("num_words", F.lit(0).cast("long")).alias("num_words"))
+
+
+@register("warc_rejects")
+def q_warc_rejects(spark, sf):
+    """Good records and rejects by reason, of files in which five of seven records are damaged; counted while they are read."""
+    from webloom.sources.warc_frames import read_warc_files
+
+    def damage(records):
+        text, k = F.col("record").cast("string"), F.col("page_id") % 7
+        first = F.regexp_replace
+        bad = F.when(k == 0, first(text, r"\AWARC/1.0\r\n", "GARBAGE\r\n")).when(
+            k == 1, first(text, r"(?s)\A(.*?)\r\nContent-Length: \d+\r\n\r\n", "$1\r\n\r\n")).when(
+            k == 2, first(text, r"(?s)\A(.*?\r\nContent-Length: )\d+\r\n\r\n", "$1many\r\n\r\n")).when(
+            k == 3, first(text, r"(?s)\A(.*?\r\nContent-Length: )\d+\r\n\r\n", "$112\r\n\r\n")).when(
+            k == 4, first(text, r"\A(WARC/1.0\r\n)WARC-Type: response\r\n", "$1")).otherwise(text)
+        return records.withColumn("record", bad.cast("binary"))
+
+    path = _crawl_files(spark, load_table(spark, sf, "pages"), change=damage)
+    _, rejects, counts = read_warc_files(spark, path, range_bytes=1 << 16)
+    good = spark.createDataFrame([("good", counts["records"])], "reason string, n long")
+    return good.unionByName(rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("extract_header_lines")

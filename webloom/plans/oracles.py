@@ -139,6 +139,18 @@ ORACLES["topic_stats"] = TOPICS.TOPIC_STATS
 ORACLES["normalize_topics"] = TOPICS.NORMALIZE_TOPICS
 ORACLES["alpha_newton"] = TOPICS.ALPHA_NEWTON
 ORACLES["lda_em"] = TOPICS.LDA_EM
+_FAKE = "chr(13) || chr(10) || chr(13) || chr(10)"
+_NESTED = f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN html || {_FAKE} || 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+  || 'Content-Length: 3' || {_FAKE} || 'abc' || {_FAKE} || html WHEN 1 THEN html || {_FAKE} || chr(13) || chr(10) ELSE html END AS html FROM pages"""
+ORACLES["read_warc_payload_like_records"] = f"""
+SELECT 'clueweb12-' || page_id AS trec_id, octet_length(encode(html))::BIGINT AS payload_bytes, html FROM ({_NESTED})"""
+ORACLES["read_warc_charsets"] = rf"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 AND regexp_full_match(html, '(?s)[\x00-\x7F\x{{A0}}-\x{{FF}}]*') THEN 'cp1252'
+  WHEN page_id % 3 = 1 THEN 'utf-16-be' ELSE 'utf-8' END AS charset, md5(html) AS html_md5, coalesce(num_words, 0)::BIGINT AS num_words
+FROM pages LEFT JOIN (SELECT doc_id, sum(num_words) AS num_words FROM ({BLOCKS}) GROUP BY doc_id) b ON page_id = b.doc_id"""
+ORACLES["warc_rejects"] = """
+SELECT CASE page_id % 7 WHEN 0 THEN 'no record header' WHEN 1 THEN 'no length' WHEN 2 THEN 'length is no number'
+  WHEN 3 THEN 'length leads to no record end' WHEN 4 THEN 'no type' ELSE 'good' END AS reason, count(*) AS n FROM pages GROUP BY 1"""
 ORACLES["corpus_size"] = f"SELECT count(DISTINCT doc_id) AS num_docs FROM ({OT.DOC_TERMS})"
 
 # ---------------------------------------------------------------- crawl records, files

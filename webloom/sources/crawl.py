@@ -62,9 +62,13 @@ def warc_rejects(raw: DataFrame, value_col: str = "value") -> DataFrame:
     return raw.where(~v.rlike(HEADER_LINE) & (F.length(F.trim(v)) > 0))
 
 
-def read_warc(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Crawl table of all WARC files under ``path``."""
-    return parse_warc_records(read_warc_raw(spark, path, recursive))
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Crawl table of all WARC files under ``path``, read by length (``warc_frames``).
+
+    Pieces between separators (``read_warc_raw``) are for streams, whose files are read by Spark's text source.
+    """
+    from webloom.sources.warc_frames import read_warc_files
+    return read_warc_files(spark, path)[0].select("path", "trec_id", "record_type", "url", "warc_date", "http_headers", "html")
 
 
 def responses(crawl: DataFrame) -> DataFrame:

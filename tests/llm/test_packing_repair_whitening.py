@@ -302,3 +302,16 @@ def test_whitening_of_the_given_table(spark):
     from webloom.llm.queries import op13_whitening
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF001}/embeddings.parquet").collect()]
     _whiten_by_hand(rows, op13_whitening(spark, SF001).collect())
+
+
+# the labelled sample of the classifiers
+
+def test_a_labelled_sample_is_bounded_where_ids_repeat(spark):
+    from webloom.llm.linear import labelled_sample
+    docs = spark.createDataFrame([(1, f"word{i} and more", i) for i in range(500)] + [(2, "two", 0), (None, "none", 0)],
+                                 "doc_id long, text string, words int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    assert len(labelled_sample(docs, labels, ["toxic"], max_rows=10)) == 10
+    every = labelled_sample(docs, labels, ["toxic"], max_rows=1000)
+    assert len(every) == 501 and {y[0] for y, *_ in every} == {0, 1}
+    assert labelled_sample(docs.limit(0), labels, ["toxic"]) == []

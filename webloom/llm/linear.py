@@ -56,8 +56,8 @@ def features(text: bytes) -> tuple[set[bytes], list[float], int]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int = MAX_ROWS) -> list[tuple]:
     """``(label values, words, measures, fold)`` of at most ``max_rows`` labelled documents.
 
-    The rows of lowest id hash are taken, once per id; rows without id or with
-    a null label are left out. The fold follows the text, so that copies share one.
+    The labels of lowest id hash are taken, once per id, and then as many of their
+    documents at most; rows without id or with a null label are left out. The fold follows the text, so that copies share one.
     """
     known = labels.select("doc_id", *columns).dropna().dropDuplicates(["doc_id"])
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -72,9 +72,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
                                    pa.array([f[1] for f in both], pa.list_(pa.float64())), b.column(3)],
                                   names=["doc_id", "y", "words", "dense", "fold"])
 
-    rows = own.mapInArrow(run, "doc_id long, y array<int>, words array<binary>, dense array<double>, fold int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.fold, r.y))
-    return [(r.y, {bytes(w) for w in r.words}, r.dense, r.fold) for r in rows]
+    sample = own.mapInArrow(run, "doc_id long, y array<int>, words array<binary>, dense array<double>, fold int")
+    table = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "fold", "y", "dense").limit(max_rows).toArrow()
+    few = [table.column(c).to_pylist() for c in ("doc_id", "fold", "y", "dense")]
+    known: dict[bytes, bytes] = {}  # a word is one object, however many documents hold it
+    return [(few[2][i], {known.setdefault(w, w) for w in table.column("words")[i].as_py()}, few[3][i], few[1][i])
+            for i in sorted(range(table.num_rows), key=lambda i: (few[0][i], few[1][i], few[2][i]))]
 
 
 @dataclass

@@ -148,6 +148,38 @@ def test_markup_and_font_labels(spark):
     assert fl["Big and more"] == ["font-5"] and fl["outside"] == ["font-2"] and fl["First para text here."] == []
 
 
+def _labels(spark, html, fn):
+    from webloom.operators.html import html_events, text_blocks
+    ev = html_events(spark.createDataFrame([(1, "u", f"<html><body>{html}</body></html>")], "page_id long, url string, html string"))
+    return {r.text: r.labels for r in fn(ev, text_blocks(ev, keep_owner=True)).collect()}
+
+
+def test_markup_labels_end_what_the_next_start_implies(spark):
+    """Worked by hand: unclosed paragraphs, items, definitions and cells, stray ends, a list in an item, a table in a paragraph's item."""
+    from webloom.operators.markup import markup_labels
+    got = _labels(spark, "<p id='a'>one<p id='b'>two<div class='d'>three</div>"
+                  "<ul><li id='i'>four<p id='c'>five<li id='j'>six<ul><li id='k'>seven</ul>eight</ul>nine</p></em>"
+                  "<dl><dt id='t'>ten<dd id='u'>eleven<dt id='v'>twelve</dl>"
+                  "<table><tr id='r'><td id='x'>thirteen<td id='y'>fourteen<p id='e'>fifteen<tr id='s'><td>sixteen</table>"
+                  "<section id='w'><p id='f'>seventeen</section>eighteen", markup_labels)
+    own = {t: sorted(x[2:] for x in labels if x.startswith("<#") and " " not in x) for t, labels in got.items()}
+    assert own == {"one": ["a"], "two": ["b"], "three": [], "four": ["i"], "five": ["c", "i"], "six": ["j"], "seven": ["j", "k"],
+                   "eight": ["j"], "nine": [], "ten": ["t"], "eleven": ["u"], "twelve": ["v"], "thirteen": ["r", "x"],
+                   "fourteen": ["r", "y"], "fifteen": ["e", "r", "y"], "sixteen": ["s"], "seventeen": ["f", "w"], "eighteen": []}
+    assert "<UL <LI" in got["seven"] and "<LI <UL" in got["seven"] and "<#i <#c" in got["five"] and "<P" not in got["three"]
+
+
+def test_relative_font_sizes_add_up(spark):
+    """Worked by hand: relative in relative, an absolute size starts anew, unsized fonts and stray ends count for nothing."""
+    from webloom.operators.markup import font_size_labels
+    got = _labels(spark, "<div><font size='+1'><p>four</p><font size='+1'><p>five</p><font><p>unsized in five</p><font size='-2'>"
+                  "<p>three</p></font></font><font size='6'><p>six</p><font size='-1'><p>again five</p></font></font></font>"
+                  "<p>back to four</p></font></font><p>none</p><font size='big'><p>no size</p></font>"
+                  "<font size='-1'><p>two</p></font></div>", font_size_labels)
+    assert got == {"four": ["font-4"], "five": ["font-5"], "unsized in five": ["font-5"], "three": ["font-3"], "six": ["font-6"],
+                   "again five": ["font-5"], "back to four": ["font-4"], "none": [], "no size": [], "two": ["font-2"]}
+
+
 def test_font_label_ignores_closed_sibling(spark):
     from webloom.operators.html import html_events, text_blocks
     from webloom.operators.markup import font_size_labels

@@ -10,6 +10,7 @@ range join, no per-page stack; everything stays keyed by doc_id.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +22,56 @@ MARKUP_PREFIX = "<"
 DEFAULT_FONT_SIZE = 3
 
 
+# Starts that end an open element without its end tag, by the open element, and what hides it from them.
+ENDS_PARAGRAPH = ("ADDRESS", "ARTICLE", "ASIDE", "BLOCKQUOTE", "DIV", "DL", "DD", "DT", "FIELDSET", "FIGURE", "FOOTER", "FORM",
+                  "H1", "H2", "H3", "H4", "H5", "H6", "HEADER", "HR", "LI", "MAIN", "NAV", "OL", "P", "PRE", "SECTION", "TABLE", "UL")
+ENDED_BY = {"P": ENDS_PARAGRAPH, "LI": ("LI",), "DT": ("DT", "DD"), "DD": ("DT", "DD"), "TR": ("TR",), "TD": ("TD", "TH", "TR"),
+            "TH": ("TD", "TH", "TR")}
+SCOPES = {"LI": ("UL", "OL"), "DT": ("DL",), "DD": ("DL",), "TR": ("TABLE",), "TD": ("TABLE",), "TH": ("TABLE",)}
+SCOPE = ("TABLE", "TD", "TH")
+
+
+def scope(tag: str) -> tuple[str, ...]:
+    """Open elements through which a tag ends nothing."""
+    return () if tag == "TABLE" else SCOPES.get(tag, SCOPE)
+
+
+def _cut(stack: list[str], tag: str, start: bool) -> None:
+    """End what a start or end tag ends: the outermost element in its scope that it ends by rule, or its own."""
+    at = None
+    for i in range(len(stack) - 1, -1, -1):
+        if (tag in ENDED_BY.get(stack[i], ())) if start else (stack[i] == tag):
+            at = i
+            if not start:
+                break
+        elif stack[i] in scope(tag):
+            break
+    if at is not None:
+        del stack[at:]
+
+
+def _match(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pos")
+    stack, depth = [], []
+    for kind, tag in zip(table.column("kind").to_pylist(), table.column("tag").to_pylist(), strict=True):
+        if tag is not None:
+            _cut(stack, tag, kind == "start")
+        depth.append(len(stack))
+        if tag is not None and kind == "start":
+            stack.append(tag)
+    return pa.table([table.column("doc_id"), table.column("pos"), pa.array(depth, pa.int32())], names=["doc_id", "pos", "depth"])
+
+
 def _depths(events: DataFrame, tags) -> DataFrame:
-    """Events with the nesting depth (over ``tags`` only) before each event."""
-    sel = F.col("tag").isin(*tags) & ~F.col("tag").isin(*VOID_TAGS)
-    delta = F.when(sel & (F.col("kind") == "start"), 1).when(sel & (F.col("kind") == "end"), -1).otherwise(0)
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return events.select("*", F.greatest(F.coalesce(F.sum(delta).over(w), F.lit(0)), F.lit(0)).alias("depth"),
-                         sel.alias("_sel"))
+    """Events with their nesting depth over ``tags``: that of a start is its element's own, after what it ends.
+
+    Brackets are matched per page, in one pass: end tags end what stands open inside their element, stray ones
+    end nothing, and some starts end an open element (``ENDED_BY``).
+    """
+    sel = F.col("tag").isin(*tags) & ~F.col("tag").isin(*VOID_TAGS) & F.col("kind").isin("start", "end")
+    depth = events.select("doc_id", "pos", "kind", F.when(sel, F.col("tag")).alias("tag")).groupBy("doc_id").applyInArrow(
+        _match, f"doc_id {events.schema['doc_id'].dataType.simpleString()}, pos {events.schema['pos'].dataType.simpleString()}, depth int")
+    return events.withColumn("_sel", F.coalesce(sel, F.lit(False))).join(depth, ["doc_id", "pos"])
 
 
 def open_elements(elements: DataFrame, probes: DataFrame, value_col: str) -> DataFrame:
@@ -104,8 +148,8 @@ def markup_labels(events: DataFrame, blocks_with_owner: DataFrame, tags=None) ->
 
 def font_size_labels(events: DataFrame, blocks_with_owner: DataFrame) -> DataFrame:
     """Label ``font-N`` from the innermost FONT with a size open at the
-    block's first text; ``+N``/``-N`` are relative to the enclosing sized FONT
-    (default 3), one level deep."""
+    block's first text; ``+N``/``-N`` are relative to the size of the enclosing sized FONT
+    (default 3), which may itself be relative."""
     d = _depths(events, ("FONT",))
     size = attr(F.col("attrs"), "size")
     m_rel = F.regexp_extract(size, r"^([\+\-]?)([0-9])$", 1)
@@ -113,19 +157,16 @@ def font_size_labels(events: DataFrame, blocks_with_owner: DataFrame) -> DataFra
     fonts = d.where(F.col("_sel") & (F.col("kind") == "start")).select(
         "doc_id", "pos", "depth", F.when(m_val != "", F.struct(m_rel.alias("rel"), m_val.cast("int").alias("val")))
         .alias("spec"))
-    # innermost enclosing absolute size for relative specs
-    absolute = F.when(F.col("spec.rel") == "", F.col("spec.val"))
-    enclosing = open_elements(fonts.select("doc_id", "pos", "depth", absolute.alias("abs")),
-                              fonts.select("doc_id", F.col("pos").alias("probe_id"), "pos", "depth"), "abs")
-    w = Window.partitionBy("doc_id", "probe_id").orderBy(F.col("k").desc())
-    inner = enclosing.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "doc_id", F.col("probe_id").alias("pos"), F.col("value").alias("base"))
-    eff = fonts.join(inner, ["doc_id", "pos"], "left").select(
-        "doc_id", "pos", "depth",
-        F.when(F.col("spec").isNull(), F.lit(None).cast("int"))
-        .when(F.col("spec.rel") == "", F.col("spec.val"))
-        .when(F.col("spec.rel") == "+", F.coalesce("base", F.lit(DEFAULT_FONT_SIZE)) + F.col("spec.val"))
-        .otherwise(F.coalesce("base", F.lit(DEFAULT_FONT_SIZE)) - F.col("spec.val")).alias("size"))
+    # the sized fonts on the path to a font: an absolute size starts anew, a relative one adds to what encloses it
+    around = open_elements(fonts, fonts.select("doc_id", F.col("pos").alias("probe_id"), "pos", "depth"), "spec")
+    path = around.groupBy("doc_id", F.col("probe_id").alias("pos")).agg(
+        F.array_sort(F.collect_list(F.struct("k", "value"))).alias("path"))
+    step = lambda size, s: F.when(s["rel"] == "", s["val"]).otherwise(
+        size + F.when(s["rel"] == "+", s["val"]).otherwise(-s["val"]))
+    above = F.transform(F.coalesce("path", F.array().cast(path.schema["path"].dataType)), lambda x: x["value"])
+    eff = fonts.join(path, ["doc_id", "pos"], "left").select(
+        "doc_id", "pos", "depth", F.when(F.col("spec").isNotNull(), F.aggregate(
+            F.concat(above, F.array("spec")), F.lit(DEFAULT_FONT_SIZE), step)).alias("size"))
     probes = _block_probes(events, blocks_with_owner, d)
     got = open_elements(eff, probes, "size")
     w2 = Window.partitionBy("doc_id", "probe_id").orderBy(F.col("k").desc())

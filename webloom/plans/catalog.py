@@ -558,6 +558,34 @@ def q_font_size_labels(spark, sf):
     return font_size_labels(ev, bo).drop("owner", "members")
 
 
+def _replaced(spark, sf, *pairs):
+    """Events and owned blocks of pages whose html has strings replaced."""
+    from webloom.operators.html import html_events, text_blocks
+    html = F.col("html")
+    for old, new in pairs:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    ev = html_events(_pages(spark, sf).withColumn("html", html))
+    return ev, text_blocks(ev, keep_owner=True)
+
+
+@register("markup_labels_unclosed")
+def q_markup_labels_unclosed(spark, sf):
+    """H12 on pages whose paragraphs and list items have no end tags: siblings don't inherit one another's labels."""
+    from webloom.operators.markup import markup_labels
+    ev, bo = _replaced(spark, sf, ("</p>", ""), ("</li>", ""), ("<p>", '<p class="x y7">'))
+    return markup_labels(ev, bo).drop("owner", "members")
+
+
+@register("font_size_labels_nested")
+def q_font_size_labels_nested(spark, sf):
+    """H13 on pages with absolute, relative and unsized fonts in one another."""
+    from webloom.operators.markup import font_size_labels
+    ev, bo = _replaced(spark, sf, ("<article", '<font size="5"><article'), ("</article>", "</article></font>"),
+                       ("<p>", '<font size="+1"><p>'), ("</p>", "</p></font>"),
+                       ("<b>", '<font size="-2"><font><b>'), ("</b>", "</b></font></font>"))
+    return font_size_labels(ev, bo).drop("owner", "members")
+
+
 # ---------------------------------------------------------------- single-step helpers as queries
 
 @register("strip_tags")

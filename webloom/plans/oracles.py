@@ -327,16 +327,42 @@ def _markup_tags():
                         "PRE", "FORM", "DL", "DT", "DD", "FIGURE", "SPAN") if t not in skip]
 
 
-def _depth_cte(tags) -> str:
+def _depth_ctes(tags) -> str:
+    """Tables sel, st and d: events with their depth, by a stack of open tags that a recursive query carries from tag to tag."""
+    from webloom.operators import markup as M
     from webloom.operators.html import VOID_TAGS
     sel = f"(tag IN {inlist(tuple(tags))} AND tag NOT IN {inlist(VOID_TAGS)})"
+    scope = "CASE tag WHEN 'TABLE' THEN [] " + " ".join(f"WHEN {OB.q(t)} THEN {_list(v)}" for t, v in M.SCOPES.items()) + f" ELSE {_list(M.SCOPE)} END"
+    ended = "CASE x " + " ".join(f"WHEN {OB.q(t)} THEN {_list(v)}" for t, v in M.ENDED_BY.items()) + " ELSE [] END"
     return f"""
-  SELECT *, coalesce({sel}, false) AS sel,
-    greatest(coalesce(sum(CASE WHEN {sel} AND kind = 'start' THEN 1 WHEN {sel} AND kind = 'end' THEN -1 ELSE 0 END)
-      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS depth,
-    sum(CASE WHEN kind <> 'text' AND tag NOT IN {inlist(_TA.no_boundary())} THEN 1 ELSE 0 END)
-      OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner
-  FROM ({EVENTS})"""
+ev AS MATERIALIZED (SELECT * FROM ({EVENTS})),
+sel AS MATERIALIZED (
+  SELECT doc_id, pos, kind, tag, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, {scope} AS scope
+  FROM ev WHERE {sel} AND kind IN ('start', 'end')),
+st(doc_id, i, before, after) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM sel
+  UNION ALL
+  SELECT doc_id, i, len(cut)::BIGINT, CASE WHEN kind = 'start' THEN list_append(cut, tag) ELSE cut END FROM (
+    SELECT doc_id, i, kind, tag, list_slice(after, 1, coalesce(CASE WHEN kind = 'start' THEN list_min(open) ELSE list_max(open) END - 1, len(after))) AS cut
+    FROM (
+      SELECT *, list_filter(range(floor_, len(after) + 1), lambda k: CASE WHEN kind = 'start' THEN list_contains(ended[k], tag) ELSE after[k] = tag END) AS open
+      FROM (
+        SELECT *, greatest(1, coalesce(list_max(list_filter(range(1, len(after) + 1), lambda k: list_contains(scope, after[k])
+            AND NOT (CASE WHEN kind = 'start' THEN list_contains(ended[k], tag) ELSE after[k] = tag END))), 1)) AS floor_
+        FROM (
+          SELECT s.doc_id, s.i, s.kind, s.tag, s.scope, st.after, list_transform(st.after, lambda x: {ended}) AS ended
+          FROM st JOIN sel s ON s.doc_id = st.doc_id AND s.i = st.i + 1))))),
+dep AS MATERIALIZED (SELECT sel.doc_id, sel.pos, st.before, len(st.after)::BIGINT AS depth FROM st JOIN sel USING (doc_id, i)),
+d AS (
+  SELECT ev.*, coalesce({sel} AND ev.kind IN ('start', 'end'), false) AS sel,
+    CASE WHEN dep.pos = ev.pos THEN dep.before ELSE coalesce(dep.depth, 0) END AS depth,
+    sum(CASE WHEN ev.kind <> 'text' AND ev.tag NOT IN {inlist(_TA.no_boundary())} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY ev.doc_id ORDER BY ev.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner
+  FROM ev ASOF LEFT JOIN dep ON ev.doc_id = dep.doc_id AND ev.pos >= dep.pos)"""
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(OB.q(v) for v in values) + "]"
 
 
 def _block_probe_ctes(owned: str) -> str:
@@ -357,7 +383,7 @@ def _markup_sql() -> str:
     cls = f"trim(regexp_replace(coalesce({_attr_sql('class')}, ''), '[0-9]+', '#', 'g'))"
     ident = f"regexp_replace(coalesce({_attr_sql('id')}, ''), '[0-9]+', '#', 'g')"
     return f"""
-WITH d AS ({_depth_cte(_markup_tags())}),
+WITH RECURSIVE {_depth_ctes(_markup_tags())},
 el0 AS (SELECT doc_id, pos, depth, tag, {cls} AS cls, {ident} AS ident FROM d WHERE sel AND kind = 'start'),
 el AS (
   SELECT doc_id, pos, depth,
@@ -395,26 +421,24 @@ def _font_sql() -> str:
     owned = blocks_sql(EVENTS, with_owner=True)
     sz = _attr_sql("size")
     return f"""
-WITH d AS ({_depth_cte(("FONT",))}),
+WITH RECURSIVE {_depth_ctes(("FONT",))},
 f0 AS (
   SELECT doc_id, pos, depth,
     CASE WHEN regexp_matches({sz}, '^([+-]?)([0-9])$') THEN regexp_extract({sz}, '^([+-]?)([0-9])$', 1) END AS rel,
     CASE WHEN regexp_matches({sz}, '^([+-]?)([0-9])$') THEN CAST(regexp_extract({sz}, '^([+-]?)([0-9])$', 2) AS INTEGER) END AS val
   FROM d WHERE sel AND kind = 'start'
 ),
-fa AS (SELECT doc_id, pos, depth, CASE WHEN rel = '' THEN val END AS abs FROM f0),
-fk AS (SELECT doc_id, pos, unnest(range(depth)) AS k FROM f0),
-fb AS (
-  SELECT doc_id, pos, arg_max(abs, k) FILTER (WHERE abs IS NOT NULL) AS base FROM (
-    SELECT fk.doc_id, fk.pos, fk.k, a.abs FROM fk ASOF JOIN fa a ON fk.doc_id = a.doc_id AND fk.k = a.depth AND fk.pos > a.pos)
-  GROUP BY doc_id, pos
+fk AS (SELECT doc_id, pos, unnest(range(depth)) AS k FROM f0 WHERE val IS NOT NULL),
+fp AS (
+  SELECT fk.doc_id, fk.pos, fk.k, a.rel, a.val FROM fk ASOF JOIN f0 a ON fk.doc_id = a.doc_id AND fk.k = a.depth AND fk.pos > a.pos
+  UNION ALL SELECT doc_id, pos, depth, rel, val FROM f0 WHERE val IS NOT NULL
 ),
-fe AS (
-  SELECT f0.doc_id, f0.pos, f0.depth,
-    CASE WHEN f0.val IS NULL THEN NULL WHEN f0.rel = '' THEN f0.val
-         WHEN f0.rel = '+' THEN coalesce(fb.base, {_FS}) + f0.val ELSE coalesce(fb.base, {_FS}) - f0.val END AS size
-  FROM f0 LEFT JOIN fb USING (doc_id, pos)
+fs AS (
+  SELECT doc_id, pos, sum(CASE rel WHEN '+' THEN val WHEN '-' THEN -val ELSE 0 END) + coalesce(max(val) FILTER (rel = ''), {_FS}) AS size
+  FROM (SELECT *, max(CASE WHEN rel = '' THEN k END) OVER (PARTITION BY doc_id, pos) AS anew FROM fp WHERE val IS NOT NULL)
+  WHERE anew IS NULL OR k >= anew GROUP BY doc_id, pos
 ),
+fe AS (SELECT f0.doc_id, f0.pos, f0.depth, fs.size FROM f0 LEFT JOIN fs USING (doc_id, pos)),
 {_block_probe_ctes(owned)},
 fl AS (
   SELECT doc_id, block_idx, 'font-' || CAST(arg_max(size, k) FILTER (WHERE size IS NOT NULL) AS VARCHAR) AS fl FROM (
@@ -430,3 +454,9 @@ SELECT {OB.COLS} FROM (
 
 ORACLES["markup_labels"] = _markup_sql()
 ORACLES["font_size_labels"] = _font_sql()
+_CHANGED = "FROM (SELECT page_id, url, {} AS html FROM pages)"
+ORACLES["font_size_labels_nested"] = ORACLES["font_size_labels"].replace("FROM pages", _CHANGED.format(
+    """replace(replace(replace(replace(replace(replace(html, '<article', '<font size="5"><article'), '</article>', '</article></font>'),
+    '<p>', '<font size="+1"><p>'), '</p>', '</p></font>'), '<b>', '<font size="-2"><font><b>'), '</b>', '</b></font></font>')"""))
+ORACLES["markup_labels_unclosed"] = ORACLES["markup_labels"].replace("FROM pages", _CHANGED.format(
+    "replace(replace(replace(html, '</p>', ''), '</li>', ''), '<p>', '<p class=\"x y7\">')"))

@@ -303,6 +303,12 @@ def q_lda_fit(spark, sf):
 
 @register("lda_em")
 def q_lda_em(spark, sf):
+    """10 topics, 20 outer x 100 inner iterations (the fit of ``lda_fit``, under its earlier name)."""
+    return q_lda_fit(spark, sf)
+
+
+@register("lda_em_two_iterations")
+def q_lda_em_two(spark, sf):
     """The heaviest terms of 10 topics after two EM iterations with the updated Dirichlet parameter between."""
     from webloom.operators import topics as L
     vocab, dt, v = _lda_corpus(spark, sf)

@@ -138,7 +138,7 @@ ORACLES["join_vocab"] = f"""
 ORACLES["topic_stats"] = TOPICS.TOPIC_STATS
 ORACLES["normalize_topics"] = TOPICS.NORMALIZE_TOPICS
 ORACLES["alpha_newton"] = TOPICS.ALPHA_NEWTON
-ORACLES["lda_em"] = TOPICS.LDA_EM
+ORACLES["lda_em_two_iterations"] = TOPICS.LDA_EM
 _FAKE = "chr(13) || chr(10) || chr(13) || chr(10)"
 _NESTED = f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN html || {_FAKE} || 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
   || 'Content-Length: 3' || {_FAKE} || 'abc' || {_FAKE} || html WHEN 1 THEN html || {_FAKE} || chr(13) || chr(10) ELSE html END AS html FROM pages"""

@@ -8,9 +8,11 @@ back: ``\\`` becomes ``\\e``, and the first character of a control string
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import let, sums_before
+
 OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
 TARGET_ROLE = "assistant"
 
@@ -61,37 +63,56 @@ def read_turns(formatted: Column) -> Column:
         unescape(_role(p)).alias("role"), unescape(_body(p)).alias("text")))
 
 
+def _placed(formatted: Column) -> Column:
+    """Array of ``(at, piece)``: the marked turns and the code points before each."""
+    return let(_pieces(formatted), lambda pieces: F.zip_with(
+        sums_before(F.transform(pieces, lambda p: F.length(p) + len(END))), pieces,
+        lambda at, p: F.struct(at.alias("at"), p.alias("piece"))))
+
+
 def expand(conversations: DataFrame, role: str = TARGET_ROLE) -> DataFrame:
     """Training examples of ``conversations(conv_id, formatted)``: one for every turn of ``role``.
 
-    ``context`` holds all preceding turns and the mark that opens the reply,
-    ``reply`` the turn's text; only it is trainable: code points ``loss_start``
-    to ``loss_end`` (exclusive) of context, reply and end mark together.
-    ``context`` is a prefix of the conversation and is cut out of it last, so
-    that a job that does not read it never builds it. A conversation without
-    such a turn gives no example. ``conv_id`` is unique in the input.
+    ``(conv_id, example, context, reply, loss_start, loss_end)``: ``context``
+    holds all preceding turns and the mark that opens the reply, ``reply`` the
+    turn's text; only it is trainable: code points ``loss_start`` to
+    ``loss_end`` (exclusive) of context, reply and end mark together.
+    ``example`` is the turn's place in the conversation. One without such a
+    turn gives no example; an empty reply gives an empty range. Examples stream
+    out of a conversation one by one, without a window or a sort over them.
     """
-    turns = conversations.select("conv_id", "formatted", F.posexplode(_pieces(F.col("formatted"))).alias("example", "piece"))
-    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("piece").cast("long") + len(END)).over(before), F.lit(0))
-    turns = turns.withColumn("at", at).filter(_role(F.col("piece")) == role)
-    reply = _body(F.col("piece"))
-    start = F.col("at") + F.length("piece") - F.length(reply)
+    turns = conversations.select("conv_id", "formatted", F.posexplode(_placed(F.col("formatted"))).alias("example", "t"))
+    turns = turns.filter(_role(F.col("t.piece")) == escape(F.lit(role)))
+    reply = _body(F.col("t.piece"))
+    start = F.col("t.at") + F.length("t.piece") - F.length(reply)
     return turns.select("conv_id", "example", F.substring("formatted", F.lit(1), start.cast("int")).alias("context"),
-                        reply.alias("reply"), start.alias("loss_start"), (start + F.length(reply)).alias("loss_end"))
+                        reply.alias("reply"), start.alias("loss_start"),
+                        (start + F.length(reply)).alias("loss_end"))
+
+
+def masked(examples: DataFrame) -> Column:
+    """The text under the loss mask of an example, unescaped."""
+    whole = F.concat(examples["context"], examples["reply"], F.lit(END))
+    size = examples["loss_end"] - examples["loss_start"]
+    return unescape(F.substring(whole, (examples["loss_start"] + 1).cast("int"), size.cast("int")))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """What the formatted conversations and their examples hold, read back."""
+    """What the formatted conversations and their examples hold: turns read back from the former, trained text under
+    the loss mask of the latter.
+
+    Examples are built whole and read one by one. They are not written first:
+    a batch of Spark's Parquet reader holds 4096 of them, each with its prefix.
+    """
+    examples = expand(conversations)
     turns = read_turns(F.col("formatted"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     whole = conversations.select(
         "conv_id", F.size(_pieces(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
-    trained = expand(conversations).groupBy(F.col("conv_id").alias("id")).agg(
-        F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("examples"))
-    trained = trained.select("id", F.array_join(F.transform(
-        "examples", lambda e: unescape(e.reply)), "").alias("loss"))
+    trained = examples.select(F.col("conv_id").alias("id"), "example", masked(examples).alias("text")).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("example", "text"))).alias("replies"))
+    trained = trained.select("id", F.array_join(F.transform("replies", lambda e: e.text), "").alias("loss"))
     loss = F.coalesce("loss", F.lit(""))
     return whole.join(trained, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
         "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"),

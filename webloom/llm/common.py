@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,34 @@ from webloom.session import scratch_path
 SLICE_ROWS = 512
 #: Bits of an id filter: at most 128 Ki words of 64, so that broadcasting one is bounded.
 FILTER_BITS = 1 << 23
+#: Numbers that ``sums_before`` adds up in one fold.
+SUM_BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas of ``body`` read it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _folded(values: Column, start: Column) -> Column:
+    grown = F.aggregate(values, F.array(start), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+    return F.slice(grown, 1, F.size(values))
+
+
+def sums_before(values: Column) -> Column:
+    """For every number of an array, the sum of those before it, as long.
+
+    Folds run over blocks of ``SUM_BLOCK`` numbers, as a fold copies its array at every step.
+    """
+    def whole(all_values: Column) -> Column:
+        last = F.greatest(F.size(all_values) - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(last / SUM_BLOCK).cast("int")),
+                             lambda b: F.slice(all_values, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v))
+        starts = let(totals, lambda t: _folded(t, F.lit(0).cast("long")))
+        return F.flatten(F.zip_with(blocks, starts, _folded))
+
+    return let(F.transform(values, lambda v: v.cast("long")), whole)
 
 
 def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:

@@ -175,6 +175,52 @@ def test_personal_data_and_chat_round_trip(spark):
     assert all(r.formatted.startswith(r.context + r.reply) for r in rows)
 
 
+def test_many_matches_secrets_and_context_across_pieces(spark):
+    """Work is in proportion to the matches; context reaches over the ends of the pieces it is cut from."""
+    import time
+    from webloom.llm import pii
+    secret = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = ["a@b.co " * 40_000, f'x token = "{secret}" y', "token = " + "a" * 40, f"api-key: {secret}", secret, "",
+             "é" * 1000 + " ssn " + "." * 30 + " 123-45-6789", "." * 1005 + " 123-45-6789 " + "." * 20 + " ssn",
+             "." * 1005 + " 123-45-6789 " + "." * 40 + " ssn", "𝒳" * 2047 + " 123-45-6789 ssn"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs)).collect()}
+    assert time.time() - start < 60
+    assert got[0].n_email == 40_000 and got[0].spans.endswith(",email:279993:279999")
+    assert [got[i].n_secret for i in range(1, 6)] == [1, 0, 1, 0, 0]
+    assert got[1].spans == f"secret:2:{2 + len(texts[1]) - 5}"
+    assert [got[i].spans for i in range(6, 10)] == ["ssn:1036:1047", "ssn:1006:1017", "", "ssn:2048:2059"]
+    assert pii.digest(pii.find_pii(docs.limit(0))).count() == 0
+    twice = pii.digest(pii.find_pii(docs.filter("doc_id = 1").union(docs.filter("doc_id = 1")))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_chat_examples_of_a_long_conversation_are_read_back_by_their_mask(spark):
+    from webloom.llm import chat
+    texts = [f"turn {i} <s> " + "x" * 90 for i in range(4000)]
+    rows = [(7, i, "assistant" if i % 2 else "user", t, "more") for i, t in enumerate(texts)]
+    rows += [(None, 0, "assistant", "", "more"), (None, 0, "assistant", "", "more"), (8, None, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, reply string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_conversations(table)).collect()}
+    loss = "".join(texts[1::2])
+    assert got[7].loss_chars == len(loss) and got[7].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert (got[None].n_turns, got[None].loss_chars, got[8].n_turns, got[8].loss_chars) == (2, 0, 1, 0)
+    few = chat.expand(chat.format_conversations(table.filter("turn < 6 OR conv_id IS NULL")))
+    for r in few.filter("conv_id = 7").collect():
+        whole = r.context + r.reply + chat.END
+        assert whole[r.loss_start:r.loss_end] == r.reply and r.context.count(chat.END) == r.example
+    assert few.count() == 5
+    assert chat.digest(chat.format_conversations(table.limit(0))).count() == 0
+
+
+def test_sums_before_equal_plain_sums(spark):
+    from webloom.llm.common import sums_before
+    arrays = [[], [5], list(range(256)), list(range(257)), [3] * 1000]
+    rows = spark.createDataFrame([(a,) for a in arrays], "a array<int>").select(sums_before(F.col("a")).alias("s")).collect()
+    assert [r.s for r in rows] == [[sum(a[:i]) for i in range(len(a))] for a in arrays]
+
+
 def test_licences_are_declared_and_inherited(spark):
     from webloom.llm.licenses import scan_licenses
     files = [("r/LICENSE", "Released under the MIT License."), ("r/a/x.py", "code"), ("r/a/b/COPYING", "All rights reserved."),

@@ -2,7 +2,8 @@
 
 Column expressions only. A pattern's matches and the gaps between them are
 taken from the text in one pass each; a span's place is the running sum of
-both lengths, in code points. Possessive quantifiers and the look-behinds
+both lengths, in code points. Context is cut from pieces of the text, so the
+work is in proportion to the text and its matches. Possessive quantifiers and the look-behinds
 keep every pattern linear in the text and off the Java stack.
 """
 
@@ -14,8 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import let, sums_before
+
 #: Code points on either side of a span in which context words count.
 CONTEXT_CHARS = 40
+#: Code points of the pieces that context is cut from.
+PIECE_CHARS = 1024
+#: Bits a character from which an assigned value is taken for a secret; words and plain numbers have fewer.
+MIN_ENTROPY = 3.0
 #: What a context word adds to a span's score.
 CONTEXT_SCORE = 0.4
 #: Spans of the added kinds need this score; those of the base kinds always stay.
@@ -61,6 +68,17 @@ def mod97(m: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+def random_value(m: Column) -> Column:
+    """The assigned value's characters have the entropy of a random key."""
+    value = F.regexp_extract(m, "[A-Za-z0-9+/_-]{16,}={0,2}$", 0)
+
+    def entropy(chars: Column) -> Column:
+        shares = F.transform(F.array_distinct(chars), lambda d: F.size(F.filter(chars, lambda c: c == d)) / F.size(chars))
+        return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return let(F.split(value, ""), entropy) >= MIN_ENTROPY
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -84,6 +102,8 @@ KINDS = (
          "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|bank", base=False),
     Kind("ssn", r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])", "[0-9]-[0-9]{2}-", _always, 0.3,
          "ssn|social security", base=False),
+    Kind("secret", "(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?"
+         "[\"']?[ \\t]{0,3}[=:][ \\t]{0,3}[\"']?[A-Za-z0-9+/_-]{16,}={0,2}", "[=:]", random_value, 0.6, "key|login|auth", base=False),
 )
 
 
@@ -91,19 +111,20 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,text:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc.at + pair.gap
-        end = begin + F.length(pair.m)
-        own = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair.m.alias("text"))
-        keep = F.when(kind.valid(pair.m), F.array_append(acc.out, own)).otherwise(acc.out)
-        return F.struct(end.alias("at"), keep.alias("out"))
+    def placed(pairs: Column) -> Column:
+        """The text after the last match is a pair without one."""
+        before = sums_before(F.transform(pairs, lambda p: p.gap + F.coalesce(F.length(p.m), F.lit(0))))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)),
-                       lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    placed = F.aggregate(pairs, start, step, lambda acc: acc.out)
-    return F.when(text.rlike(kind.needs), placed).otherwise(none)
+        def span(p: Column, at: Column) -> Column:
+            begin = (at + p.gap).cast("int")
+            return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(p.m)).alias("end"),
+                            p.m.alias("text"))
+
+        return F.filter(F.zip_with(pairs, before, span), lambda s: F.when(s.text.isNull(), False).otherwise(kind.valid(s.text)))
+
+    return F.when(text.rlike(kind.needs), let(pairs, placed)).otherwise(none)
 
 
 def findings(text: Column, kinds: tuple[Kind, ...] = KINDS, min_score: float = MIN_SCORE) -> Column:
@@ -118,10 +139,22 @@ def findings(text: Column, kinds: tuple[Kind, ...] = KINDS, min_score: float = M
     whole = F.coalesce(text, F.lit(""))
     all_spans = F.array_sort(F.concat(*(_spans(whole, k, i) for i, k in enumerate(kinds))))
 
-    def scored(s: Column) -> Column:
+    def pieces(spans: Column) -> Column:
+        cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+        return F.when(F.size(spans) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def around(parts: Column, at: Column) -> tuple[Column, Column]:
+        """The piece that holds a place with the one before it and the one after it, and the place therein."""
+        i = F.floor(at / PIECE_CHARS).cast("int")
+        near = F.array_join(F.slice(parts, F.greatest(i, F.lit(1)), F.when(i > 0, 3).otherwise(2)), "")
+        return near, at - F.greatest(i - 1, F.lit(0)) * PIECE_CHARS
+
+    def scored(parts: Column, s: Column) -> Column:
+        ahead, start = around(parts, s.start)
+        behind, end = around(parts, s.end)
         near = F.lower(F.concat(
-            F.substring(whole, F.greatest(s.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT_CHARS))),
-            F.lit(" "), F.substring(whole, s.end + 1, F.lit(CONTEXT_CHARS))))
+            F.substring(ahead, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))),
+            F.lit(" "), F.substring(behind, end + 1, F.lit(CONTEXT_CHARS))))
 
         def pick(of: Callable[[Kind], Column]) -> Column:
             return F.element_at(F.array(*(of(k) for k in kinds)), s.rank + 1)
@@ -132,7 +165,8 @@ def findings(text: Column, kinds: tuple[Kind, ...] = KINDS, min_score: float = M
                         pick(lambda k: F.lit(k.name)).alias("kind"), score.alias("score"),
                         pick(lambda k: F.lit(k.base)).alias("base"))
 
-    return F.filter(F.transform(all_spans, scored), lambda s: s.base | (s.score >= min_score))
+    return let(all_spans, lambda spans: let(pieces(spans), lambda parts: F.filter(
+        F.transform(spans, lambda s: scored(parts, s)), lambda s: s.base | (s.score >= min_score))))
 
 
 def find_pii(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -141,7 +175,7 @@ def find_pii(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of their spans, and all spans as ``kind:start:end``."""
+    """Counts of the base kinds, a digest of their spans, all spans as ``kind:start:end``, and counts of secrets and of all."""
     def line(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
@@ -150,4 +184,6 @@ def digest(found: DataFrame) -> DataFrame:
 
     counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base]
     return found.select("doc_id", *counts, F.sha2(line(F.filter("findings", lambda s: s.base)), 256).alias("base_sha256"),
-                        line(F.col("findings")).alias("spans"))
+                        line(F.col("findings")).alias("spans"),
+                        F.size(F.filter("findings", lambda s: s.kind == "secret")).cast("long").alias("n_secret"),
+                        F.size("findings").cast("long").alias("n_spans"))

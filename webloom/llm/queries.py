@@ -160,6 +160,9 @@ SELECT r, {rank} AS rank, '{name}' AS kind, m, g, k, {score} AS score, '{context
         kind(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", mod97, 0.8,
              "iban|account|bank"),
         kind(5, "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "true", 0.3, "ssn|social security"),
+        kind(6, "secret", "(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?"
+             """["'']?[ \\t]{0,3}[=:][ \\t]{0,3}["'']?[A-Za-z0-9+/_-]{16,}={0,2}""",
+             "list_entropy(string_split(regexp_extract(m, '[A-Za-z0-9+/_-]{16,}={0,2}$'), '')) >= 3.0", 0.6, "key|login|auth"),
     ]
     cases = " ".join(case for _, case in rules)
     return f"""
@@ -175,9 +178,11 @@ f AS (SELECT r, rank, kind, s, e FROM ok JOIN d USING (r)
 g AS (SELECT r, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip,
              count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base,
-             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY r)
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+             count(*) FILTER (rank = 6) AS n_secret, count(*) AS n_spans FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_secret, 0) AS n_secret, coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN g USING (r)
 """
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import chat, decontam, knn, licenses, linededup, mixing, packing, pii, repair, simhash, toxicity, warc, whitening
+from webloom.llm.common import written
 from webloom.session import scratch_path
 from webloom.sources.tables import load_table
 
@@ -49,6 +50,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.quantized(load_table(spark, sf_dir, "embeddings"))
+    vectors = written(vectors.withColumn("row", F.monotonically_increasing_id()), "numbered-vectors")
     return knn.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
@@ -124,12 +126,12 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
 """
 
 OP6_SQL = """
-WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(c::double * 1024)) AS v FROM embeddings
+WITH x AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(c::double * 1024)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, cast(list_inner_product(q.v, x.v) AS bigint) AS score
-      FROM x q JOIN x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 100 = 0)
-SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS int) AS rank, vec_id, score
+s AS (SELECT q.r, q.vec_id AS query_id, x.vec_id, cast(list_inner_product(q.v, x.v) AS bigint) AS score
+      FROM x q JOIN x ON q.r <> x.r AND len(q.v) = len(x.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, cast(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS int) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
 

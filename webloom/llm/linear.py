@@ -57,9 +57,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     """``(label values, words, measures, fold)`` of at most ``max_rows`` labelled documents.
 
     The labels of lowest id hash are taken, once per id, and then as many of their
-    documents at most; rows without id or with a null label are left out. The fold follows the text, so that copies share one.
+    documents at most; rows without id or with a null label are left out. Of different labels of an id the largest count,
+    compared column by column. The fold follows the text, so that copies share one.
     """
-    known = labels.select("doc_id", *columns).dropna().dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *columns).dropna().groupBy("doc_id").agg(F.max(F.struct(*columns)).alias("y")).select("doc_id", "y.*")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         "doc_id", F.col("text").cast("binary").alias("text"), F.array(*(F.col(c).cast("int") for c in columns)).alias("y"),

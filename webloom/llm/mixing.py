@@ -33,10 +33,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows:
 
     ``labels`` has a 0/1 column for each domain. One linear model per domain is
     fitted on at most ``max_rows`` labelled documents of ``fitted_on`` (of
-    ``docs`` if not given); their probabilities are scaled to a sum of 1.
+    ``docs`` if not given); their probabilities are scaled to a sum of 1. A
+    domain without a labelled document has the posterior 0, so that with no
+    such document at all every posterior is 0.
     """
     sample = linear.labelled_sample(docs if fitted_on is None else fitted_on, labels, domains, max_rows)
     rows = [(some, dense) for _, some, dense, _ in sample]
+    seen = np.array([any(y[k] for y, *_ in sample) for k in range(len(domains))], float)
     models = [linear.fit(rows, np.array([y[k] for y, *_ in sample], float)) for k in range(len(domains))]
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = [f"p_{d}" for d in domains]
@@ -48,7 +51,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows:
             texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
             told = [linear.features(t) for t in texts]
             p = np.array([[m.probability(f[0], f[1]) for m in shared.value] for f in told]).reshape(-1, len(names))
-            p /= p.sum(1, keepdims=True)
+            p *= seen
+            p /= p.sum(1, keepdims=True) if seen.any() else 1.0
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([f[2] for f in told], pa.int64()), *(pa.array(c) for c in p.T)],
                 names=[*b.schema.names, "n_tokens", *names])
@@ -76,7 +80,8 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     depends on its posterior only. So the state of the fit is one vector per
     step: every iteration is a job that replays the steps for each document and
     adds up its domain tokens. It ends when every target is met to ``tolerance``
-    of all tokens. If one can't be met, as no document has so high a posterior,
+    of all tokens. A domain whose posterior is 0 everywhere has no target, the
+    others keep their proportion. If a target can't be met, as no document has so high a posterior,
     or is not after ``max_steps`` or when the residual no longer falls, a
     ``ValueError`` tells the gap.
     """
@@ -108,9 +113,12 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     total = first[:k].sum()
     if total == 0:
         return []
-    share = np.array(list(targets.values())) / sum(targets.values())
-    want = share * total
     top = first[k + k * k:]
+    share = np.array(list(targets.values())) * (top > 0)
+    if not share.any():
+        return []  # no document of a domain that has a target
+    share = share / share.sum()
+    want = share * total
     over = [f"{d}: {w:.6g} of all tokens, posteriors up to {p:.6g}"
             for d, w, p in zip(targets, share, top, strict=True) if w > p + tolerance]
     if over:
@@ -139,7 +147,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     be read once. ``labels`` is the table ``labels(doc_id, quality, toxic)``.
     Null and empty texts have no tokens and get the rate of their posterior.
     Targets are met to ``TOLERANCE`` of all tokens, or a ``ValueError`` is
-    raised. The posteriors are fitted on the labelled documents of
+    raised; domains without a labelled document have no target, and without any
+    labelled document all rates are 1. The posteriors are fitted on the labelled documents of
     ``fitted_on``, for a table that has lost some of them. Repeated rows each
     give a row; an empty table gives none.
     """

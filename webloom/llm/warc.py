@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import written
 
-#: Bytes of an archive that one task looks through.
-CHUNK_BYTES = 16 << 20
+#: Bytes of an archive whose records are chained at once, and how many such chunks a task looks through.
+CHUNK_BYTES = 1 << 20
+CHUNKS_PER_TASK = 4
 #: Payloads of fewer bytes are written again rather than referred to.
 MIN_REVISIT_BYTES = 100
 CRAWL_DATE = "2024-01-01T00:00:00Z"
@@ -125,7 +126,7 @@ def _chunks(spark: SparkSession, path: str, chunk: int) -> DataFrame:
 
 
 def _spread(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(max(1, min(n, 100_000)))
+    return rows.repartition(max(1, min(math.ceil(n / CHUNKS_PER_TASK), 100_000)))
 
 
 def candidates(chunks: DataFrame, chunk: int) -> DataFrame:

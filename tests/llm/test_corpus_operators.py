@@ -214,6 +214,47 @@ def test_chat_examples_of_a_long_conversation_are_read_back_by_their_mask(spark)
     assert chat.digest(chat.format_conversations(table.limit(0))).count() == 0
 
 
+def test_top_k_of_empty_vectors_repeated_ids_and_split_cells(spark):
+    from webloom.llm.knn import quantized, top_k
+    rows = [(1, []), (2, []), (3, [1.0, 2.0]), (3, [5.0, 1.0]), (3, [5.0, 1.0]), (4, [0.5, 0.5]), (5, None), (None, [1.0, 1.0])]
+    rows += [(10 + i, [float(i % 7), float(i % 3)]) for i in range(40)]
+    vectors = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    vectors = vectors.withColumn("row", F.monotonically_increasing_id()).cache()
+    held = [(r.row, r.vec_id, r.v) for r in vectors.collect()]
+    want = sorted((i, k + 1, j, s) for own, i, v in held for k, (s, j) in enumerate(
+        [(-s, j) for s, j in sorted((-sum(a * b for a, b in zip(v, w)), j) for o, j, w in held if o != own and len(v) == len(w))][:4]))
+    got = sorted(map(tuple, top_k(vectors, vectors, 4, pivots=3, seeds=6, queries_per_cell=10, rows_per_block=8, queries_per_task=3).collect()))
+    assert got == want and (1, 1, 2, 0) in got and sum(i == 3 for i, *_ in got) == 12
+    assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_extra_columns_named_like_results_or_inner_columns(spark):
+    from webloom.llm import decontam, licenses, linededup
+    docs = spark.createDataFrame([(1, "a b\na b", "x")], "doc_id long, text string, mask string")
+    for name in ("n_lines", "n_removed", "mask"):
+        got = linededup.dedup_lines(docs.withColumnRenamed("mask", name))
+        assert sorted(got.columns) == sorted({"doc_id", "text", name, "n_lines", "n_removed"}) and got.first().n_removed == 1
+    bench = spark.createDataFrame([("i", "a b", "y")], "item_id string, text string, mask string")
+    for size in (1 << 24, 1):
+        found = decontam.contamination(docs, bench, table_bytes=size).first()
+        assert (found["mask"], found.n_hit, found["items"]) == ("x", 4, ["i"])
+    files = spark.createDataFrame([("r/LICENSE", "Released under the MIT License.", 1, 2), ("r/x", "code", 3, 4)],
+                                  "path string, text string, near int, best int")
+    got = {r.path: (r.license, r.near, r.best) for r in licenses.scan_licenses(files).collect()}
+    assert got == {"r/LICENSE": ("MIT", 1, 2), "r/x": ("MIT", 3, 4)}
+
+
+def test_mixing_without_labels_of_a_domain(spark):
+    from webloom.llm.mixing import mix
+    docs = spark.createDataFrame([(i, f"word{i % 5} other text {i}") for i in range(40)] + [(None, None), (1, "again")],
+                                 "doc_id long, text string")
+    kinds = "doc_id long, quality int, toxic int"
+    none = mix(docs, spark.createDataFrame([], kinds)).collect()
+    assert len(none) == 42 and all(r.rate == 1.0 and r.p_toxic == 0 for r in none)
+    one = mix(docs, spark.createDataFrame([(i, 1, 0) for i in range(9)] + [(3, 1, 0), (4, None, 0)], kinds)).collect()
+    assert len(one) == 42 and all(abs(r.rate - 1) < 1e-9 and r.p_high_quality == 1 for r in one)
+
+
 def test_sums_before_equal_plain_sums(spark):
     from webloom.llm.common import sums_before
     arrays = [[], [5], list(range(256)), list(range(257)), [3] * 1000]

@@ -108,11 +108,11 @@ def _scan(docs: DataFrame, table: Broadcast, block: int, keep: list[str]) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                  pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())],
-                names=[*keep, "n_words", "n_hit", "items", "mask"])
+                names=[*keep, "n_words", "n_hit", "items", "__mask"])
 
     rows = docs.select(F.col("text").cast("binary").alias("__text"), *keep)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return rows.mapInArrow(run, ", ".join([*kept, "n_words long", RESULT, "mask binary"]))
+    return rows.mapInArrow(run, ", ".join([*kept, "n_words long", RESULT, "__mask binary"]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK,
@@ -131,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     A null or wordless text has no words and no hits; a wordless item has no
     window; windows of an item without id are hit but name no item. Items that
     share a text or an id share windows. Repeated documents each give a row. An
-    empty table gives no rows or no hits. Other columns are not read.
+    empty table gives no rows or no hits. Other columns are not read; those named
+    like a result give way to it, and names that begin with two underscores are taken.
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "items")]
@@ -145,19 +146,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return spark.sparkContext.broadcast([(r.words, r.items) for r in grams.filter(part == k).toLocalIterator()])
 
     if n == 1:
-        return _scan(docs, table(0), block, keep).drop("mask")
+        return _scan(docs, table(0), block, keep).drop("__mask")
     # more tables than one: a document's hit masks meet by its text
     keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
     hits = None
     for k in range(n):
         own = table(k)
-        found = written(_scan(keyed, own, block, ["__key"]).filter("mask is not null").distinct(), "hits")
+        found = written(_scan(keyed, own, block, ["__key"]).filter("__mask is not null").distinct(), "hits")
         own.unpersist()
         hits = found if hits is None else hits.unionByName(found)
 
     def meet(group: pa.Table) -> pa.Table:
         mask, items = 0, set()
-        for m, i in zip(group.column("mask").to_pylist(), group.column("items").to_pylist(), strict=True):
+        for m, i in zip(group.column("__mask").to_pylist(), group.column("items").to_pylist(), strict=True):
             mask |= int.from_bytes(m, "big")
             items.update(i)
         return pa.table({"__key": group.column("__key")[:1], "n_hit": pa.array([mask.bit_count()], pa.int64()),

@@ -320,6 +320,8 @@ def scan_licenses(files: DataFrame, least: float = THRESHOLD, templates: tuple =
 
     A null text is empty and declares nothing; a null path has no folder and
     inherits nothing. Repeated rows each give a row. An empty table gives none.
+    Columns named like a result give way to it; names that begin with two
+    underscores are taken.
     """
     taken = ("own", "cosine", "license", "origin", "license_folder")
     kept = [c for c in files.columns if c not in taken]
@@ -330,10 +332,10 @@ def scan_licenses(files: DataFrame, least: float = THRESHOLD, templates: tuple =
     folders = found.select("__folder").dropna().distinct()
     above = folders.select("__folder", F.explode(_ancestors(F.col("__folder"))).alias("above"))
     nearest = above.join(licensed, "above").groupBy("__folder").agg(
-        F.max(F.struct(F.length("above").alias("depth"), "above", "license")).alias("near"))
+        F.max(F.struct(F.length("above").alias("depth"), "above", "license")).alias("__near"))
     rows = found.join(nearest, "__folder", "left")
-    inherited = F.col("own").isNull() & F.col("near").isNotNull()
+    inherited = F.col("own").isNull() & F.col("__near").isNotNull()
     return rows.select(
-        *kept, F.coalesce("own", "near.license").alias("license"),
+        *kept, F.coalesce("own", "__near.license").alias("license"),
         F.when(F.col("own").isNotNull(), "declared").when(inherited, "inherited").otherwise("none").alias("origin"),
-        "cosine", F.when(inherited, F.col("near.above")).alias("license_folder"))
+        "cosine", F.when(inherited, F.col("__near.above")).alias("license_folder"))

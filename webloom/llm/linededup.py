@@ -481,7 +481,8 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     in the order of a hash of the text. Each distinct (doc_id, text) has places
     of its own and loses its own lines only; rows repeated with the same doc_id
     (or none) and text share their places and keep the same lines. An empty
-    table gives no rows. Other columns are passed on.
+    table gives no rows. Other columns are passed on; ``n_lines`` and
+    ``n_removed`` are replaced, and names that begin with two underscores are taken.
     """
     repeated = repeated_ids(docs.select("doc_id", "text"))
     later = written(later_lines(with_part(docs.select("doc_id", "text"), repeated), t, first_ask).select(
@@ -495,6 +496,6 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         *(F.when(F.col("__later").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)
-          for c in docs.columns),
+          for c in docs.columns if c not in ("n_lines", "n_removed")),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("__later"), F.lit(0)).alias("n_removed"))

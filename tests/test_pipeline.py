@@ -208,3 +208,17 @@ def test_records_with_other_first_headers_dates_and_case(spark):
     rows = parse_warc_records(raw).select("trec_id", "html", F.col("warc_date").cast("string").alias("d")).collect()
     assert sorted(map(tuple, rows), key=str) == [("a-1", "body", "2012-02-12 09:08:06.25"), ("a-1", "body", None)]
     assert [r.value for r in warc_rejects(raw).collect()] == ["no header here"]
+
+
+def test_sequence_files_keep_inputs_ids_and_texts(spark, tmp_path):
+    from webloom.sources.files import read_seqfile, write_seqfile
+    rows = [("a#1", "in/x#1.warc", "two\nlines é"), ("2", "in/x#1.warc", None), (None, None, ""), ("3", "in/y.warc", "a#b" * 50_000)]
+    texts = spark.createDataFrame([(i.replace("a#", "a") if i else i, r, t) for i, r, t in rows], "doc_id string, rel string, text string")
+    want = sorted((r or "", (i or "").replace("a#", "a"), t or "") for i, r, t in rows)
+    for name, codec in (("plain", None), ("packed", "org.apache.hadoop.io.compress.DefaultCodec")):
+        write_seqfile(texts, str(tmp_path / name), codec)
+        back = read_seqfile(spark, str(tmp_path / name), with_rel=True)
+        assert sorted((r.rel, r.doc_id, r.text) for r in back.collect()) == want
+    assert read_seqfile(spark, str(tmp_path / "plain")).filter("doc_id = 'in/y.warc#3'").count() == 1
+    write_seqfile(texts.limit(0), str(tmp_path / "none"))
+    assert read_seqfile(spark, str(tmp_path / "none")).count() == 0

@@ -27,10 +27,35 @@ def read_whole_files(spark: SparkSession, path: str, min_partitions: int | None
     return df.repartition(min_partitions) if min_partitions else df
 
 
-def read_seqfile(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (String, String) SequenceFile records as (doc_id, text) (import only)."""
-    rdd = spark.sparkContext.sequenceFile(path, "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
-    return spark.createDataFrame(rdd, "doc_id string, text string")
+_TEXT = "org.apache.hadoop.io.Text"
+#: Parts the input's path and the document id in a key of ``write_seqfile``.
+KEY_MARK = "#"
+
+
+def read_seqfile(spark: SparkSession, path: str, with_rel: bool = False) -> DataFrame:
+    """S3: (String, String) SequenceFile records as (doc_id, text); ``with_rel`` parts keys of ``write_seqfile``
+    into (rel, doc_id, text)."""
+    rdd = spark.sparkContext.sequenceFile(path, _TEXT, _TEXT)
+    rows = spark.createDataFrame(rdd, "doc_id string, text string")
+    if not with_rel:
+        return rows
+    own = F.substring_index("doc_id", KEY_MARK, -1)
+    return rows.select(F.substring("doc_id", F.lit(1), F.length("doc_id") - F.length(own) - len(KEY_MARK)).alias("rel"),
+                       own.alias("doc_id"), "text")
+
+
+def write_seqfile(texts: DataFrame, out: str, codec: str | None = None) -> None:
+    """Texts (doc_id, text, rel) as SequenceFiles of (``rel#doc_id``, text), by Hadoop's output committer.
+
+    One folder for all inputs: a row's key names its input, so that one large input is written by many tasks and
+    many small ones do not each take a job. Null texts and paths are empty. DataFrames have no such writer, hence
+    the RDD. ``doc_id`` must not hold the mark; ``rel`` may.
+    """
+    key = F.concat(F.coalesce("rel", F.lit("")), F.lit(KEY_MARK), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    pairs = texts.select(key, F.coalesce("text", F.lit(""))).rdd.map(tuple)
+    pairs.saveAsNewAPIHadoopFile(out, "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat", _TEXT, _TEXT,
+                                 conf={"mapreduce.output.fileoutputformat.compress": str(codec is not None).lower(),
+                                       **({"mapreduce.output.fileoutputformat.compress.codec": codec} if codec else {})})
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -124,8 +124,8 @@ def content_images(events: DataFrame, final_blocks: DataFrame, blocks_with_owner
 
 
 def rank_images(images: DataFrame) -> DataFrame:
-    """Images per document by area descending, then src."""
-    w = Window.partitionBy("doc_id").orderBy(F.col("area").desc(), F.col("src"))
+    """Images per document by area descending, then src, then place."""
+    w = Window.partitionBy("doc_id").orderBy(F.col("area").desc(), F.col("src"), F.col("pos"))
     return images.withColumn("rank", F.row_number().over(w) - 1)
 
 

@@ -310,7 +310,7 @@ core AS (
              * CASE WHEN regexp_matches(height, {num}) THEN CAST(trim(height) AS BIGINT) END, -1) AS area
   FROM m WHERE c IS NULL AND coalesce(prev_c, false) AND last_c > pos AND src <> '' AND NOT ignored
 )
-SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, src) - 1 AS INTEGER) AS rank FROM picked"""
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, src, pos) - 1 AS INTEGER) AS rank FROM picked"""
 
 
 ORACLES["content_images"] = _images_sql()

@@ -67,11 +67,9 @@ def test_vocabulary_ids_without_single_partition_window_over_terms(spark):
 
 def test_rules_change_rows_of_rich_pages(spark):
     """No rule of these queries is vacuous."""
-    from webloom.plans.rich_pages import RULES, before_and_after, q_content_images_rich_pages, q_label_fusion_of_markup
+    from webloom.plans.rich_pages import RULES, _owned, before_and_after, q_content_images_rich_pages
+    blocks = _owned(spark, SF001)[1].drop("owner").cache()
     for name in RULES:
-        before, after = before_and_after(spark, SF001, name)
+        before, after = before_and_after(blocks, name)
         assert before.select(*after.columns).exceptAll(after).count() > 0, name
-    assert q_content_images_rich_pages(spark, SF001).filter("src = '/hidden.png'").count() == 0
-    assert q_content_images_rich_pages(spark, SF001).count() > 0
-    merged = q_label_fusion_of_markup(spark, SF001)
-    assert merged.filter("exists(labels, x -> startswith(x, '<'))").count() > 0
+    assert {r.src for r in q_content_images_rich_pages(spark, SF001).select("src").distinct().collect()} == {"/pic.png"}

@@ -62,17 +62,17 @@ RULES = {
 }
 
 
-def before_and_after(spark, sf, name: str):
-    """The blocks of the rich pages before and after a rule."""
+def before_and_after(blocks, name: str):
+    """Blocks before and after a rule."""
     prepare, rule, _ = RULES[name]
-    before = prepare(_owned(spark, sf)[1].drop("owner"))
+    before = prepare(blocks)
     return before, rule(before)
 
 
 def _register() -> None:
     for name, (_, _, steps) in RULES.items():
         def q(spark, sf, name=name):
-            return before_and_after(spark, sf, name)[1].select(*C.BLOCK_COLUMNS)
+            return before_and_after(_owned(spark, sf)[1].drop("owner"), name)[1].select(*C.BLOCK_COLUMNS)
         q.__doc__ = f"``{name}`` on pages that it applies to."
         register(f"{name}_rich_pages")(q)
         ORACLES[f"{name}_rich_pages"] = _on_rich_pages(OB.chain(BLOCKS, *steps))

@@ -242,3 +242,25 @@ def test_reverse_end_scan_and_paragraph_split_keep_members(spark):
     b = _mk(spark, [(20, 0.0, 3, True), (5, 0.0, 3, True)]).withColumn("members", F.array("block_idx"))
     for rule in (ignore_after_end_reverse, split_paragraphs):
         assert [r.members for r in rule(b).orderBy("block_idx").collect()] == [[0], [1]]
+
+
+def test_extracted_html_is_balanced_and_holds_content_only(spark):
+    from webloom.operators.classifiers import mark_all_content
+    from webloom.operators.content_html import extract_html
+    from webloom.operators.html import html_events, text_blocks
+
+    def extracted(html, **options):
+        ev = html_events(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+        bo = text_blocks(ev, keep_owner=True)
+        return extract_html(ev, mark_all_content(bo.drop("owner")), bo, **options).first().html
+
+    page = ("<html><head><title>t</title><style>p{}</style></head><body><div id=a ID='b' title='x &lt; \"y\"' hidden><div><i></i><br></div>"
+            "<p>one &amp; <b>two</b><p>three</em> four<ul><li>five<li>six</ul><script>no()</script></div><div><i> </i></div></body></html>")
+    inner = "<p>one &amp; <b>two</b></p><p>three four</p><ul><li>five</li><li>six</li></ul>"
+    assert extracted(page).replace("</b>\n", "</b>") == inner
+    both = page.replace("<div id=a", "<p>first</p><div id=a")
+    assert extracted(both) == '<p>first</p><div id="a" title="x &lt; &quot;y&quot;" hidden="">' + inner + "</div>"
+    assert extracted(both, whitelist={"div": ("Title",), "LI": ()}, pre="[", post="]") == (
+        '[first]<div title="x &lt; &quot;y&quot;">[one &amp; ][two][three][ four]<li>[five]</li><li>[six]</li></div>')
+    assert extracted("<html><body><p>alone</p></body></html>") == "<p>alone</p>"
+    assert extracted("<html><body><p> </p><i></i></body></html>") == ""

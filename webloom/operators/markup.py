@@ -52,25 +52,37 @@ def _cut(stack: list[str], tag: str, start: bool) -> None:
 
 def _match(table: pa.Table) -> pa.Table:
     table = table.sort_by("pos")
-    stack, depth = [], []
-    for kind, tag in zip(table.column("kind").to_pylist(), table.column("tag").to_pylist(), strict=True):
+    positions = table.column("pos").to_pylist()
+    stack, open_rows, depth, end = [], [], [], [None] * len(positions)
+    for row, (kind, tag) in enumerate(zip(table.column("kind").to_pylist(), table.column("tag").to_pylist(), strict=True)):
         if tag is not None:
             _cut(stack, tag, kind == "start")
+        while len(open_rows) > len(stack):
+            end[open_rows.pop()] = positions[row]
         depth.append(len(stack))
         if tag is not None and kind == "start":
             stack.append(tag)
-    return pa.table([table.column("doc_id"), table.column("pos"), pa.array(depth, pa.int32())], names=["doc_id", "pos", "depth"])
+            open_rows.append(row)
+    return pa.table([table.column("doc_id"), table.column("pos"), pa.array(depth, pa.int32()), pa.array(end, table.column("pos").type)],
+                    names=["doc_id", "pos", "depth", "end_pos"])
 
 
-def _depths(events: DataFrame, tags) -> DataFrame:
-    """Events with their nesting depth over ``tags``: that of a start is its element's own, after what it ends.
+def matched_tags(tags: DataFrame) -> DataFrame:
+    """``(doc_id, pos, depth, end_pos)`` of events: the nesting depth, that of a start being its element's own after what it
+    ends, and for a start the position of the event that ends its element, null if none does. Events with a null tag are texts.
 
     Brackets are matched per page, in one pass: end tags end what stands open inside their element, stray ones
     end nothing, and some starts end an open element (``ENDED_BY``).
     """
+    types = {c: tags.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
+    return tags.select("doc_id", "pos", "kind", "tag").groupBy("doc_id").applyInArrow(
+        _match, f"doc_id {types['doc_id']}, pos {types['pos']}, depth int, end_pos {types['pos']}")
+
+
+def _depths(events: DataFrame, tags) -> DataFrame:
+    """Events with their nesting depth over ``tags`` (see ``matched_tags``)."""
     sel = F.col("tag").isin(*tags) & ~F.col("tag").isin(*VOID_TAGS) & F.col("kind").isin("start", "end")
-    depth = events.select("doc_id", "pos", "kind", F.when(sel, F.col("tag")).alias("tag")).groupBy("doc_id").applyInArrow(
-        _match, f"doc_id {events.schema['doc_id'].dataType.simpleString()}, pos {events.schema['pos'].dataType.simpleString()}, depth int")
+    depth = matched_tags(events.select("doc_id", "pos", "kind", F.when(sel, F.col("tag")).alias("tag"))).drop("end_pos")
     return events.withColumn("_sel", F.coalesce(sel, F.lit(False))).join(depth, ["doc_id", "pos"])
 
 

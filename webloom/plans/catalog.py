@@ -592,6 +592,31 @@ def q_font_size_labels_nested(spark, sf):
     return font_size_labels(ev, bo).drop("owner", "members")
 
 
+@register("extract_html")
+def q_extract_html(spark, sf):
+    """H21, extracting mode: the article content of every page as balanced HTML with its elements and attributes."""
+    from webloom.operators.content_html import extract_html
+    from webloom.plans.extractors import article
+    ev, bo, docs = _owned(spark, sf)
+    return extract_html(ev, article(bo.drop("owner"), docs), bo)
+
+
+@register("extract_html_whitelist")
+def q_extract_html_whitelist(spark, sf):
+    """H21, extracting mode with allowed tags and attributes, on pages with open paragraphs, repeated attributes and empty elements."""
+    from webloom.operators.content_html import ARTICLE_TAGS, extract_html
+    from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
+    from webloom.plans.extractors import article
+    html = F.col("html")
+    for old, new in (("</p>", ' see <a title="x > y" HREF="/q?a=1&amp;b=&quot;2" href="/r">this</a> <i></i><br>'), ("</li>", ""),
+                     ("<article", "<article class=main id=m")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    parted = partition_pages(_pages(spark, sf).withColumn("html", html))
+    ev = events_of(parted)
+    bo = text_blocks(ev, keep_owner=True)
+    return extract_html(ev, article(bo.drop("owner"), docs_of(parted)), bo, ARTICLE_TAGS)
+
+
 # ---------------------------------------------------------------- single-step helpers as queries
 
 @register("strip_tags")

@@ -331,7 +331,7 @@ def _depth_ctes(tags) -> str:
     """Tables sel, st and d: events with their depth, by a stack of open tags that a recursive query carries from tag to tag."""
     from webloom.operators import markup as M
     from webloom.operators.html import VOID_TAGS
-    sel = f"(tag IN {inlist(tuple(tags))} AND tag NOT IN {inlist(VOID_TAGS)})"
+    sel = f"(tag NOT IN {inlist(VOID_TAGS)})" if tags is None else f"(tag IN {inlist(tuple(tags))} AND tag NOT IN {inlist(VOID_TAGS)})"
     scope = "CASE tag WHEN 'TABLE' THEN [] " + " ".join(f"WHEN {OB.q(t)} THEN {_list(v)}" for t, v in M.SCOPES.items()) + f" ELSE {_list(M.SCOPE)} END"
     ended = "CASE x " + " ".join(f"WHEN {OB.q(t)} THEN {_list(v)}" for t, v in M.ENDED_BY.items()) + " ELSE [] END"
     return f"""
@@ -460,3 +460,67 @@ ORACLES["font_size_labels_nested"] = ORACLES["font_size_labels"].replace("FROM p
     '<p>', '<font size="+1"><p>'), '</p>', '</p></font>'), '<b>', '<font size="-2"><font><b>'), '</b>', '</b></font></font>')"""))
 ORACLES["markup_labels_unclosed"] = ORACLES["markup_labels"].replace("FROM pages", _CHANGED.format(
     "replace(replace(replace(html, '</p>', ''), '</li>', ''), '<p>', '<p class=\"x y7\">')"))
+
+
+# ---------------------------------------------------------------- highlight, extracting mode: elements by a stack, what they hold by range joins
+from webloom.operators.content_html import ARTICLE_TAGS, ATTRIBUTE as _ATTRIBUTE  # noqa: E402
+from webloom.plans.oracle_html import decode_sql  # noqa: E402
+
+
+def _extract_html_sql(whitelist: dict[str, tuple[str, ...]] | None) -> str:
+    from webloom.functions.tokens import JAVA_WHITESPACE
+    owned = blocks_sql(EVENTS, with_owner=True)
+    final = OB.chain(owned, *OB.article_steps(DOCS), extra=("members",))
+    pat = OB.q(_ATTRIBUTE.replace('\\"', '"'))
+    allowed, listed = "true", "true"
+    if whitelist is not None:
+        names = " ".join(f"WHEN {OB.q(t)} THEN {_list(a)}::VARCHAR[]" for t, a in whitelist.items())
+        allowed = f"list_contains(CASE lower(tag) {names} END, n)"
+        listed = f"lower(tag) IN {inlist(tuple(whitelist))}"
+
+    def esc(x: str) -> str:
+        return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+    return f"""
+WITH RECURSIVE {_depth_ctes(None)},
+bo AS ({owned}),
+cm AS (SELECT DISTINCT doc_id, unnest(members) AS block_idx FROM ({final}) WHERE is_content),
+ct AS MATERIALIZED (
+  SELECT d.doc_id, d.pos, {esc('d.text')} AS piece FROM d JOIN bo ON d.doc_id = bo.doc_id AND d.owner = bo.owner
+  JOIN cm ON cm.doc_id = bo.doc_id AND cm.block_idx = bo.block_idx
+  WHERE d.kind = 'text' AND regexp_replace(d.text, {OB.q(JAVA_WHITESPACE)}, '', 'g') <> ''),
+el AS MATERIALIZED (
+  SELECT s.doc_id, s.pos, s.before AS depth, coalesce(min(e.pos), 1::BIGINT << 62) AS end_pos
+  FROM dep s JOIN d ON d.doc_id = s.doc_id AND d.pos = s.pos AND d.kind = 'start'
+  LEFT JOIN dep e ON e.doc_id = s.doc_id AND e.pos > s.pos AND e.before <= s.before GROUP BY ALL),
+kept AS MATERIALIZED (
+  SELECT el.*, d.tag, d.attrs FROM el JOIN d USING (doc_id, pos) WHERE {listed}
+  AND EXISTS (SELECT 1 FROM ct WHERE ct.doc_id = el.doc_id AND ct.pos > el.pos AND ct.pos < el.end_pos)),
+att AS (
+  SELECT doc_id, pos, string_agg(' ' || n || '="' || {esc('v')} || '"', '' ORDER BY i) AS attrs FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, pos, n ORDER BY i) AS again FROM (
+      SELECT doc_id, pos, tag, i, lower(regexp_extract(m, {pat}, 1)) AS n, {decode_sql('val')} AS v FROM (
+        SELECT *, regexp_extract(m, {pat}, 2) || regexp_extract(m, {pat}, 3) || regexp_extract(m, {pat}, 4) AS val FROM (
+          SELECT doc_id, pos, tag, unnest(ms) AS m, unnest(range(len(ms))) AS i
+          FROM (SELECT *, regexp_extract_all(coalesce(attrs, ''), {pat}) AS ms FROM kept)))))
+  WHERE again = 1 AND {allowed} GROUP BY doc_id, pos),
+pieces AS (
+  SELECT doc_id, pos AS place, 1 AS turn, 0 AS sub, pos AS elem, 's' AS what, '<' || lower(tag) || coalesce(att.attrs, '') || '>' AS piece
+  FROM kept LEFT JOIN att USING (doc_id, pos)
+  UNION ALL SELECT doc_id, end_pos, 0, -depth, pos, 'e', '</' || lower(tag) || '>' FROM kept
+  UNION ALL SELECT doc_id, pos, 1, 0, pos, 't', piece FROM ct),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, turn, sub) AS i,
+    row_number() OVER (PARTITION BY doc_id ORDER BY place DESC, turn DESC, sub DESC) AS r FROM pieces),
+gone AS (
+  SELECT s.doc_id, s.elem FROM num s JOIN num e ON s.doc_id = e.doc_id AND s.elem = e.elem AND s.what = 's' AND e.what = 'e' AND s.i = e.r
+  JOIN num s2 ON s2.doc_id = s.doc_id AND s2.i = s.i + 1 AND s2.what = 's' JOIN num e2 ON e2.doc_id = s.doc_id AND e2.r = e.r + 1 AND e2.what = 'e'
+  WHERE NOT EXISTS (SELECT 1 FROM num t WHERE t.doc_id = s.doc_id AND t.what = 't' AND (t.i < s.i OR t.r < e.r)))
+SELECT p.doc_id, coalesce(h.html, '') AS html FROM (SELECT DISTINCT doc_id FROM ev) p LEFT JOIN (
+  SELECT doc_id, string_agg(piece, '' ORDER BY i) AS html FROM num ANTI JOIN gone USING (doc_id, elem) GROUP BY doc_id) h USING (doc_id)"""
+
+
+ORACLES["extract_html"] = _extract_html_sql(None)
+ORACLES["extract_html_whitelist"] = _extract_html_sql(ARTICLE_TAGS).replace("FROM pages", _CHANGED.format(
+    """replace(replace(replace(html, '</p>', ' see <a title="x > y" HREF="/q?a=1&amp;b=&quot;2" href="/r">this</a> <i></i><br>'),
+    '</li>', ''), '<article', '<article class=main id=m')"""))

@@ -60,7 +60,7 @@ HEADERS = (
           ("LGPL-3.0-or-later", "Lesser General Public License", "3"))
       for rest in ("", _GNU_REST.format(title))),
 )
-TEXTS = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "licenses")
+TEXTS = os.path.join(os.path.dirname(__file__), "license_texts")
 
 
 def license_texts(folder: str = TEXTS) -> tuple[tuple[str, str], ...]:

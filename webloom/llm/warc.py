@@ -39,14 +39,15 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> DataFrame
     bytes, those with the smallest page_id are responses, the others revisits
     that refer to it and carry no payload. A null html is an empty payload, a
     null url is written as ``about:blank``; rows without page_id come after all
-    others. Repeated rows each give a record.
+    others. Repeated rows each give a record. Shared digests are written first, so
+    that Spark knows their size before it shuffles payloads to meet them.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "[\r\n]", "").alias("url"),
                         html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"),
                         F.octet_length(html).alias("size"))
-    shared = rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = written(rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-payloads")
     rows = rows.join(shared, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
 

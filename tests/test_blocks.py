@@ -264,3 +264,31 @@ def test_extracted_html_is_balanced_and_holds_content_only(spark):
         '[first]<div title="x &lt; &quot;y&quot;">[one &amp; ][two][three][ four]<li>[five]</li><li>[six]</li></div>')
     assert extracted("<html><body><p>alone</p></body></html>") == "<p>alone</p>"
     assert extracted("<html><body><p> </p><i></i></body></html>") == ""
+
+
+def test_partitions_of_pages_follow_their_bytes(spark, monkeypatch):
+    """A task's share of a page job stays the same whatever the table's size."""
+    from webloom.operators import html as H
+    monkeypatch.setattr(H, "PARTITION_BYTES", 1000)
+    pages = spark.createDataFrame([(i, "<p>" + "word " * 20) for i in range(500)], "page_id long, html string")
+    assert H.partition_pages(pages).rdd.getNumPartitions() == 52  # 500 pages of 103 bytes
+    monkeypatch.setattr(H, "PARTITION_BYTES", 1 << 20)
+    assert H.partition_pages(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_spaces_and_trims_are_those_of_the_patterns(spark):
+    from webloom.functions.tokens import JAVA_WHITESPACE, spaces_only, trim_spaces
+    texts = ["", " ", " a b ", "a\tb\n", " a \u0085", "\u3000a\u2003 ", "a\u00a0 ", "\x1ca\x1f", "  plain  text  ", "a \u0085\u0085 ", "\u0085 a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    spaced = F.regexp_replace("t", JAVA_WHITESPACE, " ")
+    for r in rows.select("t", spaces_only(F.col("t")).alias("a"), spaced.alias("b"), trim_spaces(F.col("t")).alias("c"),
+                         F.regexp_replace("t", "^ +| +$", "").alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d), repr(r.t)
+
+
+def test_blocks_are_counted_once(spark):
+    """The filter on the counts reads the aggregate's result; the fold over the tokens stands in the plan once."""
+    from webloom.operators.html import html_events, text_blocks
+    pages = spark.createDataFrame([(1, "<p>one two</p>")], "page_id long, html string")
+    plan = text_blocks(html_events(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("aggregate(transform(filter(" in line for line in plan.split("\n")) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import classifiers as C
 from webloom.operators import fusion as G
 from webloom.plans import oracle_blocks as OB
+from webloom.plans.catalog import _owned as _owned_of
 from webloom.plans.catalog import _pages, register
 from webloom.plans.oracles import BLOCKS, ORACLES as PLAIN
 
@@ -38,11 +39,8 @@ def rich_pages(spark, sf):
     return _pages(spark, sf).withColumn("html", html)
 
 
-def _owned(spark, sf):
-    from webloom.operators.html import docs_of, events_of, partition_pages, text_blocks
-    parted = partition_pages(rich_pages(spark, sf))
-    ev = events_of(parted)
-    return ev, text_blocks(ev, keep_owner=True), docs_of(parted)
+def _owned(spark, sf, twice=False):
+    return _owned_of(spark, sf, rich_pages(spark, sf), twice)
 
 
 def _f5f1(blocks):
@@ -98,7 +96,7 @@ def q_content_images_rich_pages(spark, sf):
     """Images after paragraphs of the article, ranked by area; hidden ones aside."""
     from webloom.operators.html_extras import content_images, rank_images
     from webloom.plans.extractors import article
-    ev, bo, docs = _owned(spark, sf)
+    ev, bo, docs = _owned(spark, sf, twice=True)
     return rank_images(content_images(ev, article(bo.drop("owner"), docs), bo))
 
 

@@ -111,3 +111,19 @@ def test_cleaning_a_corpus_is_one_scan_without_exchange(spark):
     from webloom.functions.cleaning import clean_documents
     plan = clean_documents(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_spared_patterns_are_the_plain_ones(spark):
+    """The patterns' look-aheads and listed classes change no result; texts without "://" have no URL."""
+    from webloom.functions import cleaning as C
+    loose = r"(?!(?<=[\p{L}\p{M}])['.:’‘·]\p{L}|(?<=\p{Nd})[.,;'’‘]\p{Nd})['.:’‘·,;]"
+    ideo = r"\p{IsHan}\p{IsHiragana}"
+    token = "[" + ideo + r"]|[\p{L}\p{M}\p{Nd}_'.:’‘·,;&&[^" + ideo + "]]++"
+    texts = ["", "can't. O’Neil's 3.14,5 a.b.c x:y 1;2 l·l", "漢字かなカナabc漢x_1é9ü ...  ' _ ·", "a1b 22 c333d x4 5\t66\n7,8 é9é", "http://a.b/c?d x ftp:/no :// End."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_extract_all(F.regexp_replace("t", loose, " "), F.lit(token), 0)
+    url = r"(?i)\b(https?|ftp|file)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]"
+    for r in rows.select("t", C.all_tokens(F.col("t")).alias("a"), plain.alias("b"), C.remove_numbers(F.col("t")).alias("c"),
+                         F.regexp_replace("t", "[^a-zA-Z][0-9]+[^a-zA-Z]", "").alias("d"), C.remove_urls(F.col("t")).alias("e"),
+                         F.regexp_replace("t", url, "").alias("f")).collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), r.t

@@ -103,6 +103,39 @@ def test_em_on_blocks_equals_the_loops_of_the_job(spark, monkeypatch, phi_weight
     assert empty.count() == 60 and np.isfinite(alpha).all()
 
 
+def test_shuffles_of_ended_iterations_are_deleted(spark):
+    """The disk that a fit needs doesn't grow with its iterations."""
+    import time
+    from webloom.operators import topics as L
+    local = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    corpus = spark.createDataFrame([(f"d{d}", w, 1) for d in range(40) for w in range(d % 7, 30)], "doc_id string, term_id long, count long")
+
+    def files(outer):
+        L.fit_lda_em(corpus, 30, k=2, outer=outer, inner=2)
+        time.sleep(1)  # deleted in the background
+        return sum(f.startswith("shuffle_") for top in local for _, _, names in os.walk(top) for f in names)
+
+    first = files(1)
+    assert files(6) <= first + 20
+
+
+def test_block_counts_of_any_size_are_kept():
+    from webloom.operators.topics import _short
+    for counts, size in (([1.0, 65535.0], 2), ([1.5], 8), ([65536.0], 8), ([-1.0], 8), ([], 8)):
+        short = _short(np.array(counts))
+        assert short.itemsize == size and short.tolist() == counts
+
+
+def test_rows_are_counted_without_an_exchange(spark):
+    """Repeated ids and terms of another case add up in the vectors; no shuffle before the join."""
+    from webloom.operators import vectorize as V
+    docs = spark.createDataFrame([(1, "Tree tree's TREE house"), (1, "tree"), (2, None), (3, "the")], "doc_id long, text string")
+    counts = V.raw_counts(docs)
+    assert {(r.doc_id, r.raw, r.n) for r in counts.groupBy("doc_id", "raw").agg(F.sum("count").alias("n")).collect()} == {
+        ("1", "tree", 4), ("1", "house", 1)}
+    assert [r.vector for r in V.vectorize_documents(docs)[2].collect()] == ["0:1 1:4"]
+
+
 def test_update_alpha_keeps_positive():
     from webloom.operators.topics import update_alpha
     a = update_alpha(np.full(3, 0.1), np.array([-50.0, -60.0, -70.0]), 20)

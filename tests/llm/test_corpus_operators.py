@@ -98,6 +98,30 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_copies_have_no_prefix_and_blocks_hold_what_was_packed(spark):
+    """A line with many copies is one set, whichever task reads them; words are what white space parts, whatever the bytes."""
+    import pyarrow as pa
+
+    from webloom.llm import linededup as L
+    texts = ["", "A b\tb\n\nÉ \x0bü", None, "no end\n", " \n x", "", "longer-than-eight-bytes LONGER-than-eight-bytes"]
+    p = L.Parsed(pa.array(["cut off", *texts]).slice(1))
+    plain = [(i, k, w.encode()) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))
+             for w in x.encode().lower().decode().translate({ord("É"): "É"}).split(" ") for w in w.replace("\t", " ").replace("\x0b", " ").split(" ") if w]
+    assert [(p.doc[i], p.no[i]) for i in p.line] == [(i, k) for i, k, _ in plain]
+    words = [w for *_, w in plain]
+    assert all((p.code[i] == p.code[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    rows = {c: np.arange(5).astype(k) for c, k in L.POSTING.items()}
+    back = L._unpacked(L._packed(rows, L.POSTING), 5, L.POSTING)
+    assert all((back[c] == rows[c]).all() and back[c].dtype == rows[c].dtype for c in rows)
+    docs = spark.createDataFrame([(i, f"same line of all\nown{i} line{i}\nall of line same") for i in range(40)], "doc_id long, text string")
+    counts = spark.sparkContext.broadcast(L.word_counts(docs))
+    assert counts.value.sum() == 40 * 10
+    for buckets in (1, 3):
+        sets = L.line_sets(docs.repartition(5).withColumn("__part", F.lit(0).cast("long")), counts, buckets).collect()
+        assert sorted((r.doc, r.line) for r in sets if r.prefix is not None) == sorted([(0, 0), *((i, 1) for i in range(40))])
+        assert sorted((r.doc, r.line) for r in sets) == [(i, k) for i in range(40) for k in range(3)]
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     """Each distinct (doc_id, text) loses its own later lines, and only those."""
     from webloom.llm import linededup

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import FILTER_BITS, id_filter, possibly_in, written
+from webloom.llm.common import id_filter, possibly_in, written
 
 SIMILARITY = Fraction(4, 5)
 #: Counters of the rarity order; words that share one are held equally rare. Fixes the size of what is broadcast.
@@ -28,8 +28,22 @@ FURTHER = 1
 #: Text that a task parses at once.
 PARSE_BYTES = 4 << 20
 
+#: Words of all texts for each bucket in which lines, and then their prefix words, are gathered.
+BUCKET_WORDS = 4_000_000
+#: Rows that a task packs into blocks at once.
+PACK_ROWS = 1 << 19
+#: Bits of the filter over places, at least and at most; it has sixteen a place between.
+PLACE_BITS = (1 << 16, 1 << 26)
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-LINE = "h1 long, h2 long, doc long, part long, line int, n int, sig long, prefix array<long>"
+#: Columns of a line in its block, and of a prefix word in its: h1 and h2 are of its word set, size of its prefix.
+LINE = {"h1": "i8", "h2": "i8", "doc": "i8", "part": "i8", "line": "i4", "n": "i4", "sig": "i8", "size": "i4"}
+POSTING = {"g": "i8", "side": "i1", "doc": "i8", "part": "i8", "line": "i4", "n": "i4", "sig": "i8", "at": "i4", "ask": "?"}
+BLOCK = "bucket long, rows long, block binary, prefix binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -49,23 +63,21 @@ def _mixed(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(vocabulary: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, eight bytes of all of them at a time."""
-    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset:vocabulary.offset + len(vocabulary) + 1]
-    data = np.concatenate([np.frombuffer(vocabulary.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    at, left = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+def _hashes(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of ``left`` bytes at ``at``, eight bytes of all of them at a time; ``data`` has eight bytes more."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
     h = _mixed(left.astype(np.uint64) + _MIX[1], 0)
-    todo = np.arange(len(left))
-    while len(todo):
-        size = np.minimum(left[todo], 8)
-        part = eight[at[todo]]
-        cut = (np.uint64(8) - size.astype(np.uint64)) * np.uint64(8)
-        part = np.where(size > 0, part << (cut & np.uint64(63)) >> (cut & np.uint64(63)), 0)
-        h[todo] = _mixed(_mixed(h[todo] ^ part, 0), 1)
-        at[todo] += 8
-        left[todo] -= 8
-        todo = todo[left[todo] > 0]
+    todo, at, left = None, at, left
+    while len(left):
+        cut = (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)) * np.uint64(8)
+        part = eight[at] << cut >> cut
+        new = _mixed(_mixed((h if todo is None else h[todo]) ^ part, 0), 1)
+        if todo is None:
+            h = new
+        else:
+            h[todo] = new
+        more = np.flatnonzero(left > 8)
+        todo, at, left = more if todo is None else todo[more], at[more] + 8, left[more] - 8
     return h
 
 
@@ -76,23 +88,33 @@ class Parsed:
     lower-cased. A null text is empty: one line without words.
     """
 
-    def __init__(self, texts: pa.Array):
-        lines = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
-        self.per_doc = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    def __init__(self, texts: pa.Array, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """``wanted(doc, no)`` tells the lines, by the index of their text and their number, whose words are read (all if None)."""
+        texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets -= offsets[0]
+        ends = np.flatnonzero(data == 10)
+        self.per_doc = 1 + np.diff(np.searchsorted(ends, offsets))
         self.doc = np.repeat(np.arange(len(texts)), self.per_doc)
         first = np.cumsum(self.per_doc) - self.per_doc
         self.no = np.arange(len(self.doc)) - np.repeat(first, self.per_doc)
-        words = pc.ascii_split_whitespace(lines.flatten())
-        per_line = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        line = np.repeat(np.arange(len(per_line)), per_line)
-        self.hash = word_hashes(coded.dictionary)
-        empty = np.nonzero(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)[0]
-        if len(empty):
-            keep = code != empty[0]
-            code, line = code[keep], line[keep]
-        self.code, self.line = code, line
+        starts = np.empty(len(self.doc), np.int64)
+        starts[self.no == 0] = offsets[:-1]
+        starts[self.no > 0] = ends + 1
+        space = np.append(_SPACE[data], True)
+        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+        before[offsets[:-1]] = True
+        after[np.maximum(offsets[1:], 1) - 1] = True
+        at, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        per_line = np.diff(np.searchsorted(at, starts), append=len(at))
+        self.line = np.repeat(np.arange(len(starts)), per_line)
+        if wanted is not None:
+            keep = wanted(self.doc, self.no)[self.line]
+            at, end, self.line = at[keep], end[keep], self.line[keep]
+        coded = pa.array(_hashes(np.append(_LOWER[data], np.zeros(8, np.uint8)), at, end - at)).dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False)
+        self.hash = coded.dictionary.to_numpy(zero_copy_only=False)
 
     def sets(self, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, start, hash): lines that have words, where each one's distinct words begin, and those, rarest first."""
@@ -162,94 +184,234 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _bucket(doc: np.ndarray, line: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Bit of the filter for a line; ``words_of`` has the same as a column."""
-    d = doc.astype(np.int64).view(np.uint64)
-    x = sig ^ d ^ (d << np.uint64(21)) ^ (line.astype(np.uint64) << np.uint64(42))
-    return (x ^ (x >> np.uint64(23)) ^ (x >> np.uint64(46))) & np.uint64(FILTER_BITS - 1)
+def _place(doc: np.ndarray, part: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place."""
+    h = _mixed(doc.astype(np.int64).view(np.uint64) + _MIX[0], 0) ^ part.astype(np.int64).view(np.uint64)
+    return _mixed(_mixed(h, 1) + line.astype(np.uint64), 0)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words over all documents, in ``COUNTERS`` counters by hash."""
+def _bits(keys: DataFrame, key: Callable[[pa.RecordBatch], np.ndarray], n: int) -> Broadcast:
+    """Bit filter over hashes of the rows of ``keys``, of about ``n`` keys."""
+    size = min(PLACE_BITS[1], max(PLACE_BITS[0], 1 << (16 * n).bit_length()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for piece in _pieces(batches, 0):
-            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(piece.column(0), ""))).flatten().value_counts()
-            n = words.field(1).to_numpy(zero_copy_only=False)
-            np.add.at(total, (word_hashes(words.field(0)) & np.uint64(COUNTERS - 1)).astype(np.int64), n)
-        some = np.nonzero(total)[0]
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], names=["counter", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, np.int64)
-    for r in counted.toLocalIterator():
-        out[r.counter] = r.n
+        for b in batches:
+            yield pa.record_batch([pa.array((key(b) & np.uint64(size - 1)).astype(np.int64))], names=["b"])
+
+    found = keys.mapInArrow(run, "b long").groupBy(F.shiftright("b", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    b = h & np.uint64(64 * len(table) - 1)
+    return (table[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _packed(rows: dict[str, np.ndarray], kinds: dict[str, str]) -> bytes:
+    """Columns as one compressed string, byte by byte of each."""
+    raw = [np.ascontiguousarray(rows[c], k).view(np.uint8).reshape(-1, np.dtype(k).itemsize).T.tobytes() for c, k in kinds.items()]
+    return pa.compress(b"".join(raw), "zstd", asbytes=True)
+
+
+def _unpacked(block: bytes, n: int, kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    sizes = {c: np.dtype(k).itemsize for c, k in kinds.items()}
+    raw, out, at = np.frombuffer(pa.decompress(block, n * sum(sizes.values()), "zstd"), np.uint8), {}, 0
+    for c, size in sizes.items():
+        out[c] = np.ascontiguousarray(raw[at:at + n * size].reshape(size, n).T).view(kinds[c]).ravel()
+        at += n * size
     return out
 
 
-def parsed_lines(docs: DataFrame, counts: Broadcast, t: Fraction = SIMILARITY) -> DataFrame:
-    """Every line that has words: a hash of its word set, its place, size, signature and prefix.
+def _blocks(rows: dict[str, np.ndarray], bucket: np.ndarray, kinds: dict[str, str], sizes: np.ndarray | None = None,
+            prefix: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``BLOCK``, one for each bucket of the rows; ``prefix`` holds ``sizes`` numbers of each."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order][:1] - 1))
+    begin = None if sizes is None else np.cumsum(sizes) - sizes
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        at = order[a:b]
+        flat = b"" if sizes is None else prefix[_spread(begin[at], sizes[at])].tobytes()
+        yield pa.record_batch([pa.array([int(bucket[at[0]])]), pa.array([len(at)]), pa.array([_packed({c: rows[c][at] for c in kinds}, kinds)]),
+                               pa.array([flat], pa.binary())], names=["bucket", "rows", "block", "prefix"])
+
+
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices ``begin``, ``begin + 1``... of runs of the given sizes."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-    The prefix holds half the hashes of as many of the rarest words as two sets
-    of the similarity must share one of.
-    """
-    a, b = t.numerator, t.denominator
 
+def _by_bucket(blocks: DataFrame, buckets: int, kinds: dict[str, str], each: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[pa.RecordBatch]],
+               schema: str) -> DataFrame:
+    """``each(rows, prefix)`` of every bucket of a table of blocks, a bucket at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, 1):
-            p = Parsed(piece.column(1))
-            line, start, h = p.sets(counts.value)
-            if not len(line):
-                continue
-            place = [pa.array(np.add.reduceat(_mixed(h, 0), start).view(np.int64)),
-                     pa.array(np.add.reduceat(_mixed(h, 1), start).view(np.int64)),
-                     pa.array(_ids(piece.column(0))[p.doc[line]]),
-                     pa.array(piece.column(2).to_numpy(zero_copy_only=False)[p.doc[line]]), pa.array(p.no[line], pa.int32())]
-            n = np.diff(np.append(start, len(h)))
-            at = np.arange(len(h)) - np.repeat(start, n)
-            size = n - (a * n + b - 1) // b + 1
-            keep = at < np.repeat(size, n)
-            prefix = (h[keep] >> np.uint64(32)).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            yield pa.record_batch([
-                *place, pa.array(n, pa.int32()), pa.array(_signature(start, h).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix))],
-                names=["h1", "h2", "doc", "part", "line", "n", "sig", "prefix"])
+        held: list[tuple[dict[str, np.ndarray], np.ndarray]] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from each({c: np.concatenate([r[c] for r, _ in held]) for c in kinds}, np.concatenate([p for _, p in held]))
 
-    return docs.select("doc_id", "text", "__part").mapInArrow(run, LINE)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, n, block, prefix = (batch.column(c)[i].as_py() for c in range(4))
+                if bucket != now:
+                    yield from done()
+                    held, now = [], bucket
+                held.append((_unpacked(block, n, kinds), np.frombuffer(prefix, np.int32)))
+        yield from done()
 
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-def hot_counters(sets: DataFrame) -> DataFrame:
-    """``(counter, k)``: counters of prefix words that more than ``BLOCK_ROWS`` line sets share, with their number of blocks.
 
-    At most ``COUNTERS`` rows at any size of input.
-    """
-    counter = F.col("word").bitwiseAND(F.lit(COUNTERS - 1))
-    counted = sets.select(F.explode("prefix").alias("word")).groupBy(counter.alias("counter")).count()
-    return written(counted.filter(F.col("count") >= BLOCK_ROWS).select(
-        "counter", (F.lit(1) + F.floor(F.col("count") / BLOCK_ROWS)).cast("long").alias("k")), "hot-words")
-
-
-def _postings(sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """A row for each prefix word of each line set, and for each pair of blocks that its word's lines are compared in."""
-    rows = sets.select(*ID, "ask", F.posexplode("prefix").alias("at", "word"))
-    rows = rows.join(F.broadcast(hot), F.col("word").bitwiseAND(F.lit(COUNTERS - 1)) == F.col("counter"), "left")
-    k = F.coalesce("k", F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("doc", "part", "line", "sig"), k)
-    rows = rows.select(*ID, "ask", "at", "word", k.alias("k"), own.alias("own"))
-    other = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    rows = rows.select("*", F.explode(other).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
-    group = F.when(F.col("k") == 1, F.col("word")).otherwise(F.xxhash64("word", low, high))
-    return rows.select(group.alias("g"), side.cast("byte").alias("side"), *ID,
-                       F.col("at").cast("int").alias("at"), "ask")
+def _totals(rows: DataFrame, count: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums in ``COUNTERS`` counters, ``count`` giving the counters of a batch and what each gets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            counter, n = count(batch)
+            total += np.bincount(counter, n, COUNTERS).astype(np.int64)
+        for k, part in enumerate(total.reshape(256, -1)):
+            if part.any():
+                yield pa.record_batch([pa.array([k]), pa.array([_packed({"n": part}, {"n": "i8"})])], names=["k", "n"])
+
+    def added(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS // 256, np.int64)
+        for b in parts:
+            for x in b.column("n"):
+                total += _unpacked(x.as_py(), len(total), {"n": "i8"})["n"]
+        yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([total.tobytes()])], names=["k", "n"])
+
+    out = np.zeros((256, COUNTERS // 256), np.int64)
+    for r in rows.mapInArrow(run, "k long, n binary").groupBy("k").applyInArrow(added, "k long, n binary").collect():  # 2 MB
+        out[r.k] = np.frombuffer(r.n, np.int64)
+    return out.ravel()
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences of words over all documents, in ``COUNTERS`` counters by hash."""
+    def count(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(COUNTERS, np.int64)
+        for piece in _pieces([batch], 0):
+            p = Parsed(piece.column(0))
+            total += np.bincount((p.hash & np.uint64(COUNTERS - 1)).astype(np.int64), np.bincount(p.code, minlength=len(p.hash)),
+                                 COUNTERS).astype(np.int64)
+        return np.arange(COUNTERS), total
+
+    return _totals(docs.select("text"), count)
 
 
 ID = ("doc", "part", "line", "n", "sig")
+SETS = "doc long, part long, line int, n int, sig long, prefix array<int>"
 PAIR = ", ".join(f"{s}_{c} {t}" for s in "yx" for c, t in zip(ID, ("long", "long", "int", "int", "long"), strict=True)) + ", more boolean"
 
 
+def _firsts(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(order, first, later)``: rows by set and place, whether each is its set's first, and whether it has a place other than that."""
+    order = np.lexsort((rows["line"], rows["part"], rows["doc"], rows["h2"], rows["h1"]))
+    h1, h2 = rows["h1"][order], rows["h2"][order]
+    first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[:len(order)]
+    of = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    return order, first, np.any([rows[c][order] != rows[c][of] for c in ("doc", "part", "line")], axis=0)
+
+
+def line_sets(docs: DataFrame, counts: Broadcast, buckets: int, t: Fraction = SIMILARITY) -> DataFrame:
+    """Every line that has words: its place, size, signature and prefix; lines that equal an earlier one have no prefix.
+
+    The prefix holds half the hashes of as many of the rarest words as two sets
+    of the similarity must share one of. A task compares its own lines first,
+    then all that are left meet in the buckets of a hash of their word sets, so
+    that a line with many copies is sent once by a task.
+    """
+    a, b = t.numerator, t.denominator
+
+    def parsed(piece: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        p = Parsed(piece.column(1))
+        line, start, h = p.sets(counts.value)
+        n = np.diff(np.append(start, len(h)))
+        at = np.arange(len(h)) - np.repeat(start, n)
+        size = n - (a * n + b - 1) // b + 1
+        two = [np.add.reduceat(_mixed(h, k), start).view(np.int64) if len(line) else np.zeros(0, np.int64) for k in (0, 1)]
+        return dict(zip(LINE, [
+            *two, _ids(piece.column(0))[p.doc[line]], piece.column(2).to_numpy(zero_copy_only=False)[p.doc[line]], p.no[line], n,
+            _signature(start, h).view(np.int64), size], strict=True)), h[at < np.repeat(size, n)].astype(np.uint32).view(np.int32)
+
+    def packed(held: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows = {c: np.concatenate([r[c] for r, _ in held]) for c in LINE}
+        prefix = np.concatenate([p for _, p in held])
+        begin = np.cumsum(rows["size"]) - rows["size"]
+        order, first, later = _firsts(rows)
+        size = np.where(first, rows["size"][order], 0)
+        keep = first | later
+        order, size = order[keep], size[keep]
+        rows = {c: v[order] for c, v in rows.items()} | {"size": size}
+        bucket = (rows["h1"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        yield from _blocks(rows, bucket, LINE, size, prefix[_spread(begin[order], size)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for piece in _pieces(batches, 1):
+            held.append(parsed(piece))
+            n += len(held[-1][0]["n"])
+            if n >= PACK_ROWS:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    def distinct(rows: dict[str, np.ndarray], prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.cumsum(rows["size"]) - rows["size"]
+        copies = {c: v[rows["size"] == 0] for c, v in rows.items()}
+        whole = np.flatnonzero(rows["size"])
+        order, first, later = _firsts({c: v[whole] for c, v in rows.items()})
+        gone, at = whole[order[~first & later]], whole[order[first]]
+        for i in range(0, len(at), 1 << 16):
+            k = at[i:i + (1 << 16)]
+            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows["size"][k])), pa.int32()),
+                                            pa.array(prefix[_spread(begin[k], rows["size"][k])]))
+            yield pa.record_batch([*(pa.array(rows[c][k]) for c in ID), flat], names=[*ID, "prefix"])
+        copies = {c: np.append(copies[c], rows[c][gone]) for c in ID}
+        yield pa.record_batch([*(pa.array(copies[c]) for c in ID), pa.nulls(len(copies["n"]), pa.list_(pa.int32()))], names=[*ID, "prefix"])
+
+    blocks = docs.select("doc_id", "text", "__part").mapInArrow(run, BLOCK)
+    return written(_by_bucket(blocks, buckets, LINE, distinct, SETS), "line-sets")
+
+
+def hot_counters(sets: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Blocks that the lines with a prefix word of each counter are compared in: 1, or more if over ``BLOCK_ROWS`` line sets share it.
+
+    The counters are those of ``word_counts``, which bound how many share a word.
+    """
+    if counts.max(initial=0) >= BLOCK_ROWS:
+        counts = _totals(sets.select("prefix"), lambda b: (
+            b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64) & (COUNTERS - 1), None))
+    return 1 + np.where(counts >= BLOCK_ROWS, counts // BLOCK_ROWS, 0)
+
+
+def _postings(rows: dict[str, np.ndarray], word: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, buckets: int,
+              wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Blocks of a row for each prefix word of each line set, and for each pair of blocks that its word's lines are compared in."""
+    of, at = np.repeat(np.arange(len(sizes)), sizes), _spread(np.zeros(len(sizes), np.int64), sizes)
+    if wanted is not None:
+        keep = _in(wanted, _mixed(word.astype(np.uint64), 0))
+        of, at, word = of[keep], at[keep], word[keep]
+    word = word.astype(np.int64) & 0xFFFFFFFF
+    k = blocks[word & (COUNTERS - 1)]
+    other = _spread(np.zeros(len(k), np.int64), k)
+    of, at, word, k = (np.repeat(x, k) for x in (of, at, word, k))
+    own = (_place(rows["doc"], rows["part"], rows["line"])[of] % k.astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    pair = _mixed(word.astype(np.uint64) + _mixed(low.astype(np.uint64) + _MIX[0], 0) + _mixed(high.astype(np.uint64) + _MIX[1], 1), 0)
+    g = np.where(k == 1, word, (pair | np.uint64(1 << 63)).view(np.int64))
+    bucket = np.where(k == 1, (_mixed(word.astype(np.uint64), 1) % np.uint64(buckets)).astype(np.int64), g)  # a bucket for each pair of blocks
+    order = np.argsort(g, kind="stable")
+    out = {c: rows[c][of][order] for c in (*ID, "ask")}
+    out |= {"g": g[order], "at": at[order], "side": np.where(low == high, 0, np.where(own == low, 1, 2))[order]}
+    yield from _blocks(out, bucket[order], POSTING)
+
+
 def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by group and place: (later, earlier, more) of pairs of a group that pass the filters.
 
@@ -265,29 +427,35 @@ def _matched(rows: dict[str, np.ndarray], t: Fraction, ask: int) -> tuple[np.nda
     given = np.zeros(len(g), np.int32)
     more = np.zeros(len(g), bool)
     active = np.nonzero(rows["ask"])[0]
+    before, size = active - first[active], n[active]
     ys, xs = [], []
     step = 0
     while True:
         step += 1
-        active = active[active - step >= first[active]]
+        left = before >= step
+        if not left.all():
+            active, before, size = active[left], before[left], size[left]
         if not len(active):
             break
-        x = active - step
-        both = n[active] + n[x]
-        shared = np.minimum(n[active] - at[active], n[x] - at[x])
-        ok = (np.abs(n[active] - n[x]) * (a + b) <= both * (b - a)) & ((shared + FURTHER) * (a + b) >= a * both) & (
-            (side[active] == 0) | (side[active] != side[x])) & (
-            (doc[active] != doc[x]) | (part[active] != part[x]) | (line[active] != line[x]))
-        near = np.nonzero(ok)[0]
-        ok[near] = _apart(sig[active[near]], sig[x[near]]) * (a + b) <= both[near] * (b - a)
-        if ok.any():
-            y = active[ok]
+        other = n[active - step]
+        y = active[np.flatnonzero((a * size <= b * other) & (a * other <= b * size))]  # the filter that spares most stands first
+        x = y - step
+        both = n[y] + n[x]
+        near = (np.minimum(n[y] - at[y], n[x] - at[x]) + FURTHER) * (a + b) >= a * both
+        y, x, both = y[near], x[near], both[near]
+        near = _apart(sig[y], sig[x]) * (a + b) <= both * (b - a)
+        y, x = y[near], x[near]
+        near = ((side[y] == 0) | (side[y] != side[x])) & ((doc[y] != doc[x]) | (part[y] != part[x]) | (line[y] != line[x]))
+        y, x = y[near], x[near]
+        if len(y):
             ys.append(y)
-            xs.append(x[ok])
+            xs.append(x)
             given[y] += 1
-            full = y[(given[y] >= ask)]
-            more[full] = full - step > first[full]
-            active = active[given[active] < ask]
+            full = y[given[y] >= ask]
+            if len(full):
+                more[full] = full - step > first[full]
+                left = given[active] < ask
+                active, before, size = active[left], before[left], size[left]
     if not ys:
         return np.empty(0, np.int64), np.empty(0, np.int64), more
     return np.concatenate(ys), np.concatenate(xs), more
@@ -311,102 +479,90 @@ def _enough_groups(t: Fraction) -> Column:
     return F.col("groups") >= F.least(F.lit(1 + FURTHER), forced(y, "y_n"), forced(x, "x_n"))
 
 
-def candidate_pairs(sets: DataFrame, hot: DataFrame, t: Fraction = SIMILARITY, ask: int = FIRST_ASK,
-                    first: bool = True) -> DataFrame:
-    """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets marked ``ask``.
+def candidate_pairs(sets: DataFrame, blocks: np.ndarray, buckets: int, t: Fraction = SIMILARITY, ask: int = FIRST_ASK,
+                    asked: DataFrame | None = None) -> DataFrame:
+    """Pairs (y, earlier x) of line sets that share a prefix word and pass the filters, for the sets of ``asked`` (all if None).
 
     Each y gets at most ``ask`` of every group; ``more`` tells that there may be
     others. ``groups`` counts the groups that a pair shares, and ``enough``
     tells whether they are as many as a match must share (a match that a full
-    group left out has too few; its y has ``more`` and asks again). After the
-    ``first`` round only groups with a set that is asked again are looked at.
+    group left out has too few; its y has ``more`` and asks again). With ``asked``
+    only groups with a set that is asked again are looked at.
     """
-    names = ["g", "side", *ID, "at", "ask"]
+    wanted = None
+    if asked is None:
+        sets = sets.withColumn("ask", F.lit(True))
+    else:
+        sets = sets.join(asked.select(*ID, F.lit(True).alias("ask")), list(ID), "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        words = sets.filter("ask").select(F.explode("prefix").alias("word"))
+        wanted = _bits(words, lambda b: _mixed(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), 0), PLACE_BITS[1] >> 9)
+    shared = sets.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[pa.RecordBatch] = []
+        n = 0
 
-        def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            y, x, more = _matched(rows, t, ask)
-            for i in range(0, len(y), 1 << 16):
-                part = [slice(i, i + (1 << 16))]
-                yy, xx = y[part[0]], x[part[0]]
-                yield pa.record_batch([*(pa.array(rows[c][yy]) for c in ID), *(pa.array(rows[c][xx]) for c in ID),
-                                       pa.array(more[yy])], names=[f"{s}_{c}" for s in "yx" for c in ID] + ["more"])
+        def packed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = table.column("prefix").combine_chunks()
+            rows = {c: table.column(c).to_numpy() for c in (*ID, "ask")}
+            yield from _postings(rows, lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False),
+                                 shared.value, buckets, None if wanted is None else wanted.value)
 
         for batch in batches:
-            rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
-            g = rows["g"]
-            changes = np.nonzero(g[1:] != g[:-1])[0]
-            cut = int(changes[-1]) + 1 if len(changes) else 0
-            if cut:
-                yield from pairs({c: v[:cut] for c, v in rows.items()})
-            held = {c: v[cut:] for c, v in rows.items()}
-        if held is not None:
-            yield from pairs(held)
-
-    rows = _postings(sets, hot)
-    if not first:  # only groups of lines that are asked again
-        rows = possibly_in(rows, id_filter(rows.filter("ask").select("g"), "g"), F.col("g")).filter("__in")
-    rows = rows.select(*names).repartition("g").sortWithinPartitions("g", *ID)
-    return rows.mapInArrow(run, PAIR).groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
+            held.append(batch)
+            n += len(batch.column("prefix").flatten())
+            if n >= PACK_ROWS:
+                yield from packed()
+                held, n = [], 0
+        if n:
+            yield from packed()
+
+    def pairs(rows: dict[str, np.ndarray], _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort([rows[c] for c in ("line", "part", "doc", "g")])
+        rows = {c: v[order] for c, v in rows.items()}
+        y, x, more = _matched(rows, t, ask)
+        for i in range(0, len(y), 1 << 16):
+            yy, xx = y[i:i + (1 << 16)], x[i:i + (1 << 16)]
+            yield pa.record_batch([*(pa.array(rows[c][yy]) for c in ID), *(pa.array(rows[c][xx]) for c in ID),
+                                   pa.array(more[yy])], names=[f"{s}_{c}" for s in "yx" for c in ID] + ["more"])
+
+    found = _by_bucket(sets.select(*ID, "prefix", "ask").mapInArrow(run, BLOCK), buckets, POSTING, pairs, PAIR)
+    return found.groupBy(*(f"{s}_{c}" for s in "yx" for c in ID)).agg(
         F.max("more").alias("more"), F.count(F.lit(1)).alias("groups")).withColumn(
         "enough", _enough_groups(t)).filter("enough or more")
 
 
-def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(doc, part, line, n, sig, words)`` of the lines of ``needed(doc, part, line, n, sig)``, and of some others.
+def words_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """``(doc, part, line, n, sig, words)`` of the lines of ``needed(doc, part, line)``, about ``n``, and of some others.
 
-    The documents are parsed again rather than kept; a bit filter of fixed size
-    over the needed places lets few other lines through.
+    The documents are parsed again rather than kept; a bit filter over the
+    needed places lets few other lines through.
     """
-    folded = F.col("sig").bitwiseXOR(F.col("doc")).bitwiseXOR(F.shiftleft("doc", 21)).bitwiseXOR(
-        F.shiftleft(F.col("line").cast("long"), 42))
-    folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, 23)).bitwiseXOR(F.shiftrightunsigned(folded, 46))
-    bucket = folded.bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = needed.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in bits.toLocalIterator():
-        table[r.word] = np.uint64(r.bits % 2 ** 64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    places = possibly_in(docs.select("doc_id", "text", "__part"), id_filter(needed, "doc"), _id())
-    places = places.filter("__in").select("doc_id", "text", "__part")
+    places = _bits(needed.select("doc", "part", "line"), lambda b: _place(*(c.to_numpy(zero_copy_only=False) for c in b.columns)), n)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, 1):
-            p = Parsed(piece.column(1))
+            ids, part = _ids(piece.column(0)), piece.column(2).to_numpy(zero_copy_only=False)
+            p = Parsed(piece.column(1), lambda doc, no: _in(places.value, _place(ids[doc], part[doc], no)))  # noqa: B023
             line, start, h = p.sets(None)
             if not len(line):
                 continue
             n = np.diff(np.append(start, len(h)))
-            doc, no = _ids(piece.column(0))[p.doc[line]], p.no[line]
-            sig = _signature(start, h)
-            bit = _bucket(doc, no, sig)
-            wanted = (shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            if not wanted.any():
-                continue
-            part = piece.column(2).to_numpy(zero_copy_only=False)[p.doc[line]]
-            flat = h[np.repeat(wanted, n)].view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n[wanted])])
             yield pa.record_batch([
-                pa.array(doc[wanted]), pa.array(part[wanted]), pa.array(no[wanted], pa.int32()), pa.array(n[wanted], pa.int32()),
-                pa.array(sig.view(np.int64)[wanted]),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                pa.array(ids[p.doc[line]]), pa.array(part[p.doc[line]]), pa.array(p.no[line], pa.int32()), pa.array(n, pa.int32()),
+                pa.array(_signature(start, h).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.append(start, len(h)), pa.int32()), pa.array(h.view(np.int64)))],
                 names=[*ID, "words"])
 
-    return places.mapInArrow(lines, "doc long, part long, line int, n int, sig long, words array<long>")
+    return docs.select("doc_id", "text", "__part").mapInArrow(lines, "doc long, part long, line int, n int, sig long, words array<long>")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     """``ID`` of the y of ``pairs`` that reach the similarity with their x."""
     a, b = t.numerator, t.denominator
     ends = [pairs.select(*(F.col(f"{s}_{c}").alias(c) for c in ID)) for s in "yx"]
-    words = words_of(docs, ends[0].unionByName(ends[1]).distinct())
+    words = words_of(docs, ends[0].unionByName(ends[1]), 2 * pairs.count())
     words = written(words.groupBy(*ID).agg(F.min("words").alias("words")), "words")
     checked = pairs.select(*(f"{s}_{c}" for s in "yx" for c in ID))
     for s in "yx":
@@ -417,35 +573,39 @@ def _checked(docs: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     return written(hits.select(*(F.col(f"y_{c}").alias(c) for c in ID)).distinct(), "hits")
 
 
-def _matches(docs: DataFrame, sets: DataFrame, t: Fraction, ask: int) -> DataFrame:
+def _matches(docs: DataFrame, sets: DataFrame, blocks: np.ndarray, buckets: int, t: Fraction, ask: int) -> DataFrame:
     """``ID`` of the line sets that reach the similarity with an earlier one.
 
     One earlier match is enough. First each set is checked with the candidate
     that it shares most groups with, then sets without a match with all their
-    other candidates, and then those that had to leave out candidates ask again.
+    other candidates, those that had to leave out candidates asking again.
     """
     y = [f"y_{c}" for c in ID]
 
     def unmatched(rows: DataFrame, hits: DataFrame) -> DataFrame:
         return rows.join(hits.select(*(F.col(c).alias(f"y_{c}") for c in ID)), y, "left_anti")
 
-    hot = hot_counters(sets)
-    pairs = written(candidate_pairs(sets.withColumn("ask", F.lit(True)), hot, t, ask), "pairs")
+    pairs = written(candidate_pairs(sets, blocks, buckets, t, ask), "pairs")
     fit = pairs.filter("enough")
     best = fit.groupBy(*y).agg(F.max(F.struct("groups", *(f"x_{c}" for c in ID))).alias("best"),
                                  F.count(F.lit(1)).alias("n"))
-    out = _checked(docs, best.select(*y, *(f"best.x_{c}" for c in ID)), t)
-    others = unmatched(fit.join(best.filter("n > 1").select(*y), y, "left_semi"), out)
-    out = out.unionByName(_checked(docs, written(others, "pairs"), t))
+    best = written(best.select(*y, *(f"best.x_{c}" for c in ID), "n"), "best")
+    out = _checked(docs, best, t)
+    others = unmatched(fit.join(best.filter("n > 1").select(*y), y, "left_semi"), out).select(pairs.columns)
     while True:
         unsure = written(unmatched(pairs.filter("more").select(*y).distinct(), out), "unsure")
-        if unsure.limit(1).count() == 0:
+        if unsure.limit(1).count():
+            ask *= RAISE
+            asked = unsure.select(*(F.col(f"y_{c}").alias(c) for c in ID))
+            pairs = written(candidate_pairs(sets, blocks, buckets, t, ask, asked), "pairs")
+            todo = pairs.filter("enough") if others is None else pairs.filter("enough").unionByName(others).dropDuplicates(
+                [f"{s}_{c}" for s in "yx" for c in ID])
+        elif others is None:
             return out
-        ask *= RAISE
-        asked = unsure.select(*(F.col(f"y_{c}").alias(c) for c in ID), F.lit(True).alias("asks"))
-        asked = sets.join(asked, list(ID), "left").withColumn("ask", F.coalesce("asks", F.lit(False))).drop("asks")
-        pairs = written(candidate_pairs(asked, hot, t, ask, first=False), "pairs")
-        out = out.unionByName(_checked(docs, pairs.filter("enough"), t))
+        else:
+            pairs, todo = pairs.filter("false"), others
+        out = out.unionByName(_checked(docs, written(todo, "pairs"), t))
+        others = None
 
 
 def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRST_ASK) -> DataFrame:
@@ -459,16 +619,13 @@ def later_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     the length, position and signature filters are checked word by word (by
     64-bit word hashes).
     """
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(word_counts(docs))
-    lines = written(parsed_lines(docs, counts, t), "lines")
-    sets = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(*ID, "prefix")).alias("first"))
-                   .select("h1", "h2", "first.*"), "line-sets")
-    gone = _matches(docs, sets.drop("h1", "h2"), t, first_ask).withColumn("gone", F.lit(True))
-    firsts = sets.drop("prefix").join(gone, list(ID), "left").select(
-        "h1", "h2", F.col("doc").alias("doc0"), F.col("part").alias("part0"), F.col("line").alias("line0"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    later = lines.select("h1", "h2", "doc", "part", "line").join(firsts, ["h1", "h2"]).filter(
-        "gone or doc <> doc0 or part <> part0 or line <> line0")
+    context = docs.sparkSession.sparkContext
+    counts = word_counts(docs)
+    buckets = max(context.defaultParallelism, int(counts.sum()) // BUCKET_WORDS)
+    places = line_sets(docs, context.broadcast(counts), buckets, t)
+    sets = places.filter("prefix is not null")
+    gone = _matches(docs, sets, hot_counters(sets, counts), buckets, t, first_ask)
+    later = places.filter("prefix is null").select(*ID).unionByName(gone)
     return later.groupBy("doc", "part").agg(F.collect_set("line").alias("lines"))
 
 
@@ -488,6 +645,7 @@ def dedup_lines(docs: DataFrame, t: Fraction = SIMILARITY, first_ask: int = FIRS
     later = written(later_lines(with_part(docs.select("doc_id", "text"), repeated), t, first_ask).select(
         F.col("doc").alias("__doc"), F.col("part").alias("__part"), F.col("lines").alias("__later")), "later-lines")
     marked = possibly_in(with_part(docs, repeated), id_filter(later, "__doc"), _id())
+    later = later.hint("merge")  # a broadcast of it would fit in no driver at scale
     joined = marked.filter("__in").withColumn("__doc", _id()).join(later, ["__doc", "__part"], "left").unionByName(
         marked.filter("not __in"), allowMissingColumns=True)
     joined = joined.withColumn("__lines", F.split("text", "\n", -1))  # once a row, not once a line

@@ -39,11 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of every SimHash group: that of smallest doc_id, nulls last, then of smallest text hash.
 
     Rows get a key of their own, written with them, so that rows without doc_id
-    or with the same one are told apart.
+    or with the same one are told apart. Texts meet the keys of the rows that
+    go, which are few where most texts differ, so that texts then aren't shuffled.
     """
     keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed-documents")
-    first = written(simhash.group_firsts(keyed, "__key"), "group-firsts")
-    return keyed.join(first, "__key", "left_semi").select(*docs.columns)
+    first = simhash.group_firsts(keyed, "__key")
+    gone = written(keyed.select("__key").join(first, "__key", "left_anti"), "later-in-group")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -414,6 +414,22 @@ def test_pipeline_keeps_one_row_of_every_simhash_group(spark):
     assert len(kept) == len(want) and found == want
 
 
+def test_simhash_stage_does_not_shuffle_texts_if_few_rows_go(spark):
+    import corpus_pipeline as P
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(20)), "en", "s", 9) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (5000, rows[7][1], "en", "s", 9)], DOCS)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        left = P.drop_near_duplicates(spark, docs, "")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 3000 and left.filter("doc_id = 5000").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_pipeline_mixes_what_is_left_to_its_targets(spark, tmp_path):
     import corpus_pipeline as P
     from webloom.llm.mixing import fit_rates, mix

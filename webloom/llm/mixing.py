@@ -70,7 +70,7 @@ def _rates(p: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX_STEPS,
-              tolerance: float = TOLERANCE) -> list[np.ndarray]:
+              tolerance: float = TOLERANCE, labelled: tuple[str, ...] = ()) -> list[np.ndarray]:
     """The steps of projected-gradient least squares over ``scored(n_tokens, p_<domain>...)``.
 
     With n the tokens and p the posterior of a document, the rates r >= 0
@@ -80,8 +80,8 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     depends on its posterior only. So the state of the fit is one vector per
     step: every iteration is a job that replays the steps for each document and
     adds up its domain tokens. It ends when every target is met to ``tolerance``
-    of all tokens. A domain whose posterior is 0 everywhere has no target, the
-    others keep their proportion. If a target can't be met, as no document has so high a posterior,
+    of all tokens. A domain whose posterior is 0 everywhere has no target, unless it is
+    among ``labelled`` and others have one; the others keep their proportion. If a target can't be met, as no document has so high a posterior,
     or is not after ``max_steps`` or when the residual no longer falls, a
     ``ValueError`` tells the gap.
     """
@@ -117,6 +117,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], max_steps: int = MAX
     share = np.array(list(targets.values())) * (top > 0)
     if not share.any():
         return []  # no document of a domain that has a target
+    share = np.array([w if p > 0 or d in labelled else 0.0 for (d, w), p in zip(targets.items(), top, strict=True)])
     share = share / share.sum()
     want = share * total
     over = [f"{d}: {w:.6g} of all tokens, posteriors up to {p:.6g}"
@@ -147,13 +148,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     be read once. ``labels`` is the table ``labels(doc_id, quality, toxic)``.
     Null and empty texts have no tokens and get the rate of their posterior.
     Targets are met to ``TOLERANCE`` of all tokens, or a ``ValueError`` is
-    raised; domains without a labelled document have no target, and without any
-    labelled document all rates are 1. The posteriors are fitted on the labelled documents of
+    raised; domains without a label have no target, and without any
+    labelled document all rates are 1. Labels of a domain of which no document is
+    there leave it its target, which then can't be met. The posteriors are fitted on the labelled documents of
     ``fitted_on``, for a table that has lost some of them. Repeated rows each
     give a row; an empty table gives none.
     """
-    scored = written(posteriors(docs, with_domains(labels), list(targets), max_rows, fitted_on), "posteriors")
-    path = fit_rates(scored, targets)
+    domains = with_domains(labels)
+    scored = written(posteriors(docs, domains, list(targets), max_rows, fitted_on), "posteriors")
+    seen = domains.agg(*(F.max(d).alias(d) for d in targets)).first()
+    path = fit_rates(scored, targets, labelled=tuple(d for d in targets if seen[d]))
     names = [f"p_{d}" for d in targets]
 
     @F.pandas_udf("double")

@@ -103,6 +103,23 @@ def test_em_on_blocks_equals_the_loops_of_the_job(spark, monkeypatch, phi_weight
     assert empty.count() == 60 and np.isfinite(alpha).all()
 
 
+def test_sums_of_terms_are_rows_with_long_ids(spark, monkeypatch):
+    """The E-step's sums per topic and term, in several term blocks, one of them past the ids of 32 bits."""
+    from webloom.operators import topics as L
+    monkeypatch.setattr(L, "TERM_BLOCK_NUMBERS", 8)
+    rows = [(f"d{d}", w, 1 + (d + w) % 3) for d in range(6) for w in range(d, d + 9)]
+    corpus = spark.createDataFrame(rows, "doc_id string, term_id long, count long")
+    blocks = L.doc_blocks(corpus, 2)
+    sums = L.e_step(blocks, L.block_needs(blocks, 2), L.term_blocks(spark, 2, 14), np.ones(2), np.full(2, 0.1), 2, 14, inner=5)
+    got = {(r.k, r.term_id): r.value for r in L.sum_rows(sums, 2).collect()}
+    assert set(got) == {(k, w) for k in range(2) for w in (L.SUFF_STAT_ID, *range(14))}
+    for w in range(14):  # a term's count is shared out among the topics
+        assert np.isclose(got[0, w] + got[1, w], sum(c for _, x, c in rows if x == w))
+    far = spark.createDataFrame([(1 << 30, np.arange(4, dtype=np.int32).tobytes(), np.arange(8.0).tobytes())], "term_block long, offsets binary, sums binary")
+    assert {(r.k, r.term_id): r.value for r in L.sum_rows(far, 2).collect()} == {
+        (k, (1 << 32) + i): 2.0 * i + k for i in range(4) for k in range(2)}
+
+
 def test_shuffles_of_ended_iterations_are_deleted(spark):
     """The disk that a fit needs doesn't grow with its iterations."""
     import time

@@ -136,6 +136,44 @@ def test_shuffles_of_ended_iterations_are_deleted(spark):
     assert files(6) <= first + 20
 
 
+def test_topics_of_ended_iterations_are_deleted(spark):
+    from webloom.operators import topics as L
+    from webloom.session import checkpoint_dir
+    corpus = spark.createDataFrame([(f"d{d}", w, 1) for d in range(9) for w in range(d, 20)], "doc_id string, term_id long, count long")
+    folder = checkpoint_dir(spark).removeprefix("file:")
+
+    def written():
+        return {f for f in os.listdir(folder) if f.startswith("lda-topics-")}
+
+    before = written()
+    lam, _, _ = L.fit_lda_em(corpus, 20, k=2, outer=4, inner=2)
+    assert len(written() - before) == 1 and lam.count() == 20
+
+
+@pytest.mark.parametrize("k, phi_weight", [(3, "digamma"), (3, "gamma"), (40, "digamma")])
+def test_documents_worked_on_together_equal_those_alone(monkeypatch, k, phi_weight):
+    """Groups of documents of many sizes, one longer than a group; with 40 topics of one-word documents no factor is far from 1."""
+    from webloom.operators import topics as L
+    monkeypatch.setattr(L, "GROUP_NUMBERS", 60 * k)
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 1, 2, 9, 30, 31, 33, 75, 1])
+    starts, counts = np.cumsum(sizes) - sizes, rng.integers(1, 5, sizes.sum()).astype(float)
+    index = np.concatenate([rng.choice(80, n, replace=False) for n in sizes]).astype(np.int32)
+    lam, alpha = rng.random((80, k)), np.full(k, 0.001 if k > 3 else 0.1)
+    sums, gammas = L.fixed_point(lam, index, starts, counts, alpha, 2.0, 30, phi_weight)
+    want = np.zeros_like(lam)
+    for d, (a, n) in enumerate(zip(starts, sizes, strict=True)):
+        own, c, gamma = lam[index[a:a + n]], counts[a:a + n, None], np.full(k, 2.0)
+        for _ in range(30):
+            psi = L.digamma(gamma)
+            phi = own * (gamma if phi_weight == "gamma" else np.exp(psi - psi.max()))
+            phi /= phi.sum(1, keepdims=True)
+            gamma = alpha + (c * phi).sum(0)
+        assert np.allclose(gammas[d], gamma, rtol=1e-9)
+        want[index[a:a + n]] += c * phi
+    assert np.allclose(sums, want, rtol=1e-9)
+
+
 def test_block_counts_of_any_size_are_kept():
     from webloom.operators.topics import _short
     for counts, size in (([1.0, 65535.0], 2), ([1.5], 8), ([65536.0], 8), ([-1.0], 8), ([], 8)):

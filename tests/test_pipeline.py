@@ -174,6 +174,40 @@ def test_documents_worked_on_together_equal_those_alone(monkeypatch, k, phi_weig
     assert np.allclose(sums, want, rtol=1e-9)
 
 
+def test_steps_of_places_are_kept():
+    from webloom.operators.topics import _from_steps, _steps
+    for places in ([], [0], [7, 70_000, 90_000_000, 0, 3, 2, (1 << 31) - 1]):
+        assert _from_steps(_steps(np.array(places, np.int64))).tolist() == places
+
+
+def test_packed_documents_make_the_blocks_of_their_rows(spark, monkeypatch):
+    """Documents of several rows, some with a repeated or no id, words without a term: the fit from packed documents is that from rows."""
+    from webloom.operators import topics as L
+    from webloom.operators import vectorize as V
+    monkeypatch.setattr(V, "COUNTED_ROWS", 2)
+    monkeypatch.setattr(L, "DOC_BLOCK_NUMBERS", 30)
+    texts = ["tree house tree's the", "house of cards", None, "... 12 3", "cards CARDS table", "tree", "table garden house"]
+    docs = spark.createDataFrame([(i % 5 if i != 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    vocab, packed, _ = V.vectorize_documents(docs, packed=True)
+    rows = V.vectorize_documents(docs)[1]
+    assert packed.filter("size = 0").count() == 0 and packed.count() == 6
+    assert sorted((str(r.doc_id), r.term_id, r["count"]) for r in V.dictionary_doc_terms(packed).collect()) == sorted(
+        (str(r.doc_id), r.term_id, r["count"]) for r in rows.collect())
+    fits = [L.fit_lda_em(c, vocab.count(), k=2, outer=2, inner=5) for c in (packed, rows.withColumn("doc_id", F.coalesce("doc_id", F.lit("none"))))]
+    (a, b), alphas = ({r.term_id: r.lam for r in f[0].collect()} for f in fits), [f[1] for f in fits]
+    assert sorted(a) == sorted(b) and np.allclose([a[t] for t in sorted(a)], [b[t] for t in sorted(a)], rtol=1e-9)
+    assert np.allclose(*alphas, rtol=1e-8)
+
+
+def test_block_keys_are_dealt_out_evenly(spark):
+    from webloom.operators.topics import even_keys
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (1, parts, 3 * parts + 1):
+        keys = even_keys(spark, n)
+        dealt = spark.createDataFrame([(k,) for k in keys], "id long").groupBy(F.pmod(F.hash("id"), F.lit(parts))).count()
+        assert len(set(keys)) == n and max(r["count"] for r in dealt.collect()) == -(-n // parts)
+
+
 def test_block_counts_of_any_size_are_kept():
     from webloom.operators.topics import _short
     for counts, size in (([1.0, 65535.0], 2), ([1.5], 8), ([65536.0], 8), ([-1.0], 8), ([], 8)):

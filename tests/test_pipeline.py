@@ -174,6 +174,16 @@ def test_documents_worked_on_together_equal_those_alone(monkeypatch, k, phi_weig
     assert np.allclose(sums, want, rtol=1e-9)
 
 
+def test_old_topics_travel_only_where_a_term_has_no_document(spark, monkeypatch):
+    """Term blocks all of whose terms are in documents bring no old values to the M-step; a last one without any does."""
+    from webloom.operators import topics as L
+    monkeypatch.setattr(L, "TERM_BLOCK_NUMBERS", 8)
+    corpus = spark.createDataFrame([(f"d{d}", w, 1) for d in range(6) for w in range(d, d + 5) if w != 6], "doc_id string, term_id long, count long")
+    needs = L.block_needs(L.doc_blocks(corpus, 2), 2)
+    assert [r.term_block for r in L.unseen_blocks(needs, 2, 14).orderBy("term_block").collect()] == [1, 2, 3]
+    assert L.unseen_blocks(L.block_needs(L.doc_blocks(corpus.where("term_id < 4"), 2), 2), 2, 4) is None
+
+
 def test_steps_of_places_are_kept():
     from webloom.operators.topics import _from_steps, _steps
     for places in ([], [0], [7, 70_000, 90_000_000, 0, 3, 2, (1 << 31) - 1]):

@@ -171,7 +171,7 @@ def test_documents_worked_on_together_equal_those_alone(monkeypatch, k, phi_weig
             gamma = alpha + (c * phi).sum(0)
         assert np.allclose(gammas[d], gamma, rtol=1e-9)
         want[index[a:a + n]] += c * phi
-    assert np.allclose(sums, want, rtol=1e-9)
+    assert np.allclose(sums[:len(lam)], want, rtol=1e-9)
 
 
 def test_old_topics_travel_only_where_a_term_has_no_document(spark, monkeypatch):
